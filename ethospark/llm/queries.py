@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ethospark.llm import byte_bpe
+from ethospark.llm import byte_bpe, simhash
 from ethospark.llm.common import table, tokenizer_path
 
 
@@ -18,8 +19,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: 3-word shingles, links at 3 or fewer differing bits."""
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return near.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
+    "op9_simhash": op9_simhash,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
