@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethospark.llm import byte_bpe, simhash, wavelet
+from ethospark.llm import byte_bpe, simhash, style_tree, wavelet
 from ethospark.llm.common import table, tokenizer_path, written
 
 
+def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document's ids begin, how many they are and their checksum, read back from the shards."""
     shards = written(wavelet.shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2), "shards")
@@ -32,6 +37,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_style_tree": op1_style_tree,
     "op2_wavelet": op2_wavelet,
     "op4_byte_bpe": op4_byte_bpe,
     "op9_simhash": op9_simhash,
