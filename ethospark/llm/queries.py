@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethospark.llm import byte_bpe, simhash, style_tree, wavelet
+from ethospark.llm import byte_bpe, minhash, simhash, style_tree, wavelet
 from ethospark.llm.common import table, tokenizer_path, written
 
 
@@ -30,6 +30,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness."""
+    return minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, links at 3 or fewer differing bits."""
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_style_tree": op1_style_tree,
     "op2_wavelet": op2_wavelet,
     "op4_byte_bpe": op4_byte_bpe,
+    "op8_minhash": op8_minhash,
     "op9_simhash": op9_simhash,
 }
 
