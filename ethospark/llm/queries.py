@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethospark.llm import byte_bpe, minhash, simhash, style_tree, wavelet
+from ethospark.llm import byte_bpe, minhash, simhash, style_tree, toxicity, wavelet
 from ethospark.llm.common import table, tokenizer_path, written
 
 
@@ -22,6 +22,13 @@ def op2_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(wavelet.with_starts(shards))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of toxicity, expected severity and grade of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "p_toxic", "severity", "grade", "rejected")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes of every document."""
     import public_tokenizers
@@ -44,6 +51,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_style_tree": op1_style_tree,
     "op2_wavelet": op2_wavelet,
+    "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op8_minhash": op8_minhash,
     "op9_simhash": op9_simhash,
