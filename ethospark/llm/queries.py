@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethospark.llm import byte_bpe, minhash, simhash, style_tree, toxicity, wavelet
+from ethospark.llm import byte_bpe, line_dedup, minhash, simhash, style_tree, toxicity, wavelet
 from ethospark.llm.common import table, tokenizer_path, written
 
 
@@ -37,6 +37,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "removed_chars")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness."""
     return minhash.fingerprints(table(spark, sf_dir, "documents"))
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wavelet": op2_wavelet,
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_line_dedup": op7_line_dedup,
     "op8_minhash": op8_minhash,
     "op9_simhash": op9_simhash,
 }
