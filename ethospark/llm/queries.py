@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethospark.llm import byte_bpe, line_dedup, minhash, simhash, style_tree, toxicity, wavelet
+from ethospark.llm import byte_bpe, decontaminate, line_dedup, minhash, simhash, style_tree, toxicity, wavelet
 from ethospark.llm.common import table, tokenizer_path, written
 
 
@@ -54,6 +54,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds, with their edit distance."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_style_tree": op1_style_tree,
     "op2_wavelet": op2_wavelet,
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash": op8_minhash,
     "op9_simhash": op9_simhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
