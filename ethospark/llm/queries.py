@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethospark.llm import byte_bpe, decontaminate, line_dedup, minhash, simhash, style_tree, toxicity, wavelet
+from ethospark.llm import byte_bpe, decontaminate, licences, line_dedup, minhash, simhash, style_tree, toxicity, unigram, wavelet
 from ethospark.llm.common import table, tokenizer_path, written
 
 
@@ -37,6 +37,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document, block and line that is a known licence or notice."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, tokens and log probability of every document under the unigram model."""
+    return unigram.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier one has."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wavelet": op2_wavelet,
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_licences": op5_licences,
+    "op6_unigram": op6_unigram,
     "op7_line_dedup": op7_line_dedup,
     "op8_minhash": op8_minhash,
     "op9_simhash": op9_simhash,
@@ -71,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_licences": licences.oracle()}
