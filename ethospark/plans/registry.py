@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ethospark.plans import marts  # noqa: F401
+from ethospark.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
