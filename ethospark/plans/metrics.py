@@ -108,11 +108,11 @@ def ols_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(fit["r2"], fit["f"])], "r2 double, f double").select(F.round("r2", 6).alias("r2"), F.round("f", 6).alias("f"))
 
 
-@query(f"WITH {OBS} SELECT event_id, round(avg(value) OVER w, 6) AS mean, round(var_samp(value) OVER w, 6) AS variance FROM obs WINDOW w AS (PARTITION BY subject ORDER BY us, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
+@query(f"WITH {OBS} SELECT event_id, round(avg(value) OVER w, 6) AS mean, round(var_samp(value) OVER w, 8) AS variance FROM obs WINDOW w AS (PARTITION BY subject ORDER BY us, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
 def moving_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and variance of the last ten rows."""
     out = evaluate.moving_stats(observations(spark, sf_dir), ["subject"], ["us", "event_id"], "value", 10)
-    return out.select("event_id", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+    return out.select("event_id", F.round("mean", 6).alias("mean"), F.round("variance", 8).alias("variance"))
 
 
 @query(f"WITH {OBS}, d AS (SELECT subject, us - lag(us) OVER (PARTITION BY subject ORDER BY us, event_id) AS d FROM obs) SELECT subject, round(1e6 * count(d) / sum(d), 9)::DOUBLE AS rate FROM d GROUP BY subject HAVING count(d) > 0")
