@@ -96,11 +96,11 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k, coalesce(lead(n) OVER (PARTITION BY user_id ORDER BY n DESC, event_type), 0) AS second FROM v)
-SELECT user_id AS track, event_type AS identity, n AS n_votes FROM r WHERE k = 1 AND n >= 3 AND n / (n + second) > 0.65""")
+SELECT user_id AS track, event_type AS identity, n AS n_votes FROM r WHERE k = 1 AND n >= 3 AND n / (n + second) > 0.55""")
 def stream_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities that the votes of a stream decide, with state for each track."""
     events, name, path = _stream(spark, sf_dir)
-    out = live.drain(live.votes(events, "user_id", "event_type"), name, "update", path)
+    out = live.drain(live.votes(events, "user_id", "event_type", ratio=0.55), name, "update", path)
     last = out.groupBy("user_id").agg(F.max_by(F.struct("identity", "n_votes"), "n_votes").alias("v"))
     return last.select(F.col("user_id").alias("track"), "v.identity", "v.n_votes")
 
