@@ -6,21 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the session's shared folder; tests without one get a folder in the warehouse."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (id, component): the least id that each id reaches, by rounds of minimum label and pointer jumping.
 
     Lineage is cut by a checkpoint in every round; labels move as grouped minima.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("component")).checkpoint()
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = checkpointed(both)
+    labels = checkpointed(both.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("component")))
     for _ in range(max_rounds):
         around = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
         new = labels.join(around, "id").select("id", F.least("component", "least").alias("component"))
         up = new.select(F.col("id").alias("component"), F.col("component").alias("above"))
-        new = new.join(up, "component").select("id", F.least("component", "above").alias("component")).checkpoint()
+        new = checkpointed(new.join(up, "component").select("id", F.least("component", "above").alias("component")))
         changed = not new.exceptAll(labels).isEmpty()
         labels = new
         if not changed:

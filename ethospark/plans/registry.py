@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ethospark.plans import archive, budgets, decisions, intervals, marts, metrics, smoothing  # noqa: F401
+from ethospark.plans import archive, budgets, decisions, intervals, marts, metrics, passes, smoothing  # noqa: F401
 from ethospark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
