@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SURROGATES, AFTER = 0xD800, 0xE000
 BUCKETS = 65536
 WORDS_A_ROW = 2048
 MAX_WORDS = 400_000
+#: Space-separated parts whose words are remembered.
+MAX_PARTS = 150_000
 #: Bytes of word numbers after which a batch of documents goes out.
 CHUNK_BYTES = 4 << 20
 
@@ -114,14 +117,14 @@ class _Words:
         self.fresh: list[str] = []
 
     def refs(self, part: str) -> bytes:
-        out = []
+        out, numbers = [], self.numbers
         for word in self.find(part):
-            n = self.numbers.get(word)
+            n = numbers.get(word)
             if n is None:
-                n = self.numbers[word] = len(self.numbers)
+                n = numbers[word] = len(numbers)
                 self.fresh.append(word)
             out.append(n)
-        return np.array(out, np.int32).tobytes()
+        return pack(f"<{len(out)}i", *out) if len(out) < 8 else np.array(out, np.int32).tobytes()
 
     def text(self, text: str) -> bytes:
         if TWO_SPACES.search(text):
@@ -132,6 +135,8 @@ class _Words:
         for part in rest:
             got = parts.get(part)
             if got is None:
+                if len(parts) >= MAX_PARTS:
+                    parts.clear()
                 got = parts[part] = self.refs(" " + part)
             out.append(got)
         return b"".join(out)
@@ -186,22 +191,26 @@ def _join(ranks_path: str, decoded: bool, schema: pa.Schema):
         pieces = [b""] * size
         for token, rank in ranks.items():
             pieces[rank] = token
-        table: list[np.ndarray] = []
+        table: list[bytes] = []
         for batch in batches:
             ids, chars, refs = (batch.column(k) for k in range(3))
             out_ids, out = [], []
-            for i, row, ref in zip(ids.to_pylist(), chars.to_pylist(), refs.to_pylist(), strict=True):
+            for n, (i, ref) in enumerate(zip(ids.to_pylist(), refs.to_pylist(), strict=True)):
                 if ref is None:
+                    row = chars[n].as_py()
                     if not row:
                         table.clear()
+                    points = np.frombuffer("".join(row).encode("utf-16-le"), np.uint16).astype(np.int32)
+                    points = np.where(points >= AFTER, points - (AFTER - SURROGATES), points)
+                    raw = np.where(points < FIRST, byte_ids[np.minimum(points, FIRST - 1)], points - FIRST).astype(np.int32).tobytes()
+                    at = 0
                     for word in row:
-                        points = np.frombuffer(word.encode("utf-16-le"), np.uint16).astype(np.int32)
-                        points = np.where(points >= AFTER, points - (AFTER - SURROGATES), points)
-                        table.append(np.where(points < FIRST, byte_ids[np.minimum(points, FIRST - 1)], points - FIRST))
+                        end = at + 4 * len(word)
+                        table.append(raw[at:end])
+                        at = end
                     continue
-                numbers = np.frombuffer(ref, np.int32)
                 out_ids.append(i)
-                out.append(np.concatenate([table[n] for n in numbers]) if len(numbers) else np.zeros(0, np.int32))
+                out.append(np.frombuffer(b"".join([table[k] for k in np.frombuffer(ref, np.int32).tolist()]), np.int32))
             for k in range(0, len(out), 1024):
                 part = out[k : k + 1024]
                 columns = [pa.array(out_ids[k : k + 1024], schema.types[0]), pa.ListArray.from_arrays(np.cumsum([0, *map(len, part)]).astype(np.int32), np.concatenate(part))]

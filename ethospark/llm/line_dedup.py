@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethospark.llm.common import binary, map_batches
+from ethospark.llm.common import binary, map_batches, written
 
 #: A line ends after the word of least hash within so many words.
 FOLD = 5
@@ -32,6 +32,11 @@ WINDOW, DIVISOR, MIN_LINES = 2, 2, 2
 MIN_WORDS = 24
 #: Texts are worked on in pieces of so many bytes.
 PIECE = 1 << 20
+#: White space, in bytes, between two chunks of one run.
+GAP = 4
+#: Spans are broadcast if they have so many bytes at most, and shuffled with the texts otherwise.
+BROADCAST_BYTES = 32 << 20
+NULL_ID = -(2**63)
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -133,8 +138,11 @@ def _rows(with_text: bool, schema: pa.Schema):
                 a, b, words, hashed = chunks(data, begins, powers)
                 doc = np.searchsorted(begins, a, side="right") - 1
                 rows = pa.array(doc + k)
-                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashed.view(np.int64)), pa.array((a - begins[doc]).astype(np.int32))]
-                columns += [pa.array([data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())] if with_text else [pa.array((b - begins[doc]).astype(np.int32)), pa.array(words.astype(np.int32))]
+                columns = [pa.array(hashed.view(np.int64)), batch.column(0).take(rows)]
+                if with_text:
+                    columns.append(pa.array([data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary()))
+                else:
+                    columns += [batch.column(1).take(rows), pa.array((a - begins[doc]) << 32 | (b - a) << 8 | np.minimum(words, 255))]
                 k = m
                 if len(doc):
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -143,16 +151,20 @@ def _rows(with_text: bool, schema: pa.Schema):
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Rows (doc_id, key, starts, ends): the bytes of each row of ``docs`` that repeat an earlier passage."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("text is not null")
-    head = [("doc_id", pa.int64()), ("key", pa.int64()), ("hash", pa.int64()), ("at", pa.int32())]
-    sql = "doc_id long, key long, hash long, at int"
-    texts = map_batches(source, _rows(True, pa.schema([*head, ("bytes", pa.binary())])), f"{sql}, bytes binary")
-    place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "key")
-    groups = texts.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("bytes").alias("low"), F.max("bytes").alias("high"))
-    groups = groups.where((F.col("n") > 1) & (F.col("low") == F.col("high"))).select("hash", "first")
-    spans = map_batches(source, _rows(False, pa.schema([*head, ("end", pa.int32()), ("words", pa.int32())])), f"{sql}, end int, words int")
-    found = spans.join(groups, "hash").where(place != F.col("first"))
+    """Rows (doc_id, key, starts, ends): the bytes of each row of ``docs`` that repeat a passage of a lesser id.
+
+    ``key`` is the digest of the row's text. A null id is less than all others.
+    """
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("text is not null")
+    head = [("hash", pa.int64()), ("doc_id", pa.int64())]
+    texts = map_batches(source, _rows(True, pa.schema([*head, ("bytes", pa.binary())])), "hash long, doc_id long, bytes binary")
+    groups = texts.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("bytes").alias("low"), F.max("bytes").alias("high"))
+    groups = groups.where((F.col("first") < F.col("last")) & (F.col("low") == F.col("high"))).select("hash", "first")
+    # A chunk's place, length and words (a chunk has far fewer than 255) in one number.
+    spans = map_batches(source, _rows(False, pa.schema([*head, ("key", pa.int64()), ("place", pa.int64())])), "hash long, doc_id long, key long, place long")
+    found = spans.join(groups, "hash").where("doc_id > first")
+    at, size = F.shiftright("place", 32), F.shiftright("place", 8).bitwiseAND(F.lit((1 << 24) - 1))
+    found = found.select("doc_id", "key", at.cast("int").alias("at"), (at + size).cast("int").alias("end"), F.col("place").bitwiseAND(F.lit(255)).cast("int").alias("words"))
     runs = found.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("at", "end", "words"))).alias("spans"))
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
@@ -174,22 +186,22 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return map_batches(runs, merge, "doc_id long, key long, starts array<int>, ends array<int>").where(F.size("starts") > 0)
 
 
-#: White space, in bytes, between two chunks of one run.
-GAP = 4
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, and ``removed_chars``.
 
-    Null and empty texts stay as they are. Rows with equal id and text count as one document, so neither is cut for
-    the other's sake; a document that is an exact copy of an earlier one, under another id, loses its text. Two cut ends are joined by the
+    Null and empty texts stay as they are. Rows with equal ids count as one document, so neither is cut for the
+    other's sake; a document that is an exact copy of an earlier one, under another id, loses its text. Two cut ends are joined by the
     white space before the cut, and white space at a text's cut end goes. ``n_chars``, if there is one, follows.
     """
-    spans = repeated_spans(docs, min_words).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "starts", "ends")
+    spans = written(repeated_spans(docs, min_words), "spans").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "starts", "ends")
+    size = spans.agg(F.coalesce(F.sum(F.size("starts") * 8 + 40), F.lit(0)).alias("n")).first()["n"]
+    spans = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     fields = [f for f in docs.schema.fields if f.name != "removed_chars"]
     names = [f.name for f in fields]
     left = docs.select(*[F.col(n) for n in names], F.xxhash64("text").alias("_at"))
-    joined = left.join(spans, (F.col("_at") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").select(*names, "starts", "ends")
+    joined = left.join(spans, (F.col("_at") == F.col("_key")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("_id")), "left").select(*names, "starts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,7 +14,8 @@ label that names its role (``nav``, ``class="sidebar"``) has presentation import
 
 Spark jobs: pages to nodes and text digests (no text is shuffled); two grouped sums; a third over all ancestors of a
 node; then pages join the low branches of their host, which are few. A host with a third of all pages is merged
-before each shuffle, and the last join is broadcast or split by Spark as sizes tell.
+before each shuffle. The low branches are written and measured: they are broadcast up to ``BROADCAST_BYTES``, so that no page moves; beyond,
+pages are dealt by host and a salt, and the branches of a host go to each salt.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ethospark.llm.common import map_batches, strings
+from ethospark.llm.common import map_batches, strings, written
 
 GAMMA = 0.9
 #: A branch below this composite importance is noise, if so many pages of the host have it.
 LOW, MIN_PAGES = 0.5, 20
+BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
 LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -270,8 +272,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     give that part, others the whole body without noise.
     """
     noise = importance(pages, url_col, html_col).where((F.col("pages") >= min_pages) & (F.col("composite") < low))
-    noise = noise.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_set("path")).alias("_low"))
+    noise = written(noise.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_set("path")).alias("_low")), "noise")
+    size = noise.agg(F.coalesce(F.sum(F.octet_length(F.array_join("_low", ";")) + F.octet_length("_host") + 32), F.lit(0)).alias("n")).first()["n"]
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("_host"))
-    joined = source.join(noise, "_host", "left").drop("_host")
+    if size <= BROADCAST_BYTES:
+        joined = source.join(F.broadcast(noise), "_host", "left").drop("_host")
+    else:
+        salted = noise.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = source.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left").drop("_host", "_salt")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     return map_batches(joined, _extract(["page_id", "url"], schema), "page_id long, url string, text string, n_chars long")

@@ -34,17 +34,19 @@ SHARD_TOKENS = 1 << 20
 #: Bits between two stored ranks of a plane.
 BLOCK = 512
 MAX_WORDS = 400_000
+#: Stands before the first part of a text, which has no space before it.
+FIRST_PART = "\x00"
 NULL_ID = -(2**63)
 
 
 def build(tokens: np.ndarray, ids: list[int], lengths: list[int]) -> bytes:
     """The payload of one shard."""
     width = max(1, int(tokens.max(initial=0)).bit_length())
-    planes, rest = [], tokens.astype(np.uint32)
+    planes, rest = [], tokens.astype(np.uint16 if width <= 16 else np.uint32)
     for k in range(width - 1, -1, -1):
-        bit = (rest >> np.uint32(k)) & np.uint32(1)
-        planes.append(np.packbits(bit.astype(np.uint8)))
-        rest = np.concatenate([rest[bit == 0], rest[bit == 1]])
+        bit = (rest >> k & 1).astype(bool)
+        planes.append(np.packbits(bit))
+        rest = np.concatenate([rest[~bit], rest[bit]])
     parts = [np.array(ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), *(p.tobytes() for p in planes)]
     packed = [zlib.compress(p, 1) for p in parts]
     head = struct.pack("<4sQIII", MAGIC, len(tokens), len(ids), width, len(packed)) + b"".join(struct.pack("<I", len(p)) for p in packed)
@@ -122,14 +124,14 @@ class Shard:
         return block * BLOCK + int(np.flatnonzero(part)[nth - int(ranks[block])])
 
     def tokens(self) -> np.ndarray:
-        """All tokens: every place walks down the planes at once."""
-        at, out = np.arange(self.n), np.zeros(self.n, np.uint32)
-        for k, plane in enumerate(self.planes):
-            ones = np.cumsum(plane, dtype=np.int64)
-            to = np.where(plane == 1, self.zeros[k] + ones - 1, np.arange(self.n) - ones)
-            out = out << np.uint32(1) | plane[at]
-            at = to[at]
-        return out
+        """All tokens: from the last plane up, each sort by a bit is undone."""
+        values = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
+        for k in range(self.width - 1, -1, -1):
+            bit, before = self.planes[k].astype(bool), np.empty_like(values)
+            before[~bit] = values[: self.zeros[k]]
+            before[bit] = values[self.zeros[k] :] | values.dtype.type(1 << (self.width - 1 - k))
+            values = before
+        return values.astype(np.uint32)
 
 
 class _Encoder:
@@ -144,35 +146,42 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: a character each in its name
+        for name, i in vocabulary.items():
+            self.sizes[i] = len(name)
         self.known: dict[str, bytes] = {}
-        self.spaces = regex.compile(r"\s\s|\s\Z")
+        self.spaces = regex.compile(r"\s\s|\s\Z|\x00")
 
     def _learn(self, parts: list[str]) -> None:
-        for k in range(0, len(parts), 8192):
-            some = parts[k : k + 8192]
-            for part, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(got.ids, "<u4").tobytes()
+        """Encodes many parts in one text, each after a line feed, and cuts the ids at the parts' bytes."""
+        for k in range(0, len(parts), 4096):
+            some = parts[k : k + 4096]
+            whole = [p[1:] if p[:1] == FIRST_PART else " " + p for p in some]
+            ids = np.array(self.tokenizer.encode("\n" + "\n".join(whole), add_special_tokens=False).ids, "<u4")
+            ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+            last = np.cumsum([len(p.encode()) + 1 for p in whole])
+            begins, stops = np.searchsorted(ends, np.concatenate([[0], last[:-1]]) + 1), np.searchsorted(ends, last)
+            raw = ids.tobytes()
+            for part, x, y in zip(some, begins.tolist(), stops.tolist(), strict=True):
+                self.known[part] = raw[4 * x : 4 * y]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            if self.spaces.search(text):
-                split.append([text])
-            else:
-                head, *rest = text.split(" ")
-                split.append([head, *[" " + x for x in rest]] if head else [" " + x for x in rest])
-        known = self.known
-        for k in range(0, len(split), 256):
-            some = split[k : k + 256]
+        known, out = self.known, []
+        for k in range(0, len(texts), 128):
+            # A text's first part has no space before it and is known under a key of its own.
+            split = [None if self.spaces.search(t) else t.split(" ") for t in texts[k : k + 128]]
             if len(known) > MAX_WORDS:
                 known.clear()
-            self._learn(list({x for parts in some if len(parts) > 1 for x in parts if x not in known}))
-            for n, parts in enumerate(some):
-                if len(parts) > 1:
-                    split[k + n] = b"".join([known[x] for x in parts])
-                else:
-                    split[k + n] = np.array(self.tokenizer.encode(parts[0], add_special_tokens=False).ids, "<u4").tobytes() if parts and parts[0] else b""
-        return split
+            parts: set[str] = set()
+            for x in split:
+                if x:
+                    x[0] = FIRST_PART + x[0]
+                    parts.update(x)
+            self._learn([p for p in parts if p not in known])
+            for text, x in zip(texts[k : k + 128], split, strict=True):
+                out.append(b"".join([known[p] for p in x]) if x else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        return out
 
 
 def shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
