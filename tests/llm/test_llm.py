@@ -345,6 +345,44 @@ def test_edited_items_are_found(spark):
     assert decontaminate.find(d, b.limit(0)).count() == 0
 
 
+# Near duplicates of the pipeline
+
+
+def test_pipeline_near_duplicates_equal_all_pairs(spark, monkeypatch):
+    import corpus_pipeline
+    from ethospark.llm import shingles as exact
+
+    monkeypatch.setattr(exact, "TILE", 16)
+    rnd = random.Random(12)
+    tail = words_run(5, 6)
+    made = []
+    for i in range(60):  # single changed words, so that similarities are from 0.4 to 1; a common line in all
+        base = words_run(i + 500, rnd.choice((40, 60, 120))).split()
+        for _ in range(3):
+            copy = list(base)
+            for at in rnd.sample(range(len(copy)), rnd.randint(0, 5)):
+                copy[at] = "z"
+            made.append(" ".join(copy) + " \n" + tail)
+    centre = words_run(900, 150).split()
+    for i in range(90):  # a large group of near copies
+        made.append(" ".join([*centre[: i % 7], f"w{i}", *centre[i % 7 + 1 :], *([f"e{i}"] * (i % 3))]))
+    made += [words_run(2000 + i, 6) for i in range(300)] + ["", " ", "\n"] + ["a b", "A  b", "a b c"]
+    rnd.shuffle(made)
+    rows = [*enumerate(made, 1), (None, made[0]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = {i: shingles(t.lower()) for i, t in enumerate(made, 1)}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in range(a + 1, len(made) + 1):
+            both = len(sets[a] & sets[b])
+            if root[a] != root[b] and (10 * both >= 8 * (len(sets[a]) + len(sets[b]) - both)):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert 100 < sum(k != v for k, v in root.items()) < 300
+    left = sorted(r["doc_id"] or 0 for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert left == [0, 0, *sorted(k for k, v in root.items() if k == v)]
+
+
 # Pipeline
 
 
