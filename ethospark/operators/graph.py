@@ -14,21 +14,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Rows (id, component): the least id that each id reaches, by rounds of minimum label and pointer jumping.
+def components(edges: DataFrame) -> DataFrame:
+    """Rows (id, component): the least id that each id reaches, by large-star and small-star until nothing changes.
 
-    Lineage is cut by a checkpoint in every round; labels move as grouped minima.
+    Large-star hangs all larger neighbours of a node onto the least one, small-star the smaller ones; rounds grow with
+    the logarithm of a chain's length. Lineage is cut by a checkpoint in every round; labels move as grouped minima.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpointed(both)
-    labels = checkpointed(both.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
-        around = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
-        new = labels.join(around, "id").select("id", F.least("component", "least").alias("component"))
-        up = new.select(F.col("id").alias("component"), F.col("component").alias("above"))
-        new = checkpointed(new.join(up, "component").select("id", F.least("component", "above").alias("component")))
-        changed = not new.exceptAll(labels).isEmpty()
-        labels = new
+    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).where("id is not null").distinct()
+    links = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    while True:
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select("a", "b", "m")
+        new = checkpointed(small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+        changed = not (new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty())
+        links = new
         if not changed:
             break
-    return labels
+    roots = links.groupBy("a").agg(F.min("b").alias("component"))
+    return ids.join(roots, ids["id"] == roots["a"], "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ethospark.functions import geometry, text
 from ethospark.functions.time import HOUR, clock_text, in_clock_window
+from ethospark.llm import simhash
 from ethospark.operators import archive, assign, evaluate, graph, islands, joins, marts, smooth, timeline, vectors
 
 S = 1_000_000
@@ -111,6 +112,14 @@ def test_components_of_a_path_and_a_pair(spark):
     assert rows(graph.components(df), "id", "component") == [(i, 1) for i in range(1, 41)] + [(100, 100), (101, 100)]
 
 
+@pytest.mark.parametrize("components", [graph.components, simhash.components])
+def test_components_of_a_long_shuffled_chain(spark, components):
+    names = random.Random(7).sample(range(10_000), 1000)
+    df = spark.createDataFrame([*zip(names, names[1:], strict=False), (20_000, 20_001)], "a long, b long")
+    found = {r[0]: r[1] for r in components(df).collect()}
+    assert {found.get(x, x) for x in names} == {min(names)} and found[20_001] == 20_000
+
+
 def test_timeline_seconds_and_segments_agree(spark):
     df = spark.createDataFrame([("a", 0, 100 * S, "rest"), ("a", 40 * S, 60 * S, "walk"), ("a", 150 * S, 150 * S, "walk")], "k string, s long, e long, label string")
     slots = timeline.timeline(df, ["k"], "s", "e", "label", ["rest", "walk"], S)
