@@ -2,11 +2,16 @@
 
 One narrow stage, without a shuffle:
 
-1. Python splits each text and numbers the distinct words of its partition. A word goes out once, in a row of many
-   words, before the first document that holds it; a document goes out as the numbers of its words.
-2. Spark's higher-order functions fold the ranked merges of each word over its bytes, with a literal map of ranks.
+1. Python splits each text and numbers the distinct words of its partition. A word that is a token as a whole has the token's
+   number; any other goes out once, in a row of many words, before the first document that holds it. A document goes out
+   as the numbers of its words.
+2. Spark's higher-order functions fold the ranked merges of each word over its bytes, with a literal map of ranks. Only the
+   ranks of neighbouring bytes come with the word, and words of more than ``LONG`` bytes come merged.
 3. Python puts the ids of the words in the documents' order and, for decoding, joins the binary pieces.
 
+Rows keep their order within a partition, as nothing between the two Python steps moves them; numbers hold within a
+partition only.
+
 The map of ranks has a bounded size: it is the vocabulary's. The table of distinct words starts anew after
 ``max_words`` words, so memory is bounded whatever a partition holds. A lost task is simply run again.
 """
@@ -16,6 +21,8 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from hashlib import sha256
+from heapq import heapify, heappop, heappush
 from struct import pack
 
 import numpy as np
@@ -29,15 +36,20 @@ from ethospark.llm.common import let, local_file, map_batches, strings
 
 #: A word under way is a string: a byte is the character of its value, the token of rank i the character FIRST + i, so
 #: characters compare as ranks do. Pairs that the vocabulary doesn't merge get NO_RANK, which is behind all others.
-FIRST, NO_RANK = 256, "\uffff"
+FIRST, EDGE, NO_RANK = 256, "\ufffe", "\uffff"
 SURROGATES, AFTER = 0xD800, 0xE000
+# Fixed value: patterns that begin so match a space and letters as a whole.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"
 BUCKETS = 65536
-WORDS_A_ROW = 2048
+#: Words of a row of words, at most. Spark evaluates the literal table once for each such row, so rows have many.
+WORDS_A_ROW = 1 << 18
 MAX_WORDS = 400_000
 #: Space-separated parts whose words are remembered.
-MAX_PARTS = 150_000
-#: Bytes of word numbers after which a batch of documents goes out.
-CHUNK_BYTES = 4 << 20
+MAX_PARTS = 200_000
+#: Words of more bytes are merged in Python, where the work doesn't grow with the square of the length.
+LONG = 256
+#: Bytes of word numbers after which documents and new words go out.
+CHUNK_BYTES = 12 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,9 +80,12 @@ def rank_table(ranks: dict[bytes, int]) -> Column:
 
 
 def fold_merges(word: Column, table: Column) -> Column:
-    """One word (binary) to its tokens, a character each: merge the pair of lowest rank, leftmost first, until none is left.
+    """One word to its tokens, a character each: merge the pair of lowest rank, leftmost first, until none is left.
 
-    The state is the word so far and the rank of each of its tokens with the next one; a merge looks up two ranks.
+    ``word`` is a struct (w, r): the word, a character for each byte, between two marks ``EDGE``, and the rank of each character
+    with the next one, a character too. A merge puts the token's character in the place of two, looks up its ranks
+    with both neighbours and puts them in the place of three. The marks merge with nothing, so every pair has two neighbours. With
+    no rank left ``r`` is empty.
     """
     none = F.lit(NO_RANK)
 
@@ -78,149 +93,216 @@ def fold_merges(word: Column, table: Column) -> Column:
         bucket = F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
         return F.coalesce(F.try_element_at(F.get(table, bucket), pair), none)
 
-    def start(text: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: rank(F.substring(text, i, F.lit(2))))
-        return F.struct(text.alias("w"), pairs.alias("r"))
-
-    def merge(state: Column, lowest: Column) -> Column:
-        w, r = state["w"], state["r"]
-
-        def at(i: Column) -> Column:  # i: the place of the pair, from 1
-            ranks = F.transform(
-                F.filter(r, lambda _, j: j != i - 1),
-                lambda x, j: F.when(j == i - 2, rank(F.concat(F.substring(w, i - 1, F.lit(1)), lowest))).when(j == i - 1, rank(F.concat(lowest, F.substring(w, i + 2, F.lit(1))))).otherwise(x),
-            )
-            return F.struct(F.overlay(w, lowest, i, F.lit(2)).alias("w"), ranks.alias("r"))
+    def merge(w: Column, r: Column, lowest: Column) -> Column:
+        def at(i: Column) -> Column:  # i: the place of the pair, from 2
+            ranks = F.concat(rank(F.concat(F.substring(w, i - 1, F.lit(1)), lowest)), rank(F.concat(lowest, F.substring(w, i + 2, F.lit(1)))))
+            return F.struct(F.overlay(w, lowest, i, F.lit(2)).alias("w"), F.overlay(r, ranks, i - 1, F.lit(3)).alias("r"))
 
-        return let(F.array_position(r, lowest).cast("int"), at)
+        return let(F.instr(r, lowest), at)
 
     def step(state: Column, _: Column) -> Column:
-        lowest = F.coalesce(F.array_min(state["r"]), none)
-        return let(lowest, lambda m: F.when(m == none, state).otherwise(merge(state, m)))
-
-    text = F.decode(word, "ISO-8859-1")
-    folded = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), start(text), step)
-    return F.when(F.octet_length(word) < 2, text).otherwise(folded["w"])
-
-
-#: A text in which no white space follows white space falls apart at its spaces: no match of the pattern spans one.
-TWO_SPACES = regex.compile(r"\s\s|\s\Z")
+        w, r = state["w"], state["r"]
+        ended = F.struct(w.alias("w"), F.lit("").alias("r"))
+        return F.when(r == "", state).otherwise(let(F.array_min(F.split(r, "")), lambda m: F.when(m == none, ended).otherwise(merge(w, r, m))))
+
+    return F.aggregate(F.sequence(F.lit(2), F.length(word["w"])), word, step)["w"]
+
+
+def merge_long(word: str, pairs: dict[str, str]) -> str:
+    """The same merges for a long word, in n log n: a heap of ranked pairs over a linked list of tokens."""
+    tokens: list[str | None] = list(word)
+    after, before = list(range(1, len(tokens) + 1)), list(range(-1, len(tokens) - 1))
+    heap = [(m, i, a, b) for i, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)) if (m := pairs.get(a + b)) is not None]
+    heapify(heap)
+    while heap:
+        merged, i, a, b = heappop(heap)
+        j = after[i]
+        if tokens[i] != a or j >= len(tokens) or tokens[j] != b:
+            continue  # one of the two has been merged since
+        tokens[i], tokens[j] = merged, None
+        after[i] = k = after[j]
+        if k < len(tokens):
+            before[k] = i
+            if (m := pairs.get(merged + tokens[k])) is not None:
+                heappush(heap, (m, i, merged, tokens[k]))
+        if (h := before[i]) >= 0 and (m := pairs.get(tokens[h] + merged)) is not None:
+            heappush(heap, (m, h, tokens[h], merged))
+    return "".join(t for t in tokens if t is not None)
 
 
 class _Words:
-    """Numbers of a partition's distinct words; what is new since the last flush goes out in rows of many words."""
+    """Numbers of a partition's distinct words; what is new since the last flush goes out in rows of many words.
+
+    A word that is a token as a whole has the token's rank for its number; the others are counted from behind the ranks.
+    A text falls apart at its spaces, as between two characters that aren't white space a space always begins a match.
+    """
 
-    def __init__(self, pattern: str, max_words: int):
-        self.find, self.max_words = regex.compile(pattern).findall, max_words
+    def __init__(self, pattern: str, ranks: dict[bytes, int], max_words: int):
+        self.find, self.ranks, self.max_words = regex.compile(pattern).findall, ranks, max_words
+        self.pairs = pair_ranks(ranks)
+        self.letters = pattern.startswith(LETTERS)
+        self.first = max(ranks.values(), default=-1) + 1
         self.numbers: dict[str, int] = {}
         self.parts: dict[str, bytes] = {}
-        self.fresh: list[str] = []
+        self.fresh: list[bytes] = []
+        self.count = 0
+
+    def start(self, raw: bytes) -> dict[str, str]:
+        """The state that the fold begins with; a long word comes merged."""
+        w = raw.decode("latin-1")
+        if len(w) > LONG:
+            return {"w": f"{EDGE}{merge_long(w, self.pairs)}{EDGE}", "r": ""}
+        ranks = [self.pairs.get(w[i : i + 2], NO_RANK) for i in range(len(w) - 1)]
+        return {"w": f"{EDGE}{w}{EDGE}", "r": f"{NO_RANK}{''.join(ranks)}{NO_RANK}"}
 
     def refs(self, part: str) -> bytes:
         out, numbers = [], self.numbers
-        for word in self.find(part):
+        for word in [part] if self.letters and part[:1] == " " and part[1:].isalpha() else self.find(part):
             n = numbers.get(word)
             if n is None:
-                n = numbers[word] = len(numbers)
-                self.fresh.append(word)
+                raw = word.encode()
+                n = self.ranks.get(raw)
+                if n is None:
+                    n = self.first + self.count
+                    self.count += 1
+                    self.fresh.append(raw)
+                numbers[word] = n
             out.append(n)
         return pack(f"<{len(out)}i", *out) if len(out) < 8 else np.array(out, np.int32).tobytes()
 
     def text(self, text: str) -> bytes:
-        if TWO_SPACES.search(text):
-            return self.refs(text)
-        parts, out = self.parts, []
-        head, *rest = text.split(" ")
-        out.append(self.refs(head))
-        for part in rest:
-            got = parts.get(part)
-            if got is None:
-                if len(parts) >= MAX_PARTS:
-                    parts.clear()
-                got = parts[part] = self.refs(" " + part)
-            out.append(got)
-        return b"".join(out)
+        parts, known = text.split(" "), self.parts
+        last = len(parts) - 1
+        got = list(map(known.get, parts))
+        got[0] = b"" if last and not parts[0] else None  # the first part has no space before it
+        if len(known) > MAX_PARTS:
+            known.clear()
+        for k in [k for k, x in enumerate(got) if x is None]:
+            part = parts[k]
+            if k and (not part or part[0].isspace()) or k < last and part[-1:].isspace():
+                return self.refs(text)
+            if not k:
+                got[k] = self.refs(part)
+            elif (found := known.get(part)) is None:
+                got[k] = found = self.refs(" " + part)
+                if not part[-1].isspace():
+                    known[part] = found
+            else:
+                got[k] = found
+        return b"".join(got)
 
     def full(self) -> bool:
         if len(self.numbers) < self.max_words:
             return False
         self.numbers.clear()
         self.parts.clear()
+        self.count = 0
         return True
 
 
-def _split(id_col: str, text_col: str, pattern: str, max_words: int, schema: pa.Schema):
+def _split(id_col: str, text_col: str, pattern: str, ranks_path: str, max_words: int, schema: pa.Schema):
     def rows(words: list | None, refs: list, ids: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, words, refs), schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(pattern, max_words)
+        words = _Words(pattern, read_ranks(ranks_path), max_words)
+        docs: list[tuple[object, bytes]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            fresh = words.fresh
+            for k in range(0, len(fresh), WORDS_A_ROW):
+                yield rows([[words.start(raw) for raw in fresh[k : k + WORDS_A_ROW]]], [None], [None])
+            fresh.clear()
+            if docs:
+                yield rows([None] * len(docs), [r for _, r in docs], [i for i, _ in docs])
+            docs.clear()
+
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
-            docs: list = []
-            size = 0
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                fresh = [w.encode() for w in words.fresh]
-                words.fresh.clear()
-                for k in range(0, len(fresh), WORDS_A_ROW):
-                    yield rows([fresh[k : k + WORDS_A_ROW]], [None], [None])
-                if docs:
-                    yield rows([None] * len(docs), [r for _, r in docs], [i for i, _ in docs])
-                docs.clear()
-
             for i, text in zip(ids, strings(batch, text_col), strict=True):
                 refs = words.text(text)
                 docs.append((i, refs))
-                size += len(refs)
+                size += len(refs) + 64
                 if size > CHUNK_BYTES:
                     yield from flush()
                     size = 0
                     if words.full():
                         yield rows([[]], [None], [None])  # the words so far are forgotten
-            yield from flush()
+        yield from flush()
 
     return run
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` that ``refs`` name, one after the other, and where each of them begins (and the last ends)."""
+    sizes = length[refs]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(start[refs] - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
 def _join(ranks_path: str, decoded: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(ranks_path)
-        size = max(ranks.values(), default=0) + 1
+        size = max(ranks.values(), default=-1) + 1
         byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(FIRST)], np.int32)
         pieces = [b""] * size
         for token, rank in ranks.items():
             pieces[rank] = token
-        table: list[bytes] = []
+        flat: list[np.ndarray] = []  # ids of the words so far, after the tokens themselves
+        lengths: list[np.ndarray] = []
+
+        def forget() -> None:
+            flat[:], lengths[:] = [np.arange(size, dtype=np.int32)], [np.ones(size, np.int64)]
+
+        def add(row: list[str]) -> None:
+            points = np.frombuffer("".join(row).encode("utf-16-le"), np.uint16).astype(np.int32)
+            points = points[points != ord(EDGE)]
+            points = np.where(points >= AFTER, points - (AFTER - SURROGATES), points)
+            flat.append(np.where(points < FIRST, byte_ids[np.minimum(points, FIRST - 1)], points - FIRST).astype(np.int32))
+            lengths.append(np.array([len(w) - 2 for w in row], np.int64))
+
+        forget()
         for batch in batches:
             ids, chars, refs = (batch.column(k) for k in range(3))
-            out_ids, out = [], []
+            keys, names = [], []
             for n, (i, ref) in enumerate(zip(ids.to_pylist(), refs.to_pylist(), strict=True)):
-                if ref is None:
-                    row = chars[n].as_py()
-                    if not row:
-                        table.clear()
-                    points = np.frombuffer("".join(row).encode("utf-16-le"), np.uint16).astype(np.int32)
-                    points = np.where(points >= AFTER, points - (AFTER - SURROGATES), points)
-                    raw = np.where(points < FIRST, byte_ids[np.minimum(points, FIRST - 1)], points - FIRST).astype(np.int32).tobytes()
-                    at = 0
-                    for word in row:
-                        end = at + 4 * len(word)
-                        table.append(raw[at:end])
-                        at = end
-                    continue
-                out_ids.append(i)
-                out.append(np.frombuffer(b"".join([table[k] for k in np.frombuffer(ref, np.int32).tolist()]), np.int32))
-            for k in range(0, len(out), 1024):
-                part = out[k : k + 1024]
-                columns = [pa.array(out_ids[k : k + 1024], schema.types[0]), pa.ListArray.from_arrays(np.cumsum([0, *map(len, part)]).astype(np.int32), np.concatenate(part))]
+                if ref is not None:
+                    keys.append(i)
+                    names.append(ref)
+                elif row := chars[n].as_py():
+                    add(row)
+                else:
+                    forget()
+            if not keys:
+                continue
+            for table in (flat, lengths):
+                table[:] = [np.concatenate(table)]
+            start = np.cumsum(lengths[0]) - lengths[0]
+            for part in _slices([len(x) // 4 for x in names]):
+                numbers = [len(x) // 4 for x in names[part]]
+                out, ends = _gather(flat[0], start, lengths[0], np.frombuffer(b"".join(names[part]), np.int32))
+                cuts = ends[np.cumsum([0, *numbers])]
+                columns = [pa.array(keys[part], schema.types[0]), pa.ListArray.from_arrays(cuts.astype(np.int32), out)]
                 if decoded:
-                    columns.append(pa.array([b"".join([pieces[n] for n in x.tolist()]) for x in part], pa.binary()))
+                    columns.append(pa.array([b"".join(map(pieces.__getitem__, out[a:b].tolist())) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
+def _slices(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
+    """Neighbouring rows of ``most`` words together, one row at least."""
+    begin = total = 0
+    for k, n in enumerate(sizes):
+        if k > begin and total + n > most:
+            yield slice(begin, k)
+            begin, total = k, 0
+        total += n
+    if sizes:
+        yield slice(begin, len(sizes))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, max_words: int = MAX_WORDS) -> DataFrame:
     """Rows (id, ids array<int>[, decoded binary]) for each row of ``docs``.
 
@@ -228,21 +310,35 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     stand for. Vocabularies have 57,000 tokens at most (a token is one character in the fold).
     """
     ranks = read_ranks(ranks_path)
-    if max(ranks.values(), default=0) + FIRST + AFTER - SURROGATES >= ord(NO_RANK):
+    if max(ranks.values(), default=0) + FIRST + AFTER - SURROGATES >= ord(EDGE):
         raise ValueError("the vocabulary is too large for one character a token")
     kind = docs.schema[id_col].dataType.simpleString()
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     if kind not in ("bigint", "int"):
         docs = docs.withColumn(id_col, F.col(id_col).cast("string"))
         kind = "string"
-    sent = pa.schema([(id_col, id_type), ("words", pa.list_(pa.binary())), ("refs", pa.binary())])
-    words = map_batches(docs.select(id_col, text_col), _split(id_col, text_col, pattern, max_words, sent), f"`{id_col}` {kind}, words array<binary>, refs binary")
-    folded = words.select(id_col, let(rank_table(ranks), lambda t: F.transform("words", lambda w: fold_merges(w, t))).alias("chars"), "refs")
+    sent = pa.schema([(id_col, id_type), ("words", pa.list_(pa.struct([("w", pa.string()), ("r", pa.string())]))), ("refs", pa.binary())])
+    words = map_batches(docs.select(id_col, text_col), _split(id_col, text_col, pattern, ranks_path, max_words, sent), f"`{id_col}` {kind}, words array<struct<w:string,r:string>>, refs binary")
+    fold = let(rank_table(ranks), lambda t: F.transform("words", lambda w: fold_merges(w, t)))
+    folded = words.select(id_col, F.when(F.col("words").isNotNull(), fold).alias("chars"), "refs")
     got = [(id_col, id_type), ("ids", pa.list_(pa.int32()))] + [("decoded", pa.binary())] * decoded
     return map_batches(folded, _join(ranks_path, decoded, pa.schema(got)), f"`{id_col}` {kind}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and SHA-256 digests of what ``encode(..., decoded=True)`` returns."""
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return encoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Rows (id, n_tokens, ids_sha256, decoded_sha256) of what ``encode(..., decoded=True)`` returns: lowercase hex digests of the decimal ids, joined by commas, and of the bytes."""
+    id_type = encoded.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[bytes] = []
+        for batch in batches:
+            ids = batch.column(1)
+            values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+            if len(values) and (top := int(values.max())) >= len(names):
+                names += [b"%d" % n for n in range(len(names), top + 1)]
+            found = [sha256(b",".join(map(names.__getitem__, values[a:b].tolist()))).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+            decoded = [sha256(memoryview(x.as_buffer())).hexdigest() for x in batch.column(2)]
+            counts = [b - a for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_batches(encoded.select(id_col, "ids", "decoded"), run, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
