@@ -1,13 +1,16 @@
 """Token ids in wavelet-matrix shards: a succinct file format with access, count and occurrence lookup.
 
-A shard holds whole documents in id order. Its payload is one compressed byte string: a header, the documents' ids
-and lengths, and for each bit of the alphabet a plane of packed bits, highest bit first. A plane is sorted stably by its bit
-before the next one is taken (a wavelet matrix), so rank on the planes answers
+A shard holds whole documents in id order. Its payload is one byte string: a header, the documents' ids and lengths, and for
+each bit of the alphabet a plane of packed bits, highest bit first, with the counts of set bits before each block of the
+plane. A plane is sorted stably by its bit before the next one is taken (a wavelet matrix), so rank on the planes answers
 
 * ``access(i)``: the token at a place,
 * ``rank(token, i)``: how often a token occurs before a place (``count`` over a range is a difference),
 * ``select(token, k)``: where its k-th occurrence is.
 
+All three read a few words of each plane where they lie in the payload; nothing is unpacked. ``counts``, ``locate`` and
+``tokens_at`` ask them of a whole table of shards. Only ``tokens``, which gives back every id, unpacks the planes.
+
 Shards are rows of a Parquet table (partition, number, first and last id, tokens, payload), so they are written and read with
 Spark on any store. Partitions are ranges of document ids; nothing is collected, and a shard's size is bounded by
 ``SHARD_TOKENS`` plus one document.
@@ -15,6 +18,7 @@ Spark on any store. Partitions are ranges of document ids; nothing is collected,
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,63 +30,76 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ethospark.llm.common import map_batches, strings
+from ethospark.llm.common import local_file, map_batches, strings
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1 << 20
 #: Bits between two stored ranks of a plane.
 BLOCK = 512
-MAX_WORDS = 400_000
-#: Stands before the first part of a text, which has no space before it.
-FIRST_PART = "\x00"
+#: Distinct parts of texts that a task remembers.
+MAX_PARTS = 400_000
 NULL_ID = -(2**63)
+HEAD = struct.Struct("<4sIQQ")
+# The pattern of byte-level vocabularies, and the letters that stand for bytes in their tokens.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+LETTERS = {b: chr(b) for b in PLAIN} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in PLAIN)}
+#: Texts of characters before this one are cut by the pattern here, others by the library.
+COMMON = "\u0250"
+MARK = LETTERS[32]
 
 
 def build(tokens: np.ndarray, ids: list[int], lengths: list[int]) -> bytes:
     """The payload of one shard."""
-    width = max(1, int(tokens.max(initial=0)).bit_length())
-    planes, rest = [], tokens.astype(np.uint16 if width <= 16 else np.uint32)
+    width, n = max(1, int(tokens.max(initial=0)).bit_length()), len(tokens)
+    words = -(-n // BLOCK) * (BLOCK // 64)
+    parts = [HEAD.pack(MAGIC, width, n, len(ids)), np.array(ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes()]
+    rest = tokens.astype(np.uint16 if width <= 16 else np.uint32)
     for k in range(width - 1, -1, -1):
         bit = (rest >> k & 1).astype(bool)
-        planes.append(np.packbits(bit))
+        plane = np.zeros(words * 8, np.uint8)
+        plane[: -(-n // 8)] = np.packbits(bit, bitorder="little")
+        ones = np.bitwise_count(plane.view("<u8")).reshape(-1, BLOCK // 64).sum(axis=1, dtype=np.uint64)
+        parts += [np.concatenate([[np.uint64(0)], np.cumsum(ones, dtype=np.uint64)]).astype("<u8").tobytes(), plane.tobytes()]
         rest = np.concatenate([rest[~bit], rest[bit]])
-    parts = [np.array(ids, "<i8").tobytes(), np.array(lengths, "<i8").tobytes(), *(p.tobytes() for p in planes)]
-    packed = [zlib.compress(p, 1) for p in parts]
-    head = struct.pack("<4sQIII", MAGIC, len(tokens), len(ids), width, len(packed)) + b"".join(struct.pack("<I", len(p)) for p in packed)
-    return head + b"".join(packed)
+    return b"".join(parts)
 
 
 class Shard:
-    """Reads a payload; planes and their ranks are unpacked on first use."""
+    """Answers from a payload, which stays packed."""
 
     def __init__(self, payload: bytes):
-        magic, self.n, docs, self.width, n_parts = struct.unpack_from("<4sQIII", payload)
+        magic, self.width, self.n, docs = HEAD.unpack_from(payload)
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
-        at = struct.calcsize("<4sQIII")
-        sizes = struct.unpack_from(f"<{n_parts}I", payload, at)
-        at += 4 * n_parts
-        parts = []
-        for size in sizes:
-            parts.append(zlib.decompress(payload[at : at + size]))
-            at += size
-        self.ids, self.lengths = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8")
-        self.planes = [np.unpackbits(np.frombuffer(p, np.uint8), count=self.n) for p in parts[2:]]
-        self.zeros = [int(self.n - p.sum(dtype=np.int64)) for p in self.planes]
-        self._ranks: list[np.ndarray] | None = None
+        at = HEAD.size
+
+        def take(count: int) -> np.ndarray:
+            nonlocal at
+            at += 8 * count
+            return np.frombuffer(payload, "<u8", count, at - 8 * count)
+
+        self.ids, self.lengths = take(docs).view("<i8"), take(docs).view("<i8")
+        blocks = -(-self.n // BLOCK)
+        self.ranks, self.planes = [], []
+        for _ in range(self.width):
+            self.ranks.append(take(blocks + 1))
+            self.planes.append(take(blocks * (BLOCK // 64)))
+        self.zeros = [self.n - int(r[-1]) for r in self.ranks]
 
     def _ones(self, plane: int, i: int) -> int:
-        """Set bits of a plane before place i."""
-        if self._ranks is None:
-            self._ranks = [np.concatenate([[0], np.add.reduceat(p, np.arange(0, self.n, BLOCK), dtype=np.int64).cumsum()]) if self.n else np.zeros(1, np.int64) for p in self.planes]
-        block = i // BLOCK
-        return int(self._ranks[plane][block]) + int(self.planes[plane][block * BLOCK : i].sum(dtype=np.int64))
+        """Set bits of a plane before place i: the block's stored count, and those of a few words."""
+        block, word = i // BLOCK, i // 64
+        found = int(self.ranks[plane][block])
+        for x in self.planes[plane][block * (BLOCK // 64) : word].tolist():
+            found += x.bit_count()
+        return found + (int(self.planes[plane][word]) & ((1 << i % 64) - 1)).bit_count() if i % 64 else found
 
     def access(self, i: int) -> int:
         token = 0
         for k, plane in enumerate(self.planes):
-            bit = int(plane[i])
+            bit = int(plane[i // 64]) >> i % 64 & 1
             token = token << 1 | bit
             i = self.zeros[k] + self._ones(k, i) if bit else i - self._ones(k, i)
         return token
@@ -99,7 +116,7 @@ class Shard:
 
     def rank(self, token: int, i: int) -> int:
         """Occurrences of a token before place i."""
-        if token >> self.width:
+        if token < 0 or token >> self.width:
             return 0
         start, end = self._follow(token, i)
         return end - start
@@ -110,24 +127,30 @@ class Shard:
             return -1
         i = self._follow(token, 0)[0] + k
         for level in range(self.width - 1, -1, -1):
-            plane = self.planes[level]
-            want, nth = (1, i - self.zeros[level]) if token >> (self.width - 1 - level) & 1 else (0, i)
-            i = self._select_bit(level, plane, want, nth)
+            set_ = token >> (self.width - 1 - level) & 1
+            i = self._select_bit(level, set_, i - self.zeros[level] if set_ else i)
         return i
 
-    def _select_bit(self, level: int, plane: np.ndarray, bit: int, nth: int) -> int:
-        self._ones(level, 0)
-        ranks = self._ranks[level]
-        ranks = ranks if bit else np.minimum(np.arange(len(ranks)) * BLOCK, self.n) - ranks
+    def _select_bit(self, level: int, bit: int, nth: int) -> int:
+        ranks = self.ranks[level].astype(np.int64)
+        ranks = ranks if bit else np.arange(len(ranks)) * BLOCK - ranks
         block = int(np.searchsorted(ranks, nth, side="right")) - 1
-        part = plane[block * BLOCK : (block + 1) * BLOCK] == bit
-        return block * BLOCK + int(np.flatnonzero(part)[nth - int(ranks[block])])
+        left = nth - int(ranks[block])
+        for word in range(block * (BLOCK // 64), (block + 1) * (BLOCK // 64)):
+            x = int(self.planes[level][word])
+            x = x if bit else ~x & 2**64 - 1
+            if left < x.bit_count():
+                for _ in range(left):
+                    x &= x - 1  # the lowest set bit goes
+                return word * 64 + (x & -x).bit_length() - 1
+            left -= x.bit_count()
+        raise AssertionError
 
     def tokens(self) -> np.ndarray:
         """All tokens: from the last plane up, each sort by a bit is undone."""
         values = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for k in range(self.width - 1, -1, -1):
-            bit, before = self.planes[k].astype(bool), np.empty_like(values)
+            bit, before = np.unpackbits(self.planes[k].view(np.uint8), count=self.n, bitorder="little").astype(bool), np.empty_like(values)
             before[~bit] = values[: self.zeros[k]]
             before[bit] = values[self.zeros[k] :] | values.dtype.type(1 << (self.width - 1 - k))
             values = before
@@ -135,60 +158,83 @@ class Shard:
 
 
 class _Encoder:
-    """The tokenizer's ids of whole texts, by way of a table of a partition's distinct pieces.
+    """The tokenizer's ids of whole texts, by way of a table of a task's distinct parts.
 
-    The vocabulary's pattern cuts a text into pieces that are encoded each for itself; between two characters that
-    aren't white space, a single space always begins a piece. Pieces are given to the tokenizers library once.
+    The vocabulary's pattern cuts a text into matches that the library's model encodes each for itself; between two characters that
+    aren't white space, a single space always begins a match. So a text falls apart at its spaces, and a part is encoded
+    once. Texts with special tokens, and those with white space next to a space, are given to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: a character each in its name
-        for name, i in vocabulary.items():
-            self.sizes[i] = len(name)
-        self.known: dict[str, bytes] = {}
-        self.spaces = regex.compile(r"\s\s|\s\Z|\x00")
-
-    def _learn(self, parts: list[str]) -> None:
-        """Encodes many parts in one text, each after a line feed, and cuts the ids at the parts' bytes."""
-        for k in range(0, len(parts), 4096):
-            some = parts[k : k + 4096]
-            whole = [p[1:] if p[:1] == FIRST_PART else " " + p for p in some]
-            ids = np.array(self.tokenizer.encode("\n" + "\n".join(whole), add_special_tokens=False).ids, "<u4")
-            ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])
-            last = np.cumsum([len(p.encode()) + 1 for p in whole])
-            begins, stops = np.searchsorted(ends, np.concatenate([[0], last[:-1]]) + 1), np.searchsorted(ends, last)
-            raw = ids.tobytes()
-            for part, x, y in zip(some, begins.tolist(), stops.tolist(), strict=True):
-                self.known[part] = raw[4 * x : 4 * y]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        known, out = self.known, []
-        for k in range(0, len(texts), 128):
-            # A text's first part has no space before it and is known under a key of its own.
-            split = [None if self.spaces.search(t) else t.split(" ") for t in texts[k : k + 128]]
-            if len(known) > MAX_WORDS:
-                known.clear()
-            parts: set[str] = set()
-            for x in split:
-                if x:
-                    x[0] = FIRST_PART + x[0]
-                    parts.update(x)
-            self._learn([p for p in parts if p not in known])
-            for text, x in zip(texts[k : k + 128], split, strict=True):
-                out.append(b"".join([known[p] for p in x]) if x else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-        return out
-
-
-def shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+        self.tokenizer.encode_special_tokens = special_as_text
+        spec = json.loads(local_file(path))
+        self.special = [] if special_as_text else [t["content"] for t in spec.get("added_tokens", ())]
+        before = spec.get("pre_tokenizer") or {}
+        self.simple = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer")
+        self.find = regex.compile(BYTE_LEVEL).findall
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        letters = MARK + word[1:] if word[0] == " " and word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(LETTERS)
+        return self._pack([t.id for t in self.tokenizer.model.tokenize(letters)])
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, part: str) -> bytes:
+        """The ids of a text by itself, match by match; the library cuts texts with letters of rarer scripts."""
+        tokenize = self.tokenizer.model.tokenize
+        if part.isascii() and part[1:].isalpha() and part[0] == " ":  # one match
+            return self._pack([t.id for t in tokenize(MARK + part[1:])])
+        if not part.isascii() and max(part) >= COMMON:
+            return self._pack([t.id for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part) for t in tokenize(w)])
+        out, words = [], self.words
+        for word in self.find(part):
+            got = words.get(word)
+            if got is None:
+                got = self._word(word)
+                if len(word) < 6 and len(words) < MAX_PARTS // 4:  # endings and marks, which come back in other parts
+                    words[word] = got
+            out.append(got)
+        return b"".join(out)
+
+    def __call__(self, text: str) -> bytes:
+        if not self.simple or any(s in text for s in self.special):
+            return self._whole(text)
+        parts = text.split(" ")
+        known, last = self.parts, len(parts) - 1
+        got = list(map(known.get, parts))
+        got[0] = b"" if last and not parts[0] else None  # the first part has no space before it
+        if len(known) > MAX_PARTS:
+            known.clear()
+        for k in [k for k, x in enumerate(got) if x is None]:
+            part = parts[k]
+            if k and (not part or part[0].isspace()) or k < last and part[-1:].isspace():
+                return self._whole(text)
+            if not k:
+                got[k] = self._part(part)
+            elif (found := known.get(part)) is None:
+                got[k] = found = self._part(" " + part)
+                if not part[-1].isspace():
+                    known[part] = found
+            else:
+                got[k] = found
+        return b"".join(got)
+
+
+def shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, special_as_text: bool = False) -> DataFrame:
     """Rows (part, number, first_id, last_id, n_docs, n_tokens, payload) of ``docs`` in ascending id order.
 
-    Each document's ids end with ``end_id``. A null text is empty; rows with equal ids keep an arbitrary order among
-    themselves, and null ids come first. The DataFrame is to be written before it is read twice.
+    Each document's ids end with ``end_id``. A null text is empty; null ids come first, and rows with equal ids are in
+    the order of their texts' XXH64, then of the texts. Strings of special tokens are those tokens, as in the library's default, or
+    ordinary text. The DataFrame is to be written before it is read twice.
     """
     schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
     end = np.array([end_id], "<u4").tobytes()
@@ -205,22 +251,23 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            encode = encode or _Encoder(tokenizer)
-            keys = [NULL_ID if x is None else x for x in batch.column(batch.schema.get_field_index(id_col)).to_pylist()]
-            texts = strings(batch, text_col)
-            for k in range(0, len(keys), 512):
-                for key, got in zip(keys[k : k + 512], encode(texts[k : k + 512]), strict=True):
-                    ids.append(key)
-                    held.append(got + end)
-                    size += len(got) // 4 + 1
-                    if size >= shard_tokens:
-                        yield close()
-                        number += 1
-                        ids, held, size = [], [], 0
+            encode = encode or _Encoder(tokenizer, special_as_text)
+            keys = batch.column(0).to_pylist()
+            for key, text in zip(keys, strings(batch, "text"), strict=True):
+                got = encode(text)
+                ids.append(NULL_ID if key is None else key)
+                held.append(got + end)
+                size += len(got) // 4 + 1
+                if size >= shard_tokens:
+                    yield close()
+                    number += 1
+                    ids, held, size = [], [], 0
         if ids:
             yield close()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col)
+    # Ranges are cut by id and digest, so that rows of one id needn't all go to one task.
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    ordered = rows.repartitionByRange("id", "digest").sortWithinPartitions("id", "digest", "text").select("id", "text")
     return map_batches(ordered, run, "part int, number int, first_id long, last_id long, n_docs long, n_tokens long, payload binary")
 
 
@@ -253,3 +300,48 @@ def read_documents(table: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(begins + start), pa.array(shard.lengths), pa.array(sums, pa.int64())], schema=schema)
 
     return map_batches(table.select("start", "payload"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _ask(table: DataFrame, answer, schema: str, types: list[tuple[str, pa.DataType]], *columns: str) -> DataFrame:
+    """What ``answer(shard, *values)`` gives for each shard of ``table``, as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                got = list(answer(Shard(row["payload"]), *[row[c] for c in columns]))
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*got, strict=True), types, strict=True)], schema=pa.schema(types))
+
+    return map_batches(table.select(*columns, "payload"), run, schema)
+
+
+def counts(table: DataFrame, tokens: list[int]) -> DataFrame:
+    """Rows (token, n): how often each of a few tokens occurs in all shards. Tokens that occur nowhere have no row."""
+
+    def answer(shard: Shard) -> Iterator[tuple[int, int]]:
+        return ((t, n) for t in dict.fromkeys(tokens) if (n := shard.rank(t, shard.n)))
+
+    return _ask(table, answer, "token long, n long", [("token", pa.int64()), ("n", pa.int64())]).groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def locate(table: DataFrame, token: int) -> DataFrame:
+    """Rows (doc_id, position): each occurrence of a token, by its place in its document from 0."""
+
+    def answer(shard: Shard) -> Iterator[tuple[int | None, int]]:
+        ends = np.cumsum(shard.lengths)
+        for k in range(shard.rank(token, shard.n)):
+            place = shard.select(token, k)
+            doc = int(np.searchsorted(ends, place, side="right"))
+            key = int(shard.ids[doc])
+            yield None if key == NULL_ID else key, place - int(ends[doc] - shard.lengths[doc])
+
+    return _ask(table, answer, "doc_id long, position long", [("doc_id", pa.int64()), ("position", pa.int64())])
+
+
+def tokens_at(table: DataFrame, places: list[int]) -> DataFrame:
+    """Rows (place, token) for a few places among all tokens in id order; ``table`` has ``start``."""
+
+    def answer(shard: Shard, start: int) -> Iterator[tuple[int, int]]:
+        return ((p, shard.access(p - start)) for p in places if start <= p < start + shard.n)
+
+    return _ask(table, answer, "place long, token long", [("place", pa.int64()), ("token", pa.int64())], "start")
