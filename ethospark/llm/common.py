@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch, at most.
 BATCH_ROWS = 1024
+#: A key is hot from so many rows on, and from this share of all rows.
+HOT_ROWS, HOT_SHARE = 1000, 10_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,6 +53,38 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_split(rows: DataFrame, groups: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups`` on ``key``, without one task for all rows of a hot key.
+
+    ``groups`` has one row a key and in ``count`` the number of its rows; it is read several times and should be a written
+    table. Rows of a hot key are dealt to several tasks by their hash, and the key's group goes to each of these. A key is
+    hot from a ``HOT_SHARE``-th of all counted rows on, so hot keys are ``HOT_SHARE`` at most and can be broadcast. ``count`` is dropped.
+    """
+    total = groups.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    bound = max(HOT_ROWS, total // HOT_SHARE)
+    hot = groups.where(F.col(count) > bound)
+    if hot.isEmpty():
+        return rows.join(groups.drop(count), key, how)
+    salts, salt = fresh(rows.join(groups, key), "salts", "salt")
+    dealt = rows.join(F.broadcast(hot.select(key, F.ceil(F.col(count) / bound).cast("int").alias(salts))), key, "left")
+    dealt = dealt.withColumn(salt, F.when(F.col(salts) > 1, F.pmod(F.xxhash64(*rows.columns), F.col(salts)).cast("int")).otherwise(0)).drop(salts)
+    each = groups.withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(F.col(count) > bound, F.ceil(F.col(count) / bound).cast("int") - 1).otherwise(0)))).drop(count)
+    return dealt.join(each, [key, salt], how).drop(salt)
+
+
 def binary(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.binary())
