@@ -7,8 +7,8 @@ sum of these probabilities.
 The labels tell toxic from clean only. Grades of toxic rows come from the labelled sample: marker features occur in
 toxic rows almost only, and toxic rows are graded 1 to ``GRADES`` by quantiles of the number of markers they have.
 
-The fit uses a bounded sample of labelled rows (``SAMPLE`` of each class, those of least hash), whose features alone
-come to the driver. Scoring reads every row once, without a shuffle; the model is a dictionary of the non-zero weights.
+The fit uses a bounded sample of labelled rows (``SAMPLE`` of each class and ``SAMPLE_BYTES`` of features, those of least hash), whose
+features alone come to the driver. Scoring reads every row once, without a shuffle; the model is a dictionary of the non-zero weights.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethospark.llm.common import map_batches, strings
+from ethospark.llm.common import map_batches, strings, written
 
-#: Labelled rows of each class that the model is fitted on, at most.
-SAMPLE = 4000
+#: Labelled rows of each class that the model is fitted on, at most, and bytes of all their features together.
+SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
 GRADES = 3
 DIMENSIONS = 1 << 20
 #: Lengths of word beginnings that are features besides the whole word.
@@ -82,9 +82,11 @@ def _likelihood(z: np.ndarray, y: np.ndarray, theta: np.ndarray) -> tuple[float,
 
 def grades(features: list[np.ndarray], toxic: np.ndarray, n_grades: int = GRADES, min_rows: int = 5, purity: float = 0.9) -> np.ndarray:
     """0 for clean rows; 1 to ``n_grades`` for toxic rows by quantiles of their number of marker features."""
-    flat, owner = np.concatenate(features), np.repeat(toxic, [len(x) for x in features])
-    size = int(flat.max(initial=0)) + 1
-    rows, bad = np.bincount(flat, minlength=size), np.bincount(flat, weights=owner, minlength=size)
+    size = 1 + max((int(x[-1]) for x in features if len(x)), default=0)
+    rows, bad = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for x, y in zip(features, toxic.tolist(), strict=True):  # a row has a feature once
+        rows[x] += 1
+        bad[x] += y
     marker = (rows >= min_rows) & (bad >= purity * rows)
     markers = np.array([int(marker[x].sum()) for x in features])
     cuts = np.quantile(markers[toxic > 0], [k / n_grades for k in range(1, n_grades)]) if n_grades > 1 else np.zeros(0)
@@ -101,7 +103,7 @@ def fit(features: list[np.ndarray], y: np.ndarray, rounds: int = 300, l1: float
     kept = np.flatnonzero(seen >= min_rows)
     place = np.full(len(names), -1)
     place[kept] = np.arange(len(kept))
-    row, column = np.repeat(np.arange(len(features)), [len(x) for x in features]), place[column]
+    row, column = np.repeat(np.arange(len(features), dtype=np.int32), [len(x) for x in features]), place[column].astype(np.int32)
     row, column = row[column >= 0], column[column >= 0]
     # A row's features weigh 1 / sqrt(mean size) at most, so that the step's bound is known.
     theta = np.quantile(y, 0.5) + np.linspace(1.0, 2.0, k)
@@ -129,48 +131,83 @@ def fit(features: list[np.ndarray], y: np.ndarray, rounds: int = 300, l1: float
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:
-    """Rows (doc_id, toxic, features): ``per_class`` labelled rows of either class, those of least hash."""
+    """Rows (doc_id, toxic, features): ``per_class`` labelled rows of either class, those of least hash.
+
+    ``features`` holds the hashed features in ascending order as bytes of 32-bit integers. Of rows with one id the least
+    text counts, and of their labels the worst.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))  # 2 * per_class rows at most
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("features", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("features", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted({f for w in words_of(t) for f in word_features(w)}) for t in strings(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], schema=schema)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "toxic", "text")
-    return map_batches(rows, run, "doc_id long, toxic int, features array<int>")
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, n_grades: int = GRADES) -> Model:
-    """The model for ``docs`` and their labels. Without both classes the model finds nothing toxic."""
-    rows = sorted(sample(docs, labels, per_class).collect(), key=lambda r: (r["doc_id"], r["features"]))
-    toxic = np.array([r["toxic"] for r in rows], np.int64)
+            found = [np.array(sorted({f for w in words_of(t) for f in word_features(w)}), np.int32).tobytes() for t in strings(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], schema=schema)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(chosen, "doc_id").select("doc_id", "toxic", "text")
+    found = map_batches(rows, run, "doc_id long, toxic int, features binary")
+    return found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("features").alias("features"))
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, n_grades: int = GRADES, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """The model for ``docs`` and their labels. Without both classes the model finds nothing toxic.
+
+    The sample comes to the driver in the order of its rows' hashes, row by row, until it has ``sample_bytes``.
+    """
+    found = written(sample(docs, labels, per_class), "sample").orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows, size = [], 0
+    for row in found.coalesce(1).toLocalIterator():
+        size += len(row["features"])
+        if size > sample_bytes:
+            break
+        rows.append((row["doc_id"], row["toxic"], np.frombuffer(row["features"], np.int32)))
+    rows.sort(key=lambda r: r[0])
+    toxic = np.array([r[1] for r in rows], np.int64)
     if not len(rows) or toxic.min() == toxic.max():
         return Model({}, ())
-    features = [np.array(r["features"], np.int64) for r in rows]
+    features = [r[2] for r in rows]
     return fit(features, grades(features, toxic, n_grades))
 
 
+def _scores(model: Model, texts: list[str], cache: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """w x for each text; ``cache`` remembers the features of words that the model has weights for."""
+    scores = np.zeros(len(texts))
+    for n, text in enumerate(texts):
+        hit: set[int] = set()
+        for word in words_of(text):
+            found = cache.get(word)
+            if found is None:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                found = cache[word] = tuple(f for f in word_features(word) if f in model.weights)
+            hit.update(found)
+        scores[n] = sum(model.weights[f] for f in sorted(hit))
+    return scores
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, all columns as they are. Null and empty texts are clean."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            yield batch.filter(pa.array(model.severity(_scores(model, strings(batch, text_col), cache))[0] < REJECT, pa.bool_()))
+
+    return map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with p_toxic, severity (expected grade), grade and rejected. A null or empty text has no features."""
+    """``docs`` with p_toxic, severity (expected grade), grade and rejected. A null or empty text has no features.
+
+    Rows with equal ids are scored each by itself. Columns of these names give way to the results.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for n, text in enumerate(strings(batch, text_col)):
-                hit: set[int] = set()
-                for word in words_of(text):
-                    found = cache.get(word)
-                    if found is None:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        found = cache[word] = tuple(f for f in word_features(word) if f in model.weights)
-                    hit.update(found)
-                scores[n] = sum(model.weights[f] for f in sorted(hit))
+            scores = _scores(model, strings(batch, text_col), cache)
             p, severity, grade = model.severity(scores)
             columns = [pa.array(p), pa.array(severity), pa.array(grade, pa.int32()), pa.array(p >= REJECT)]
             names = ["p_toxic", "severity", "grade", "rejected"]
