@@ -1,21 +1,26 @@
 """Main text of web pages by a site style tree.
 
-All pages of a host are merged into one tree, whose nodes are paths of labels (tag, class and id; equal siblings are one node). Two measures
-say how important a node is, after the number m of pages that have it:
+All pages of a host are merged into one tree, whose nodes are paths of labels (tag, class and id; equal siblings are one node). All
+nodes are in it, navigation and adverts too; equal pages of a host count once. Two measures say how important a node
+is, after the number m of pages that have it:
 
 * presentation: the entropy, to base m, of the sequences of children it has on the pages. A node that always looks
   the same has 0;
 * content: 1 minus the mean entropy, to base m, of its texts over the pages. A text that is on every page has entropy
   1, one that is on a single page 0.
 
-A branch's composite importance is the weighted mean of its nodes' measures. The weight fades with the depth by GAMMA, and
-presentation weighs 1 - GAMMA^l for l sequences. Branches of low importance are removed from every page of the host. A
-label that names its role (``nav``, ``class="sidebar"``) has presentation importance 0, on hosts with few pages too.
+A node's own importance is the weighted mean of its measures and those of the nodes below it. The weight fades with the depth by
+GAMMA, and presentation weighs 1 - GAMMA^l for l sequences. A branch is as important as its most important node, so what
+stands around an article never takes it along. What few pages show is uncertain, so the measure is drawn towards 1 as
+if ``PRIOR`` further pages had it. The composite importance is the measure times the weight of the node's role: 0 for a node
+that says it isn't part of the article (``nav``, ``class="sidebar"``, hidden, outside of the page's article), else 1. Branches of low
+composite importance are removed from every page of the host. A role is known from the node alone, so only
+branches of low measure are looked up.
 
-Spark jobs: pages to nodes and text digests (no text is shuffled); two grouped sums; a third over all ancestors of a
+Spark jobs: pages to nodes and text digests (no text is shuffled); three grouped sums; two over all ancestors of a
 node; then pages join the low branches of their host, which are few. A host with a third of all pages is merged
-before each shuffle. The low branches are written and measured: they are broadcast up to ``BROADCAST_BYTES``, so that no page moves; beyond,
-pages are dealt by host and a salt, and the branches of a host go to each salt.
+before each shuffle. The low branches are written and measured: they are broadcast up to ``BROADCAST_BYTES``, so that no page
+moves; beyond, pages are shuffled by host, those of a hot host to several tasks.
 """
 
 from __future__ import annotations
@@ -30,12 +35,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ethospark.llm.common import map_batches, strings, written
+from ethospark.llm.common import join_split, map_batches, strings, written
 
 GAMMA = 0.9
-#: A branch below this composite importance is noise, if so many pages of the host have it.
-LOW, MIN_PAGES = 0.5, 20
-BROADCAST_BYTES, SALTS = 32 << 20, 64
+#: A branch below this composite importance is noise.
+LOW = 0.5
+#: Pages of full importance that are added to those of a node: a branch that never changes is noise from the fifth page on.
+PRIOR = 3
+BROADCAST_BYTES = 32 << 20
+#: Longer names of classes and ids are cut in labels and marked by their hash.
+NAME_CHARS = 40
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
 LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -90,7 +99,8 @@ def _words(attributes: str) -> tuple[set[str], str]:
         parts = [x.lower() for x in CAMEL.split(value) if x]
         words |= {x for n, x in enumerate(parts) if not n or parts[n - 1] not in LAYOUT_WORDS}
         if key.lower() != "role":
-            name += ("." if key.lower() == "class" else "#") + re.sub(r"\d+", "0", "-".join(value.split()))[:40]
+            label = re.sub(r"\d+", "0", "-".join(value.split())).replace("/", "|")
+            name += ("." if key.lower() == "class" else "#") + (label if len(label) <= NAME_CHARS else f"{label[:NAME_CHARS]}~{xxhash.xxh64_hexdigest(label)}")
     if HIDDEN.search(attributes):
         words.add("?hidden")
     return words, name
@@ -186,24 +196,22 @@ def _digest(text: str) -> int:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("host", "path", "kind", "feature", "n")
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64()), ("n", pa.int64())])
     for batch in batches:
-        rows: Counter = Counter()
         hosts, pages = strings(batch, "host"), strings(batch, "html")
         out: list[tuple] = []
         for host, page in zip(hosts, pages, strict=True):
             found, children = blocks(page)
-            rows.clear()
-            for path, dropped, _, text in found:
-                if not dropped:
-                    rows[host, path, 1, _digest(text)] += 1
-            kept = {path for path, dropped, _, _ in found if not dropped}
-            above = {p[:i] for p in kept for i, c in enumerate(p + "/") if c == "/" and i}
-            for path in above:
-                rows[host, path, 0, _digest("\n".join(children.get(path, ())))] = 1
-            out += [(*k, v) for k, v in rows.items()]
-        for k in range(0, len(out), 65536):
-            yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out[k : k + 65536], strict=True)), strict=True)), schema=pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64()), ("n", pa.int64())]))
+            rows: Counter = Counter((path, 1, _digest(text)) for path, _, _, text in found)
+            for path in {p[:i] for p in {x[0] for x in found} for i, c in enumerate(p + "/") if c == "/" and i}:
+                rows[path, 0, _digest("\n".join(children.get(path, ())))] = 1
+            key = _digest(page)
+            out += [(host, key, *k, v) for k, v in rows.items()]
+            if len(out) >= 65536:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def host_of(url: Column) -> Column:
@@ -211,9 +219,13 @@ def host_of(url: Column) -> Column:
 
 
 def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The merged trees: rows (host, path, pages, composite) for each node of each host."""
+    """The merged trees: rows (host, path, pages, measure) for each node of each host.
+
+    ``measure`` is the importance of the branch before its role is considered. Pages without a url are one host's.
+    """
     source = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("html is not null")
-    found = map_batches(source, _nodes, "host string, path string, kind int, feature long, n long")
+    found = map_batches(source, _nodes, "host string, page long, path string, kind int, feature long, n long")
+    found = found.groupBy("host", "page", "path", "kind", "feature").agg(F.max("n").alias("n"))  # equal pages are one
     # Of a feature: its pages, and the sum for its entropy over them, ln C - sum(c ln c) / C.
     by_feature = found.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("c"), F.sum(F.col("n") * F.log("n")).alias("s"))
     style, text = F.col("kind") == 0, F.col("kind") == 1
@@ -225,60 +237,59 @@ def importance(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         F.sum(F.when(text, F.log("c") - F.col("s") / F.col("c"))).alias("text_sum"),
     )
     ln_m = F.log("m")
-    look = F.when(F.col("m") > 1, (ln_m - F.col("style_sum") / F.col("m")) / ln_m).otherwise(1.0)
-    content = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("text_sum") / F.col("texts") / ln_m)).otherwise(1.0)
+    sure = (F.col("m") - 1) / (F.col("m") - 1 + PRIOR)
+    look = F.when(F.col("m") > 1, 1 - sure + sure * (ln_m - F.col("style_sum") / F.col("m")) / ln_m).otherwise(1.0)
+    content = F.when(F.col("m") > 1, 1 - sure + sure * F.greatest(F.lit(0.0), 1 - F.col("text_sum") / F.col("texts") / ln_m)).otherwise(1.0)
     weight = 1 - F.pow(F.lit(GAMMA), F.col("styles"))
     both = nodes.select(
         "host", "path", "m", (F.col("m") * (weight * look + F.when(F.col("texts") > 0, content).otherwise(0.0))).alias("value"), (F.col("m") * (weight + F.when(F.col("texts") > 0, 1.0).otherwise(0.0))).alias("weight")
     )
     # A node counts for itself and for all nodes above it.
-    labels = F.split("path", "/")
-    ups = both.select("host", "path", "m", "value", "weight", F.posexplode(F.transform(F.sequence(F.lit(2), F.size(labels)), lambda k: F.array_join(F.slice(labels, F.lit(1), k), "/"))).alias("up", "above"), F.size(labels).alias("size"))
+    labels, up = F.split("path", "/"), lambda k: F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/")
+    above = F.posexplode(F.transform(F.sequence(F.lit(2), F.size(labels)), up)).alias("up", "above")
+    ups = both.select("host", "path", "m", "value", "weight", above, F.size(labels).alias("size"))
     fade = F.pow(F.lit(GAMMA), F.col("size") - F.col("up") - 2)
-    return (
-        ups.groupBy("host", F.col("above").alias("path"))
-        .agg(F.max(F.when(F.col("above") == F.col("path"), F.col("m"))).alias("pages"), (F.sum(F.col("value") * fade) / F.sum(F.col("weight") * fade)).alias("composite"))
-        .where("pages is not null")
-    )
+    mean = ups.groupBy("host", F.col("above").alias("path")).agg(F.max(F.when(F.col("above") == F.col("path"), F.col("m"))).alias("pages"), (F.sum(F.col("value") * fade) / F.sum(F.col("weight") * fade)).alias("mean")).where("pages is not null")
+    best = mean.select("host", "path", "pages", "mean", above).groupBy("host", F.col("above").alias("path"))
+    return best.agg(F.max(F.when(F.col("above") == F.col("path"), F.col("pages"))).alias("pages"), F.max("mean").alias("measure")).where("pages is not null")
 
 
-def _extract(carried: list[str], schema: pa.Schema):
+def _extract(low_col: str, low_limit: float, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            lows = batch.column(batch.schema.get_field_index("_low")).to_pylist()
+            lows = batch.column(batch.schema.get_field_index(low_col)).to_pylist()
             for page, low in zip(strings(batch, "html"), lows, strict=True):
-                found = [x for x in blocks(page)[0] if not x[1]]
-                if any(x[2] for x in found):
-                    found = [x for x in found if x[2]]
-                if low:
-                    total, under = sum(len(x[3]) for x in found), Counter()
-                    for path, _, _, text in found:
-                        for k in range(1, path.count("/") + 1):
-                            under["/".join(path.split("/")[: k + 1])] += len(text)
-                    noise = {p for p in low if under[p] * 2 <= total}  # what holds most of a page isn't noise
-                    found = [x for x in found if not any(x[0] == p or x[0].startswith(p + "/") for p in noise)]
+                found, noise = blocks(page)[0], set(low or ())
+                if low_limit > 0:  # of a role that isn't the article's the composite importance is 0
+                    found = [x for x in found if not x[1]]
+                    if any(x[2] for x in found):
+                        found = [x for x in found if x[2]]
+                if noise:
+                    found = [x for x in found if not any(x[0][:i] in noise for i, c in enumerate(x[0] + "/") if c == "/" and i)]
                 texts.append(" ".join(x[3] for x in found))
-            columns = [batch.column(batch.schema.get_field_index(c)).cast(schema.field(c).type) for c in carried]
+            columns = [batch.column(k).cast(schema.field(k).type) for k in range(2)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
     return run
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", low: float = LOW) -> DataFrame:
     """Rows (page_id, url, text, n_chars): the main text of each page.
 
     A null or empty page has an empty text; a null url belongs to the host without a name. Pages with an ``article`` or ``main``
-    give that part, others the whole body without noise.
+    give that part, others the whole body, either without branches of an importance below ``low``. Repeated rows and
+    equal or null ids give a row each.
     """
-    noise = importance(pages, url_col, html_col).where((F.col("pages") >= min_pages) & (F.col("composite") < low))
-    noise = written(noise.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_set("path")).alias("_low")), "noise")
-    size = noise.agg(F.coalesce(F.sum(F.octet_length(F.array_join("_low", ";")) + F.octet_length("_host") + 32), F.lit(0)).alias("n")).first()["n"]
-    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("_host"))
+    noise = importance(pages, url_col, html_col).where(F.col("measure") < low)
+    noise = noise.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))
+    noise = written(noise, "noise")
+    size = noise.agg(F.coalesce(F.sum(F.octet_length(F.array_join("low", ";")) + F.octet_length("host") + 32), F.lit(0)).alias("n")).first()["n"]
+    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     if size <= BROADCAST_BYTES:
-        joined = source.join(F.broadcast(noise), "_host", "left").drop("_host")
+        joined = source.join(F.broadcast(noise), "host", "left")
     else:
-        salted = noise.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = source.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left").drop("_host", "_salt")
+        counts = source.groupBy("host").agg(F.count("*").alias("rows"))
+        joined = join_split(source, written(counts.join(noise, "host", "left"), "noise"), "host", "rows", "left")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    return map_batches(joined, _extract(["page_id", "url"], schema), "page_id long, url string, text string, n_chars long")
+    return map_batches(joined.select("page_id", "url", "html", "low"), _extract("low", low, schema), "page_id long, url string, text string, n_chars long")
