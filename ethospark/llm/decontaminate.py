@@ -8,8 +8,9 @@ chance hits end at the first step. What is left gives a window where the item wo
 are merged, and Myers' bit-parallel algorithm finds the least edit distance of the item to a substring of the window.
 
 Texts and items are compared in lower case with white space as one space. The items are a query set: they are read in
-blocks of ``BLOCK_BYTES`` at most, and every block is matched against all rows, without a shuffle. Documents never leave their
-task; only matches do.
+blocks of ``BLOCK_BYTES`` at most, and every block is matched against all rows, without a shuffle. With more than one
+block each block's result is written before the next block is read, so the driver holds one block. Documents never
+leave their task; only matches do.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethospark.llm.common import map_batches, strings
+from ethospark.llm.common import map_batches, strings, written
 
 #: Edits allowed, as a share of the item's characters.
 RATE = 0.1
-#: Shorter items match only documents that equal them.
+#: Shorter items must be in a document without an edit, between word bounds: a few letters are in most texts.
 MIN_CHARS = 20
 BLOCK_BYTES = 16 << 20
 
@@ -75,6 +76,11 @@ def _masks(text: str) -> dict[str, int]:
     return masks
 
 
+def _bound(text: str, at: int) -> bool:
+    """Whether no word goes on across a place."""
+    return at <= 0 or at >= len(text) or not (text[at - 1].isalnum() and text[at].isalnum())
+
+
 def _above(n: int) -> list[list[tuple[int, int]]]:
     """For each of ``n`` pieces the ranges of pieces that hold it, from two or three upwards, without the whole."""
     out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
@@ -98,11 +104,12 @@ class Matcher:
     def __init__(self, items: list[tuple[list[int], str]], rate: float = RATE):
         self.items, self.budget, self.masks = [], [], []
         self.steps: list[list[list[tuple[int, int, str, dict[str, int]]]]] = []
-        self.whole: dict[str, list[int]] = {}
+        self.short: list[tuple[str, list[int]]] = []
         where: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
         for ids, text in items:
             if len(text) < MIN_CHARS:
-                self.whole[text] = ids
+                where[text].append((-1 - len(self.short), 0, 0))
+                self.short.append((text, ids))
                 continue
             k, n = int(rate * len(text)), len(self.items)
             self.items.append((ids, text))
@@ -123,13 +130,19 @@ class Matcher:
     def matches(self, raw: str) -> list[tuple[int, int, int]]:
         """(item id, distance, end of the match in the normalised text) for each item that the text holds."""
         text = normalize(raw)
-        out = [(i, 0, len(text)) for i in self.whole.get(text, ())]
-        if not self.items or not text:
+        out: list[tuple[int, int, int]] = []
+        if not self.automaton or not text:
             return out
+        seen: set[int] = set()
         windows: dict[int, list[list[int]]] = defaultdict(list)
         for last, (size, places) in self.automaton.iter(text):
             begin = last - size + 1
             for n, p, at in places:
+                if n < 0:
+                    if n not in seen and _bound(text, begin) and _bound(text, last + 1):
+                        seen.add(n)
+                        out += [(i, 0, last + 1) for i in self.short[-1 - n][1]]
+                    continue
                 if not all(self._near(text, begin - at, *step) for step in self.steps[n][p]):
                     continue
                 k = self.budget[n]
@@ -177,6 +190,17 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
             yield [(sorted(ids), text) for text, ids in sorted(block.items())]
 
 
+def _with_last(items: Iterator) -> Iterator[tuple[bool, list]]:
+    """Each item, with whether it is the last one."""
+    before = None
+    for item in items:
+        if before is not None:
+            yield False, before
+        before = item
+    if before is not None:
+        yield True, before
+
+
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, distance, end) for each item that a document holds within its edit budget.
 
@@ -195,13 +219,16 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str
 
         return map_batches(source, run, "doc_id long, item_id long, distance int, end int")
 
-    found = [matched(b) for b in blocks(benchmark)]
+    found: list[DataFrame] = []
+    for last, block in _with_last(blocks(benchmark)):
+        got = matched(block)
+        found.append(got if last and not found else written(got, "matches"))
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, end int")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, in one pass for each block of items."""
-    for block in blocks(benchmark):
+    """The rows of ``docs`` that hold no item, in one pass for each block of items; null and empty texts stay."""
+    for last, block in _with_last(blocks(benchmark)):
 
         def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
@@ -210,4 +237,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: s
                 yield batch.filter(kept)
 
         docs = map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+        docs = docs if last else written(docs, "kept")
     return docs
