@@ -68,10 +68,49 @@ def test_repeated_branch_is_noise(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", body.format(" ".join(str(rnd.random()) for _ in range(9)))) for i in range(40)], "page_id long, url string, html string")
     got = style_tree.extract(pages).collect()
     assert len(got) == 40 and not any("paper" in r["text"] or not r["text"] for r in got)
-    low = {r["path"] for r in style_tree.importance(pages).where(F.col("composite") < style_tree.LOW).collect()}
+    low = {r["path"] for r in style_tree.importance(pages).where(F.col("measure") < style_tree.LOW).collect()}
     assert any(".x" in p for p in low) and not any(".y" in p for p in low)
 
 
+def test_tree_decides_on_unnamed_branches(spark):
+    """Without the tree the repeated branch stays; a host of few pages keeps it, and equal pages count once."""
+    rnd = random.Random(5)
+    body = "<div class='q1'><p>Read our great paper every day</p></div><article><p>{}</p><div class='q2'>All text is free</div></article>"
+    page = lambda: body.format(" ".join(str(rnd.random()) for _ in range(9)))
+    rows = [(i, f"http://many/{i}", page()) for i in range(12)] + [(100 + i, f"http://few/{i}", page()) for i in range(3)] + [(200 + i, "http://copies/x", body.format("same")) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()}
+    assert not any("free" in got[i] for i in range(12)) and all(got[i] for i in range(12))
+    assert all("free" in got[i] for i in range(100, 103)) and all(got[i] == "same All text is free" for i in range(200, 230))
+    without = {r["page_id"]: r["text"] for r in style_tree.extract(pages, low=1e-9).collect()}
+    assert all("free" in without[i] for i in range(12))
+
+
+def test_importance_equals_entropies(spark):
+    """The measures of a leaf and of the branch above it against the formulas written out."""
+    import math
+
+    texts_ = ["a", "a", "b", "c", "a", "d"]
+    pages = spark.createDataFrame([(i, "http://h/", f"<div><p>{t}</p><i>{i}</i></div>") for i, t in enumerate(texts_)], "page_id long, url string, html string")
+    got = {r["path"]: r for r in style_tree.importance(pages).collect()}
+    m, sure = 6, 5 / (5 + style_tree.PRIOR)
+    entropy = lambda counts: -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts) / math.log(m)
+    look = 1 - sure  # the sequence of children is the same on all pages
+    content = 1 - sure + sure * (1 - sum(entropy([c]) if c == 1 else entropy([1] * c) for c in (3, 1, 1, 1)) / 4)
+    weight = 1 - style_tree.GAMMA
+    leaf = (weight * look + content) / (weight + 1)
+    found = next(r for path, r in got.items() if path.endswith("/div/p"))
+    assert found["pages"] == m and abs(found["measure"] - leaf) < 1e-9
+
+
+def test_pages_without_rows_and_long_names(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert style_tree.extract(none).count() == 0
+    long = "<div class='{0}-one'><p>x</p></div><div class='{0}-two'><p>y</p></div>".format("n" * 60)
+    paths = {r["path"] for r in style_tree.importance(spark.createDataFrame([(1, "http://h/", long)], "page_id long, url string, html string")).collect()}
+    assert sum(p.endswith("/p") for p in paths) == 2
+
+
 def test_pages_of_the_table(spark, sf):
     for r in table(spark, sf, "pages").join(style_tree.extract(table(spark, sf, "pages")).select("page_id", "text"), "page_id").collect():
         article = re.search(r"<article>(.*?)(</article>|$)", r["html"] or "", re.S)
@@ -89,7 +128,6 @@ def test_shards_give_back_all_ids(spark, odd, documents):
 
     path = tokenizer_path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     for docs, size in ((odd, 7), (documents.limit(120), 3000)):
         got = {r["doc_id"]: r for r in wavelet.read_documents(wavelet.with_starts(written(wavelet.shards(docs, path, 2, shard_tokens=size), "t"))).collect()}
         at = 0
@@ -110,6 +148,29 @@ def test_wavelet_matrix(top):
     assert s.select(top + 5, 0) == -1 and s.rank(1 << 20, 3000) == 0
 
 
+def test_shards_answer_from_the_payload(spark, odd):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    docs = odd.union(odd.where("doc_id in (7, 9)")).withColumn("part", F.lit("clash"))
+    table_ = wavelet.with_starts(written(wavelet.shards(docs, path, 2, shard_tokens=40), "t"))
+    rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect()), key=lambda r: r[:2])
+    ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for _, _, t in rows]
+    flat = [x for d in ids for x in d]
+    for token in (2, flat[5], 220, 49999):
+        n = flat.count(token)
+        assert [r["n"] for r in wavelet.counts(table_, [token]).collect()] == ([n] if n else [])
+        assert wavelet.locate(table_, token).count() == n
+    found = sorted((r["doc_id"] or 0, r["position"]) for r in wavelet.locate(table_, 2).collect())
+    assert found == sorted((i, len(d) - 1) for (_, i, _), d in zip(rows, ids, strict=True))
+    places = [0, 3, len(flat) - 1, len(flat) + 9]
+    assert {r["place"]: r["token"] for r in wavelet.tokens_at(table_, places).collect()} == {p: flat[p] for p in places[:3]}
+    text = wavelet.read_documents(wavelet.with_starts(written(wavelet.shards(docs, path, 2, special_as_text=True), "t"))).where("doc_id = 11").first()
+    tokenizer.encode_special_tokens = True
+    assert text["n_tokens"] == len(tokenizer.encode("x <|endoftext|> y", add_special_tokens=False).ids) + 1
+
+
 def test_empty_shards(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert wavelet.read_documents(wavelet.with_starts(written(wavelet.shards(none, tokenizer_path("byte_bpe_50k.json"), 2), "t"))).count() == 0
@@ -157,6 +218,16 @@ def test_bpe_equals_tiktoken(spark, odd, documents):
             assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_bpe_of_long_and_whole_words(spark):
+    import tiktoken
+
+    path, rnd = tokenizer_path("byte_bpe_multi_50k.tiktoken"), random.Random(1)
+    codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    rows = [(1, "".join(rnd.choice("abcdefghij") for _ in range(100_000))), (2, "ab" * 300), (3, "a" * 5000 + " " + "é" * 400), (4, "x" * 256), (5, "x" * 257), (6, "the the of"), (6, "the")]
+    got = byte_bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash")).repartition(3), path, public_tokenizers.PATTERN, decoded=True).collect()
+    assert sorted((r["doc_id"], r["ids"], bytes(r["decoded"])) for r in got) == sorted((i, codec.encode_ordinary(t), t.encode()) for i, t in rows)
+
+
 # 5
 
 
@@ -336,15 +407,71 @@ def test_edited_items_are_found(spark):
         for p in rnd.sample([p for p, c in enumerate(cut) if c != " "], edits[i]):
             cut[p] = "z"
         docs.append((i, f"{words_run(i, 40)}\n {''.join(cut).upper()}   {words_run(i + 50, 40)}"))
-    docs += [(50, "Tiny "), (51, "tiny but more"), (52, None), (53, ""), (54, words_run(77, 300))]
+    docs += [(50, "Tiny "), (51, "(TINY) but more"), (55, "tinyish"), (52, None), (53, ""), (54, words_run(77, 300))]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find(d, b).collect()}
-    assert set(got) == {(i, i) for i in range(30) if i % 3} | {(50, 90)}
+    assert set(got) == {(i, i) for i in range(30) if i % 3} | {(50, 90), (51, 90)}
     assert all(got[i, i] <= edits[i] for i in range(30) if i % 3)
     assert sorted(r["doc_id"] for r in decontaminate.clean(d, b).collect()) == sorted(k for k, _ in docs if k not in {x for x, _ in got})
     assert decontaminate.find(d, b.limit(0)).count() == 0
 
 
+def test_several_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (200,))
+    items = [(i, words_run(3000 + i, 20)) for i in range(12)] + [(3, words_run(3000, 20))]
+    docs = spark.createDataFrame([(i, f"{words_run(i, 9)} {t}") for i, t in items[:6]] + [(50, "none")], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert sum(1 for _ in decontaminate.blocks(b)) > 1
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, b).collect()}
+    assert got == {(i, i) for i in range(6)} | {(0, 3)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, b).collect()] == [50]
+
+
+# All operators: tables without rows and columns of clashing names
+
+
+def test_empty_tables_and_clashing_columns(spark, sf):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    made = [
+        lambda d: toxicity.score(d, toxicity.train(d, labels)),
+        lambda d: toxicity.clean(d, toxicity.train(d, labels)),
+        lambda d: byte_bpe.digests(byte_bpe.encode(d, path, public_tokenizers.PATTERN, decoded=True)),
+        licences.scan,
+        lambda d: unigram.token_counts(d, tokenizer_path("piece_bpe_32k.model")),
+        line_dedup.dedup,
+        minhash.fingerprints,
+        simhash.near_duplicates,
+        lambda d: decontaminate.find(d, d.select(F.col("doc_id").alias("item_id"), "text")),
+    ]
+    for f in made:
+        assert f(none).count() == 0
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (3, None), (3, "")], "doc_id long, text string")
+    names = "starts ends _id _key _at id key hash fp rows salt component_id p_toxic severity grade rejected removed_chars toxic features words refs ids decoded chars unit position licence digest n_words n_tokens log_prob range lanes next edit item_id distance end a b bucket".split()
+    clash = docs.select("*", *[F.lit("clash").alias(n) for n in names])
+    for f in made:
+        assert f(clash).count() == f(docs).count()
+    kept = line_dedup.dedup(clash)
+    assert set(kept.columns) == set(clash.columns) and kept.where("starts <> 'clash' or _key <> 'clash'").count() == 0
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, clash.withColumn("n_chars", F.length("text").cast("long")), sf)
+        assert got.where("severity <> 'clash' or removed_chars <> 'clash' or rejected <> 'clash'").count() == 0, name
+
+
+def test_hot_keys_are_joined_in_parts(spark, monkeypatch):
+    from ethospark.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(500).select((F.col("id") % 7).alias("k"), F.col("id").alias("v")).union(spark.range(300).select(F.lit(3).cast("long"), F.col("id") + 1000))
+    groups = written(rows.groupBy("k").agg(F.count("*").alias("rows"), F.min("v").alias("least")).where("k <> 5"), "t")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, common.join_split(rows, groups, "k", "rows", how).select("k", "v", "least").collect()), key=str)
+        assert got == sorted(map(tuple, rows.join(groups.drop("rows"), "k", how).select("k", "v", "least").collect()), key=str)
+
+
 # Near duplicates of the pipeline
 
 
@@ -405,3 +532,18 @@ def test_pipeline_stages(spark, sf):
         if name != "byte_bpe":
             assert docs.columns == table(spark, sf, "documents").columns
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_components_of_a_long_shuffled_chain(spark):
+    names = random.Random(7).sample(range(10_000), 1000)
+    df = spark.createDataFrame([*zip(names, names[1:], strict=False), (20_000, 20_001)], "a long, b long")
+    found = {r[0]: r[1] for r in simhash.components(df).collect()}
+    assert {found.get(x, x) for x in names} == {min(names)} and found[20_001] == 20_000
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    import corpus_pipeline
+
+    text = words_run(1, 60)
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (2, words_run(2, 60)), (3, words_run(3, 60))], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())) == [(1, text), (2, words_run(2, 60)), (3, words_run(3, 60))]
