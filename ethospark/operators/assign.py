@@ -82,138 +82,230 @@ def match_tracks(matched: DataFrame, keys: list[str], bins: str, a: str, b: str,
     return chosen.withColumn("cross_id", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("votes").desc(), a, b)))
 
 
-def exclusive_labels(candidates: DataFrame, keys: list[str], subject: str, label: str, votes: str, start: str, end: str) -> DataFrame:
-    """Each subject gets its best label that no overlapping subject has yet; subjects of most evidence come first.
-
-    Evidence is votes plus a thousandth of the duration in seconds. Rows (keys, subject, label or null, n_conflicts).
+def exclusive_labels(groups: DataFrame, keys: list[str], subject: str, votes: str, start: str, end: str, allowed: list[str]) -> DataFrame:
+    """Each group of tracks gets its best label that no overlapping group has yet; groups of most evidence come first.
+
+    ``groups`` has a row for each subject with its ``votes`` (map of label to count) and its whole interval in
+    microseconds. Evidence is all votes for allowed labels plus a thousandth of the duration in seconds. Labels are tried by
+    votes, then those without votes in the order of ``allowed``. Rows (keys, subject, label, n_conflicts, conflicts): each conflict
+    names the label, the subject that keeps it, the overlap in microseconds and what came of it; a subject without an
+    interval or a free label is ``unknown``.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"`{subject}` {kinds[subject]}", f"`{label}` {kinds[label]}", "n_conflicts long"])
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema.fields}
+    conflict = f"array<struct<label:string,kept:{kinds[subject]},overlap_us:bigint,resolution:string>>"
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"`{subject}` {kinds[subject]}", "label string, n_conflicts long", f"conflicts {conflict}"])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(_e=frame[votes] + 0.001 * (frame[end] - frame[start]) / 1e6)
-        order = frame.groupby(subject)["_e"].max().reset_index().sort_values(["_e", subject], ascending=[False, True])[subject]
-        taken: list[tuple[str, int, int]] = []
+        rows = []
+        for s, v, a, b in zip(frame[subject], frame[votes], frame[start], frame[end], strict=True):
+            mine = {x: int(n) for x, n in dict(v or {}).items() if x in allowed}
+            known = not (pd.isna(a) or pd.isna(b))
+            rows.append((sum(mine.values()) + (0.001 * (b - a) / 1e6 if known else 0.0), s, mine, a, b, known))
+        taken: list[tuple[str, int, int, object]] = []
         out = []
-        for s in order:
-            mine = frame[frame[subject] == s].sort_values(["_e", label], ascending=[False, True])
-            chosen, conflicts = None, 0
-            for x, a, b in zip(mine[label], mine[start], mine[end], strict=True):
-                if any(x == y and a < d and c < b for y, c, d in taken):
-                    conflicts += 1
-                    continue
-                chosen = x
-                taken.append((x, a, b))
-                break
-            out.append((*[frame.iloc[0][k] for k in keys], s, chosen, conflicts))
-        return pd.DataFrame(out, columns=[*keys, subject, label, "n_conflicts"])
-
-    return candidates.select(*keys, subject, label, votes, start, end).groupBy(*keys).applyInPandas(run, schema)
+        for _, s, mine, a, b, known in sorted(rows, key=lambda r: (-r[0], r[1])):
+            label, lost = "unknown", []
+            if known:
+                for x in sorted(mine, key=lambda x: (-mine[x], allowed.index(x))) + [x for x in allowed if x not in mine]:
+                    met = [(c, d, other) for y, c, d, other in taken if x == y and c < b and a < d]
+                    if not met:
+                        label = x
+                        taken.append((x, a, b, s))
+                        break
+                    lost += [{"label": x, "kept": other, "overlap_us": int(min(b, d) - max(a, c)), "resolution": "try_next"} for c, d, other in met]
+                if label == "unknown" and lost:
+                    lost[-1]["resolution"] = "set_unknown"
+            out.append((*[frame.iloc[0][k] for k in keys], s, label, len(lost), lost))
+        return pd.DataFrame(out, columns=[*keys, subject, "label", "n_conflicts", "conflicts"])
+
+    return groups.select(*keys, subject, votes, start, end).groupBy(*keys).applyInPandas(run, schema)
 
 
 @dataclass(frozen=True)
 class StitchParams:
-    """Limits of the stitching; times in seconds."""
+    """Limits and rules of the stitching; gaps in frames of ``fps``.
+
+    ``members`` says against which members of an identity overlap and gap are checked: ``every`` one (gaps to each), the
+    ``retained`` ones of the gallery (nearest gap), or only the identity's ``last`` end. ``consistency_by`` is how a tracklet
+    is held against a gallery of three or more. With ``sequential`` a refused choice leads on to the next rule,
+    otherwise a strong local match that is refused leads straight to the forced choice, which checks nothing.
+    """
 
     n_identities: int = 4
     local: float = 0.5
     gallery: float = 0.45
-    local_gap: float = 600.0
-    identity_gap: float = 1800.0
+    local_gap: int = 600
+    identity_gap: int = 45_000
     gallery_size: int = 10
-    gap_penalty: float = 0.3
+    fps: float = 25.0
+    ramp: bool = True
+    short: int = 50
+    long: int = 100
+    short_factor: float = 1.2
+    local_penalty: float = 0.3
+    identity_penalty: float = 0.0
+    recent: bool = True
+    members: str = "every"
     consistency: float = 0.35
-
-
-def _similar(a: np.ndarray, b: np.ndarray) -> float:
-    return float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b) or 1.0))
+    consistency_by: str | None = "weighted"
+    sequential: bool = True
+
+
+_OPEN = {"local_penalty": 0.0, "recent": False, "members": "last", "consistency_by": None, "sequential": False}
+#: The rules by name; ``strict`` is the default.
+STITCHING = {
+    "plain": StitchParams(ramp=False, short_factor=1.0, **_OPEN),
+    "dynamic": StitchParams(**_OPEN),
+    "robust": StitchParams(members="retained", identity_penalty=0.4, consistency_by="median"),
+    "strict": StitchParams(),
+}
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / (np.linalg.norm(v) or 1.0)
+
+
+class _Identities:
+    """The identities under way on one camera, and the rules for joining one."""
+
+    def __init__(self, p: StitchParams, starts: list[int], ends: list[int], means: list[np.ndarray]):
+        self.p, self.starts, self.ends, self.means = p, starts, ends, means
+        self.members: list[list[int]] = []
+        self.galleries: list[list[np.ndarray]] = []
+        self.of: dict[int, int] = {}
+
+    def frames(self, us: int) -> int:
+        return math.trunc(us / 1e6 * self.p.fps)
+
+    def gap(self, i: int, k: int) -> float | None:
+        """Frames to the nearest member that counts, or None where tracklet ``i`` can't join identity ``k``."""
+        p, members = self.p, self.members[k]
+        if p.members == "last":
+            return None if self.starts[i] < max(self.ends[j] for j in members) else 0
+        checked = members[-p.gallery_size :] if p.members == "retained" else members
+        gaps = []
+        for j in checked:
+            if self.ends[i] > self.starts[j] and self.starts[i] < self.ends[j]:
+                return None
+            gaps.append(self.frames(self.starts[j] - self.ends[i] if self.ends[i] <= self.starts[j] else self.starts[i] - self.ends[j]))
+        worst = max(gaps) if p.members == "every" else min(gaps)
+        return min(gaps) if worst <= p.identity_gap else None
+
+    def likeness(self, i: int, k: int) -> float:
+        """How a tracklet's mean fits an identity's gallery; recent members weigh more, or all the same."""
+        near = [float(self.means[i] @ g) for g in self.galleries[k]]
+        return float(np.average(near, weights=np.exp(np.linspace(-0.5, 0, len(near))) if self.p.recent else None))
+
+    def consistent(self, i: int, k: int) -> bool:
+        if self.p.consistency_by is None or len(self.galleries[k]) < 3:
+            return True
+        fit = self.likeness(i, k) if self.p.consistency_by == "weighted" else float(np.median([float(self.means[i] @ g) for g in self.galleries[k]]))
+        return fit >= self.p.consistency
+
+    def join(self, i: int, k: int, check: bool = True) -> bool:
+        if check and (self.gap(i, k) is None or not self.consistent(i, k)):
+            return False
+        self.members[k].append(i)
+        self.galleries[k] = (self.galleries[k] + [self.means[i]])[-self.p.gallery_size :]
+        self.of[i] = k
+        return True
+
+    def open(self, i: int) -> None:
+        self.of[i] = len(self.members)
+        self.members.append([i])
+        self.galleries.append([self.means[i]])
 
 
 def stitch_group(frame: pd.DataFrame, p: StitchParams) -> list[int]:
-    """Identities of one camera's tracklets, given in order of start with columns start_us, end_us, head, tail, n_features.
+    """Identities of one camera's tracklets, given in order of start with columns start_us, end_us, head, tail, mean, n_features.
 
-    A tracklet joins the identity that fits best by the end of a recent tracklet (local, weighed by the gap) and by the
-    identity's gallery (recent members weigh more), where no member overlaps it or is farther away than allowed; its mean must also fit the
-    gallery once that has three members. Otherwise it opens a new identity, or, with all identities open, joins the best admissible one
-    in spite of the thresholds; without any it opens one more.
+    Local likeness is that of a tracklet's head to the tail of an earlier one that ended within ``local_gap``; scanning
+    backwards from the latest start ends at the first that is farther away. A strong one decides; else the best sum of local and gallery
+    likeness; else a new identity is opened while there are fewer than ``n_identities``; else the best is taken in spite of the
+    thresholds, and where that is refused, or no identity is admissible, one more is opened.
     """
-    members: list[list[int]] = []
-    galleries: list[list[np.ndarray]] = []
-    out: list[int] = []
-    starts, ends = frame["start_us"].tolist(), frame["end_us"].tolist()
-    heads, tails = (list(map(np.asarray, frame[c])) for c in ("head", "tail"))
-    means = [(h + t) / 2 for h, t in zip(heads, tails, strict=True)]
-
-    def gallery_score(g: list[np.ndarray], v: np.ndarray) -> float:
-        weights = np.exp(np.arange(len(g)) - (len(g) - 1.0))
-        return float(np.average([_similar(x, v) for x in g], weights=weights))
-
+    if p.n_identities <= 1:
+        return [0] * len(frame)
+    starts, ends, sizes = (frame[c].tolist() for c in ("start_us", "end_us", "n_features"))
+    heads, tails, means = ([_unit(np.asarray(v, float)) for v in frame[c]] for c in ("head", "tail", "mean"))
+    known = _Identities(p, starts, ends, means)
     for i in range(len(frame)):
-        if p.n_identities <= 1:
-            out.append(0)
+        if not known.members:
+            known.open(i)
             continue
-        open_ = []
-        for k, m in enumerate(members):
-            gaps = [max(starts[i] - ends[j], starts[j] - ends[i]) / 1e6 for j in m]
-            if all(0 <= g <= p.identity_gap for g in gaps):
-                open_.append(k)
-        local: tuple[float, int] | None = None
-        for j in sorted(range(i), key=lambda j: (-starts[j], -j)):
-            gap = (starts[i] - ends[j]) / 1e6
-            if gap < 0 or out[j] not in open_:
+        ramp = 0.8 - 0.4 * min(1.0, max(0.0, (sizes[i] - p.short) / (p.long - p.short)))
+        weight = ramp if p.ramp else 0.6
+        local, near = -1.0, None
+        for j in range(i - 1, -1, -1):
+            gap = known.frames(starts[i] - ends[j])
+            if gap < 0:
                 continue
             if gap > p.local_gap:
                 break
-            s = _similar(tails[j], heads[i]) * (1 - p.gap_penalty * gap / p.local_gap)
-            if local is None or s > local[0]:
-                local = s, out[j]
-        n = frame["n_features"].iloc[i]
-        weight = 0.8 - 0.4 * min(1.0, max(0.0, (n - 50) / 50))  # few features: trust the neighbour in time
+            s = float(tails[j] @ heads[i]) * (1 - p.local_penalty * gap / p.local_gap)
+            if s > local:
+                local, near = s, known.of[j]
         scored = []
-        for k in open_:
-            g = gallery_score(galleries[k], means[i])
-            near = local[0] if local and local[1] == k else 0.0
-            scored.append((weight * near + (1 - weight) * g, -k, g))
-        scored.sort(reverse=True)
-        fits = lambda k: len(galleries[k]) < 3 or gallery_score(galleries[k], means[i]) >= p.consistency
-        chosen = None
-        if local and local[0] >= p.local and fits(local[1]):
-            chosen = local[1]
-        if chosen is None and scored and scored[0][0] >= (weight * p.local + (1 - weight) * p.gallery) and fits(-scored[0][1]):
-            chosen = -scored[0][1]
-        if chosen is None and len(members) < p.n_identities:
-            chosen = len(members)
-        if chosen is None:
-            chosen = next((-k for _, k, _ in scored if fits(-k)), len(members))
-        if chosen == len(members):
-            members.append([])
-            galleries.append([])
-        members[chosen].append(i)
-        galleries[chosen] = (galleries[chosen] + [means[i]])[-p.gallery_size :]
-        out.append(chosen)
-    return out
+        for k in range(len(known.members)):
+            gap = known.gap(i, k)
+            if gap is None:
+                continue
+            fit = known.likeness(i, k) * (1 - p.identity_penalty * gap / p.identity_gap)
+            scored.append((weight * (local if near == k and local > 0 else 0.0) + (1 - weight) * fit, -k))
+        if not scored and p.sequential:
+            known.open(i)
+            continue
+        score, best = max(scored, default=(-1e6, 0))
+        best = -best
+        strong = near is not None and local >= p.local * (p.short_factor if sizes[i] < p.short else 1.0)
+        done = strong and known.join(i, near)
+        if not done and (p.sequential or not strong):
+            if score >= weight * p.local + (1 - weight) * p.gallery:
+                done = known.join(i, best, p.sequential)
+            if not done and len(known.members) < p.n_identities:
+                known.open(i)
+                done = True
+        if not done and not known.join(i, best, p.sequential):
+            known.open(i)
+    return [known.of[i] for i in range(len(frame))]
 
 
 def stitch(tracklets: DataFrame, keys: list[str], track: str, params: StitchParams | None = None) -> DataFrame:
-    """Rows (keys, track, stitched_id): each camera's tracklets put together to identities."""
-    p = params or StitchParams()
+    """Rows (keys, track, stitched_id): each camera's tracklets put together to identities.
+
+    ``keys`` name a camera and a night, so that a group doesn't grow with the archive. Tracklets without vectors get ids of their own after all others.
+    """
+    p = params or STITCHING["strict"]
     kinds = {f.name: f.dataType.simpleString() for f in tracklets.schema.fields}
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"`{track}` {kinds[track]}", "stitched_id int"])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["start_us", track]).reset_index(drop=True)
-        return frame[[*keys, track]].assign(stitched_id=stitch_group(frame, p))
+        usable = frame["mean"].map(lambda v: v is not None and len(v) > 0)
+        good, rest = frame[usable], frame[~usable]
+        ids = stitch_group(good.reset_index(drop=True), p)
+        first = max(ids, default=-1) + 1
+        later = [0] * len(rest) if p.n_identities <= 1 else range(first, first + len(rest))
+        return pd.concat([good[[*keys, track]].assign(stitched_id=ids), rest[[*keys, track]].assign(stitched_id=list(later))])
 
     return tracklets.groupBy(*keys).applyInPandas(run, schema)
 
 
+def stitch_windows(tracklets: DataFrame, keys: list[str], track: str, width: int, params: StitchParams | None = None) -> DataFrame:
+    """The same by windows: a tracklet belongs to the window of ``width`` microseconds that holds its start, and each window is stitched for itself.
+
+    Ids are unique within ``keys``: windows follow each other.
+    """
+    cut = tracklets.withColumn("_window", F.floor(F.col("start_us") / width))
+    found = stitch(cut, [*keys, "_window"], track, params)
+    most = found.groupBy(*keys, "_window").agg((F.max("stitched_id") + 1).alias("_n"))
+    before = most.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_window")) - F.col("_n")).drop("_n")
+    return found.join(before, [*keys, "_window"]).select(*keys, track, (F.col("stitched_id") + F.col("_before")).cast("int").alias("stitched_id"))
+
+
 def rerank_labels(counts: dict[int, dict[str, int]], labels: list[str]) -> dict[int, str]:
     """One label for each of a few identities: the assignment of most votes in total, ties in the labels' order."""
     ids = sorted(counts)
     votes = np.array([[counts[i].get(x, 0) for x in labels] for i in ids], float)
     bonus = np.array([[(len(labels) - n) * 1e-6 / (k + 1) for n in range(len(labels))] for k in range(len(ids))])
     return {ids[i]: labels[j] for i, j in hungarian(-(votes + bonus))}
-
-
-def gap_frames(seconds: float, fps: float = 25.0) -> int:
-    return math.trunc(seconds * fps)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ethospark.operators.graph import checkpointed
 from ethospark.operators.joins import dense_grid
 
 
@@ -47,18 +48,20 @@ def reload_intervals(existing: DataFrame, new: DataFrame, start: str, end: str,
     return existing.where(~((F.col(start) < last) & (F.col(end) > first))).unionByName(new)
 
 
-def surrogate_ids(df: DataFrame, order: list[str], name: str = "id", groups: int = 64) -> DataFrame:
-    """Consecutive ids from 1 in the order of a natural key, the same in every run.
+def surrogate_ids(df: DataFrame, order: list[str], name: str = "id", groups: int | None = None) -> DataFrame:
+    """Consecutive ids from 1 in the order of a natural key, the same in every run; rows with equal keys are told apart by all their columns.
 
     Rows are numbered within ranges of the key, then each range is moved up by the number of rows before it: no task
-    sees all rows.
+    sees all rows. The dealt rows are checkpointed, as the bounds of ranges are sampled anew in every evaluation.
     """
-    ranged = df.repartitionByRange(groups, *order).sortWithinPartitions(*order)
-    marked = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
-    numbered = marked.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_place")))
+    rest = [c for c in df.columns if c not in order]
+    keys = [*order, F.xxhash64(*rest)] if rest else order
+    dealt = df.repartitionByRange(groups, *keys) if groups else df.repartitionByRange(*keys)
+    marked = checkpointed(dealt.withColumn("_part", F.spark_partition_id()))
+    numbered = marked.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
     sizes = marked.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col("_n") + F.col("_before")).drop("_part", "_place", "_n", "_before")
+    return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
 
 
 def night_write(df: DataFrame, path: str, partition: str = "night") -> None:

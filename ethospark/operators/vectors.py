@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A gallery is broadcast up to this many rows; beyond, blocks of it meet the queries one after the other.
-GALLERY_ROWS = 50_000
+#: Rows of a block of queries or of the gallery.
+BLOCK = 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,20 +28,37 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def top_k(queries: DataFrame, gallery: DataFrame, k: int, vec: str = "embedding", query_id: str = "query_id", gallery_id: str = "gallery_id") -> DataFrame:
-    """Rows (query_id, gallery_id, similarity, rank): the ``k`` most similar gallery rows of each query; ties by gallery id.
+    """Rows (query_id, gallery_id, similarity, rank): the ``k`` most similar gallery rows of each query, itself left out; ties by gallery id.
 
-    The gallery is a labelled reference set; its size is checked. Each block of it is broadcast to all queries, which
-    keep their best ``k`` of each block, so nothing but queries' candidates is shuffled.
+    Both sides are dealt into blocks of ``BLOCK`` rows, and every pair of blocks is a task of its own: one product of two
+    matrices, of which each query's best ``k`` leave the task. Nothing is collected or broadcast, and no task grows with the tables.
     """
-    n = gallery.count()
-    blocks = max(1, -(-n // GALLERY_ROWS))
-    side = gallery.select(F.col(gallery_id), F.col(vec).alias("_g"), norm(F.col(vec)).alias("_gn"), F.pmod(F.xxhash64(gallery_id), F.lit(blocks)).alias("_block"))
-    left = queries.select(F.col(query_id), F.col(vec).alias("_q"), norm(F.col(vec)).alias("_qn"))
-    found = None
-    for b in range(blocks):
-        pairs = left.join(F.broadcast(side.where(F.col("_block") == b)), F.lit(True))
-        scored = pairs.select(query_id, gallery_id, (dot(F.col("_q"), F.col("_g")) / (F.col("_qn") * F.col("_gn"))).alias("similarity"))
-        found = scored if found is None else found.unionByName(scored)
+    blocks = [max(1, -(-df.count() // BLOCK)) for df in (queries, gallery)]
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(query_id, F.col(vec).alias("v")).withColumn("_q", own(query_id, blocks[0])).withColumn("_g", each(blocks[1]))
+    right = gallery.select(gallery_id, F.col(vec).alias("v")).withColumn("_g", own(gallery_id, blocks[1])).withColumn("_q", each(blocks[0]))
+    kinds = [queries.schema[query_id].dataType.simpleString(), gallery.schema[gallery_id].dataType.simpleString()]
+
+    def matrix(frame: pd.DataFrame) -> np.ndarray:
+        m = np.stack(frame["v"].map(lambda x: np.asarray(x, np.float64)).tolist())
+        return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = [query_id, gallery_id, "similarity"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({n: [] for n in names})
+        b = b.sort_values(gallery_id).reset_index(drop=True)
+        near, ids = matrix(a) @ matrix(b).T, b[gallery_id].to_numpy()
+        out = []
+        for q, row in zip(a[query_id].tolist(), near, strict=True):
+            order = np.argsort(-row, kind="stable")
+            order = order[ids[order] != q][:k]
+            out.append(pd.DataFrame({query_id: q, gallery_id: ids[order], "similarity": row[order]}))
+        return pd.concat(out)
+
+    pairs = left.groupBy("_q", "_g").cogroup(right.groupBy("_q", "_g"))
+    found = pairs.applyInPandas(run, f"`{query_id}` {kinds[0]}, `{gallery_id}` {kinds[1]}, similarity double")
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), F.col(gallery_id))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

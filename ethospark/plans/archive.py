@@ -62,16 +62,16 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-def jsonl_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of nested JSON by an explicit schema."""
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT o_orderkey, unnest(list_transform(generate_series(0, 4), lambda i: round(o_totalprice * (i + 0.5) / 5, 6))) AS at FROM orders WHERE o_orderkey % 10 = 1")
+@query("SELECT o_orderkey, unnest(list_transform(generate_series(0, 4), lambda i: round(o_totalprice * (i + 0.5) / 5, 6))) AS at FROM orders")
 def sample_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where to look into a video first."""
     times = archive.segment_midpoints(F.col("o_totalprice"), 5)
-    return table(spark, sf_dir, "orders").where("o_orderkey % 10 = 1").select("o_orderkey", F.explode(times).alias("at")).select("o_orderkey", F.round("at", 6).alias("at"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(times).alias("at")).select("o_orderkey", F.round("at", 6).alias("at"))
 
 
 @query(f"""WITH {OBS}, s AS (SELECT subject, us / 1e6 AS t, label = 'purchase' AS hit FROM obs), h AS (SELECT *, CASE WHEN t - lag(t) OVER w <= {1.5 * 6 * 3600} THEN 0 ELSE 1 END AS fresh FROM s WHERE hit WINDOW w AS (PARTITION BY subject ORDER BY t)),
@@ -93,13 +93,13 @@ def append_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.append_unique(pages.where("page_id % 2 = 1"), pages.where("page_id % 2 = 0"), ["url"], [F.col("page_id")])
 
 
-@query(f"""WITH v AS (SELECT user_id % 4 AS camera, event_id, epoch_us(ts) AS a, epoch_us(ts) + {2 * H} AS b FROM events), w AS (SELECT event_id AS event, user_id % 4 AS camera, epoch_us(ts) AS c, epoch_us(ts) + {H} AS d FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0)
+@query(f"""WITH v AS (SELECT user_id % 4 AS camera, event_id, epoch_us(ts) AS a, epoch_us(ts) + {2 * H} AS b FROM events), w AS (SELECT event_id AS event, user_id % 4 AS camera, epoch_us(ts) AS c, epoch_us(ts) + {H} AS d FROM events WHERE event_type = 'purchase')
 SELECT event, count(DISTINCT event_id) AS n_videos, string_agg(DISTINCT event_id::VARCHAR, ';' ORDER BY event_id::VARCHAR) AS videos FROM v JOIN w ON v.camera = w.camera AND a < d AND c < b GROUP BY event""")
 def event_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The videos of each event."""
     obs = observations(spark, sf_dir).withColumn("camera", F.col("subject") % 4)
     videos = obs.select("camera", F.col("event_id").cast("string").alias("path"), F.col("us").alias("start_us"), (F.col("us") + 2 * HOUR).alias("end_us"))
-    windows = obs.where("label = 'purchase' and event_id % 5 = 0").select("camera", F.col("event_id").alias("event"), F.col("us").alias("from_us"), (F.col("us") + HOUR).alias("to_us"))
+    windows = obs.where("label = 'purchase'").select("camera", F.col("event_id").alias("event"), F.col("us").alias("from_us"), (F.col("us") + HOUR).alias("to_us"))
     return archive.manifest(archive.overlapping_videos(videos, windows, ["camera"]), ["event"], "path")
 
 
@@ -109,11 +109,11 @@ def prune_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.prune_similar(observations(spark, sf_dir), "subject", "value", "event_id", 15, 20).select("event_id")
 
 
-@query("""WITH p AS (SELECT trunc(value / 10)::INT AS u, (event_id % 16)::INT AS v, count(*) AS n FROM events WHERE value < 200 GROUP BY ALL), o AS (SELECT unnest(generate_series(-2, 2)) AS d)
+@query("""WITH p AS (SELECT trunc(value / 10)::INT AS u, (event_id % 16)::INT AS v, count(*) AS n FROM events GROUP BY ALL), o AS (SELECT unnest(generate_series(-2, 2)) AS d)
 SELECT u + a.d AS u, v + b.d AS v, round(sum(n * exp(-(a.d * a.d + b.d * b.d) / 8.0)), 6) AS weight FROM p, o a, o b WHERE u + a.d BETWEEN 0 AND 19 AND v + b.d BETWEEN 0 AND 15 GROUP BY u + a.d, v + b.d""")
 def coverage_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raster of blots around positions."""
-    points = observations(spark, sf_dir).where("value < 200").select((F.col("value") / 10).alias("x"), (F.col("event_id") % 16).alias("y"))
+    points = observations(spark, sf_dir).select((F.col("value") / 10).alias("x"), (F.col("event_id") % 16).alias("y"))
     out = archive.coverage(points, "x", "y", 20, 16, 2, 2.0)
     return out.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.round("weight", 6).alias("weight"))
 
@@ -128,8 +128,9 @@ def zone_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", geometry.in_polygon(F.col("x"), F.col("y"), ZONE).alias("inside"))
 
 
-@query("""WITH q AS (SELECT label, vec_id % 6 AS day, vec_id FROM embeddings) SELECT label, count(DISTINCT day) AS n_days, count(*) AS n_rows FROM q GROUP BY label""")
+@query("""WITH q AS (SELECT label, count(DISTINCT vec_id % 6) AS days, count(*) AS n FROM embeddings GROUP BY label) SELECT label, days // 2 AS query_days, days - days // 2 AS gallery_days, n AS n_rows FROM q WHERE days > 1""")
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A split by half the dates of each label loses no row of labels with several dates."""
+    """A split of each label's dates: the lesser half are queries, the rest is the gallery, and no date is in both."""
     e = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 6).alias("day"), "vec_id")
-    return archive.half_dates_split(e, "label", "day", 7).groupBy("label").agg(F.count_distinct("day").alias("n_days"), F.count("*").alias("n_rows"))
+    days = lambda part: F.count_distinct(F.when(F.col("part") == part, F.col("day")))
+    return archive.half_dates_split(e, "label", "day", 7).groupBy("label").agg(days("query").alias("query_days"), days("gallery").alias("gallery_days"), F.count("*").alias("n_rows"))

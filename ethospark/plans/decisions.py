@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ethospark.functions.time import HOUR, floor_to
+from ethospark.functions.time import DAY, HOUR, floor_to
 from ethospark.operators import assign, graph
-from ethospark.plans.base import BOUTS, gap_bouts, observations, query, table
+from ethospark.plans.base import BOUTS, OBS, gap_bouts, observations, query, table
 from ethospark.streaming import live
 
 
@@ -34,30 +34,52 @@ def track_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.match_tracks(matched, ["room"], "bin_us", "a", "b", "distance", 2)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 10000000 AS b FROM lineitem WHERE l_orderkey % 50 = 1), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(id, component) AS (SELECT a, a FROM both_ UNION SELECT b.b, r.component FROM r JOIN both_ b ON b.a = r.id WHERE r.component < b.b)
-SELECT id, min(component) AS component FROM r GROUP BY id""")
+@query(f"""WITH {OBS}, m AS (SELECT *, CASE WHEN us - lag(us) OVER w <= {6 * HOUR} THEN 0 ELSE 1 END AS fresh FROM obs WINDOW w AS (PARTITION BY subject ORDER BY us, event_id)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY subject ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS block FROM m)
+SELECT event_id AS id, component FROM (SELECT event_id, min(event_id) OVER w AS component, count(*) OVER w AS n FROM n WINDOW w AS (PARTITION BY subject, block)) WHERE n > 1""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of links."""
-    edges = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 1").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b")).distinct()
-    return graph.components(edges)
+    """Connected components of links: chains of rows of a subject that follow each other within six hours."""
+    w = Window.partitionBy("subject").orderBy("us", "event_id")
+    obs = observations(spark, sf_dir).withColumn("before", F.lag(F.struct("us", "event_id")).over(w))
+    return graph.components(obs.where(F.col("us") - F.col("before.us") <= 6 * HOUR).select(F.col("event_id").alias("a"), F.col("before.event_id").alias("b")))
 
 
 @query()
 def strict_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exclusive labels for subjects that are present at the same time."""
-    bouts = gap_bouts(spark, sf_dir).withColumn("room", F.col("subject") % 10)
-    candidates = bouts.groupBy("room", "subject", "label").agg(F.sum("n_rows").alias("votes"), F.min("start_us").alias("start_us"), (F.min("start_us") + 24 * HOUR).alias("end_us"))
-    return assign.exclusive_labels(candidates, ["room"], "subject", "label", "votes", "start_us", "end_us")
+    """Exclusive labels for the groups that are in a room in one night at the same time."""
+    bouts = gap_bouts(spark, sf_dir).withColumn("room", F.col("subject") % 10).withColumn("night", F.floor(F.col("start_us") / DAY))
+    tally = bouts.groupBy("room", "night", "subject", "label").agg(F.sum("n_rows").alias("n"), F.min("start_us").alias("a"), F.max("end_us").alias("b"))
+    groups = tally.groupBy("room", "night", "subject").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("votes"), F.min("a").alias("start_us"), F.max("b").alias("end_us"))
+    return assign.exclusive_labels(groups, ["room", "night"], "subject", "votes", "start_us", "end_us", ["view", "click", "purchase"])
 
 
-@query()
-def stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracklets of each camera put together to identities."""
+def _tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracklets of eight cameras by hour: those of a camera begin 40 s apart."""
     e = table(spark, sf_dir, "embeddings")
     start = F.col("vec_id") * 40_000_000
-    tracklets = e.select((F.col("vec_id") % 8).cast("int").alias("camera"), F.col("vec_id").alias("track"), start.alias("start_us"), (start + 90_000_000 + F.col("label") * 10_000_000).alias("end_us"), F.col("embedding").alias("head"), F.col("embedding").alias("tail"), (F.lit(40) + F.col("vec_id") % 80).alias("n_features"))
-    return assign.stitch(tracklets, ["camera"], "track")
+    turned = F.concat(F.slice("embedding", 5, 60), F.slice("embedding", 1, 4))  # another vector of the track
+    rows = e.select((F.col("vec_id") % 8).cast("int").alias("camera"), F.floor(start / (8 * HOUR)).alias("night"), F.col("vec_id").alias("track"), start.alias("start_us"), (start + 90_000_000 + F.col("label") * 10_000_000).alias("end_us"), F.col("embedding").alias("head"), turned.alias("tail"), (F.lit(40) + F.col("vec_id") % 80).alias("n_features"))
+    return rows.withColumn("mean", F.zip_with("head", "tail", lambda x, y: (x + y) / 2))
+
+
+@query()
+def stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracklets of each camera and night put together to identities, by the strict rules."""
+    return assign.stitch(_tracklets(spark, sf_dir), ["camera", "night"], "track")
+
+
+@query()
+def stitch_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the plain, the dynamic and the robust rules."""
+    rows = _tracklets(spark, sf_dir)
+    found = [assign.stitch(rows, ["camera", "night"], "track", assign.STITCHING[v]).withColumn("variant", F.lit(v)) for v in ("plain", "dynamic", "robust")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query()
+def stitch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same window by window, without a limit on an identity's gaps."""
+    return assign.stitch_windows(_tracklets(spark, sf_dir), ["camera", "night"], "track", HOUR, assign.StitchParams(identity_gap=2**62))
 
 
 @query(f"""WITH {BOUTS}, c AS (SELECT subject, label, sum(n_rows) AS n FROM bouts WHERE label IN ('click', 'view') GROUP BY ALL), p AS (SELECT subject // 2 AS pair, max(CASE WHEN subject % 2 = 0 AND label = 'click' THEN n ELSE 0 END) AS a1, max(CASE WHEN subject % 2 = 0 AND label = 'view' THEN n ELSE 0 END) AS a2,
@@ -71,18 +93,18 @@ def label_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("pair", F.when(straight, "click").otherwise("view").alias("first_label"), F.when(straight, "view").otherwise("click").alias("second_label"))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, str]:
+def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     name = f"live_{uuid.uuid4().hex}"
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
     events = live.detections(spark, f"{sf_dir}/events.parquet*", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
-    return events.withColumn("time", F.col("ts").cast("timestamp")), name, f"{root}/{name}"
+    return events.withColumn("time", F.col("ts").cast("timestamp")), f"{root}/{name}"
 
 
 @query("SELECT event_type AS label, time_bucket(INTERVAL 6 HOURS, ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts in tumbling windows of a stream."""
-    events, name, path = _stream(spark, sf_dir)
-    out = live.drain(live.tumbling(events, "time", ["event_type"], "6 hours", "60 days"), name, "complete", path)
+    events, path = _stream(spark, sf_dir)
+    out = live.drain(live.tumbling(events, "time", ["event_type"], "6 hours", "60 days"), path, "complete")
     return out.select(F.col("event_type").alias("label"), F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
@@ -90,8 +112,8 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT user_id AS track, min(ts) AS opened, max(ts) AS last_seen, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks of a stream, opened and closed by pauses."""
-    events, name, path = _stream(spark, sf_dir)
-    out = live.drain(live.sessions(events, "time", ["user_id"], "6 hours", "60 days"), name, "complete", path)
+    events, path = _stream(spark, sf_dir)
+    out = live.drain(live.sessions(events, "time", ["user_id"], "6 hours", "60 days"), path, "complete")
     return out.select(F.col("user_id").alias("track"), F.col("opened").cast("timestamp_ntz").alias("opened"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n")
 
 
@@ -99,8 +121,8 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id AS track, event_type AS identity, n AS n_votes FROM r WHERE k = 1 AND n >= 3 AND n / (n + second) > 0.55""")
 def stream_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities that the votes of a stream decide, with state for each track."""
-    events, name, path = _stream(spark, sf_dir)
-    out = live.drain(live.votes(events, "user_id", "event_type", ratio=0.55), name, "update", path)
+    events, path = _stream(spark, sf_dir)
+    out = live.drain(live.votes(events, "user_id", "event_type", ratio=0.55), path, "update")
     last = out.groupBy("user_id").agg(F.max_by(F.struct("identity", "n_votes"), "n_votes").alias("v"))
     return last.select(F.col("user_id").alias("track"), "v.identity", "v.n_votes")
 

@@ -72,14 +72,14 @@ def snap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.snaps(observations(spark, sf_dir), KEYS, "us", ORDER, 6 * HOUR, HOUR, 12 * HOUR).select("subject", "start_us", "end_us", "n_merged")
 
 
-OVERLAP_SQL = f"""WITH {BOUTS}, long AS (SELECT *, subject % 10 AS room, start_us AS a, end_us + {6 * H} AS b FROM bouts WHERE subject < 60)
+OVERLAP_SQL = f"""WITH {BOUTS}, long AS (SELECT *, subject % 10 AS room, start_us AS a, end_us + {6 * H} AS b FROM bouts)
 SELECT x.subject AS subject, y.subject AS other, (sum(least(x.b, y.b) - greatest(x.a, y.a)))::BIGINT AS overlap_us FROM long x JOIN long y ON x.room = y.room AND x.subject < y.subject AND x.a < y.b AND y.a < x.b GROUP BY ALL"""
 
 
 @query(OVERLAP_SQL)
 def overlap_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How long the intervals of two subjects in one room overlap."""
-    long = gap_bouts(spark, sf_dir).where("subject < 60").select((F.col("subject") % 10).alias("room"), "subject", F.col("start_us").alias("a"), (F.col("end_us") + 6 * HOUR).alias("b"))
+    long = gap_bouts(spark, sf_dir).select((F.col("subject") % 10).alias("room"), "subject", F.col("start_us").alias("a"), (F.col("end_us") + 6 * HOUR).alias("b"))
     other = long.select("room", F.col("subject").alias("other"), F.col("a").alias("c"), F.col("b").alias("d"))
     met = joins.overlaps(long, other, ["room"], "a", "b", "c", "d", 12 * HOUR).where("subject < other")
     return met.groupBy("subject", "other").agg(F.sum("overlap_us").alias("overlap_us"))

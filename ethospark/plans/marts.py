@@ -121,11 +121,11 @@ def delete_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.reload_intervals(bouts, new, "start_us", "end_us", first, first + 14 * HOUR)
 
 
-@query("""SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS id FROM orders""")
+@query("""SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS id FROM orders""")
 def surrogate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive ids in the order of a natural key."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return marts.surrogate_ids(orders, ["o_custkey", "o_orderkey"], groups=8).select("o_orderkey", "o_custkey", "id")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return marts.surrogate_ids(orders, ["o_custkey", "o_orderkey"]).select("o_orderkey", "o_custkey", "o_totalprice", "id")
 
 
 @query("""SELECT c_custkey, n_name, r_name, count(o_orderkey) AS n_orders FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey

@@ -10,14 +10,15 @@ from ethospark.operators import evaluate, vectors
 from ethospark.plans.base import BOUTS, OBS, H, gap_bouts, observations, query, table
 
 SIM = "list_dot_product(q.embedding::DOUBLE[], g.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(g.embedding::DOUBLE[], g.embedding::DOUBLE[])))"
-RANKED = f"""pairs AS (SELECT q.vec_id AS query_id, g.vec_id AS gallery_id, q.label AS own, g.label AS other, {SIM} AS similarity FROM embeddings q JOIN embeddings g ON q.vec_id % 20 = 0 AND g.vec_id % 2 = 1),
+RANKED = f"""pairs AS (SELECT q.vec_id AS query_id, g.vec_id AS gallery_id, q.label AS own, g.label AS other, {SIM} AS similarity FROM embeddings q JOIN embeddings g ON q.vec_id % 50 = 0 AND g.vec_id <> q.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, gallery_id) AS rank FROM pairs)"""
 
 
 def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The queries are the rows whose id is divisible by 50, the gallery all rows but the query itself."""
     e = table(spark, sf_dir, "embeddings")
-    gallery = e.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "gallery_id")
-    found = vectors.top_k(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), gallery, k)
+    gallery = e.withColumnRenamed("vec_id", "gallery_id")
+    found = vectors.top_k(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), gallery, k)
     own, other = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), gallery.select("gallery_id", F.col("label").alias("other"))
     return found.join(own, "query_id").join(other, "gallery_id")
 

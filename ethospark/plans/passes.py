@@ -81,9 +81,3 @@ def individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A diverse buffer of each track's frames."""
     return grouping.keyframes(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", 10, 0.5)
-
-
-@query(f"WITH {BOUTS} SELECT subject, run, label FROM bouts WHERE label = 'view' AND n_rows > 1")
-def kept_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bouts of one label with more than a row."""
-    return gap_bouts(spark, sf_dir).where("label = 'view' and n_rows > 1").select("subject", "run", "label")

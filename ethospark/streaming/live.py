@@ -55,11 +55,21 @@ def votes(stream: DataFrame, key: str, label: str, least: int = 3, ratio: float
     return stream.groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, identity string, n_votes long", "names array<string>, counts array<long>, decided string", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what there is and returns its result as a table in memory: for tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """Runs a stream over what there is and returns its result, read back from ``path`` in a folder that all nodes share.
+
+    Each batch writes its rows under its own number, so a batch that is run again replaces what it wrote. In the mode
+    ``complete`` the last batch is the result, in the others all batches are.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch long").parquet(f"{path}/rows")
+    return (rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]) if mode == "complete" else rows).drop("batch")
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ethospark.functions import geometry, text
 from ethospark.functions.time import HOUR, clock_text, in_clock_window
-from ethospark.llm import simhash
 from ethospark.operators import archive, assign, evaluate, graph, islands, joins, marts, smooth, timeline, vectors
 
 S = 1_000_000
@@ -88,7 +87,7 @@ def test_stitched_chains_do_not_overlap():
     base = rnd.normal(size=(3, 8))
     start = np.sort(rnd.integers(0, 4000, 60)) * S
     v = [base[i % 3] + rnd.normal(scale=0.2, size=8) for i in range(60)]
-    frame = pd.DataFrame({"start_us": start, "end_us": start + rnd.integers(30, 300, 60) * S, "head": v, "tail": v, "n_features": 60})
+    frame = pd.DataFrame({"start_us": start, "end_us": start + rnd.integers(30, 300, 60) * S, "head": v, "tail": v, "mean": v, "n_features": 60})
     ids = assign.stitch_group(frame, assign.StitchParams())
     for k in set(ids):
         own = frame[[x == k for x in ids]].sort_values("start_us")
@@ -96,10 +95,110 @@ def test_stitched_chains_do_not_overlap():
     assert assign.stitch_group(frame, assign.StitchParams(n_identities=1)) == [0] * 60
 
 
+def strict_ids(f: pd.DataFrame, most: int) -> list[int]:
+    """The strict rules, written down plainly: 25 frames a second, 600 frames local, 45,000 within an identity."""
+    unit = lambda v: np.asarray(v) / np.linalg.norm(v)
+    ids: dict[int, list[int]] = {}
+    out: list[int] = []
+
+    def ok(i, k):
+        for j in ids[k]:
+            apart = f.start_us[j] - f.end_us[i] if f.end_us[i] <= f.start_us[j] else f.start_us[i] - f.end_us[j]
+            if apart < 0 or int(apart / 1e6 * 25) > 45000:
+                return False
+        return True
+
+    def gallery(i, k):
+        near = [unit(f["mean"][i]) @ unit(f["mean"][j]) for j in ids[k][-10:]]
+        w = np.exp(np.linspace(-0.5, 0, len(near)))
+        return float(near @ w / w.sum())
+
+    def add(i, k):
+        if not ok(i, k) or len(ids[k]) >= 3 and gallery(i, k) < 0.35:
+            return False
+        ids[k].append(i)
+        out.append(k)
+        return True
+
+    def new(i):
+        out.append(len(ids))
+        ids[len(ids)] = [i]
+
+    for i in range(len(f)):
+        n = f.n_features[i]
+        w = 0.8 if n < 50 else 0.4 if n > 100 else 0.8 - 0.4 * (n - 50) / 50
+        best, mine = -1.0, None
+        for j in reversed(range(i)):
+            gap = int((f.start_us[i] - f.end_us[j]) / 1e6 * 25)
+            if gap > 600:
+                break
+            if gap >= 0 and (s := unit(f["tail"][j]) @ unit(f["head"][i]) * (1 - 0.3 * gap / 600)) > best:
+                best, mine = s, out[j]
+        scores = {k: w * (best if mine == k and best > 0 else 0) + (1 - w) * gallery(i, k) for k in ids if ok(i, k)}
+        if not scores:
+            new(i)
+            continue
+        top = max(scores, key=lambda k: (scores[k], -k))
+        if mine is not None and best >= 0.5 * (1.2 if n < 50 else 1) and add(i, mine):
+            continue
+        if scores[top] >= w * 0.5 + (1 - w) * 0.45 and add(i, top):
+            continue
+        if len(ids) < most or not add(i, top):
+            new(i)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_strict_stitching_equals_the_plain_rules(seed):
+    rnd = np.random.default_rng(seed)
+    base = rnd.normal(size=(4, 6))
+    start = np.sort(rnd.integers(0, 9000, 80)) * S
+    v = lambda: [base[i % 4] + rnd.normal(scale=0.9, size=6) for i in range(80)]
+    frame = pd.DataFrame({"start_us": start, "end_us": start + rnd.integers(20, 200, 80) * S, "head": v(), "tail": v(), "mean": v(), "n_features": rnd.integers(20, 130, 80)})
+    assert assign.stitch_group(frame, assign.StitchParams()) == strict_ids(frame, 4)
+    for name, p in assign.STITCHING.items():
+        ids = assign.stitch_group(frame, p)
+        assert len(ids) == 80 and set(ids) == set(range(max(ids) + 1)), name
+
+
+def test_stitching_variants_differ_where_they_should():
+    one, other = np.array([1.0, 0.0]), np.array([0.0, 1.0])
+    f = lambda times, vs: pd.DataFrame({"start_us": [a * S for a, _ in times], "end_us": [b * S for _, b in times], "head": vs, "tail": vs, "mean": vs, "n_features": 120})
+    # The second overlaps the first, the third matches the first's tail while the identity's last end is later.
+    far = f([(0, 100), (2000, 2100), (3000, 3100)], [one, one, one])
+    assert assign.stitch_group(far, assign.STITCHING["strict"]) == [0, 1, 1]  # more than 30 minutes to the first
+    assert assign.stitch_group(far, assign.STITCHING["dynamic"]) == [0, 0, 0]
+    both = f([(0, 100), (50, 150)], [one, other])
+    assert {n: assign.stitch_group(both, p) for n, p in assign.STITCHING.items()} == {"plain": [0, 1], "dynamic": [0, 1], "robust": [0, 1], "strict": [0, 1]}
+    crowded = assign.StitchParams(**{**assign.STITCHING["plain"].__dict__, "n_identities": 2})
+    assert assign.stitch_group(f([(0, 100), (10, 90), (20, 80)], [one, other, one]), crowded) == [0, 1, 0]  # forced, unchecked
+
+
 def test_exclusive_labels_hold_at_all_times(spark):
-    data = [("r", 1, "x", 9, 0, 100), ("r", 1, "y", 1, 0, 100), ("r", 2, "x", 8, 50, 150), ("r", 2, "y", 2, 50, 150), ("r", 3, "x", 1, 200, 300)]
-    df = spark.createDataFrame(data, "room string, s int, label string, votes long, a long, b long")
-    assert rows(assign.exclusive_labels(df, ["room"], "s", "label", "votes", "a", "b"), "s", "label", "n_conflicts") == [(1, "x", 0), (2, "y", 1), (3, "x", 0)]
+    data = [("r", 1, {"x": 9, "y": 1}, 0, 100), ("r", 2, {"x": 8, "y": 2, "foreign": 99}, 50, 150), ("r", 3, {"x": 1}, 200, 300), ("r", 4, {}, 60, 90), ("r", 5, None, 210, 220), ("r", 6, {"x": 1}, None, None)]
+    df = spark.createDataFrame(data, "room string, s int, votes map<string,int>, a long, b long")
+    out = assign.exclusive_labels(df, ["room"], "s", "votes", "a", "b", ["x", "y"])
+    assert rows(out, "s", "label", "n_conflicts") == [(1, "x", 0), (2, "y", 1), (3, "x", 0), (4, "unknown", 2), (5, "y", 1), (6, "unknown", 0)]
+    assert [(c["label"], c["kept"], c["overlap_us"], c["resolution"]) for c in out.where("s = 4").first()["conflicts"]] == [("x", 1, 30, "try_next"), ("y", 2, 30, "set_unknown")]
+
+
+def test_surrogate_ids_with_other_columns_and_repeated_keys(spark):
+    df = spark.range(3000).select((F.col("id") % 700).alias("k"), F.col("id").alias("v"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("t"))
+    got = marts.surrogate_ids(df, ["k"], groups=7).collect()
+    assert sorted(r["id"] for r in got) == list(range(1, 3001))
+    assert [r["k"] for r in sorted(got, key=lambda r: r["id"])] == sorted(i % 700 for i in range(3000))
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    rnd = np.random.default_rng(3)
+    m = rnd.normal(size=(40, 5))
+    m[8] = m[9]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "gallery_id int, embedding array<float>")
+    unit = m.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got = rows(vectors.top_k(df.withColumnRenamed("gallery_id", "query_id"), df, 3), "query_id", "rank", "gallery_id")
+    assert got == [(q, r + 1, int(g)) for q in range(40) for r, g in enumerate(sorted((x for x in range(40) if x != q), key=lambda x: (-round(unit[q] @ unit[x], 9), x))[:3])]
 
 
 def test_reranked_labels():
@@ -112,11 +211,10 @@ def test_components_of_a_path_and_a_pair(spark):
     assert rows(graph.components(df), "id", "component") == [(i, 1) for i in range(1, 41)] + [(100, 100), (101, 100)]
 
 
-@pytest.mark.parametrize("components", [graph.components, simhash.components])
-def test_components_of_a_long_shuffled_chain(spark, components):
+def test_components_of_a_long_shuffled_chain(spark):
     names = random.Random(7).sample(range(10_000), 1000)
     df = spark.createDataFrame([*zip(names, names[1:], strict=False), (20_000, 20_001)], "a long, b long")
-    found = {r[0]: r[1] for r in components(df).collect()}
+    found = {r[0]: r[1] for r in graph.components(df).collect()}
     assert {found.get(x, x) for x in names} == {min(names)} and found[20_001] == 20_000
 
 
