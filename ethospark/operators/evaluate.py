@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -94,3 +94,52 @@ def least_squares(df: DataFrame, y: str, factor: str) -> dict[str, float]:
     r2 = 1 - left / total
     likelihood = -n / 2 * (math.log(2 * math.pi) + math.log(left / n) + 1)
     return {"n": float(n), "r2": r2, "r2_adjusted": 1 - (1 - r2) * (n - 1) / (n - p), "f": (total - left) / (p - 1) / (left / (n - p)) if p > 1 else float("nan"), "aic": 2 * p - 2 * likelihood, "bic": p * math.log(n) - 2 * likelihood}
+
+
+def clock_interval(date: Column, clock: Column, begins: int = 18) -> Column:
+    """The time, in microseconds, of a clock text (HH:mm:ss) in the night that began on a date: before ``begins`` o'clock it is the next day's."""
+    parts = F.transform(F.split(clock, ":"), lambda x: x.cast("long"))
+    seconds = F.get(parts, 0) * 3600 + F.get(parts, 1) * 60 + F.get(parts, 2)
+    return F.unix_micros(date.cast("timestamp_ntz").cast("timestamp")) + (seconds + F.when(F.get(parts, 0) < begins, 86400).otherwise(0)) * 1_000_000
+
+
+def truth_intervals(df: DataFrame, date: str, start: str, end: str, first: Column, last: Column) -> DataFrame:
+    """Ground truth with clock times as intervals start_us, end_us, clipped to the night [first, last]; empty ones are left out."""
+    rows = df.withColumn("start_us", F.greatest(clock_interval(F.col(date), F.col(start)), first)).withColumn("end_us", F.least(clock_interval(F.col(date), F.col(end)), last))
+    return rows.where("start_us < end_us")
+
+
+def with_truth(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Predictions with the ground truth of the same file; others are left out."""
+    return predicted.join(truth, keys)
+
+
+def bouts_where(df: DataFrame, condition: Column, keys: list[str], us: str, order: list[str], dt: int, gap: float = 2.5) -> DataFrame:
+    """Rows (keys, start_us, end_us, n_rows, hours): when a condition held (a wrong identity, a behaviour that isn't excluded, a predicted one).
+
+    Bouts break at pauses of more than ``gap`` intervals ``dt``; a bout of n rows lasts n * dt and ends one interval after its last row.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.where(F.coalesce(condition, F.lit(False)))
+    rows = rows.withColumn("_new", F.coalesce(F.col(us) - F.lag(us).over(w) > gap * dt, F.lit(True)).cast("int")).withColumn("_b", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = rows.groupBy(*keys, "_b").agg(F.min(us).alias("start_us"), (F.max(us) + dt).alias("end_us"), F.count("*").alias("n_rows"))
+    return found.drop("_b").withColumn("hours", F.col("n_rows") * dt / F.lit(3.6e9))
+
+
+def without_same_source(ranked: DataFrame, query_id: str, own_path: str, other_path: str, same_source: Column | None = None) -> DataFrame:
+    """Ranked gallery rows without those of the query's own path, nor those that a condition calls its own (same identity and date); ranks close up."""
+    own = F.col(own_path).eqNullSafe(F.col(other_path))
+    own = own | F.coalesce(same_source, F.lit(False)) if same_source is not None else own
+    return ranked.where(~own).withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("rank")))
+
+
+def per_class_retrieval(found: DataFrame, label: str, most: int) -> DataFrame:
+    """Rows (label, n, mean_ap, rank1, within): mean average precision and shares of the queries found at rank 1 and ``most`` or before."""
+    return found.groupBy(label).agg(F.count("*").alias("n"), F.avg("ap").alias("mean_ap"), F.avg((F.col("first_hit") == 1).cast("double")).alias("rank1"), F.avg((F.col("first_hit") <= most).cast("double")).alias("within"))
+
+
+def top_accuracy(ranked: DataFrame, query_id: str, truth: str, said: str, k: int = 5) -> DataFrame:
+    """One row (n, top1, topk): shares of the queries whose true label is first, or among the first ``k`` distinct ranks."""
+    best = ranked.groupBy(query_id).agg(F.min(F.when(F.col(truth) == F.col(said), F.col("rank"))).alias("_r"))
+    hit = lambda n: F.avg(F.when(F.col("_r") <= n, 1.0).otherwise(0.0))
+    return best.agg(F.count("*").alias("n"), hit(1).alias("top1"), hit(k).alias("topk"))
