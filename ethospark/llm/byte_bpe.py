@@ -200,7 +200,7 @@ class _Words:
         return True
 
 
-def _split(id_col: str, text_col: str, pattern: str, ranks_path: str, max_words: int, schema: pa.Schema):
+def _split(id_col: str, text_col: str, pattern: str, ranks_path: str, max_words: int, chunk_bytes: int, schema: pa.Schema):
     def rows(words: list | None, refs: list, ids: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, words, refs), schema.types, strict=True)], schema=schema)
 
@@ -224,7 +224,7 @@ def _split(id_col: str, text_col: str, pattern: str, ranks_path: str, max_words:
                 refs = words.text(text)
                 docs.append((i, refs))
                 size += len(refs) + 64
-                if size > CHUNK_BYTES:
+                if size > chunk_bytes:
                     yield from flush()
                     size = 0
                     if words.full():
@@ -262,20 +262,7 @@ def _join(ranks_path: str, decoded: bool, schema: pa.Schema):
             flat.append(np.where(points < FIRST, byte_ids[np.minimum(points, FIRST - 1)], points - FIRST).astype(np.int32))
             lengths.append(np.array([len(w) - 2 for w in row], np.int64))
 
-        forget()
-        for batch in batches:
-            ids, chars, refs = (batch.column(k) for k in range(3))
-            keys, names = [], []
-            for n, (i, ref) in enumerate(zip(ids.to_pylist(), refs.to_pylist(), strict=True)):
-                if ref is not None:
-                    keys.append(i)
-                    names.append(ref)
-                elif row := chars[n].as_py():
-                    add(row)
-                else:
-                    forget()
-            if not keys:
-                continue
+        def joined(keys: list, names: list[bytes]) -> Iterator[pa.RecordBatch]:
             for table in (flat, lengths):
                 table[:] = [np.concatenate(table)]
             start = np.cumsum(lengths[0]) - lengths[0]
@@ -287,6 +274,23 @@ def _join(ranks_path: str, decoded: bool, schema: pa.Schema):
                 if decoded:
                     columns.append(pa.array([b"".join(map(pieces.__getitem__, out[a:b].tolist())) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            keys.clear()
+            names.clear()
+
+        forget()
+        for batch in batches:
+            ids, chars, refs = (batch.column(k) for k in range(3))
+            keys, names = [], []
+            for n, (i, ref) in enumerate(zip(ids.to_pylist(), refs.to_pylist(), strict=True)):
+                if ref is not None:
+                    keys.append(i)
+                    names.append(ref)
+                elif row := chars[n].as_py():
+                    add(row)
+                else:  # the documents so far know the words so far
+                    yield from joined(keys, names)
+                    forget()
+            yield from joined(keys, names)
 
     return run
 
@@ -303,7 +307,7 @@ def _slices(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
         yield slice(begin, len(sizes))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, max_words: int = MAX_WORDS) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, max_words: int = MAX_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows (id, ids array<int>[, decoded binary]) for each row of ``docs``.
 
     A null or empty text has no ids. Rows with equal or null ids stay apart. ``decoded`` adds the bytes that the ids
@@ -318,7 +322,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         docs = docs.withColumn(id_col, F.col(id_col).cast("string"))
         kind = "string"
     sent = pa.schema([(id_col, id_type), ("words", pa.list_(pa.struct([("w", pa.string()), ("r", pa.string())]))), ("refs", pa.binary())])
-    words = map_batches(docs.select(id_col, text_col), _split(id_col, text_col, pattern, ranks_path, max_words, sent), f"`{id_col}` {kind}, words array<struct<w:string,r:string>>, refs binary")
+    words = map_batches(docs.select(id_col, text_col), _split(id_col, text_col, pattern, ranks_path, max_words, chunk_bytes, sent), f"`{id_col}` {kind}, words array<struct<w:string,r:string>>, refs binary")
     fold = let(rank_table(ranks), lambda t: F.transform("words", lambda w: fold_merges(w, t)))
     folded = words.select(id_col, F.when(F.col("words").isNotNull(), fold).alias("chars"), "refs")
     got = [(id_col, id_type), ("ids", pa.list_(pa.int32()))] + [("decoded", pa.binary())] * decoded
