@@ -209,8 +209,8 @@ def test_bpe_equals_tiktoken(spark, odd, documents):
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
     codec = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
     docs = odd.union(documents.where("doc_id >= 12").limit(60))
-    for words in (50, 10**6):  # the table of words starts anew, or never
-        got = byte_bpe.digests(byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True, max_words=words)).collect()
+    for words, size in ((50, 10**7), (50, 500), (10**6, 300)):  # the table of words starts anew, within a batch too, or never
+        got = byte_bpe.digests(byte_bpe.encode(docs.coalesce(2), path, public_tokenizers.PATTERN, decoded=True, max_words=words, chunk_bytes=size)).collect()
         known = texts(docs)
         assert len(got) == docs.count()
         for r in got:
