@@ -6,6 +6,7 @@ time and track. Conditions on these prune files through partitions or the file's
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 from collections.abc import Iterator
 
@@ -25,6 +26,9 @@ BEHAVIOUR = "timestamp string, behavior_label_raw string, behavior_label_stage1
 AS_PREDICTED = ["behavior_label_raw", "behavior_label_stage1", "behavior_label_old", "behavior_label"]
 AS_CORRECTED = ["behavior_label", "behavior_label_raw", "behavior_label_stage1", "behavior_label_old"]
 NAME = r"T(\d{6})_ID(-?\d+)"
+STRICT = r"^T\d{6}_ID\d{6}$"
+#: Columns that a file may have.
+MAX_COLUMNS = 32
 PLACE = r"([^/]+)/(\d{4}-\d{2}-\d{2})/[^/]+$"
 
 
@@ -40,25 +44,37 @@ def _with_path(df: DataFrame) -> DataFrame:
     )
 
 
-def _csv(spark: SparkSession, path: str, schema: str, glob: str) -> DataFrame:
-    """Columns are found by their names in each file's header, so files of old and new layouts read alike."""
-    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).text(path)
-    names = [f.split()[0] for f in schema.split(",")]
-    rows = _with_path(lines.select("value", "_metadata"))
-    header = rows.where(F.col("value").contains("timestamp")).select("camera", "date", "stem", F.split("value", ",").alias("_h")).dropDuplicates(["camera", "date", "stem"])
-    parts = rows.where(~F.col("value").contains("timestamp") & (F.trim("value") != "")).join(header, ["camera", "date", "stem"]).withColumn("_v", F.split("value", ","))
-    cell = lambda n: F.when(F.array_position("_h", F.lit(n)) > 0, F.nullif(F.trim(F.get("_v", (F.array_position("_h", F.lit(n)) - 1).cast("int"))), F.lit("")))
+def _csv(spark: SparkSession, paths: str | list[str], schema: str, glob: str) -> DataFrame:
+    """Columns are found by their names in each file's header, so files of old and new layouts read alike.
+
+    A file is a row until its lines are taken apart, so its header is at hand without a join; a track's file is bounded by the length of
+    a track. Cells may be quoted. A line with more or fewer cells than the header is kept in ``corrupt``.
+    """
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).text(paths, wholetext=True)
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    rows = _with_path(files.select("value", "_metadata")).withColumn("_lines", lines).withColumn("_h", F.transform(F.split(F.get("_lines", F.lit(0)), ","), lambda x: F.trim(x)))
+    rows = rows.select("camera", "date", "file_time", "track", "stem", "_h", F.explode(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines"), F.lit(1)))).alias("_line"))
+    cells = F.from_csv("_line", F.lit(", ".join(f"c{i} string" for i in range(MAX_COLUMNS))))
+    rows = rows.withColumn("_c", cells).withColumn("_v", F.array(*[F.col(f"_c.c{i}") for i in range(MAX_COLUMNS)]))
+    n = F.size(F.split("_line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
     kinds = dict(f.split() for f in schema.split(","))
-    return parts.select("camera", "date", "file_time", "track", "stem", *[cell(n).try_cast(kinds[n]).alias(n) for n in names])
+    cell = lambda c: F.when(F.array_position("_h", F.lit(c)) > 0, F.nullif(F.trim(F.get("_v", (F.array_position("_h", F.lit(c)) - 1).cast("int"))), F.lit("")))
+    return rows.select("camera", "date", "file_time", "track", "stem", *[cell(c).try_cast(k).alias(c) for c, k in kinds.items()], F.when(n != F.size("_h"), F.col("_line")).alias("corrupt"))
+
+
+def night_paths(root: str, date: str) -> list[str]:
+    """The folders of a night, its date's and the next one's, of all cameras: other nights' files aren't listed."""
+    day = dt.date.fromisoformat(date)
+    return [f"{root.rstrip('/')}/*/{d.isoformat()}" for d in (day, day + dt.timedelta(days=1))]
 
 
-def tracks(spark: SparkSession, path: str) -> DataFrame:
+def tracks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows of all track files below ``path`` (not the behaviour files), with naive times; rows without a time are left out."""
     out = _csv(spark, path, TRACK, "T*_ID*.csv").where(~F.col("stem").endswith("behavior") & ~F.col("stem").startswith("part_"))
     return out.withColumn("ts", F.col("timestamp").try_cast("timestamp_ntz")).where("ts is not null").drop("timestamp")
 
 
-def behaviours(spark: SparkSession, path: str, precedence: list[str] | None = None) -> DataFrame:
+def behaviours(spark: SparkSession, path: str | list[str], precedence: list[str] | None = None) -> DataFrame:
     """Rows of all behaviour files, with ``label`` by the given precedence of columns."""
     out = _csv(spark, path, BEHAVIOUR, "*behavior.csv").withColumn("ts", F.col("timestamp").try_cast("timestamp_ntz")).where("ts is not null").drop("timestamp")
     return out.withColumn("label", coalesce_labels(precedence or AS_CORRECTED, out.columns))
@@ -69,6 +85,59 @@ def for_night(df: DataFrame, date: str) -> DataFrame:
     return df.where(F.col("date").between(F.to_date(F.lit(date)), F.date_add(F.to_date(F.lit(date)), 1)))
 
 
+def between(df: DataFrame, first: str, last: str) -> DataFrame:
+    """The rows of the files that begin in [first, last], by their names."""
+    return df.where(F.col("file_time").between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
+
+
+def strict_names(df: DataFrame) -> DataFrame:
+    """The rows of files whose names have the exact form T<HHmmss>_ID<6 digits>."""
+    return df.where(F.col("stem").rlike(STRICT))
+
+
+def positions(df: DataFrame) -> DataFrame:
+    """World positions in order of time within each track; rows without one are left out."""
+    return df.select("camera", "track", "ts", "world_x", "world_y").dropna().sortWithinPartitions("camera", "track", "ts")
+
+
+def gallery(df: DataFrame, label: str, known: list[str] | None = None) -> DataFrame:
+    """Labelled reference vectors, of the known labels if there are any."""
+    return df.where(F.col(label).isin(known)) if known else df.where(F.col(label).isNotNull())
+
+
+def bout_summaries(spark: SparkSession, path: str, keyword: str = "") -> DataFrame:
+    """Bout summaries below ``path`` whose names hold a keyword, with date, group and companions.
+
+    A name is ``<date>_<group>_...``; the companions are the group of another file of the same date.
+    """
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{keyword}*.csv").csv(path).select("*", F.col("_metadata.file_name").alias("file"))
+    stem = F.split(F.regexp_replace("file", r"\.csv$", ""), "_")
+    rows = rows.withColumn("date", F.get(stem, F.lit(0))).withColumn("group", F.get(stem, F.lit(1)))
+    names = rows.select("date", "group").distinct()
+    other = names.alias("a").join(names.alias("b"), (F.col("a.date") == F.col("b.date")) & (F.col("a.group") != F.col("b.group"))).groupBy(F.col("a.date").alias("date"), F.col("a.group").alias("group"))
+    return rows.join(other.agg(F.array_join(F.array_sort(F.collect_set("b.group")), ",").alias("companions")), ["date", "group"], "left")
+
+
+def video_files(spark: SparkSession, path: str, extensions: list[str], containing: str = "") -> DataFrame:
+    """Rows (path, length, modified) of the videos below a folder, in order of their paths without regard to case; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    ends = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin([e.lower().lstrip(".") for e in extensions])
+    return files.where(ends & F.lower("path").contains(containing.lower())).orderBy(F.lower("path"), "path")
+
+
+def scan_targets(templates: list[str], at: dt.datetime) -> list[str]:
+    """Path templates (strftime) for a time; they may hold globs, which Spark resolves."""
+    return list(dict.fromkeys(at.strftime(t) for t in templates))
+
+
+def synthetic_nights(spark: SparkSession, subjects: int, nights_: int, seed: int, begins: int = 18, hours: int = 14) -> DataFrame:
+    """Rows (subject, night, room, start_us, end_us, label): for each animal and night a room and one stretch of sleep, at random from a seed."""
+    grid = spark.range(subjects * nights_).select((F.col("id") % subjects).alias("subject"), F.floor(F.col("id") / subjects).alias("night"))
+    roll = lambda name, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "subject", "night"), F.lit(n))
+    start = (F.col("night") * 24 + begins + roll("start", hours // 2)) * 3_600_000_000
+    return grid.select("subject", "night", F.when(roll("room", 2) == 0, "mit").otherwise("ohne").alias("room"), start.alias("start_us"), (start + (1 + roll("length", hours // 2)) * 3_600_000_000).alias("end_us"), F.lit("sleep").alias("label"))
+
+
 def nights(df: DataFrame) -> DataFrame:
     return df.select("date").distinct()
 

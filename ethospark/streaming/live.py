@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -79,3 +79,62 @@ def append_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str
         batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def once(stream: DataFrame, time: str, keys: list[str], late: str) -> DataFrame:
+    """Rows with keys that weren't seen within the watermark: messages that are sent again count once."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
+def replay_order(df: DataFrame, time: str, skip: int, keys: list[str], gap: str = "60 seconds") -> DataFrame:
+    """Rows (.., replay_us): stored frames as one replay of all cameras on a shared clock: every ``skip``-th frame of a key, and pauses longer than ``gap`` shortened to it.
+
+    A pause counts where no camera has a frame. The clock is cut by day, so that no task sees all rows: pauses are summed by day first.
+    """
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    most = F.unix_micros(F.to_timestamp(F.lit("1970-01-01 00:00:00+00:00")) + F.expr(f"INTERVAL {gap}"))
+    rows = df.withColumn("_us", us).withColumn("_day", F.floor(us / 86_400_000_000))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_us")) - 1).where(F.col("_k") % skip == 0).drop("_k")
+    times = rows.select("_day", "_us").distinct()
+    last = times.groupBy("_day").agg(F.max("_us").alias("_last")).withColumn("_before", F.lag("_last").over(Window.orderBy("_day"))).select("_day", "_before")
+    w = Window.partitionBy("_day").orderBy("_us")
+    cut = times.join(F.broadcast(last), "_day").withColumn("_pause", F.col("_us") - F.coalesce(F.lag("_us").over(w), "_before"))
+    cut = cut.withColumn("_saved", F.sum(F.greatest(F.coalesce(F.col("_pause") - most, F.lit(0)), F.lit(0))).over(w))
+    days = cut.groupBy("_day").agg(F.max("_saved").alias("_sum")).withColumn("_carried", F.coalesce(F.sum("_sum").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_day", "_carried")
+    clock = cut.join(F.broadcast(days), "_day").select("_day", "_us", (F.col("_us") - F.col("_saved") - F.col("_carried")).alias("replay_us"))
+    return rows.join(clock, ["_day", "_us"]).drop("_day", "_us")
+
+
+def close_tracks(target: DataFrame, closed: DataFrame, keys: list[str]) -> DataFrame:
+    """Open tracks with the close events applied: end and last identity of those that were closed; a later event wins."""
+    w = Window.partitionBy(*keys).orderBy(F.col("end_us").desc())
+    last = closed.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*keys, F.col("end_us").alias("_end"), F.col("identity").alias("_identity"))
+    both = target.join(last, keys, "left")
+    return both.withColumn("end_us", F.coalesce("_end", "end_us")).withColumn("identity", F.coalesce("_identity", "identity")).withColumn("open", F.col("open") & F.col("_end").isNull()).drop("_end", "_identity")
+
+
+def count_changes(stream: DataFrame, key: str, us: str, count: str) -> DataFrame:
+    """Rows (key, start_us, duration_us, count): a changing count as runs, each reported when the count changes.
+
+    State is the run under way. Rows of a key come in order within a batch or are put in order; ones before the run are left out.
+    """
+    kind = stream.schema[key].dataType.simpleString()
+
+    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, value = state.get if state.exists else (None, None)
+        out = []
+        for t, n in pd.concat(list(frames))[[us, count]].sort_values(us).itertuples(index=False):
+            if start is None:
+                start, value = int(t), int(n)
+            elif n != value and t >= start:
+                out.append((k[0], start, int(t) - start, value))
+                start, value = int(t), int(n)
+        state.update((start, value))
+        yield pd.DataFrame(out, columns=[key, "start_us", "duration_us", "count"])
+
+    return stream.groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, start_us long, duration_us long, count long", "start long, value long", "append", GroupStateTimeout.NoTimeout)
+
+
+def speed(progress: dict) -> float:
+    """Rows a second that a batch of a stream went through, from Spark's report of it; 0 without rows."""
+    return float(progress.get("processedRowsPerSecond") or 0.0)

@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 
+from ethospark.sinks import files
 from ethospark.sources import tracks
 from ethospark.streaming import live
 
@@ -61,3 +62,76 @@ def test_batches_are_written_once(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         live.append_batches(stream, str(tmp_path / "out"), str(tmp_path / "state"), ["id"])
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_csv_with_quotes_and_short_lines(spark, tmp_path):
+    for date in ("2025-01-30", "2025-01-31", "2025-02-03"):
+        day = tmp_path / "cam1" / date
+        day.mkdir(parents=True)
+        (day / "T180000_ID000007.csv").write_text(f'timestamp,identity_label,score\n{date} 18:00:00,"Ann, the timestamp",0.5\n{date} 18:00:01,Bo\n')
+    (day / "T180000_ID7.csv").write_text("timestamp\n2025-02-03 18:00:00\n")
+    got = tracks.tracks(spark, tracks.night_paths(str(tmp_path), "2025-01-30")).orderBy("ts").collect()
+    assert [(str(r["date"]), r["identity_label"], r["score"], r["corrupt"] is None) for r in got] == [("2025-01-30", "Ann, the timestamp", 0.5, True), ("2025-01-30", "Bo", None, False), ("2025-01-31", "Ann, the timestamp", 0.5, True), ("2025-01-31", "Bo", None, False)]
+    all_ = tracks.tracks(spark, str(tmp_path))
+    assert all_.count() == 7 and tracks.strict_names(all_).count() == 6
+    assert tracks.between(all_, "2025-01-31 00:00:00", "2025-02-01 00:00:00").count() == 2
+    assert tracks.positions(all_).count() == 0
+
+
+def test_listings_and_summaries(spark, tmp_path):
+    for name in ("b.MP4", "A.mp4", "x.txt", "c_skip.avi"):
+        (tmp_path / name).write_bytes(b"123")
+    got = tracks.video_files(spark, str(tmp_path), ["mp4", ".avi"]).collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in got] == ["A.mp4", "b.MP4", "c_skip.avi"] and got[0]["length"] == 3
+    assert tracks.video_files(spark, str(tmp_path), ["avi"], "SKIP").count() == 1
+    import datetime
+
+    assert tracks.scan_targets(["/v/%Y/%m", "/v/%Y/%m", "/w/*"], datetime.datetime(2025, 3, 1)) == ["/v/2025/03", "/w/*"]
+    for group in ("anna", "bo"):
+        (tmp_path / f"2025-01-01_{group}_bouts.csv").write_text("start_time,behavior_label\n1,rest\n")
+    rows = tracks.bout_summaries(spark, str(tmp_path), "bouts").collect()
+    assert sorted((r["group"], r["companions"]) for r in rows) == [("anna", "bo"), ("bo", "anna")]
+    made = tracks.synthetic_nights(spark, 3, 4, 1)
+    assert made.count() == 12 and made.where("end_us <= start_us").count() == 0 and made.exceptAll(tracks.synthetic_nights(spark, 3, 4, 1)).count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("c1", 7, 1, 0.5, "2025-01-01"), ("c1", 7, 0, 0.25, "2025-01-01"), ("c2", 8, 0, 1.0, "2025-01-02")], "camera string, track int, us long, score double, night string")
+    files.track_csv(df, str(tmp_path / "t"), ["camera", "track"], ["us"])
+    assert [r["us"] for r in spark.read.option("header", True).csv(str(tmp_path / "t" / "camera=c1" / "track=7")).collect()] == ["0", "1"]
+    files.night_csv(df, str(tmp_path / "n"), "night", ["camera", "score"])
+    files.night_csv(df.where("camera = 'c2'").withColumn("score", df["score"] + 1), str(tmp_path / "n"), "night", ["camera", "score"])
+    back = spark.read.option("header", True).csv(str(tmp_path / "n"))
+    assert back.count() == 3 and back.where("night = '2025-01-02'").first()["score"] == "2.0"
+    for _ in range(2):
+        files.append_report(df, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 6
+    files.tracklet_json(spark.createDataFrame([("f1", None)], "track_filename string, identity_label string"), str(tmp_path / "j"))
+    old = spark.read.schema("track_filename string, identity_label string").json(str(tmp_path / "j"))
+    assert files.with_identities(old, spark.createDataFrame([("f1", "Ann")], "track_filename string, identity string")).first()["identity_label"] == "Ann"
+    files.embeddings(df.selectExpr("camera", "night", "array(cast(score as float)) as feature"), str(tmp_path / "e"), ["camera", "night"])
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 3
+    files.count_log(df.selectExpr("camera", "us as start_us", "1000000L as duration_us", "cast(track as long) as count"), str(tmp_path / "l"), ["camera"])
+    assert {(r["duration_s"], r["track_count"]) for r in spark.read.option("header", True).csv(str(tmp_path / "l")).collect()} == {("1.0", "7"), ("1.0", "8")}
+    files.grouped_export(df, str(tmp_path / "g"), "camera", "night")
+    assert (tmp_path / "g" / "camera=c2" / "night=2025-01-02").is_dir()
+
+
+def test_live_changes_closing_and_replay(spark, tmp_path):
+    rows = [("c", 1, 2), ("c", 2, 2), ("c", 5, 3), ("c", 9, 3), ("c", 10, 2), ("d", 4, 1)]
+    spark.createDataFrame(rows, "camera string, us long, n long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = live.detections(spark, str(tmp_path / "in"), "camera string, us long, n long")
+    got = live.drain(live.count_changes(stream, "camera", "us", "n"), str(tmp_path / "out"), "append").collect()
+    assert sorted(map(tuple, got)) == [("c", 1, 4, 2), ("c", 5, 5, 3)]
+    target = spark.createDataFrame([(1, 5, "x", True), (2, 5, "y", True)], "track int, end_us long, identity string, open boolean")
+    closed = spark.createDataFrame([(1, 9, "z"), (1, 8, "w")], "track int, end_us long, identity string")
+    assert sorted(map(tuple, live.close_tracks(target, closed, ["track"]).collect())) == [(1, 9, "z", False), (2, 5, "y", True)]
+    frames = spark.sql("SELECT camera, timestamp_micros(cast(s as bigint) * 1000000) AS t FROM VALUES ('a', 0), ('a', 10), ('b', 20), ('a', 500), ('b', 86400), ('b', 86410) AS v(camera, s)")
+    out = live.replay_order(frames, "t", 1, ["camera"], "60 seconds").orderBy("replay_us").collect()
+    assert [r["replay_us"] // 1_000_000 for r in out] == [0, 10, 20, 80, 140, 150]
+    assert live.replay_order(frames, "t", 2, ["camera"]).count() == 4
+    again = spark.createDataFrame([(1, "2025-01-01 00:00:00"), (1, "2025-01-01 00:00:01"), (2, "2025-01-01 00:00:02")], "id int, t string").selectExpr("id", "cast(t as timestamp) as t")
+    again.coalesce(1).write.parquet(str(tmp_path / "in2"))
+    unique = live.once(live.detections(spark, str(tmp_path / "in2"), "id int, t timestamp"), "t", ["id"], "10 minutes")
+    assert sorted(r["id"] for r in live.drain(unique, str(tmp_path / "out2"), "append").collect()) == [1, 2]
+    assert live.speed({"processedRowsPerSecond": 3}) == 3.0 and live.speed({}) == 0.0
