@@ -24,6 +24,8 @@ SHINGLE = 5
 #: Hashed places that an empty bin tries before it takes the non-empty bin of least hash.
 TRIES = 8
 NULL_ID = -(2**63)
+#: Bytes of text in a range of ids, and ranges, at most: their bounds are literals.
+RANGE_BYTES, MAX_RANGES = 32 << 20, 10_000
 
 
 def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
@@ -95,12 +97,14 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str = "doc_id", groups: int = 0) -> DataFrame:
     """Rows (id, text, lanes, next_text, next_lanes): each row with the next one in id order, after the last the first.
 
-    Rows are dealt into ranges of ids, each ordered by itself, so that no task sees all rows; the first row of each
-    range is handed to the range before it. Null ids come first; equal ids are ordered by text; null texts are empty.
+    Rows are dealt into ranges of ids, more of them the more text there is, each ordered by itself, so that no task sees all rows; the
+    first row of each range is handed to the range before it, by a join on the range that the rows are dealt by already. Null ids come first; equal ids are ordered by text; null texts are empty.
     """
     spark = docs.sparkSession
-    groups = groups or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    if not groups:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        groups = min(MAX_RANGES, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES))
     # As many cuts as ranges; only these few numbers come to the driver.
     cuts = docs.agg(F.percentile_approx("id", [k / groups for k in range(1, groups)], F.lit(10000)).alias("cuts")).first()["cuts"] or []
     cuts = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
@@ -113,7 +117,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", groups: int = 0) -> DataF
     after = texts.select("range", F.coalesce(F.lead("text").over(ranges), around).alias("text")).select("range", F.struct("text", lanes(F.col("text")).alias("lanes")).alias("after"))
     inside = Window.partitionBy("range").orderBy("id", "text")
     ahead = dealt.withColumn("lanes", lanes(F.col("text"))).withColumn("next", F.lead(F.struct("text", "lanes")).over(inside))
-    both = ahead.join(F.broadcast(after), "range").withColumn("next", F.coalesce("next", "after"))
+    both = ahead.join(after, "range").withColumn("next", F.coalesce("next", "after"))
     return both.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "text", "lanes", F.col("next.text").alias("next_text"), F.col("next.lanes").alias("next_lanes"))
 
 
