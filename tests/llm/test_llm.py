@@ -235,8 +235,22 @@ def test_licences(spark):
     mit = licences.WHOLE["MIT"][0]
     data = [(1, "Copyright (c) 2020 Me\n\n" + mit.upper()), (2, "text\nReleased under the MIT licence.\nmore"), (3, "Licensed under CC BY-NC 4.0."), (4, "Released under the MIT License and more."), (5, None), (6, ""), (7, "intro\n\n" + mit.replace("\n\n", "\n") + "\n\nend"), (None, "SPDX-License-Identifier: ISC")]
     got = sorted((r["doc_id"] or 0, r["unit"], r["position"], r["licence"]) for r in licences.scan(spark.createDataFrame(data, "doc_id long, text string")).collect())
-    assert got == [(0, "text", 0, "ISC"), (1, "text", 0, "MIT"), (2, "line", 1, "MIT"), (3, "text", 0, "CC-BY-NC-4.0"), (7, "block", 1, "MIT")]
+    assert got == [(0, "text", 0, "ISC"), (1, "blocks", 1, "MIT"), (1, "text", 0, "MIT"), (2, "line", 1, "MIT"), (3, "text", 0, "CC-BY-NC-4.0"), (7, "block", 1, "MIT")]
     assert licences.canonical("The Licence, v2.0 — © me") == "the license 2 0 me"
+    assert all(re.search(licences.ANCHORS, licences.canonical(t)) for _, t in licences.known_texts())
+    inside = [(1, f"intro\n\n{mit}\n\nend"), (2, "a\n \n" + licences.WHOLE["BSD-3-Clause"][0].upper()), (3, "x\n\n" + licences.APACHE_NOTICE + "\n\ny"), (4, licences.GNU_NOTICE.format("", "version 3 of the").replace("version version", "version"))]
+    own = [("LicenseRef-own", "You are permitted to smile")]
+    got = sorted((r["doc_id"], r["unit"], r["position"], r["licence"]) for r in licences.scan(spark.createDataFrame([*inside, (5, "You are PERMITTED to smile!")], "doc_id long, text string"), known=own).collect())
+    assert got == [(1, "blocks", 1, "MIT"), (2, "blocks", 1, "BSD-3-Clause"), (3, "blocks", 1, "Apache-2.0"), (5, "text", 0, "LicenseRef-own")]
+
+
+def test_licences_equal_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(map(tuple, con.sql(f"SELECT doc_id, unit, position, licence, digest FROM ({licences.oracle()})").fetchall()))
+    assert sorted(map(tuple, licences.scan(table(spark, sf, "documents")).collect())) == want and want
 
 
 # 6
@@ -263,8 +277,8 @@ def test_unigram_equals_viterbi(spark, odd, documents):
             words = known[r["doc_id"]].split()
             assert (r["n_words"], r["n_tokens"]) == (len(words), sum(best(unigram.MARK + w) for w in words))
     trie = unigram.Trie(pieces)
-    list(trie.counts(["▁abcdef", "▁abcdeg", "▁abc"]))
-    assert trie.nodes == 8  # shared prefixes are scored once
+    ends = [trie.add(w) for w in ("▁abcdef", "▁abcdeg", "▁abc", "▁abcdef")]
+    assert trie.nodes == 8 and ends[0] == ends[3]  # shared prefixes are scored once
 
 
 # 7
