@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ethospark.functions import geometry, text
 from ethospark.functions.time import HOUR, clock_text, in_clock_window
-from ethospark.operators import archive, assign, evaluate, graph, islands, joins, marts, smooth, timeline, vectors
+from ethospark.operators import archive, assign, evaluate, graph, islands, joins, marts, rasters, smooth, timeline, transfer, vectors
 
 S = 1_000_000
 
@@ -287,3 +287,19 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "k int, us long, label string")
     assert islands.bouts(df, ["k"], "us", ["us"], "label").count() == 0
     assert smooth.rolling_majority(df, ["k"], "us", "label", ["a"], 5, 1, "bad").count() == 0
+
+
+def test_homography_without_and_with_wrong_pairs():
+    h = [[1.2, 0.1, 5.0], [-0.2, 0.9, 3.0], [0.001, 0.002, 1.0]]
+    at = lambda x, y: tuple((r[0] * x + r[1] * y + r[2]) / (h[2][0] * x + h[2][1] * y + h[2][2]) for r in h[:2])
+    pairs = [((x, y), at(x, y)) for x, y in itertools.product((0, 40, 90), (0, 30, 70))]
+    assert np.allclose(rasters.homography(pairs), h)
+    assert np.allclose(rasters.homography([*pairs, ((10, 10), (900, 900)), ((20, 5), (-300, 4))], 0.5), h)
+
+
+def test_clusters_and_plane(spark):
+    rnd = np.random.default_rng(0)
+    rows = [(i, [float(x) for x in rnd.normal(size=4) * 0.01 + (i % 2) * np.array([5.0, 0, 0, 0])]) for i in range(40)]
+    got = rasters.in_two_dimensions(rasters.clusters(spark.createDataFrame(rows, "id int, v array<float>"), "v", 2), "v").collect()
+    assert len({(r["id"] % 2, r["cluster"]) for r in got}) == 2
+    assert abs(sum(r["plane"][0] for r in got)) < 1e-3 and abs(abs(got[0]["plane"][0]) - 2.5) < 0.1
