@@ -82,6 +82,15 @@ def match_tracks(matched: DataFrame, keys: list[str], bins: str, a: str, b: str,
     return chosen.withColumn("cross_id", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("votes").desc(), a, b)))
 
 
+def number_tracks(matched: DataFrame, tracks: DataFrame, keys: list[str], a: str, b: str, track: str) -> DataFrame:
+    """Rows (keys, track, cross_id): the numbers of matched pairs for both tracks; unmatched tracks follow in order of name."""
+    pairs = matched.select(*keys, F.explode(F.array(a, b)).alias(track), "cross_id")
+    rows = tracks.select(*keys, track).distinct().join(pairs, [*keys, track], "left")
+    w = Window.partitionBy(*keys)
+    later = F.row_number().over(w.orderBy(F.col("cross_id").isNotNull(), track)) + F.coalesce(F.max("cross_id").over(w), F.lit(0))
+    return rows.withColumn("cross_id", F.coalesce("cross_id", later))
+
+
 def exclusive_labels(groups: DataFrame, keys: list[str], subject: str, votes: str, start: str, end: str, allowed: list[str]) -> DataFrame:
     """Each group of tracks gets its best label that no overlapping group has yet; groups of most evidence come first.
 

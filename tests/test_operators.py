@@ -303,3 +303,28 @@ def test_clusters_and_plane(spark):
     got = rasters.in_two_dimensions(rasters.clusters(spark.createDataFrame(rows, "id int, v array<float>"), "v", 2), "v").collect()
     assert len({(r["id"] % 2, r["cluster"]) for r in got}) == 2
     assert abs(sum(r["plane"][0] for r in got)) < 1e-3 and abs(abs(got[0]["plane"][0]) - 2.5) < 0.1
+
+
+def test_unmatched_tracks_are_numbered_last(spark):
+    matched = spark.createDataFrame([("r", "a2", "b1", 1), ("r", "a1", "b3", 2)], "room string, a string, b string, cross_id int")
+    tracks = spark.createDataFrame([("r", t) for t in ("a1", "a2", "a3", "b1", "b2", "b3")] + [("s", "x")], "room string, track string")
+    got = assign.number_tracks(matched, tracks, ["room"], "a", "b", "track")
+    assert rows(got, "room", "track", "cross_id") == [("r", "a1", 2), ("r", "a2", 1), ("r", "a3", 3), ("r", "b1", 1), ("r", "b2", 4), ("r", "b3", 2), ("s", "x", 1)]
+
+
+def test_conflicts_are_resolved():
+    f = lambda data: pd.DataFrame(data, columns=["start_us", "end_us", "label", "original", "quality", "ranked"])
+    best = f([(0, 100 * S, "x", "x", 1.0, []), (50 * S, 150 * S, "x", "y", 2.0, ["x"]), (60 * S, 90 * S, "x", "z", 0.5, ["x", "w"]), (99.5 * S, 300 * S, "q", "q", 0.1, [])])
+    assert transfer.resolve_group(best) == ["unknown", "x", "w", "q"]
+    apart = f([(0, 100 * S, "x", "x", 1.0, []), (99.5 * S, 200 * S, "x", "x", 1.0, [])])
+    assert transfer.resolve_group(apart) == ["x", "x"]  # half a second isn't an overlap
+    rnd = random.Random(8)
+    for _ in range(30):
+        data = []
+        for _ in range(rnd.randint(1, 14)):
+            a = rnd.randint(0, 400)
+            data.append((a * S, (a + rnd.randint(1, 200)) * S, rnd.choice("xyz"), rnd.choice("xyzu"), rnd.random(), rnd.sample("xyzw", rnd.randint(0, 4))))
+        got = transfer.resolve_group(f(data))
+        for i, j in itertools.combinations(range(len(data)), 2):
+            met = min(data[i][1], data[j][1]) - max(data[i][0], data[j][0]) >= S
+            assert not met or got[i] != got[j] or got[i] == "unknown"
