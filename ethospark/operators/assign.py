@@ -7,6 +7,7 @@ Each rule depends on the order of its steps, so a group (a bin, a night of a roo
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,22 +47,39 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flipped else (a, b) for a, b in pairs)
 
 
+def _best_pairs(rows: list[tuple]) -> list[tuple]:
+    """Of (a, b, distance) the one-to-one pairs of least total distance; of repeated pairs the nearest counts."""
+    if len({r[0] for r in rows}) == 1 or len({r[1] for r in rows}) == 1:
+        return [min(rows, key=lambda r: (r[2], r[0], r[1]))]
+    left, right = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    at = {x: n for n, x in enumerate(left)}, {x: n for n, x in enumerate(right)}
+    cost = np.full((len(left), len(right)), FORBIDDEN)
+    for x, y, d in rows:
+        cost[at[0][x], at[1][y]] = min(d, cost[at[0][x], at[1][y]])
+    return [(left[i], right[j], cost[i, j]) for i, j in hungarian(cost) if cost[i, j] < FORBIDDEN]
+
+
 def match_in_bins(pairs: DataFrame, keys: list[str], a: str, b: str, distance: str, limit: float) -> DataFrame:
-    """In each bin the one-to-one pairs of least total distance, none farther than ``limit``."""
-    near = pairs.where(F.col(distance) <= limit)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in near.select(*keys, a, b, distance).schema.fields)
+    """In each bin the one-to-one pairs of least total distance, none farther than ``limit``.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, columns = sorted(frame[a].unique()), sorted(frame[b].unique())
-        cost = np.full((len(rows), len(columns)), FORBIDDEN)
-        at = {x: n for n, x in enumerate(rows)}, {x: n for n, x in enumerate(columns)}
-        for x, y, d in zip(frame[a], frame[b], frame[distance], strict=True):
-            cost[at[0][x], at[1][y]] = min(d, cost[at[0][x], at[1][y]])
-        head = frame.iloc[0]
-        found = [(*[head[k] for k in keys], rows[i], columns[j], cost[i, j]) for i, j in hungarian(cost) if cost[i, j] < FORBIDDEN]
-        return pd.DataFrame(found, columns=[*keys, a, b, distance])
-
-    return near.select(*keys, a, b, distance).groupBy(*keys).applyInPandas(run, out)
+    Bins are many and small, so a task takes them one after the other from its sorted rows; the last bin of a batch waits for the next.
+    """
+    near = pairs.where(F.col(distance) <= limit).select(*keys, a, b, distance)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in near.schema.fields)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bin_, held = None, []
+        for frame in frames:
+            out: list[tuple] = []
+            for row in frame.itertuples(index=False, name=None):
+                if row[: len(keys)] != bin_:
+                    out += [(*bin_, *p) for p in _best_pairs(held)] if held else []
+                    bin_, held = row[: len(keys)], []
+                held.append(row[len(keys) :])
+            yield pd.DataFrame(out, columns=[*keys, a, b, distance])
+        yield pd.DataFrame([(*bin_, *p) for p in _best_pairs(held)] if held else [], columns=[*keys, a, b, distance])
+
+    return near.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 def match_tracks(matched: DataFrame, keys: list[str], bins: str, a: str, b: str, distance: str, least_bins: int) -> DataFrame:

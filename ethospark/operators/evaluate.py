@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ethospark.operators.graph import checkpointed
+
 
 def confusion(df: DataFrame, truth: str, predicted: str, keys: list[str] | None = None) -> DataFrame:
     """Rows of each pair of true and predicted label."""
@@ -39,17 +41,21 @@ def moving_stats(df: DataFrame, keys: list[str], order: list[str], value: str, n
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row (h, groups, n, eta_squared): the Kruskal-Wallis statistic with mean ranks and the tie correction.
 
-    Ranks come from the counts of distinct values, so the window without a key sees distinct values, not rows.
+    Ranks come from the counts of distinct values, in ranges of the values: a window without a key sees a row for each range. Without variation, or
+    with a row a group, what isn't defined is null.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.orderBy(value)) - F.col("c")
-    ranks = counts.select(F.col(value), "c", (before + (F.col("c") + 1) / 2.0).alias("rank"))
+    ranged = checkpointed(counts.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.sum("c").alias("_size"))
+    offsets = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    before = F.col("_before") + F.sum("c").over(Window.partitionBy("_part").orderBy(value)) - F.col("c")
+    ranks = ranged.join(F.broadcast(offsets), "_part").select(F.col(value), "c", (before + (F.col("c") + 1) / 2.0).alias("rank"))
     ties = ranks.agg(F.sum(F.pow("c", F.lit(3.0)) - F.col("c")).alias("ties"))
     sums = df.join(ranks, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("k"))
     parts = sums.agg(F.sum(F.col("r") * F.col("r") / F.col("k")).alias("s"), F.sum("k").alias("n"), F.count("*").alias("groups")).join(F.broadcast(ties))
-    n, g = F.col("n").cast("double"), F.col("groups")
-    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
-    return parts.select(h.alias("h"), "groups", "n").withColumn("eta_squared", (F.col("h") - g + 1) / (n - g))
+    n, g, zero = F.col("n").cast("double"), F.col("groups"), F.lit(0.0)
+    h = (12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / F.nullif(1 - F.col("ties") / F.nullif(n * n * n - n, zero), zero)
+    return parts.select(h.alias("h"), "groups", "n").withColumn("eta_squared", (F.col("h") - g + 1) / F.nullif(n - g, zero))
 
 
 def chi2_tail(x: float, k: int) -> float:
@@ -89,7 +95,11 @@ def least_squares(df: DataFrame, y: str, factor: str) -> dict[str, float]:
         .agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"))
         .first()
     )
-    n, p = row["n"], row["groups"]
+    n, p, nan = row["n"] or 0, row["groups"], float("nan")
+    if n <= p or row["q"] - row["s"] ** 2 / n <= 0:  # a row a group, or no variation at all
+        return {"n": float(n), "r2": nan, "r2_adjusted": nan, "f": nan, "aic": nan, "bic": nan}
+    if row["q"] - row["between"] <= 0:  # the factor explains all
+        return {"n": float(n), "r2": 1.0, "r2_adjusted": 1.0, "f": math.inf if p > 1 else nan, "aic": -math.inf, "bic": -math.inf}
     total, left = row["q"] - row["s"] ** 2 / n, row["q"] - row["between"]
     r2 = 1 - left / total
     likelihood = -n / 2 * (math.log(2 * math.pi) + math.log(left / n) + 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -328,3 +329,28 @@ def test_conflicts_are_resolved():
         for i, j in itertools.combinations(range(len(data)), 2):
             met = min(data[i][1], data[j][1]) - max(data[i][0], data[j][0]) >= S
             assert not met or got[i] != got[j] or got[i] == "unknown"
+
+
+def test_statistics_of_constants(spark):
+    same = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0)], "g string, v double")
+    assert evaluate.kruskal(same, "g", "v").first()["h"] is None
+    assert math.isnan(evaluate.least_squares(same, "v", "g")["r2"])
+    single = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "g string, v double")
+    assert evaluate.kruskal(single, "g", "v").first()["eta_squared"] is None and math.isnan(evaluate.least_squares(single, "v", "g")["r2"])
+    clean = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 2.0)], "g string, v double")
+    assert evaluate.least_squares(clean, "v", "g")["r2"] == 1.0
+
+
+def test_matches_in_bins_cost_least(spark):
+    rnd = random.Random(3)
+    data = [(b, x, 10 + y, float(rnd.randint(0, 9))) for b in range(40) for x in range(rnd.randint(1, 4)) for y in range(rnd.randint(1, 4))]
+    got = assign.match_in_bins(spark.createDataFrame(data, "bin int, a int, b int, d double"), ["bin"], "a", "b", "d", 8.0).collect()
+    for k in range(40):
+        mine, found = [r[1:] for r in data if r[0] == k and r[3] <= 8], [r for r in got if r["bin"] == k]
+        best = None
+        for n in range(min(len({r[0] for r in mine}), len({r[1] for r in mine})), 0, -1):
+            costs = [sum(r[2] for r in some) for some in itertools.combinations(mine, n) if len({r[0] for r in some}) == len({r[1] for r in some}) == n]
+            if costs:
+                best = n, min(costs)
+                break
+        assert (len(found), sum(r["d"] for r in found)) == (best or (0, 0))
