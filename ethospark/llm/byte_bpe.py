@@ -42,14 +42,14 @@ SURROGATES, AFTER = 0xD800, 0xE000
 LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"
 BUCKETS = 65536
 #: Words of a row of words, at most. Spark evaluates the literal table once for each such row, so rows have many.
-WORDS_A_ROW = 1 << 18
+WORDS_A_ROW = 1 << 17
 MAX_WORDS = 400_000
 #: Space-separated parts whose words are remembered.
 MAX_PARTS = 200_000
 #: Words of more bytes are merged in Python, where the work doesn't grow with the square of the length.
 LONG = 256
 #: Bytes of word numbers after which documents and new words go out.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -295,7 +295,7 @@ def _join(ranks_path: str, decoded: bool, schema: pa.Schema):
     return run
 
 
-def _slices(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
+def _slices(sizes: list[int], most: int = 1 << 19) -> Iterator[slice]:
     """Neighbouring rows of ``most`` words together, one row at least."""
     begin = total = 0
     for k, n in enumerate(sizes):
