@@ -33,7 +33,7 @@ WINDOW, DIVISOR, MIN_LINES = 2, 2, 2
 #: Words that a run of repeated chunks must have to be removed.
 MIN_WORDS = 24
 #: Texts are worked on in pieces of so many bytes.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Bits of the bitmap of repeated hashes, which goes to every task.
 FILTER_BITS = 1 << 26
 #: Spans are broadcast if they have so many bytes at most, and shuffled with the texts otherwise.

@@ -34,7 +34,8 @@ PREFIXES = (4, 5)
 WORD = re.compile(r"[^\W\d_]+")
 #: Rows are rejected from this probability of grade 1 or worse on.
 REJECT = 0.3
-CACHE = 500_000
+#: Words whose features a task remembers.
+CACHE = 100_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
