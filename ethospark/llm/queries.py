@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethospark.llm import byte_bpe, decontaminate, licences, line_dedup, minhash, simhash, style_tree, toxicity, unigram, wavelet
+from ethospark.llm import byte_bpe, decontaminate, divergence, licences, line_dedup, minhash, resample, secrets, simhash, style_tree, toxicity, unigram, wavelet
 from ethospark.llm.common import table, tokenizer_path, written
 
 
@@ -69,6 +69,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and places of the secrets in every document, with the weak parts that others complete."""
+    return secrets.digests(secrets.find(table(spark, sf_dir, "documents")))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and the terms that tell a source from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark's texts, and the rank of the drawn tenth."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_style_tree": op1_style_tree,
     "op2_wavelet": op2_wavelet,
@@ -80,7 +95,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_secrets": op11_secrets,
+    "op12_divergence": op12_divergence,
+    "op13_resample": op13_resample,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLES: dict[str, str] = {"op5_licences": licences.oracle()}
+ORACLES: dict[str, str] = {"op5_licences": licences.oracle(), "op12_divergence": divergence.oracle()}
