@@ -63,6 +63,47 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, vec: str = "embedding"
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def squared(a: Column, b: Column) -> Column:
+    """The squared Euclidean distance of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, vec: str = "v", left_id: str = "i", right_id: str = "j") -> DataFrame:
+    """Rows (left_id, right_id, d2, r): the ``k`` rows of ``right`` at the least squared distance, r from 0, ties by id; and a row without right_id and r, whose d2 is the largest distance.
+
+    A row is its own neighbour where both tables have it. Pairs of blocks as in ``top_k``: a product of matrices finds the rows that can be among
+    the nearest, whose distances are then summed up from the differences, so that equal vectors are at exactly 0.
+    """
+    blocks = [max(1, -(-df.count() // BLOCK)) for df in (left, right)]
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.select(F.col(left_id).cast("long").alias("i"), F.col(vec).alias("v")).withColumn("_a", own("i", blocks[0])).withColumn("_b", each(blocks[1]))
+    b = right.select(F.col(right_id).cast("long").alias("j"), F.col(vec).alias("v")).withColumn("_b", own("j", blocks[1])).withColumn("_a", each(blocks[0]))
+    names = ["i", "j", "d2"]
+
+    def run(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(other):
+            return pd.DataFrame({n: pd.Series(dtype=t) for n, t in zip(names, ("int64", "Int64", "float64"), strict=True)})
+        x, y = (np.stack([np.asarray(v, np.float64) for v in f["v"]]) for f in (one, other))
+        ids, sizes, out = other["j"].to_numpy(), (y * y).sum(axis=1), []
+        most = min(k, len(y))
+        for start in range(0, len(x), 256):
+            part = x[start : start + 256]
+            about = (part * part).sum(axis=1)[:, None] + sizes[None, :] - 2 * part @ y.T
+            bound = np.partition(about, most - 1, axis=1)[:, most - 1]
+            for row, (i, v) in enumerate(zip(one["i"].iloc[start : start + 256].tolist(), part, strict=True)):
+                able = np.flatnonzero(about[row] <= bound[row] + 1e-9 * (1 + abs(bound[row])))
+                far = ((y[able] - v) ** 2).sum(axis=1)
+                best = np.lexsort((ids[able], far))[:most]
+                out.append((np.full(len(best) + 1, i), [*ids[able][best].tolist(), None], [*far[best].tolist(), max(0.0, float(about[row].max()))]))
+        return pd.DataFrame({"i": np.concatenate([o[0] for o in out]), "j": pd.array([j for o in out for j in o[1]], "Int64"), "d2": [d for o in out for d in o[2]]})
+
+    found = a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(run, "i long, j long, d2 double")
+    far = found.where("j is null").groupBy("i").agg(F.max("d2").alias("d2")).select("i", F.lit(None).cast("long").alias("j"), "d2", F.lit(None).cast("int").alias("r"))
+    near = found.where("j is not null").withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d2", "j")) - 1).where(F.col("r") < k)
+    return near.unionByName(far).toDF(left_id, right_id, "d2", "r")
+
+
 def vote(df: DataFrame, keys: list[str], label: str, order: str | None = None) -> DataFrame:
     """Rows (keys, label, count, share, rank): labels by votes; ties by first appearance (``order``) or by name."""
     first = F.min(order) if order else F.min(label)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: The time of end marks, in microseconds: the year 2200.
+FAR = 7_258_118_400_000_000
+
 
 def detections(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 20) -> DataFrame:
     """A stream of Parquet files; the number of files a trigger takes bounds the work under way."""
@@ -55,21 +59,35 @@ def votes(stream: DataFrame, key: str, label: str, least: int = 3, ratio: float
     return stream.groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, identity string, n_votes long", "names array<string>, counts array<long>, decided string", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, path: str, mode: str) -> DataFrame:
+def drain(stream: DataFrame, path: str, mode: str, numbered: bool = False) -> DataFrame:
     """Runs a stream over what there is and returns its result, read back from ``path`` in a folder that all nodes share.
 
     Each batch writes its rows under its own number, so a batch that is run again replaces what it wrote. In the mode
-    ``complete`` the last batch is the result, in the others all batches are.
+    ``complete`` the last batch is the result, in the others all batches are; ``numbered`` keeps their numbers as ``batch``. Called again with
+    the same path, the stream goes on where it stopped. Without any batch the result is empty.
     """
     spark = stream.sparkSession
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch long"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch long").parquet(f"{path}/rows")
-    return (rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]) if mode == "complete" else rows).drop("batch")
+    try:
+        rows = spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == (rows.agg(F.max("batch")).first()[0] or 0))
+    return rows if numbered else rows.drop("batch")
+
+
+def end_mark(df: DataFrame, path: str, us: str, at: int = FAR) -> None:
+    """Writes a row of a far time and nothing else like the rows of ``df`` into a folder that a stream reads: the watermark passes all that is open."""
+    df.sparkSession.range(1).select(*[F.lit(at if f.name == us else None).cast(f.dataType).alias(f.name) for f in df.schema.fields]).coalesce(1).write.mode("append").parquet(path)
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
@@ -113,28 +131,6 @@ def close_tracks(target: DataFrame, closed: DataFrame, keys: list[str]) -> DataF
     return both.withColumn("end_us", F.coalesce("_end", "end_us")).withColumn("identity", F.coalesce("_identity", "identity")).withColumn("open", F.col("open") & F.col("_end").isNull()).drop("_end", "_identity")
 
 
-def count_changes(stream: DataFrame, key: str, us: str, count: str) -> DataFrame:
-    """Rows (key, start_us, duration_us, count): a changing count as runs, each reported when the count changes.
-
-    State is the run under way. Rows of a key come in order within a batch or are put in order; ones before the run are left out.
-    """
-    kind = stream.schema[key].dataType.simpleString()
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, value = state.get if state.exists else (None, None)
-        out = []
-        for t, n in pd.concat(list(frames))[[us, count]].sort_values(us).itertuples(index=False):
-            if start is None:
-                start, value = int(t), int(n)
-            elif n != value and t >= start:
-                out.append((k[0], start, int(t) - start, value))
-                start, value = int(t), int(n)
-        state.update((start, value))
-        yield pd.DataFrame(out, columns=[key, "start_us", "duration_us", "count"])
-
-    return stream.groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, start_us long, duration_us long, count long", "start long, value long", "append", GroupStateTimeout.NoTimeout)
-
-
 def speed(progress: dict) -> float:
     """Rows a second that a batch of a stream went through, from Spark's report of it; 0 without rows."""
     return float(progress.get("processedRowsPerSecond") or 0.0)

@@ -118,11 +118,6 @@ def test_sinks(spark, tmp_path):
 
 
 def test_live_changes_closing_and_replay(spark, tmp_path):
-    rows = [("c", 1, 2), ("c", 2, 2), ("c", 5, 3), ("c", 9, 3), ("c", 10, 2), ("d", 4, 1)]
-    spark.createDataFrame(rows, "camera string, us long, n long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = live.detections(spark, str(tmp_path / "in"), "camera string, us long, n long")
-    got = live.drain(live.count_changes(stream, "camera", "us", "n"), str(tmp_path / "out"), "append").collect()
-    assert sorted(map(tuple, got)) == [("c", 1, 4, 2), ("c", 5, 5, 3)]
     target = spark.createDataFrame([(1, 5, "x", True), (2, 5, "y", True)], "track int, end_us long, identity string, open boolean")
     closed = spark.createDataFrame([(1, 9, "z"), (1, 8, "w")], "track int, end_us long, identity string")
     assert sorted(map(tuple, live.close_tracks(target, closed, ["track"]).collect())) == [(1, 9, "z", False), (2, 5, "y", True)]
