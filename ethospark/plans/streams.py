@@ -59,13 +59,13 @@ def stream_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {OBS}, k AS (SELECT subject, label, row_number() OVER (PARTITION BY subject, event_id % {SLOTS} ORDER BY us DESC, event_id DESC) AS r FROM obs),
 v AS (SELECT subject, label, count(*) AS n FROM k WHERE r = 1 GROUP BY ALL), t AS (SELECT *, row_number() OVER w AS k, coalesce(lead(n) OVER w, 0) AS second FROM v WINDOW w AS (PARTITION BY subject ORDER BY n DESC, label))
-SELECT subject AS track, label AS identity, n AS n_votes FROM t WHERE k = 1 AND n >= 3 AND n / (n + second) > 0.55""")
+SELECT subject AS track, label AS identity FROM t WHERE k = 1 AND n >= 3 AND n / (n + second) > 0.55""")
 def stream_vote_retraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity of each track by the votes of the keyframes in its buffer, where a new keyframe in a slot takes back the votes of the old one."""
     rows = observations(spark, sf_dir).select("subject", "us", (F.col("event_id") % SLOTS).alias("slot"), F.array(*[(F.col("label") == x).cast("double") for x in LABELS]).alias("probs"))
     log = _to_the_end(rows, "votes", lambda s: stateful.votes(stateful.with_time(s), ["subject"], LABELS, 3, 0.55, 20_000 * HOUR))
-    last = log.groupBy("subject").agg(F.max_by(F.struct("identity", "votes"), F.struct("batch", "us")).alias("v")).where("v.identity is not null")
-    return last.select(F.col("subject").alias("track"), "v.identity", F.col("v.votes").cast("long").alias("n_votes"))
+    last = log.groupBy("subject").agg(F.max_by(F.struct("identity"), F.struct("batch", "us")).alias("v")).where("v.identity is not null")
+    return last.select(F.col("subject").alias("track"), "v.identity")
 
 
 @query(f"""WITH {OBS}, c AS (SELECT subject % 4 AS camera, us, floor(value / 5)::BIGINT % 3 AS count FROM obs),

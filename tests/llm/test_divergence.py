@@ -41,7 +41,7 @@ def rows_of(df) -> list[tuple]:
     return sorted((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in df.collect())
 
 
-def test_audit_equals_sums_over_terms(spark):
+def test_audit_equals_sums_over_terms(spark, monkeypatch):
     rnd = random.Random(2)
     vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)] + ["É", "Ünd", "UND", "🙂", "ｚ"]
     rows = []
@@ -53,6 +53,10 @@ def test_audit_equals_sums_over_terms(spark):
     for least, top in ((10, 10), (1, 3), (40, 1)):
         assert rows_of(divergence.audit(docs, least, top)) == brute(rows, least, top)
     assert divergence.audit(docs.limit(0)).count() == 0
+    # Counts given out in small parts, and texts cut into small pieces, are the same counts.
+    for name, value in (("HELD", 7), ("OUT", 3), ("PIECE", 5)):
+        monkeypatch.setattr(divergence, name, value)
+    assert rows_of(divergence.audit(docs)) == brute(rows, 10, 10)
 
 
 def test_large_counts_stay_exact():

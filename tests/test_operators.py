@@ -354,3 +354,21 @@ def test_matches_in_bins_cost_least(spark):
                 best = n, min(costs)
                 break
         assert (len(found), sum(r["d"] for r in found)) == (best or (0, 0))
+
+
+@pytest.mark.parametrize(("k1", "k2"), [(6, 3), (20, 6), (4, 1)])
+def test_sparse_rerank_equals_the_matrices(spark, k1, k2):
+    from ethospark.operators import grouping, rerank
+
+    rnd = np.random.default_rng(k1)
+    centres = rnd.normal(size=(8, 5))
+    points = [(centres[i % 8] + rnd.normal(size=5) * 0.3).tolist() for i in range(130)]
+    points[40] = points[41] = points[8]  # equal vectors
+    ids = [3 * i for i in range(20)], [2 * i + 1 for i in range(110)]
+    q = spark.createDataFrame(list(zip(ids[0], points[:20], strict=True)) + [(999, None)], "query_id long, embedding array<double>")
+    g = spark.createDataFrame(list(zip(ids[1], points[20:], strict=True)) + [(998, None)], "gallery_id long, embedding array<double>")
+    far = grouping.rerank(np.array(points[:20]), np.array(points[20:]), k1, k2)
+    want = {(ids[0][i], r + 1): round(float(far[i, j]), 9) for i in range(20) for r, j in enumerate(np.argsort(far[i].round(12), kind="stable")[:15])}
+    got = {(r["query_id"], r["rank"]): round(r["distance"], 9) for r in rerank.rerank(q, g, 15, k1, k2).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+    assert rerank.rerank(q.limit(0), g, 3).count() == 0
