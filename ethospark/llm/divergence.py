@@ -5,7 +5,7 @@ two of them differ by the sum of f(p, q) = floor((p - q)² / (p + q)) over all k
 only, so a pair of sources needs no list of terms: it needs its **joint count histogram**, the number of terms for each combination
 (count here, count there). f is evaluated once a combination and multiplied.
 
-* Terms are counted by (language, source, term) with partial sums before the shuffle, so a hot source costs no more than its vocabulary.
+* Terms are counted by (language, source, term) within tasks and again before the shuffle, so a hot source costs no more than its vocabulary.
 * Terms whose counts are the same in all sources are merged to one vector with a multiplicity before any pair is made; most terms
   of a Zipfian vocabulary are rare and fall together. Pairs are those of the sources of a vector, and the result has a row a pair anyway.
 * Only combinations with both counts above zero are tallied. Combinations with a zero are implied: each source's own histogram of counts, less
@@ -18,23 +18,64 @@ count again. Other columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import string
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ethospark.llm.common import written
+from ethospark.llm.common import binary, map_batches, strings, written
 
-#: Everything in ASCII but letters parts terms.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Counts that a task holds, rows it gives out at once, and bytes of a text that it cuts at once.
+HELD, OUT, PIECE = 500_000, 65_536, 1_000_000
 SCALE = 1_000_000_000
 SMOOTH = 2
 LEAST_DOCUMENTS = 10
 TOP = 10
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text in order, with only A-Z lower-cased."""
-    return F.array_remove(F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), BETWEEN), "")
+def counted(docs: DataFrame) -> DataFrame:
+    """Rows (lang, source, term, n, d): occurrences of each term and documents that have it, added up over parts of a task.
+
+    Terms are cut from the UTF-8 bytes, where everything in ASCII but letters becomes a space. A task gives out its counts and begins anew
+    when it holds ``HELD`` of them, and a long text is taken in pieces, so neither grows with the input.
+    """
+    # A byte table: A-Z to lower case, other ASCII but a-z to a space, all else as it is.
+    table = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("d", pa.int64())])
+
+    def rows_of(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, d) in held.items():
+            words = list(n)
+            for k in range(0, len(words), OUT):
+                part = words[k : k + OUT]
+                same = [pa.array([x] * len(part), pa.string()) for x in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(part, pa.binary()).cast(pa.string()), pa.array([n[w] for w in part], pa.int64()), pa.array([d[w] for w in part], pa.int64())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
+        for batch in batches:
+            for lang, source, text in zip(strings(batch, "lang"), strings(batch, "source"), binary(batch, "text"), strict=True):
+                n, d = held.setdefault((lang, source), (Counter(), Counter()))
+                size -= len(n)
+                text, own, at = text.translate(table), set(), 0
+                while at < len(text):
+                    end = text.find(b" ", at + PIECE)
+                    words = text[at : end if end >= 0 else len(text)].split()
+                    n.update(words)
+                    own.update(words)
+                    at = end if end >= 0 else len(text)
+                d.update(own)
+                size += len(n)
+                if size > HELD:
+                    yield from rows_of(held)
+                    held, size = {}, 0
+        yield from rows_of(held)
+
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return map_batches(docs.select(none("lang"), none("source"), "text"), run, "lang string, source string, term string, n long, d long")
 
 
 def counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -42,12 +83,7 @@ def counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 
     ``v`` is as long as the term has sources; that is bounded by the sources of a language, whose pairs the audit returns one by one.
     """
-    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    own = docs.select(none("lang"), none("source"), terms(F.coalesce("text", F.lit(""))).alias("w"))
-    # A row for each occurrence, and one for each distinct term of a document.
-    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("d"))
-    rows = own.select("lang", "source", F.explode(F.concat(F.transform("w", one(1, 0)), F.transform(F.array_distinct("w"), one(0, 1)))).alias("t")).select("lang", "source", "t.*")
-    by_source = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    by_source = counted(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     by_term = by_source.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("v"), F.sum("n").alias("total"), F.sum("d").alias("d"))
     return by_term.where(F.col("d") >= least).drop("d")
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ethospark.functions.time import HOUR
 from ethospark.plans.base import LABELS, OBS, observations, query
+from ethospark.sources import replay
 from ethospark.streaming import live, rollup, stateful
 
 #: Parts of the table, in order of time, that a stream gets one after the other.
 PARTS = 4
 SLOTS = 7
 GAP = 6 * HOUR
+PAUSE = 120_000_000
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -89,3 +91,17 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _in_parts(rows, f"{path}/in", F.col("event_id") % 3 == 0)
     rollup.roll_up(stream, f"{path}/out", ["event_id"], ["subject"], "us", "label", LABELS, GAP)
     return rollup.summary(spark, f"{path}/out").select("subject", "bin_us", *LABELS)
+
+
+@query(f"""WITH {OBS}, f AS (SELECT event_id, us, 'c' || subject % 3 AS camera FROM obs), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY us) AS r FROM f) WHERE r % 2 = 1),
+p AS (SELECT us, us - lag(us) OVER (ORDER BY us) AS pause FROM (SELECT DISTINCT us FROM k)), c AS (SELECT us, us - sum(greatest(coalesce(pause, 0) - {PAUSE}, 0)) OVER (ORDER BY us) AS replay_us FROM p)
+SELECT camera, event_id, us, replay_us::BIGINT AS replay_us FROM k JOIN c USING (us)""")
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored frames of three cameras as a stream on one clock: every second frame, pauses shortened."""
+    path = _folder(spark, "replay")
+    frames = observations(spark, sf_dir).select("event_id", "us", F.concat(F.lit("c"), F.col("subject") % 3).alias("camera"))
+    replay.write_videos(frames, f"{path}/in", "camera", "us")
+    spark.dataSource.register(replay.ReplaySource)
+    options = {"path": f"{path}/in", "limit": 4000, "skip": 2, "gap": PAUSE}
+    stream = spark.readStream.format("replay").options(**options).load()
+    return live.drain(stream, f"{path}/out", "append", at_once=False).select("camera", "event_id", "us", "replay_us")

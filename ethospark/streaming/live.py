@@ -59,12 +59,13 @@ def votes(stream: DataFrame, key: str, label: str, least: int = 3, ratio: float
     return stream.groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, identity string, n_votes long", "names array<string>, counts array<long>, decided string", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, path: str, mode: str, numbered: bool = False) -> DataFrame:
+def drain(stream: DataFrame, path: str, mode: str, numbered: bool = False, at_once: bool = True) -> DataFrame:
     """Runs a stream over what there is and returns its result, read back from ``path`` in a folder that all nodes share.
 
     Each batch writes its rows under its own number, so a batch that is run again replaces what it wrote. In the mode
     ``complete`` the last batch is the result, in the others all batches are; ``numbered`` keeps their numbers as ``batch``. Called again with
-    the same path, the stream goes on where it stopped. Without any batch the result is empty.
+    the same path, the stream goes on where it stopped. Without any batch the result is empty. A source that gives a bounded part at a trigger is
+    asked until it has no more (``at_once`` false).
     """
     spark = stream.sparkSession
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, batch long"
@@ -72,8 +73,15 @@ def drain(stream: DataFrame, path: str, mode: str, numbered: bool = False) -> Da
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    sink = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint")
+    if at_once:
+        sink.trigger(availableNow=True).start().awaitTermination()
+    else:
+        query = sink.trigger(processingTime="0 seconds").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
     try:
         rows = spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
     except AnalysisException as e:

@@ -193,3 +193,57 @@ def test_stream_without_data(spark, tmp_path):
     stream = live.detections(spark, str(tmp_path / "in"), "id long, v string")
     assert live.drain(stream, str(tmp_path / "out"), "append").collect() == []
     assert live.drain(stream, str(tmp_path / "out2"), "append", numbered=True).columns == ["id", "v", "batch"]
+
+
+def test_replay_on_one_clock(spark, tmp_path):
+    """A replay that is stopped and goes on gives each frame once, in the order and on the clock of ``replay_order``, 20 frames of a camera at a time."""
+    from pyspark.sql import functions as F
+
+    from ethospark.sources import replay
+
+    rnd = random.Random(8)
+    rows, t = [], T0
+    for i in range(330):
+        t += rnd.choice([1, 3, 3] * 30 + [90]) * S
+        rows.append((i, rnd.choice(["c1", "c2", "c2", "c2"]), t))
+    rows += [(900 + k, c, t + 2 * S) for k, c in enumerate(["c1", "c2"])] + [(990, None, t), (991, "c1", None)]
+    frames = spark.createDataFrame(rows, "id long, camera string, us long")
+    path = str(tmp_path / "in")
+    replay.write_videos(frames, path, "camera", "us", rows=50)
+    groups = replay.row_groups(path, "camera", "us")
+    assert max(g.rows for g in groups) <= 50 and sum(g.rows for g in groups) == len(rows) - 2
+    spark.dataSource.register(replay.ReplaySource)
+    stream = spark.readStream.format("replay").options(path=path, limit=20, skip=2, gap=60 * S).load()
+    assert stream.columns == ["id", "us", "camera", "replay_us"]
+
+    out = str(tmp_path / "out")
+    first = []
+
+    def write(batch, number):
+        if number == 4 and not first:
+            first.append(number)
+            raise RuntimeError("lost driver")
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").start()
+    with pytest.raises(Exception, match="lost driver"):
+        query.processAllAvailable()
+    again = spark.readStream.format("replay").options(path=path, limit=20, skip=2, gap=60 * S).load()
+    got = live.drain(again, out, "append", numbered=True, at_once=False).collect()
+    want = live.replay_order(frames.where("camera is not null and us is not null").withColumn("t", F.timestamp_micros("us")), "t", 2, ["camera"], "60 seconds").collect()
+    assert sorted((r["id"], r["replay_us"]) for r in got) == sorted((r["id"], r["replay_us"]) for r in want)
+    in_order = [(r["batch"], r["us"]) for r in sorted(got, key=lambda r: r["us"])]
+    assert in_order == sorted(in_order)
+    per: dict = {}
+    for r in got:
+        per[r["batch"], r["camera"]] = per.get((r["batch"], r["camera"]), 0) + 1
+    assert max(per.values()) == 20 and len({b for b, _ in per}) > 6
+
+
+def test_replay_refuses_frames_out_of_order(spark, tmp_path):
+    from ethospark.sources import replay
+
+    for us in ([1, 9], [5]):
+        spark.createDataFrame([("c", u) for u in us], "camera string, us long").coalesce(1).write.mode("append").partitionBy("camera").parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="in order"):
+        replay.row_groups(str(tmp_path / "in"), "camera", "us")
