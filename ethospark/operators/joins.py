@@ -72,3 +72,22 @@ def within(a: DataFrame, b: DataFrame, keys: list[str], us: str, other: str, rea
 def dense_grid(subjects: DataFrame, first: int, last: int, width: int, name: str = "bin_us") -> DataFrame:
     """Each subject with each bin start from ``first`` to ``last``: an explode, as the grid is the same for all."""
     return subjects.withColumn(name, F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(width))))
+
+
+def at_time_of_day(rows: DataFrame, truths: DataFrame, keys: list[str], us: str, start: str, end: str, label: str, seq: str, default: str | None = None, width: int = 3_600_000_000) -> DataFrame:
+    """``rows`` with the label that ``truths`` give their keys at their time of day, or ``default``.
+
+    ``start`` and ``end`` are microseconds of the day, both inside; an interval that ends before it starts goes over midnight. Of several the greatest
+    ``seq`` counts (then the greatest label). The day is a ring of buckets of ``width``: an interval over midnight is cut in two, and the
+    intervals of a bucket are one row with a list of them, so the join adds no rows and a bucket's list is as long as that animal's intervals there. Intervals with a null are left out; rows with
+    a null key or time get the default.
+    """
+    day = 86_400_000_000
+    known = truths.dropna(subset=[*keys, start, end, label, seq]).select(*keys, F.col(start).alias("_a"), F.col(end).alias("_b"), F.col(label).alias("_label"), F.col(seq).alias("_seq"))
+    ring = F.when(F.col("_a") <= F.col("_b"), F.array(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")))).otherwise(F.array(F.struct(F.col("_a").alias("a"), F.lit(day).cast("long").alias("b")), F.struct(F.lit(0).cast("long").alias("a"), F.col("_b").alias("b"))))
+    cut = known.select(*keys, "_label", "_seq", F.explode(ring).alias("_i")).withColumn("_bucket", F.explode(buckets(F.col("_i.a"), F.col("_i.b"), width)))
+    by_bucket = cut.groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list(F.struct("_seq", "_label", F.col("_i.a").alias("a"), F.col("_i.b").alias("b"))), asc=False).alias("_truths"))
+    at = F.pmod(F.col(us), F.lit(day))
+    joined = rows.withColumn("_at", at).withColumn("_bucket", floor_to(at, width)).join(by_bucket, [*keys, "_bucket"], "left")
+    first = F.get(F.filter("_truths", lambda t: F.col("_at").between(t["a"], t["b"])), F.lit(0))["_label"]
+    return joined.withColumn(label, F.coalesce(first, F.lit(default))).drop("_at", "_bucket", "_truths")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ethospark.functions import geometry, text
 from ethospark.functions.time import HOUR, clock_text
-from ethospark.operators import archive, marts
+from ethospark.operators import archive, marts, zones
 from ethospark.plans.base import OBS, H, observations, query, table
 
 
@@ -134,3 +134,25 @@ def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 6).alias("day"), "vec_id")
     days = lambda part: F.count_distinct(F.when(F.col("part") == part, F.col("day")))
     return archive.half_dates_split(e, "label", "day", 7).groupBy("label").agg(days("query").alias("query_days"), days("gallery").alias("gallery_days"), F.count("*").alias("n_rows"))
+
+
+#: Polygons of five corners, a table with a row for each supplier, drawn in frames of 1920 x 1080.
+_X, _Y = "s_suppkey * 137 % 1500", "s_suppkey * 89 % 800"
+_CORNERS = [(0, 0), (200, 20), (120, 100), (210, 190), (10, 160)]
+#: Positions in frames of two sizes.
+_AT = "SELECT event_id, user_id % 3 AS camera, CASE WHEN event_id % 2 = 0 THEN 1920 ELSE 960 END AS width, CASE WHEN event_id % 2 = 0 THEN 1080 ELSE 540 END AS height, (event_id * 7919 % 1800)::INT AS x, (event_id * 104729 % 1000)::INT AS y FROM events"
+
+
+@query(f"""WITH f AS ({_AT}), z AS (SELECT s_suppkey AS zone, s_suppkey % 3 AS camera, [{", ".join(f"{_X} + {x}" for x, _ in _CORNERS)}] AS px, [{", ".join(f"{_Y} + {y}" for _, y in _CORNERS)}] AS py FROM supplier),
+e AS (SELECT zone, camera, w.width, w.height, unnest([{", ".join(f"{{'ax': trunc(px[{k}] * w.width / 1920)::BIGINT, 'ay': trunc(py[{k}] * w.height / 1080)::BIGINT, 'bx': trunc(px[{k % 5 + 1}] * w.width / 1920)::BIGINT, 'by': trunc(py[{k % 5 + 1}] * w.height / 1080)::BIGINT}}" for k in range(1, 6))}]) AS e FROM z, (VALUES (1920, 1080), (960, 540)) w(width, height)),
+t AS (SELECT event_id, zone, bool_or((e.bx - e.ax) * (y - e.ay) = (e.by - e.ay) * (x - e.ax) AND x BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx) AND y BETWEEN least(e.ay, e.by) AND greatest(e.ay, e.by)) AS on_edge,
+count(*) FILTER ((e.ay > y) <> (e.by > y) AND x < e.ax + (y - e.ay) * (e.bx - e.ax)::DOUBLE / (e.by - e.ay)) % 2 = 1 AS odd FROM f JOIN e USING (camera, width, height) GROUP BY event_id, zone)
+SELECT event_id, coalesce(list_sort(list(zone) FILTER (on_edge OR odd)), []) AS zones FROM f LEFT JOIN t USING (event_id) GROUP BY event_id""")
+def zone_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones of its camera that each position is in, from a table of polygons rescaled to the frame."""
+    k = F.col("s_suppkey")
+    corners = lambda base, at: F.array(*[(base + c[at]).cast("int") for c in _CORNERS])
+    drawn = table(spark, sf_dir, "supplier").select((k % 3).alias("camera"), k.alias("zone"), corners(k * 137 % 1500, 0).alias("px"), corners(k * 89 % 800, 1).alias("py"), F.lit(1920).alias("of_width"), F.lit(1080).alias("of_height"))
+    i, large = F.col("event_id"), F.col("event_id") % 2 == 0
+    frames = table(spark, sf_dir, "events").select(i, (F.col("user_id") % 3).alias("camera"), F.when(large, 1920).otherwise(960).alias("width"), F.when(large, 1080).otherwise(540).alias("height"), (i * 7919 % 1800).cast("int").alias("x"), (i * 104729 % 1000).cast("int").alias("y"))
+    return zones.in_zones(frames, drawn, "x", "y").select("event_id", "zones")

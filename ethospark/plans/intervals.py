@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ethospark.functions.time import HOUR, floor_to, micros, time_of_day
+from ethospark.functions.time import HOUR, floor_to, micros
 from ethospark.operators import islands, joins
 from ethospark.plans.base import BOUTS, OBS, H, gap_bouts, observations, query, table
 
@@ -136,18 +136,19 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("event_id").agg(F.count("*").alias("n_intervals"), F.max_by("bout_label", rank).alias("chosen"))
 
 
-GT = [(0, 22 * H, 2 * H, "sleep_left"), (1, 1 * H, 5 * H, "sleep_right"), (2, 12 * H, 13 * H, "sleep_left")]
+#: Truths by animal and time of day: each order is an interval of an animal's day, later orders override earlier ones.
+TRUTHS = f"gt AS (SELECT o_custkey % 100 AS subject, o_orderkey AS seq, o_orderkey * 7919 % 86400 * 1000000 AS a, (o_orderkey * 7919 + (o_orderkey % 5 + 1) * 180) % 86400 * 1000000 AS b, o_orderstatus AS gt_label FROM orders)"
 
 
-@query(f"""WITH {OBS}, gt(seq, a, b, gt_label) AS (VALUES {", ".join(f"({n}, {a}, {b}, '{x}')" for n, a, b, x in GT)}), hits AS (SELECT event_id, max_by(gt_label, seq) AS gt_label FROM obs JOIN gt
-ON CASE WHEN a > b THEN us % {24 * H} >= a OR us % {24 * H} <= b ELSE us % {24 * H} BETWEEN a AND b END GROUP BY event_id)
+@query(f"""WITH {OBS}, {TRUTHS}, hits AS (SELECT event_id, max_by(gt_label, seq) AS gt_label FROM obs JOIN gt ON obs.subject = gt.subject
+AND CASE WHEN a > b THEN us % {24 * H} >= a OR us % {24 * H} <= b ELSE us % {24 * H} BETWEEN a AND b END GROUP BY event_id)
 SELECT event_id, coalesce(gt_label, 'standing') AS gt_label FROM obs LEFT JOIN hits USING (event_id)""")
 def gt_time_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels given as times of day, which may wrap midnight; a later interval overrides."""
-    t = time_of_day(F.col("us"))
-    inside = lambda a, b: (t >= a) | (t <= b) if a > b else t.between(a, b)
-    label = F.coalesce(*[F.when(inside(a, b), F.lit(x)) for _, a, b, x in sorted(GT, reverse=True)], F.lit("standing"))
-    return observations(spark, sf_dir).select("event_id", label.alias("gt_label"))
+    """Labels that a table gives each animal at times of day, which may wrap midnight; a later interval overrides."""
+    k = F.col("o_orderkey")
+    clock = lambda c: c % 86400 * 1_000_000
+    truths = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("subject"), k.alias("seq"), clock(k * 7919).alias("a"), clock(k * 7919 + (k % 5 + 1) * 180).alias("b"), F.col("o_orderstatus").alias("gt_label"))
+    return joins.at_time_of_day(observations(spark, sf_dir), truths, ["subject"], "us", "a", "b", "gt_label", "seq", "standing").select("event_id", "gt_label")
 
 
 @query(f"""WITH {OBS}, a AS (SELECT subject, us // {6 * H} AS bin, count(*) AS n FROM obs WHERE subject % 2 = 0 GROUP BY ALL), b AS (SELECT subject - 1 AS partner, us // {6 * H} AS bin, count(*) AS n FROM obs WHERE subject % 2 = 1 GROUP BY ALL)

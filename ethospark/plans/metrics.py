@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ethospark.functions.time import HOUR
-from ethospark.operators import evaluate, vectors
+from ethospark.operators import evaluate, regression, vectors
 from ethospark.plans.base import BOUTS, OBS, H, gap_bouts, observations, query, table
 
 SIM = "list_dot_product(q.embedding::DOUBLE[], g.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(g.embedding::DOUBLE[], g.embedding::DOUBLE[])))"
@@ -109,6 +109,19 @@ def ols_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(fit["r2"], fit["f"])], "r2 double, f double").select(F.round("r2", 6).alias("r2"), F.round("f", 6).alias("f"))
 
 
+@query("""WITH e AS (SELECT event_type AS a, (user_id % 2)::DOUBLE AS b, value AS y FROM events), w AS (SELECT y - avg(y) OVER (PARTITION BY a) AS y, b - avg(b) OVER (PARTITION BY a) AS b, y AS raw FROM e),
+t AS (SELECT count(*)::DOUBLE AS n, var_pop(raw) * count(*) AS total, sum(y * y) - sum(y * b) ** 2 / sum(b * b) AS rest, sum(y * b) / sum(b * b) AS beta, (SELECT count(DISTINCT a) FROM e) + 1 AS p FROM w),
+s AS (SELECT *, -n / 2 * (ln(2 * pi() * rest / n) + 1) AS l FROM t)
+SELECT n::BIGINT AS n, p::BIGINT AS rank, round(1 - rest / total, 6) AS r2, round(1 - rest / total * (n - 1) / (n - p), 6) AS r2_adjusted, round((total - rest) / (p - 1) / (rest / (n - p)), 6) AS f, round(2 * p - 2 * l, 4) AS aic, round(p * ln(n) - 2 * l, 4) AS bic, round(beta, 6) AS estimate FROM s""")
+def ols_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares of a measure on two factors, and the estimate of the second one's level."""
+    fit = regression.ols(observations(spark, sf_dir).withColumn("half", F.col("subject") % 2), "value", ["label", "half"])
+    names = ["r2", "r2_adjusted", "f", "aic", "bic"]
+    rows = [(int(fit.stats["n"]), int(fit.stats["rank"]), *[fit.stats[k] for k in names], fit.coefficients[-1][2])]
+    out = spark.createDataFrame(rows, f"n long, rank long, {', '.join(f'{k} double' for k in names)}, estimate double")
+    return out.select("n", "rank", *[F.round(k, 4 if k in ("aic", "bic") else 6).alias(k) for k in (*names, "estimate")])
+
+
 @query(f"WITH {OBS} SELECT event_id, round(avg(value) OVER w, 6) AS mean, round(var_samp(value) OVER w, 8) AS variance FROM obs WINDOW w AS (PARTITION BY subject ORDER BY us, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
 def moving_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and variance of the last ten rows."""

@@ -372,3 +372,98 @@ def test_sparse_rerank_equals_the_matrices(spark, k1, k2):
     got = {(r["query_id"], r["rank"]): round(r["distance"], 9) for r in rerank.rerank(q, g, 15, k1, k2).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
     assert rerank.rerank(q.limit(0), g, 3).count() == 0
+
+
+def test_ols_equals_least_squares_of_the_full_matrix(spark):
+    from ethospark.operators import regression
+
+    rnd = random.Random(9)
+    rows = [(rnd.choice("abc"), rnd.choice(["x", "y"]), rnd.choice("pqrs"), rnd.gauss(0, 1)) for _ in range(300)]
+    rows = [(a, b, c, v + {"a": 0, "b": 1, "c": -2}[a] + (b == "y") * 0.5) for a, b, c, v in rows] + [(None, "x", "p", 1.0), ("a", "x", "p", None), ("a", "x", "p", float("nan"))]
+    df = spark.createDataFrame(rows, "a string, b string, c string, v double").selectExpr("*", "concat(a, '!') AS same")
+    known = [r for r in rows if r[0] is not None and r[3] is not None and not math.isnan(r[3])]
+    for factors in (["a"], ["a", "b"], ["a", "b", "c"]):
+        names = [sorted({r["abc".index(f)] for r in known})[1:] for f in factors]
+        x = np.array([[1.0, *[float(r["abc".index(f)] == level) for f, ls in zip(factors, names, strict=True) for level in ls]] for r in known])
+        y = np.array([r[3] for r in known])
+        beta, left, rank, _ = np.linalg.lstsq(x, y, rcond=None)
+        n, left = len(y), float(left[0])
+        fit = regression.ols(df, "v", factors)
+        total = ((y - y.mean()) ** 2).sum()
+        f = (total - left) / (rank - 1) / (left / (n - rank))
+        likelihood = -n / 2 * (math.log(2 * math.pi * left / n) + 1)
+        want = {"n": n, "rank": rank, "r2": 1 - left / total, "f": f, "aic": 2 * rank - 2 * likelihood, "bic": rank * math.log(n) - 2 * likelihood}
+        assert all(math.isclose(fit.stats[k], v, rel_tol=1e-9) for k, v in want.items())
+        errors = np.sqrt(np.diag(np.linalg.inv(x.T @ x)) * left / (n - rank))
+        assert np.allclose([c[2] for c in fit.coefficients], beta) and np.allclose([c[3] for c in fit.coefficients], errors)
+        # p by adding up the density of F.
+        d1, d2, grid = rank - 1, n - rank, np.linspace(0, f, 400_001)[1:]
+        logs = math.lgamma((d1 + d2) / 2) - math.lgamma(d1 / 2) - math.lgamma(d2 / 2) + d1 / 2 * math.log(d1 / d2) + (d1 / 2 - 1) * np.log(grid) - (d1 + d2) / 2 * np.log1p(d1 / d2 * grid)
+        assert abs((1 - float(np.trapezoid(np.exp(logs), grid))) - fit.stats["p"]) < (0.02 if d1 < 3 else 1e-4)
+    aliased = regression.ols(df, "v", ["a", "same"])
+    assert aliased.stats["rank"] == 3 and sum(math.isnan(c[2]) for c in aliased.coefficients) == 2
+    assert math.isclose(aliased.stats["aic"], regression.ols(df, "v", ["a"]).stats["aic"])
+    assert abs(regression.t_tails(2.228, 10) - 0.05) < 1e-4 and abs(regression.f_tail(4.10, 2, 10) - 0.05) < 1e-3 and regression.f_tail(0.0, 2, 10) == 1.0
+    fits = regression.compare(df.withColumn("one", F.lit("k")), "v", {"group": ["a"], "flat": ["one"], "all": ["a", "one", "b"]})
+    assert set(fits) == {"group", "all"} and fits["all"].stats["rank"] == 4
+
+
+def test_ols_without_error_or_variation(spark):
+    from ethospark.operators import regression
+
+    df = spark.createDataFrame([("a", 1.0, 5.0), ("a", 1.0, 5.0), ("b", 3.0, 5.0), ("b", 3.0, 5.0)], "g string, v double, k double")
+    exact = regression.ols(df, "v", ["g"]).stats
+    assert (exact["r2"], exact["p"], exact["f"], exact["aic"]) == (1.0, 0.0, math.inf, -math.inf)
+    assert math.isnan(regression.ols(df, "k", ["g"]).stats["r2"]) and math.isnan(regression.ols(df.limit(2), "v", ["g"]).stats["f"])
+    assert regression.ols(df.limit(0), "v", ["g"]).stats["n"] == 0
+    with pytest.raises(ValueError, match="levels"):
+        regression.ols(df, "v", ["g"], most=1)
+
+
+def test_zones_equal_all_tests(spark):
+    from ethospark.operators import zones
+
+    rnd = random.Random(12)
+    shapes = [(k % 2, k, [rnd.randrange(0, 400) for _ in range(n)], [rnd.randrange(-20, 300) for _ in range(n)], 400, 300) for k, n in enumerate([3, 4, 5, 7, 3, 6])]
+    shapes += [(0, 90, [0, 100, 100, 0], [0, 0, 100, 100], 400, 300), (0, 91, [5, 5], [1, 2], 400, 300), (1, 92, [1, None, 3], [1, 2, 3], 400, 300)]
+    table = spark.createDataFrame(shapes, "camera int, zone int, px array<int>, py array<int>, of_width int, of_height int")
+    rows = [(i, rnd.randrange(3), w, h, rnd.randrange(-9, w + 9), rnd.randrange(-9, h + 9)) for i, (w, h) in enumerate(rnd.choices([(400, 300), (200, 150), (800, 450)], k=1500))]
+    rows += [(9000, 0, 400, 300, 100, 100), (9001, 0, 400, 300, 50, 0), (9002, None, 400, 300, 1, 1), (9003, 0, 400, 300, None, 1)]
+    frames = spark.createDataFrame(rows, "id int, camera int, width int, height int, x int, y int")
+
+    def within(px, py, x, y):
+        odd = False
+        for (ax, ay), (bx, by) in zip(zip(px, py, strict=True), zip(px[1:] + px[:1], py[1:] + py[:1], strict=True), strict=True):
+            if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+                return True
+            if (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay):
+                odd = not odd
+        return odd
+
+    want = {}
+    for i, camera, w, h, x, y in rows:
+        found = [z for c, z, px, py, ow, oh in shapes if c == camera and z < 91 and x is not None and within([int(v * w / ow) for v in px], [int(v * h / oh) for v in py], x, y)]
+        want[i] = found
+    for cell in (16, 64, 1000):
+        got = {r["id"]: r["zones"] for r in zones.in_zones(frames, table, "x", "y", cell).collect()}
+        assert got == want
+    assert want[9000] and want[9001] and zones.outside(frames, table, "x", "y").count() == sum(not z for z in want.values())
+    assert zones.in_zones(frames, table.limit(0), "x", "y").where("size(zones) > 0").count() == 0
+
+
+def test_time_of_day_equals_a_loop_over_intervals(spark):
+    rnd = random.Random(14)
+    day = 86_400_000_000
+    truths = [(rnd.choice("ab"), rnd.randrange(day), rnd.randrange(day), rnd.choice(["s", "t"]), k) for k in range(25)] + [("a", None, 5, "s", 99), ("a", 5, 5, "point", 98), (None, 1, day - 1, "s", 97), ("b", 0, day - 1, "u", 4)]
+    rows = [(i, rnd.choice(["a", "b", "c"]), rnd.randrange(-3 * day, 3 * day)) for i in range(600)] + [(900, None, 7), (901, "a", None), (902, "a", 5), (903, "a", day + 5)]
+    df = spark.createDataFrame(rows, "id int, animal string, us long")
+    t = spark.createDataFrame(truths, "animal string, a long, b long, gt string, seq int")
+    got = {r["id"]: r["gt"] for r in joins.at_time_of_day(df, t, ["animal"], "us", "a", "b", "gt", "seq", "standing").collect()}
+    want = {}
+    for i, animal, us in rows:
+        want[i] = "standing"
+        for who, a, b, label, seq in sorted((x for x in truths if None not in x), key=lambda x: (x[4], x[3])):
+            at = us % day if us is not None else None
+            if who == animal and at is not None and (a <= at <= b if a <= b else at >= a or at <= b):
+                want[i] = label
+    assert got == want and got[902] == got[903] == "point"
