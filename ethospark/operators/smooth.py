@@ -106,3 +106,80 @@ def gate_by_margin(probabilities: Column, margin: float) -> Column:
     """The place of the greatest of an array of probabilities, 0 if it doesn't lead the second by ``margin``."""
     down = F.sort_array(probabilities, asc=False)
     return F.when(F.get(down, F.lit(0)) - F.get(down, F.lit(1)) >= margin, F.array_position(probabilities, F.get(down, F.lit(0))) - 1).otherwise(F.lit(0)).cast("int")
+
+
+def outliers(df: DataFrame, keys: list[str], order: list[str], label: str, confidence: str, window: int = 21, sure: float = 0.99, unsure: float = 0.7, share: float = 0.3, name: str = "smoothed") -> DataFrame:
+    """``df`` with ``name``: the label, or the commonest one around it where it is an outlier.
+
+    In order, each row looks at the ``window`` // 2 rows to both sides, of which those before it have their new labels already. A row of a confidence below ``unsure``
+    (and ``sure``) takes the commonest other label (ties: the least) if that occurs twice or more and its own makes up less than ``share`` of the window. Blocks (``keys``) of fewer rows than
+    ``window`` stay as they are. Rows without a confidence stay; null labels stay and don't count.
+
+    The window that numbers the rows puts them in order, and they pass as a stream: a task holds a window of rows, and never a block.
+    """
+    import pyarrow as pa
+
+    window += 1 - window % 2
+    half = window // 2
+    at = Window.partitionBy(*keys).orderBy(*order)
+    numbered = df.withColumn("_n", F.row_number().over(at))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches):
+        waiting: list = []  # batches whose labels aren't all settled
+        labels, sureness, numbers = [], [], []  # of their rows, after a window of rows before them
+        settled = given = 0
+
+        def settle(last: bool) -> None:
+            """Goes on as long as a row's window, and whether its block is long enough, is known."""
+            nonlocal settled
+            while settled < len(labels):
+                reach = settled + (half if numbers[settled] >= window else window)
+                end = next((j for j in range(settled + 1, min(len(labels), reach + 1)) if numbers[j] == 1), None)
+                if end is None:
+                    if len(labels) <= reach and not last:
+                        return
+                    end = min(len(labels), reach + 1)
+                if numbers[end - 1] >= window:
+                    look(max(0, settled - min(half, numbers[settled] - 1)), settled, min(end, settled + half + 1))
+                settled += 1
+
+        def look(a: int, i: int, b: int) -> None:
+            c = sureness[i]
+            if labels[i] is None or c is None or c >= sure or not c < unsure:
+                return
+            tally: dict = {}
+            for x in labels[a:i] + labels[i + 1 : b]:
+                if x is not None:
+                    tally[x] = tally.get(x, 0) + 1
+            if not tally:
+                return
+            common = min(tally, key=lambda x: (-tally[x], x))
+            if common != labels[i] and tally[common] >= 2 and tally.get(labels[i], 0) / sum(tally.values()) < share:
+                labels[i] = common
+
+        def give():
+            nonlocal settled, given
+            while waiting and given + waiting[0].num_rows <= settled:
+                batch = waiting.pop(0)
+                n, names = batch.num_rows, [f for f in batch.schema.names if f != "_n"]
+                kind = batch.schema.field(label).type
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f)) for f in names], pa.array(labels[given : given + n], kind)], names=[*names, name])
+                given += n
+                cut = max(0, given - window)
+                for held in (labels, sureness, numbers):
+                    del held[:cut]
+                settled, given = settled - cut, given - cut
+
+        for batch in batches:
+            column = lambda c, b=batch: b.column(b.schema.get_field_index(c)).to_pylist()
+            waiting.append(batch)
+            labels += column(label)
+            sureness += column(confidence)
+            numbers += column("_n")
+            settle(False)
+            yield from give()
+        settle(True)
+        yield from give()
+
+    return numbered.mapInArrow(run, f"{kinds}, `{name}` {df.schema[label].dataType.simpleString()}")

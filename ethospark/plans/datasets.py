@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ethospark.functions.time import DAY
-from ethospark.operators import datasets
+from ethospark.operators import datasets, sampling
 from ethospark.plans.base import OBS, H, observations, query, table
 
 D = 24 * H
@@ -123,3 +123,15 @@ def date_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listing_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of a listing: paging is the feature."""
     return datasets.page_of(table(spark, sf_dir, "pages").select("url", "page_id"), ["url", "page_id"], 20, 2)
+
+
+@query("SELECT event_id, label FROM (SELECT event_id, event_type AS label, row_number() OVER (PARTITION BY event_type ORDER BY sha256('11:' || event_id), event_id) AS r FROM events) WHERE r <= 40")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty rows of each label, the same ones in every run."""
+    return sampling.sample(observations(spark, sf_dir), ["label"], ["event_id"], k=40, seed=11).select("event_id", "label")
+
+
+@query("SELECT event_id, label FROM (SELECT event_id, event_type AS label, row_number() OVER (PARTITION BY event_type ORDER BY sha256('5:' || event_id), event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE r <= floor(n * 0.2)")
+def seeded_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the rows of each label, the same ones in every run."""
+    return sampling.sample(observations(spark, sf_dir), ["label"], ["event_id"], share=0.2, seed=5).select("event_id", "label")

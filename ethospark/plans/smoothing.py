@@ -108,3 +108,10 @@ def margin_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The greatest of four scores, if it leads clearly."""
     scores = F.slice("embedding", 1, 4).cast("array<double>")
     return table(spark, sf_dir, "embeddings").select("vec_id", smooth.gate_by_margin(scores, 0.05).alias("class"))
+
+
+@query()
+def outlier_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsure labels that are rare among the twenty around them, where those before have their new labels already."""
+    rows = observations(spark, sf_dir).withColumn("confidence", F.col("value") / 100)
+    return smooth.outliers(rows, ["subject"], ["us", "event_id"], "label", "confidence").select("event_id", "label", "smoothed")

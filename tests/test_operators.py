@@ -467,3 +467,62 @@ def test_time_of_day_equals_a_loop_over_intervals(spark):
             if who == animal and at is not None and (a <= at <= b if a <= b else at >= a or at <= b):
                 want[i] = label
     assert got == want and got[902] == got[903] == "point"
+
+
+@pytest.mark.parametrize("rows_a_batch", [7, 10_000])
+def test_outliers_equal_the_loop(spark, rows_a_batch):
+    rnd = random.Random(rows_a_batch)
+    blocks = {f"b{n}": n for n in (1, 20, 21, 22, 60, 133)}
+    rows, want = [], {}
+    for key, n in blocks.items():
+        labels, base = [], "x"
+        for _ in range(n):
+            base = rnd.choice("xyz") if rnd.random() < 0.1 else base
+            labels.append(rnd.choice(["x", "y", "z", None]) if rnd.random() < 0.3 else base)
+        sure = [rnd.choice([None, 0.2, 0.5, 0.69, 0.7, 0.98, 1.0]) for _ in range(n)]
+        rows += [(key, i, labels[i], sure[i], f"{key}{i}") for i in range(n)]
+        new = list(labels)
+        if n >= 21:
+            for i in range(n):
+                if sure[i] is None or sure[i] >= 0.99 or new[i] is None:
+                    continue
+                around = [x for x in new[max(0, i - 10) : i] + new[i + 1 : i + 11] if x is not None]
+                most = min(set(around), key=lambda x: (-around.count(x), x), default=None)
+                if most is not None and around.count(new[i]) / len(around) < 0.3 and around.count(most) >= 2 and new[i] != most and sure[i] < 0.7:
+                    new[i] = most
+        want |= {(key, i): new[i] for i in range(n)}
+    rnd.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        got = smooth.outliers(spark.createDataFrame(rows, "block string, i int, label string, sure double, extra string"), ["block"], ["i"], "label", "sure").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r["block"], r["i"]): r["smoothed"] for r in got} == want and len(got) == len(rows)
+    assert all(r["extra"] == f"{r['block']}{r['i']}" for r in got)
+    assert sum(want[k, i] != x for k, i, x, _, _ in rows) > 5
+
+
+def test_samples_are_the_rows_of_least_draws(spark, monkeypatch):
+    import hashlib
+
+    from ethospark.operators import sampling
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]) if i % 3 else "a", i, f"v{i}") for i in range(900)] + [("tiny", 5000, "v"), ("c", None, "w")]
+    df = spark.createDataFrame(rows, "k string, id int, v string").selectExpr("*", "id AS _count")
+    drawn = lambda i: hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()
+    by = lambda key: sorted((drawn(i), i) for k, i, _ in rows if k == key)
+
+    def check(got, n):
+        for key in {k for k, _, _ in rows}:
+            assert sorted(r["id"] or -1 for r in got if r["k"] == key) == sorted(i or -1 for _, i in by(key)[: n(len(by(key)))])
+
+    for frame in (df, df.repartition(7), df.coalesce(1).orderBy(F.desc("id"))):
+        check(sampling.sample(frame, ["k"], ["id"], k=25, seed=7).collect(), lambda n: 25)
+    check(sampling.sample(df, ["k"], ["id"], share=0.1, seed=7).collect(), lambda n: int(0.1 * n))
+    every = sorted((drawn(i), i) for _, i, _ in rows if i is not None)
+    assert {r["id"] for r in sampling.sample(df.where("id is not null"), [], ["id"], k=12, seed=7).collect()} == {i for _, i in every[:12]}
+    monkeypatch.setattr(sampling, "_room", lambda k: k * 0.2)  # bad luck for every key
+    check(sampling.sample(df, ["k"], ["id"], k=25, seed=7).collect(), lambda n: 25)
+    assert sampling.sample(df.limit(0), ["k"], ["id"], k=3).count() == 0

@@ -130,3 +130,49 @@ def test_live_changes_closing_and_replay(spark, tmp_path):
     unique = live.once(live.detections(spark, str(tmp_path / "in2"), "id int, t timestamp"), "t", ["id"], "10 minutes")
     assert sorted(r["id"] for r in live.drain(unique, str(tmp_path / "out2"), "append").collect()) == [1, 2]
     assert live.speed({"processedRowsPerSecond": 3}) == 3.0 and live.speed({}) == 0.0
+
+
+def book(path, sheets, strings=(), date_1904=False):
+    """A workbook written by hand: sheets by name, rows as XML of cells."""
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><workbookPr date1904="{int(date_1904)}"/><sheets>' + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="r{k}"/>' for k, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{k}" Type="x" Target="{"/xl/" if k == 2 else ""}worksheets/s{k}.xml"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si>{s}</si>" for s in strings) + "</sst>")
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="164" formatCode="dd\\.mm\\.yyyy"/><numFmt numFmtId="165" formatCode="0.00&quot;d&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+        for k, rows in enumerate(sheets.values(), 1):
+            z.writestr(f"xl/worksheets/s{k}.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData><mergeCells><mergeCell ref="A2:A3"/></mergeCells></worksheet>')
+
+
+def test_workbook_reads_like_its_csv(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from ethospark.sources import workbook
+
+    rows = (
+        '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="inlineStr"><is><t>n</t></is></c></row>'
+        '<row r="2"><c r="A2" s="1"><v>45660</v></c><c r="B2" t="s"><v>2</v></c><c r="C2"><v>1.5</v></c><c r="D2" s="3"><v>7</v></c></row>'
+        '<row r="3"><c r="B3" t="str"><v>Bo &amp; Cy</v></c></row><row r="4"/>'
+        '<row r="5"><c r="A5" t="inlineStr"><is><t>6.1.2025</t></is></c><c r="B5" t="b"><v>1</v></c></row>'
+        '<row r="6"><c r="A6" s="2"><v>45664.75</v></c><c r="D6" t="e"><v>#N/A</v></c></row>'
+    )
+    strings = ["<t>date</t>", "<t>where</t>", '<r><t>Ann </t></r><r><t xml:space="preserve"> in</t></r><rPh><t>hint</t></rPh>']
+    book(tmp_path / "log.xlsx", {"log": rows, "other": '<row><c><v>1</v></c></row><row><c s="1"><v>0.5</v></c></row>'}, strings)
+    (tmp_path / "log.csv").write_text("date,where,column 3,n\n2025-01-03,Ann  in,1.5,7\n,Bo & Cy,,\n6.1.2025,TRUE,,\n2025-01-07 18:00:00,,,#N/A\n")
+    (tmp_path / "bad.xlsx").write_bytes(b"no zip")
+    got = workbook.sheets(spark, str(tmp_path))
+    csv = [{k: v for k, v in r.asDict().items() if v is not None} for r in spark.read.option("header", True).csv(str(tmp_path / "log.csv")).collect()]
+    assert [r["cells"] for r in got.where("sheet = 'log'").orderBy("row").collect()] == csv
+    assert [r["row"] for r in got.where("sheet = 'log'").orderBy("row").collect()] == [2, 3, 5, 6]
+    assert [(r["file"].rsplit("/", 1)[1], r["row"]) for r in got.where("corrupt is not null").collect()] == [("bad.xlsx", None)]
+    assert [r["cells"] for r in got.where("sheet = 'other'").collect()] == [{"1": "1899-12-31 12:00:00"}]
+    assert workbook.sheets(spark, str(tmp_path), "nowhere").where("corrupt is null").count() == 0
+    log = workbook.keeper_sheet(spark, str(tmp_path), "date", {"where": "location"}, "log").orderBy("row").collect()
+    assert [(str(r["date"]), r["location"]) for r in log] == [("2025-01-03", "Ann  in"), ("2025-01-03", "Bo & Cy"), ("2025-01-06", "TRUE"), ("2025-01-07", "")]
+    book(tmp_path / "old.xlsx", {"log": '<row><c t="inlineStr"><is><t>d</t></is></c></row><row><c s="1"><v>1</v></c></row>'}, date_1904=True)
+    assert [r["cells"]["d"] for r in workbook.sheets(spark, str(tmp_path / "old.xlsx")).collect()] == ["1904-01-02"]
+    texts = ["31/12/2024", " 1-2-2025", "2025-3-4 05:00", "12.31.2024", "x", None]
+    dates = spark.createDataFrame([(t,) for t in texts], "t string").select(workbook.day_first(F.col("t")).cast("string").alias("d")).collect()
+    assert [r["d"] for r in dates] == ["2024-12-31", "2025-02-01", "2025-03-04", None, None, None]
