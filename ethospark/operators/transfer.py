@@ -200,16 +200,17 @@ def rooms_of_groups(ranked: DataFrame, keys: list[str], room: str) -> DataFrame:
     return ranked.groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, room]) + ", `group` int")
 
 
-def occupancy_votes(frames: DataFrame, keys: list[str], track: str, us: str, label: str, good: Column, single: list[str], several: list[str]) -> DataFrame:
+def occupancy_votes(frames: DataFrame, keys: list[str], track: str, us: str, label: str, seen: Column, votes: Column, single: list[str], several: list[str]) -> DataFrame:
     """Rows (keys, track, label, present): each track's label of most votes among those that may be there.
 
-    ``present`` is the greatest number of tracks with a good frame at one time of the track's good frames. A track that is always
-    alone may be one of ``single``, else one of ``several``; without a vote for these all votes count. Ties by label.
+    Two conditions: ``seen`` frames tell who is there, ``votes`` frames (as a rule fewer, of surer frames) vote. ``present`` is the greatest number of
+    tracks seen at one time of the track's voting frames, 1 where nobody is seen. A track that is always alone may be one of ``single``, else one of
+    ``several``; without a vote for these all votes count. Ties by label; tracks without a vote are left out.
     """
-    rows = frames.where(good)
-    at = rows.select(*keys, us, track).distinct().groupBy(*keys, us).agg(F.count("*").alias("_present"))
-    seen = rows.join(at, [*keys, us]).withColumn("present", F.max("_present").over(Window.partitionBy(*keys, track)))
-    counts = seen.where(F.col(label).isNotNull()).groupBy(*keys, track, label).agg(F.count("*").alias("_n"), F.max("present").alias("present"))
+    at = frames.where(seen).select(*keys, us, track).distinct().groupBy(*keys, us).agg(F.count("*").alias("_present"))
+    voting = frames.where(votes).groupBy(*keys, us, track, label).agg(F.count("*").alias("_n")).join(at, [*keys, us], "left")
+    voting = voting.withColumn("present", F.max(F.coalesce("_present", F.lit(1))).over(Window.partitionBy(*keys, track)))
+    counts = voting.where(F.col(label).isNotNull()).groupBy(*keys, track, label).agg(F.sum("_n").alias("_n"), F.max("present").alias("present"))
     fits = F.when(F.col("present") <= 1, F.col(label).isin(single)).otherwise(F.col(label).isin(several))
     w = Window.partitionBy(*keys, track).orderBy(fits.desc(), F.col("_n").desc(), label)
     return counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*keys, track, label, "present")

@@ -131,13 +131,14 @@ def rooms_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transfer.rooms_of_groups(_groups(spark, sf_dir).withColumn("group", F.col("group").cast("int")), ["night"], "room")
 
 
-@query(f"""WITH {OBS}, g AS (SELECT us // {2 * H} AS hour, subject % 20 AS room, subject, label FROM obs WHERE value >= 10), a AS (SELECT room, hour, count(DISTINCT subject) AS present FROM g GROUP BY ALL), p AS (SELECT g.room, subject, max(present) AS present FROM g JOIN a USING (room, hour) GROUP BY ALL),
+@query(f"""WITH {OBS}, o AS (SELECT us // {2 * H} AS hour, subject % 20 AS room, subject, label, value FROM obs), a AS (SELECT room, hour, count(DISTINCT subject) AS n FROM o WHERE value >= 10 GROUP BY ALL),
+g AS (SELECT o.*, coalesce(a.n, 1) AS n FROM o LEFT JOIN a USING (room, hour) WHERE value >= 20 AND value < 90), p AS (SELECT room, subject, max(n) AS present FROM g GROUP BY ALL),
 c AS (SELECT room, subject, label, count(*) AS n FROM g GROUP BY ALL), r AS (SELECT c.*, present, row_number() OVER (PARTITION BY room, subject ORDER BY (CASE WHEN present <= 1 THEN label = 'signup' ELSE label IN ('click', 'purchase') END) DESC, n DESC, label) AS k FROM c JOIN p USING (room, subject))
 SELECT room, subject, label, present FROM r WHERE k = 1""")
 def occupancy_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each track's label among those that may be there, by how many are present."""
+    """Each track's label among those that may be there, by how many are seen; fewer frames vote than are seen."""
     obs = observations(spark, sf_dir).withColumn("at", F.floor(F.col("us") / (2 * HOUR))).withColumn("room", F.col("subject") % 20)
-    return transfer.occupancy_votes(obs, ["room"], "subject", "at", "label", F.col("value") >= 10, ["signup"], ["click", "purchase"])
+    return transfer.occupancy_votes(obs, ["room"], "subject", "at", "label", F.col("value") >= 10, (F.col("value") >= 20) & (F.col("value") < 90), ["signup"], ["click", "purchase"])
 
 
 @query(f"""WITH {OBS}, c AS (SELECT us // {D} AS night, CASE subject % 5 WHEN 0 THEN 'c0' WHEN 1 THEN 'c1' WHEN 2 THEN 'c2' WHEN 3 THEN 'c3' ELSE 'c4' END AS camera, count(*) AS n FROM obs WHERE label = 'purchase' GROUP BY ALL),

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ethospark.functions.text import coalesce_labels
@@ -27,8 +27,8 @@ AS_PREDICTED = ["behavior_label_raw", "behavior_label_stage1", "behavior_label_o
 AS_CORRECTED = ["behavior_label", "behavior_label_raw", "behavior_label_stage1", "behavior_label_old"]
 NAME = r"T(\d{6})_ID(-?\d+)"
 STRICT = r"^T\d{6}_ID\d{6}$"
-#: Columns that a file may have.
-MAX_COLUMNS = 32
+#: A cell of a CSV line and the comma after it.
+CELL = r'\s*("[^"]*(?:""[^"]*)*"\s*|[^,]*),'
 PLACE = r"([^/]+)/(\d{4}-\d{2}-\d{2})/[^/]+$"
 
 
@@ -44,22 +44,42 @@ def _with_path(df: DataFrame) -> DataFrame:
     )
 
 
-def _csv(spark: SparkSession, paths: str | list[str], schema: str, glob: str) -> DataFrame:
-    """Columns are found by their names in each file's header, so files of old and new layouts read alike.
+def csv_cells(line: Column) -> Column:
+    """The cells of a CSV line, without the white space and quotes around them; an empty cell is null. A quote that isn't closed is text."""
+    bare = lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(CELL), F.lit(1)), lambda x: F.nullif(F.trim(bare(F.trim(x))), F.lit("")))
+
+
+def _lines(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame:
+    """Rows (place of the file, _h, _v, line): the cells of each line and of its file's header, the first line that isn't blank.
 
-    A file is a row until its lines are taken apart, so its header is at hand without a join; a track's file is bounded by the length of
-    a track. Cells may be quoted. A line with more or fewer cells than the header is kept in ``corrupt``.
+    A file is a row until its lines are taken apart, so its header is at hand without a join; a track's file is bounded by the length of a track.
     """
     files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).text(paths, wholetext=True)
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    rows = _with_path(files.select("value", "_metadata")).withColumn("_lines", lines).withColumn("_h", F.transform(F.split(F.get("_lines", F.lit(0)), ","), lambda x: F.trim(x)))
-    rows = rows.select("camera", "date", "file_time", "track", "stem", "_h", F.explode(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines"), F.lit(1)))).alias("_line"))
-    cells = F.from_csv("_line", F.lit(", ".join(f"c{i} string" for i in range(MAX_COLUMNS))))
-    rows = rows.withColumn("_c", cells).withColumn("_v", F.array(*[F.col(f"_c.c{i}") for i in range(MAX_COLUMNS)]))
-    n = F.size(F.split("_line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    lines = F.filter(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n"), lambda x: F.trim(x) != "")
+    rows = _with_path(files.select("value", "_metadata")).withColumn("_lines", lines).withColumn("_h", csv_cells(F.get("_lines", F.lit(0))))
+    rows = rows.select("camera", "date", "file_time", "track", "stem", "_h", F.explode(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines"), F.lit(1)))).alias("line"))
+    return rows.withColumn("_v", csv_cells(F.col("line")))
+
+
+def _csv(spark: SparkSession, paths: str | list[str], schema: str, glob: str) -> DataFrame:
+    """Columns are found by their names in each file's header, wherever they stand, so files of old and new layouts read alike.
+
+    Cells and names may be quoted. A line with more or fewer cells than the header, or of a file without ``timestamp``, is kept in ``corrupt``.
+    """
+    rows = _lines(spark, paths, glob)
     kinds = dict(f.split() for f in schema.split(","))
-    cell = lambda c: F.when(F.array_position("_h", F.lit(c)) > 0, F.nullif(F.trim(F.get("_v", (F.array_position("_h", F.lit(c)) - 1).cast("int"))), F.lit("")))
-    return rows.select("camera", "date", "file_time", "track", "stem", *[cell(c).try_cast(k).alias(c) for c, k in kinds.items()], F.when(n != F.size("_h"), F.col("_line")).alias("corrupt"))
+    cell = lambda c: F.when(F.array_position("_h", F.lit(c)) > 0, F.get("_v", (F.array_position("_h", F.lit(c)) - 1).cast("int")))
+    return rows.select("camera", "date", "file_time", "track", "stem", *[cell(c).try_cast(k).alias(c) for c, k in kinds.items()], F.when(_misfit(), F.col("line")).alias("corrupt"))
+
+
+def _misfit() -> Column:
+    return (F.size("_v") != F.size("_h")) | (F.array_position("_h", F.lit("timestamp")) == 0)
+
+
+def corrupt_lines(spark: SparkSession, paths: str | list[str], glob: str = "T*_ID*.csv") -> DataFrame:
+    """Rows (camera, date, stem, line) of lines that don't fit their file's header, and of files without a column ``timestamp``, none of whose rows ``tracks`` has."""
+    return _lines(spark, paths, glob).where(_misfit()).select("camera", "date", "stem", "line")
 
 
 def night_paths(root: str, date: str) -> list[str]:

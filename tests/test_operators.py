@@ -526,3 +526,24 @@ def test_samples_are_the_rows_of_least_draws(spark, monkeypatch):
     monkeypatch.setattr(sampling, "_room", lambda k: k * 0.2)  # bad luck for every key
     check(sampling.sample(df, ["k"], ["id"], k=25, seed=7).collect(), lambda n: 25)
     assert sampling.sample(df.limit(0), ["k"], ["id"], k=3).count() == 0
+
+
+def test_occupancy_votes_equal_two_passes(spark):
+    rnd = random.Random(21)
+    rows = [(rnd.choice("rs"), rnd.choice("abc"), rnd.randrange(40), rnd.choice(["p", "q", "z", None]), rnd.choice([0.5, 0.7, 0.8, 0.9, 1.0]), rnd.random() < 0.8) for _ in range(300)] + [("solo", "a", 1, "p", 0.9, True), ("solo", "a", 2, "q", 0.9, True), ("solo", "b", 9, "z", 0.5, True)]
+    df = spark.createDataFrame(rows, "room string, track string, us int, label string, conf double, good boolean")
+    votes = F.col("good") & (F.col("conf") >= 0.9)
+    got = {(r["room"], r["track"]): (r["label"], r["present"]) for r in transfer.occupancy_votes(df, ["room"], "track", "us", "label", F.col("good") & (F.col("conf") >= 0.7), votes, ["z"], ["p", "q"]).collect()}
+    counts: dict = {}
+    for room, track, us in {(r[0], r[1], r[2]) for r in rows if r[5] and r[4] >= 0.7}:
+        counts[room, us] = counts.get((room, us), 0) + 1
+    want = {}
+    for room, track in {r[:2] for r in rows}:
+        mine = [r for r in rows if r[:2] == (room, track) and r[5] and r[4] >= 0.9]
+        voted = [r[3] for r in mine if r[3] is not None]
+        if not voted:
+            continue
+        present = max(counts.get((room, r[2]), 1) for r in mine)
+        able = [x for x in voted if x in (["z"] if present <= 1 else ["p", "q"])] or voted
+        want[room, track] = min(set(able), key=lambda x: (-able.count(x), x)), present
+    assert got == want and got["solo", "a"] == ("p", 1)

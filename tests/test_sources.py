@@ -176,3 +176,17 @@ def test_workbook_reads_like_its_csv(spark, tmp_path):
     texts = ["31/12/2024", " 1-2-2025", "2025-3-4 05:00", "12.31.2024", "x", None]
     dates = spark.createDataFrame([(t,) for t in texts], "t string").select(workbook.day_first(F.col("t")).cast("string").alias("d")).collect()
     assert [r["d"] for r in dates] == ["2024-12-31", "2025-02-01", "2025-03-04", None, None, None]
+
+
+def test_csv_of_many_columns_and_quoted_names(spark, tmp_path):
+    day = tmp_path / "cam1" / "2025-01-30"
+    day.mkdir(parents=True)
+    wide = [f"x{i}" for i in range(40)]
+    (day / "T180000_ID000001.csv").write_text(",".join([*wide, "timestamp", "score"]) + "\n" + ",".join([*"1" * 40, "2025-01-30 18:00:00", "0.5"]) + "\n")
+    (day / "T180000_ID000002.csv").write_text('﻿"timestamp", "frame_id","identity_label"\r\n\r\n"2025-01-30 18:00:01",7,"An ""A"", x"\r\n2025-01-30 18:00:02,8," open\r\n')
+    (day / "T180000_ID000003.csv").write_text("time,score\n2025-01-30 18:00:03,0.1\n")
+    (day / "T180000_ID000004.csv").write_text("")
+    (day / "T180000_ID000005.csv").write_text("timestamp,identity_label\n2025-01-30 18:00:04," + "y" * 100_000 + "\n2025-01-30 18:00:05\n")
+    got = {str(r["ts"])[-2:]: (r["track"], r["frame_id"], r["score"], r["identity_label"], r["corrupt"] is not None) for r in tracks.tracks(spark, str(tmp_path)).collect()}
+    assert got == {"00": (1, None, 0.5, None, False), "01": (2, 7, None, 'An "A", x', False), "02": (2, 8, None, '" open', False), "04": (5, None, None, "y" * 100_000, False), "05": (5, None, None, None, True)}
+    assert sorted((r["stem"][-1], r["line"][:4]) for r in tracks.corrupt_lines(spark, str(tmp_path)).collect()) == [("3", "2025"), ("5", "2025")]
