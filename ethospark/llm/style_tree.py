@@ -12,11 +12,15 @@ is, after the number m of pages that have it:
 A node's own importance is the weighted mean of its measures and those of the nodes below it. The weight fades with the depth by
 GAMMA, and presentation weighs 1 - GAMMA^l for l sequences. A branch is as important as its most important node, so what
 stands around an article never takes it along. What few pages show is uncertain, so the measure is drawn towards 1 as
-if ``PRIOR`` further pages had it. The composite importance is the measure times the weight of the node's role: 0 for a node
-that says it isn't part of the article (``nav``, ``class="sidebar"``, hidden, outside of the page's article), else 1. Branches of low
-composite importance are removed from every page of the host. A role is known from the node alone, so only
+if ``PRIOR`` further pages had it. The composite importance is the measure times the weight of the node's role, 0 or 1. Branches of low
+composite importance are removed from every page of the host. A role is known from the page alone, so only
 branches of low measure are looked up.
 
+What gives a role of weight 0: tags (``nav``, ``footer``, ``form``, hidden ones), and classes, ids and roles that *name* a part (``class="sidebar"``, ``id="site-footer"``: nothing but
+such a word and words of layout). A name that only holds such a word (``notice-period``, ``search-engine-history``) is none, nor are words of several meanings (``menu``, ``notice``)
+on tables and paragraphs, or on a branch of an article with much prose in it: there the measure decides alone. Reader comments are known by all names that begin with ``comment``.
+Of several articles those much shorter than the longest are teasers; of an article's own header headings and lead paragraphs stay, bylines go.
+
 Spark jobs: pages to nodes and text digests (no text is shuffled); three grouped sums; two over all ancestors of a
 node; then pages join the low branches of their host, which are few. A host with a third of all pages is merged
 before each shuffle. The low branches are written and measured: they are broadcast up to ``BROADCAST_BYTES``, so that no page
@@ -40,8 +44,10 @@ from ethospark.llm.common import join_split, map_batches, strings, written
 GAMMA = 0.9
 #: A branch below this composite importance is noise.
 LOW = 0.5
-#: Pages of full importance that are added to those of a node: a branch that never changes is noise from the fifth page on.
-PRIOR = 3
+#: Pages of full importance that are added to those of a node: a branch that never changes is noise from the third page on.
+PRIOR = 1
+#: Words of prose with which a branch of an article survives a name of several meanings; words of a lead paragraph; share of the longest article's text below which another one is a teaser.
+PROSE_WORDS, LEAD_WORDS, TEASER = 40, 8, 0.3
 BROADCAST_BYTES = 32 << 20
 #: Longer names of classes and ids are cut in labels and marked by their hash.
 NAME_CHARS = 40
@@ -64,40 +70,64 @@ ROOTS = {"html", "body", "main", "article"}
 NOISE_WORDS = set(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices"
     " alert newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond replies popup modal form search widget widgets copyright legal toolbar pagination pager overlay"
-    " complementary contentinfo dialog".split()
+    " complementary contentinfo dialog discussion".split()
 )
-#: Words that turn the next word into a remark on the layout: with-sidebar.
+#: Of these, words that can speak of a text's matter.
+AMBIGUOUS = set("menu notice notices alert legal search related form copyright banner promotion widget login share social dialog overlay modal recommended complementary discussion".split())
+#: Tags of a text's own parts, on which ambiguous words name nothing.
+MATTER = {"p", "table", "thead", "tbody", "tr", "td", "th", "caption", "dl", "dt", "dd", "blockquote", "pre", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "section"}
+#: Words that turn a token into a remark on the layout: with-sidebar.
 LAYOUT_WORDS = {"with", "has", "no", "without", "is"}
+#: Words that may stand beside the word that names a part.
+BESIDE = set(
+    "box bar area wrapper wrap container block section list links link unit slot inner outer item items panel module content site page main global top bottom left right header primary secondary row col group zone region"
+    " text title body post posts article articles stories news entry user reader readers button buttons icon icons tools view holder frame cell new all the by thread form author meta".split()
+)
+COMMENT = re.compile(r"comment(?!ar|at)[a-z]*|disqus|respond|repl(?:y|ies)|guestbook")
 
 
 class _Node:
-    __slots__ = ("dropped", "inline", "label", "main", "path", "seen", "tag", "words")
+    __slots__ = ("article", "branch", "brief", "dropped", "inline", "label", "link", "main", "path", "tag", "words")
 
     def __init__(self, tag: str, label: str, words: set[str], parent: _Node | None):
-        self.tag, self.label, self.words, self.seen = tag, label, words, []
+        self.tag, self.label, self.words = tag, label, words
+        if tag in MATTER:
+            words -= AMBIGUOUS
         self.inline = tag in INLINE and not words & NOISE_WORDS
         up = parent.path if parent else ""
         self.path = up if self.inline else f"{up}/{label}"
-        comment = words & {"comment", "comments", "respond", "disqus", "reply", "replies"}
         main = parent.main if parent else False
-        named = words & NOISE_WORDS if tag not in ROOTS else comment
+        named = words & NOISE_WORDS if tag not in ROOTS else words & {"comment"}
         header = tag == "header" or "header" in words and tag not in ROOTS
-        role = bool(tag in NOISE_TAGS or named or header and not main)
+        role = bool(tag in NOISE_TAGS or named - AMBIGUOUS or named and not main or header and not main)
         self.dropped = bool(parent and parent.dropped) or role or "?hidden" in words
-        if not self.dropped and parent and parent.words and "?header" in parent.words and not self.inline and not re.fullmatch(r"h[1-6]|hgroup|div", tag):
+        #: A branch whose name has several meanings: its text decides, once it is known.
+        self.branch = bool(named) and not self.dropped
+        inside = bool(parent and "?header" in parent.words) and not self.inline
+        self.brief = inside and tag == "p" or bool(parent and parent.brief)
+        if not self.dropped and inside and not re.fullmatch(r"h[1-6]|hgroup|div|p", tag):
             self.dropped = True
-        if header and main and not role:
-            words.add("?header")  # of an article's own header the headings stay
+        if header and main and not role or inside and tag == "div":
+            words.add("?header")  # of an article's own header headings and leads stay
         self.main = main or (tag in ("article", "main") and not self.dropped)
+        self.article = tag == "article" and not self.dropped
+        self.link = tag == "a" or bool(parent and parent.link)
 
 
 def _words(attributes: str) -> tuple[set[str], str]:
+    """The words by which a node's class, id and role name a part that isn't the article, and the node's label."""
     words: set[str] = set()
     name = ""
     for key, a, b, c in NAMED.findall(attributes):
         value = html.unescape(a or b or c)
-        parts = [x.lower() for x in CAMEL.split(value) if x]
-        words |= {x for n, x in enumerate(parts) if not n or parts[n - 1] not in LAYOUT_WORDS}
+        for token in value.split():
+            parts = [x.lower() for x in CAMEL.split(token) if x]
+            if not parts or parts[0] in LAYOUT_WORDS:
+                continue
+            said = ["comment" if COMMENT.fullmatch(x) else x for x in parts]
+            naming = {x for x in said if x in NOISE_WORDS or x == "header"}
+            if naming and all(x in naming or x in BESIDE or len(x) < 3 for x in said):
+                words |= naming
         if key.lower() != "role":
             label = re.sub(r"\d+", "0", "-".join(value.split())).replace("/", "|")
             name += ("." if key.lower() == "class" else "#") + (label if len(label) <= NAME_CHARS else f"{label[:NAME_CHARS]}~{xxhash.xxh64_hexdigest(label)}")
@@ -112,9 +142,13 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list
     The reader is lenient: unknown, unclosed and cut tags are taken as browsers take them, roughly.
     """
     out: list[tuple[str, bool, bool, str]] = []
+    of: list[tuple[int, int]] = []  # of each block: the named branch and the article that it is in, by number
+    branches, articles = [[0, 0]], [0]  # words and words in links of branches; characters of articles; 0 is none
+    inside = [(0, 0)]  # as many as the stack
     children: dict[str, list[str]] = {}
     stack = [_Node("", "", set(), None)]
     held: list[str] = []
+    links = [0]  # words in links of the block under way
     memory: dict[str, tuple[set[str], str]] = {}
 
     def end_block() -> None:
@@ -122,8 +156,16 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                node = stack[-1]
-                out.append((node.path, node.dropped, node.main, text))
+                node, (branch, article) = stack[-1], inside[-1]
+                n_words = len(text.split())
+                dropped = node.dropped or node.brief and n_words < LEAD_WORDS
+                branches[branch][0] += n_words
+                branches[branch][1] += links[0]
+                if not dropped:
+                    articles[article] += len(text)
+                out.append((node.path, dropped, node.main, text))
+                of.append((branch, article))
+            links[0] = 0
 
     at, n = 0, len(page)
     while at < n:
@@ -133,6 +175,8 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list
             break
         if lt > at:
             held.append(page[at:lt])
+            if stack[-1].link:
+                links[0] += page.count(" ", at, lt) + 1
         m = TOKEN.match(page, lt) or LOOSE.match(page, lt)
         if not m:
             held.append("<")
@@ -146,7 +190,10 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list
             if tag in INLINE and not any(x.tag == tag and not x.inline for x in stack):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
-                        del stack[k]
+                        del stack[k], inside[k]
+                        if tag == "a":
+                            for x in stack[k:]:
+                                x.link = False
                         break
                     if not stack[k].inline:
                         break
@@ -154,7 +201,7 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     end_block()
-                    del stack[k:]
+                    del stack[k:], inside[k:]
                     break
             else:
                 if tag in ENDS_P:
@@ -168,7 +215,7 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in close:
                     end_block()
-                    del stack[k:]
+                    del stack[k:], inside[k:]
                     break
                 if not stack[k].inline and stack[k].tag not in ("td", "th"):
                     break
@@ -186,9 +233,19 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list
             if stop:
                 at = (page.find(">", at) + 1) or n
         elif tag not in VOID and not m[3].endswith("/"):
+            branch, article = inside[-1]
+            if node.branch and not branch:
+                branches.append([0, 0])
+                branch = len(branches) - 1
+            if node.article and not any(x.article for x in stack):
+                articles.append(0)
+                article = len(articles) - 1
             stack.append(node)
+            inside.append((branch, article))
     end_block()
-    return out, children
+    bare = {k for k, (n_words, linked) in enumerate(branches) if k and (n_words < PROSE_WORDS or 3 * linked > n_words)}
+    teasers = {k for k, n_chars in enumerate(articles) if k and n_chars < TEASER * max(articles[1:])}
+    return [(path, dropped or b in bare or k in teasers, main, text) for (path, dropped, main, text), (b, k) in zip(out, of, strict=True)], children
 
 
 def _digest(text: str) -> int:
