@@ -166,7 +166,7 @@ class Matcher:
                         best, end = found, lo + to
             if best <= self.budget[n]:
                 out += [(i, best, end) for i in ids]
-        return sorted(out)
+        return sorted(out, key=lambda m: (m[0] is None, m))
 
 
     @staticmethod
@@ -176,18 +176,18 @@ class Matcher:
         return myers(part, masks, text[lo : max(0, origin + at + len(part) + edits)], edits)[0] <= edits
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[list[int], str]]]:
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[list[int | None], str]]]:
     """The distinct normalised items with their ids, in blocks of bounded size."""
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = int(size // block_bytes) + 1
     for k in range(n):
-        block: dict[str, list[int]] = defaultdict(list)
+        block: dict[str, list[int | None]] = defaultdict(list)
         for row in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toLocalIterator():
             if text := normalize(row["text"]):
                 block[text].append(row["item_id"])
         if block:
-            yield [(sorted(ids), text) for text, ids in sorted(block.items())]
+            yield [(sorted(ids, key=lambda i: (i is None, i)), text) for text, ids in sorted(block.items())]
 
 
 def _with_last(items: Iterator) -> Iterator[tuple[bool, list]]:
@@ -204,7 +204,7 @@ def _with_last(items: Iterator) -> Iterator[tuple[bool, list]]:
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, distance, end) for each item that a document holds within its edit budget.
 
-    Null and empty texts and items match nothing. Rows with equal ids each give their matches; several benchmark rows of the same text all match.
+    Null and empty texts and items match nothing. Rows with equal ids each give their matches; several benchmark rows of the same text all match, and an item without an id is found as item null.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())])
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
