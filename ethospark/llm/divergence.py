@@ -83,7 +83,8 @@ def counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 
     ``v`` is as long as the term has sources; that is bounded by the sources of a language, whose pairs the audit returns one by one.
     """
-    by_source = counted(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    # Tasks have added up already: rows are dealt first, so that they are added up once more and not twice.
+    by_source = counted(docs).repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     by_term = by_source.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("v"), F.sum("n").alias("total"), F.sum("d").alias("d"))
     return by_term.where(F.col("d") >= least).drop("d")
 
@@ -102,8 +103,10 @@ def distance(p: Column, q: Column) -> Column:
 def joint_histogram(kept: DataFrame) -> DataFrame:
     """Rows (lang, a, b, x, y, m): for sources a < b how many kept terms have x > 0 occurrences in a and y > 0 in b."""
     vectors = kept.groupBy("lang", "v").agg(F.count("*").alias("m"))
-    later = lambda x, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda y: F.struct(x["source"].alias("a"), y["source"].alias("b"), x["n"].alias("x"), y["n"].alias("y")))
-    pairs = vectors.where(F.size("v") > 1).select("lang", "m", F.explode(F.flatten(F.transform("v", later))).alias("c")).select("lang", "c.*", "m")
+    # Two plain explodes: a source of a vector, then each later one.
+    first = vectors.select("lang", "m", "v", F.posexplode("v").alias("i", "e")).where(F.col("i") + 1 < F.size("v"))
+    pairs = first.select("lang", "m", "e", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("g"))
+    pairs = pairs.select("lang", F.col("e.source").alias("a"), F.col("g.source").alias("b"), F.col("e.n").alias("x"), F.col("g.n").alias("y"), "m")
     return pairs.groupBy("lang", "a", "b", "x", "y").agg(F.sum("m").alias("m"))
 
 
