@@ -21,7 +21,9 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ MAGIC = b"WVM2"
 SHARD_TOKENS = 1 << 20
 #: Bits between two stored ranks of a plane.
 BLOCK = 512
-#: Distinct parts of texts that a task remembers.
-MAX_PARTS = 400_000
+#: Distinct parts of texts that a worker remembers, twice: those since it last began anew, and those before.
+MAX_PARTS = 500_000
 NULL_ID = -(2**63)
 HEAD = struct.Struct("<4sIQQ")
 # The pattern of byte-level vocabularies, and the letters that stand for bytes in their tokens.
@@ -132,10 +134,10 @@ class Shard:
         return i
 
     def _select_bit(self, level: int, bit: int, nth: int) -> int:
-        ranks = self.ranks[level].astype(np.int64)
-        ranks = ranks if bit else np.arange(len(ranks)) * BLOCK - ranks
-        block = int(np.searchsorted(ranks, nth, side="right")) - 1
-        left = nth - int(ranks[block])
+        ranks = self.ranks[level]
+        before = lambda b: int(ranks[b]) if bit else b * BLOCK - int(ranks[b])
+        block = bisect_right(range(len(ranks)), nth, key=before) - 1
+        left = nth - before(block)
         for word in range(block * (BLOCK // 64), (block + 1) * (BLOCK // 64)):
             x = int(self.planes[level][word])
             x = x if bit else ~x & 2**64 - 1
@@ -158,11 +160,11 @@ class Shard:
 
 
 class _Encoder:
-    """The tokenizer's ids of whole texts, by way of a table of a task's distinct parts.
+    """The tokenizer's ids of whole texts, by way of a table of distinct parts.
 
     The vocabulary's pattern cuts a text into matches that the library's model encodes each for itself; between two characters that
     aren't white space, a single space always begins a match. So a text falls apart at its spaces, and a part is encoded
-    once. Texts with special tokens, and those with white space next to a space, are given to the library whole.
+    once; a worker remembers a bounded number of parts. Texts with special tokens, and those with white space next to a space, are given to the library whole.
     """
 
     def __init__(self, path: str, special_as_text: bool):
@@ -176,6 +178,7 @@ class _Encoder:
         self.simple = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer")
         self.find = regex.compile(BYTE_LEVEL).findall
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -212,8 +215,9 @@ class _Encoder:
         known, last = self.parts, len(parts) - 1
         got = list(map(known.get, parts))
         got[0] = b"" if last and not parts[0] else None  # the first part has no space before it
-        if len(known) > MAX_PARTS:
-            known.clear()
+        if len(known) > MAX_PARTS:  # what comes again within the next so many parts is kept
+            self.older, self.parts = known, {}
+            known = self.parts
         for k in [k for k, x in enumerate(got) if x is None]:
             part = parts[k]
             if k and (not part or part[0].isspace()) or k < last and part[-1:].isspace():
@@ -221,7 +225,7 @@ class _Encoder:
             if not k:
                 got[k] = self._part(part)
             elif (found := known.get(part)) is None:
-                got[k] = found = self._part(" " + part)
+                got[k] = found = self.older.get(part) or self._part(" " + part)
                 if not part[-1].isspace():
                     known[part] = found
             else:
@@ -229,6 +233,12 @@ class _Encoder:
         return b"".join(got)
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, special_as_text: bool) -> _Encoder:
+    """One encoder a Python worker: what it remembers serves the worker's later tasks too."""
+    return _Encoder(path, special_as_text)
+
+
 def shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, special_as_text: bool = False) -> DataFrame:
     """Rows (part, number, first_id, last_id, n_docs, n_tokens, payload) of ``docs`` in ascending id order.
 
@@ -251,7 +261,7 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            encode = encode or _Encoder(tokenizer, special_as_text)
+            encode = encode or _encoder(tokenizer, special_as_text)
             keys = batch.column(0).to_pylist()
             for key, text in zip(keys, strings(batch, "text"), strict=True):
                 got = encode(text)
