@@ -59,3 +59,8 @@ def softmax(scores: Column) -> Column:
 def coalesce_labels(columns: list[str], present: list[str]) -> Column:
     """The first of several label columns, in order of precedence, that a file has and that isn't null."""
     return reduce(lambda a, b: F.coalesce(a, b), [F.col(c) for c in columns if c in present], F.lit(None).cast("string"))
+
+
+def ordered_union(values: Column) -> Column:
+    """An array's distinct values that aren't empty, in the order in which they first come."""
+    return F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (F.trim(x) != "")))

@@ -64,3 +64,22 @@ def clock_text(text: Column) -> Column:
     padded = F.rpad(F.when(F.length(digits) % 2 == 1, F.concat(F.lit("0"), digits)).otherwise(digits), 6, "0")
     out = F.concat_ws(":", F.substring(padded, 1, 2), F.substring(padded, 3, 2), F.substring(padded, 5, 2))
     return F.when(F.length(digits).between(1, 6) & out.rlike("^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$"), out)
+
+
+def zone_time(text: Column, zone: str) -> Column:
+    """A moment as a naive time of ``zone``: a number is seconds since 1970 in UTC, a time with a zone or offset is converted, one without is that zone's already. Null if it is none of these."""
+    number = text.try_cast("double")
+    plain = F.replace(F.trim(text), F.lit("T"), F.lit(" "))
+    zoned = plain.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2}| [A-Za-z]+/[A-Za-z_]+)$")
+    at_utc = F.when(number.isNotNull(), F.timestamp_micros((number * SECOND).cast("bigint"))).when(zoned, plain.try_cast("timestamp"))
+    return F.when(number.isNotNull() | zoned, F.from_utc_timestamp(at_utc, zone).cast("timestamp_ntz")).otherwise(plain.try_cast("timestamp_ntz"))
+
+
+def date_dash(text: Column) -> Column:
+    """20250103 as 2025-01-03; other texts stay."""
+    return F.when(text.rlike("^[0-9]{8}$"), F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2))).otherwise(text)
+
+
+def date_key(text: Column) -> Column:
+    """A date without its dashes, as keys of folders have it; ``unknown-date`` where there is none."""
+    return F.coalesce(F.nullif(F.replace(F.trim(text), F.lit("-"), F.lit("")), F.lit("")), F.lit("unknown-date"))

@@ -336,3 +336,29 @@ def rerank_labels(counts: dict[int, dict[str, int]], labels: list[str]) -> dict[
     votes = np.array([[counts[i].get(x, 0) for x in labels] for i in ids], float)
     bonus = np.array([[(len(labels) - n) * 1e-6 / (k + 1) for n in range(len(labels))] for k in range(len(ids))])
     return {ids[i]: labels[j] for i, j in hungarian(-(votes + bonus))}
+
+
+def assign_labels(counts: DataFrame, keys: list[str], identity: str, label: str, n: str, known: list[str]) -> DataFrame:
+    """Rows (keys, identity, label, score): the label of each identity of a key from votes (keys, identity, label, n).
+
+    A score is a label's share of all of an identity's votes. Two identities of a key and two known labels get one label each, so that the scores' sum is greatest (equal sums: the first
+    identity gets the lesser label). Otherwise each identity gets its best label, ties in the order of ``known``; several may get the same. An
+    identity without votes for known labels has score 0.
+    """
+    total = F.sum(n).over(Window.partitionBy(*keys, identity))
+    shares = counts.where(F.col(n) > 0).withColumn("_s", F.col(n) / total).groupBy(*keys, identity).agg(*[F.coalesce(F.sum(F.when(F.col(label) == x, F.col("_s"))), F.lit(0.0)).alias(f"_s{k}") for k, x in enumerate(known)])
+    every = counts.select(*keys, identity).distinct().join(shares, [*keys, identity], "left").na.fill(0.0, [f"_s{k}" for k in range(len(known))])
+    best = F.greatest(*[F.col(f"_s{k}") for k in range(len(known))]) if len(known) > 1 else F.col("_s0")
+    own = F.coalesce(*[F.when(F.col(f"_s{k}") == best, F.lit(x)) for k, x in enumerate(known)])
+    if len(known) != 2:
+        return every.select(*keys, identity, own.alias(label), best.alias("score"))
+    lesser, other = sorted(range(2), key=lambda k: known[k])
+    w = Window.partitionBy(*keys)
+    first = F.row_number().over(w.orderBy(identity)) == 1
+    ranked = every.withColumn("_first", first).withColumn("_two", F.count("*").over(w) == 2)
+    straight = F.sum(F.when(F.col("_first"), F.col(f"_s{lesser}")).otherwise(F.col(f"_s{other}"))).over(w)
+    crossed = F.sum(F.when(F.col("_first"), F.col(f"_s{other}")).otherwise(F.col(f"_s{lesser}"))).over(w)
+    takes = F.when(F.col("_first") == (straight >= crossed - 1e-12), lesser).otherwise(other)
+    pick = lambda k, a, b: F.when(k == 0, a).otherwise(b)
+    one = ranked.withColumn("_k", takes)
+    return one.select(*keys, identity, F.when(F.col("_two"), pick(F.col("_k"), F.lit(known[0]), F.lit(known[1]))).otherwise(own).alias(label), F.when(F.col("_two"), pick(F.col("_k"), F.col("_s0"), F.col("_s1"))).otherwise(best).alias("score"))

@@ -99,3 +99,10 @@ def valid_elsewhere(df: DataFrame, other: DataFrame, keys: list[str], us: str, l
 def first_and_last(df: DataFrame, keys: list[str], order: Column, value: str) -> DataFrame:
     """The first and the last value of each key."""
     return df.groupBy(*keys).agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))
+
+
+def heat_counts(df: DataFrame, keys: list[str], x: str, y: str, matrix: list[list[float]], width: int, height: int) -> DataFrame:
+    """Rows (keys, u, v, n): positions in each cell of a map, to which ``matrix`` takes (x, y, 1) by its first two rows; cut towards 0, and left out beyond the map's bounds."""
+    at = lambda r: (F.lit(float(r[0])) * F.col(x) + F.lit(float(r[1])) * F.col(y) + F.lit(float(r[2]))).cast("int")
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, at(matrix[0]).alias("u"), at(matrix[1]).alias("v"))
+    return cells.where(F.col("u").between(0, width - 1) & F.col("v").between(0, height - 1)).groupBy(*keys, "u", "v").agg(F.count("*").alias("n"))

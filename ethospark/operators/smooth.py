@@ -183,3 +183,16 @@ def outliers(df: DataFrame, keys: list[str], order: list[str], label: str, confi
         yield from give()
 
     return numbered.mapInArrow(run, f"{kinds}, `{name}` {df.schema[label].dataType.simpleString()}")
+
+
+def drop_spurious(df: DataFrame, keys: list[str], us: str, identity: str, least: int, factor: int = 2) -> DataFrame:
+    """``df`` without the rows of an identity that is there for less than ``least`` in all, where others have more than ``factor`` times its rows meanwhile.
+
+    Short stays are few and short, so the rows meanwhile are found by buckets of time of that length.
+    """
+    from ethospark.operators.joins import point_in_interval
+
+    spans = df.groupBy(*keys, identity).agg(F.min(us).alias("_from"), F.max(us).alias("_to"), F.count("*").alias("_own")).where(F.col("_to") - F.col("_from") < least)
+    meanwhile = point_in_interval(df.select(*keys, us), spans, keys, us, "_from", "_to", max(least, 1)).groupBy(*keys, identity, "_own").agg(F.count("*").alias("_all"))
+    bad = meanwhile.where(F.col("_all") - F.col("_own") > F.col("_own") * factor).select(*keys, identity)
+    return df.join(bad, [*keys, identity], "left_anti")

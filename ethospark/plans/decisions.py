@@ -82,15 +82,15 @@ def stitch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.stitch_windows(_tracklets(spark, sf_dir), ["camera", "night"], "track", HOUR, assign.StitchParams(identity_gap=2**62))
 
 
-@query(f"""WITH {BOUTS}, c AS (SELECT subject, label, sum(n_rows) AS n FROM bouts WHERE label IN ('click', 'view') GROUP BY ALL), p AS (SELECT subject // 2 AS pair, max(CASE WHEN subject % 2 = 0 AND label = 'click' THEN n ELSE 0 END) AS a1, max(CASE WHEN subject % 2 = 0 AND label = 'view' THEN n ELSE 0 END) AS a2,
-max(CASE WHEN subject % 2 = 1 AND label = 'click' THEN n ELSE 0 END) AS b1, max(CASE WHEN subject % 2 = 1 AND label = 'view' THEN n ELSE 0 END) AS b2 FROM c GROUP BY ALL)
-SELECT pair, CASE WHEN a1 + b2 >= a2 + b1 THEN 'click' ELSE 'view' END AS first_label, CASE WHEN a1 + b2 >= a2 + b1 THEN 'view' ELSE 'click' END AS second_label FROM p""")
+@query(f"""WITH {BOUTS}, c AS (SELECT subject // 2 AS room, subject, label, sum(n_rows) AS n FROM bouts GROUP BY ALL), s AS (SELECT room, subject, coalesce(sum(n) FILTER (label = 'view'), 0) / sum(n) AS v, coalesce(sum(n) FILTER (label = 'click'), 0) / sum(n) AS c FROM c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY room) AS m, sum(v) OVER (PARTITION BY room) AS vs, sum(c) OVER (PARTITION BY room) AS cs FROM s WINDOW w AS (PARTITION BY room ORDER BY subject)),
+f AS (SELECT *, (CASE WHEN k = 1 THEN c + (vs - v) ELSE (cs - c) + v END) >= (CASE WHEN k = 1 THEN v + (cs - c) ELSE (vs - v) + c END) - 1e-12 AS straight FROM r),
+t AS (SELECT *, CASE WHEN m = 2 THEN CASE WHEN (k = 1) = straight THEN 'click' ELSE 'view' END WHEN v >= c THEN 'view' ELSE 'click' END AS label FROM f)
+SELECT room, subject, label, round(CASE label WHEN 'view' THEN v ELSE c END, 6) AS score FROM t""")
 def label_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two labels for two identities: the assignment of most votes."""
-    n = lambda odd, x: F.sum(F.when((F.col("subject") % 2 == odd) & (F.col("label") == x), F.col("n_rows")).otherwise(0))
-    pairs = gap_bouts(spark, sf_dir).where("label in ('click', 'view')").groupBy(F.floor(F.col("subject") / 2).alias("pair")).agg((n(0, "click") + n(1, "view")).alias("straight"), (n(0, "view") + n(1, "click")).alias("crossed"))
-    straight = F.col("straight") >= F.col("crossed")
-    return pairs.select("pair", F.when(straight, "click").otherwise("view").alias("first_label"), F.when(straight, "view").otherwise("click").alias("second_label"))
+    """Two known labels for the identities of a room: one each where they are two, else the best one of each."""
+    counts = gap_bouts(spark, sf_dir).groupBy(F.floor(F.col("subject") / 2).alias("room"), "subject", "label").agg(F.sum("n_rows").alias("n"))
+    return assign.assign_labels(counts, ["room"], "subject", "label", "n", ["view", "click"]).select("room", "subject", "label", F.round("score", 6).alias("score"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:

@@ -137,10 +137,10 @@ def arrival_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.round(1e6 * F.count("d") / F.sum("d"), 9).alias("rate"))
 
 
-@query("SELECT trunc(value / 10)::INT AS u, (event_id % 7)::INT AS v, count(*) AS n, round(ln(1 + count(*)), 6) AS heat FROM events WHERE value < 300 GROUP BY ALL")
+@query("SELECT trunc(value / 10)::INT AS u, (event_id % 7)::INT AS v, count(*) AS n, round(ln(1 + count(*)), 6) AS heat FROM events GROUP BY ALL")
 def heat_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of positions in the cells of a raster."""
-    cells = observations(spark, sf_dir).where("value < 300").groupBy((F.col("value") / 10).cast("int").alias("u"), (F.col("event_id") % 7).cast("int").alias("v")).agg(F.count("*").alias("n"))
+    cells = observations(spark, sf_dir).groupBy((F.col("value") / 10).cast("int").alias("u"), (F.col("event_id") % 7).cast("int").alias("v")).agg(F.count("*").alias("n"))
     return cells.withColumn("heat", F.round(F.log1p("n"), 6))
 
 

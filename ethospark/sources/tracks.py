@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +89,23 @@ def night_paths(root: str, date: str) -> list[str]:
     return [f"{root.rstrip('/')}/*/{d.isoformat()}" for d in (day, day + dt.timedelta(days=1))]
 
 
+def paths_between(spark: SparkSession, root: str, first: str, last: str) -> list[str]:
+    """The track files that begin in [first, last], by their folders' dates and their names: only the folders of these days are listed, and no file is read.
+
+    The names of a time range's files come to the driver, as a listing does. ``tracks`` reads them; without any the list is empty.
+    """
+    begin, end = dt.datetime.fromisoformat(first), dt.datetime.fromisoformat(last)
+    days = [(begin.date() + dt.timedelta(days=k)).isoformat() for k in range((end.date() - begin.date()).days + 1)]
+    try:
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "T*_ID*.csv").load(f"{root.rstrip('/')}/*/{{{','.join(days)}}}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    at = F.try_to_timestamp(F.concat(F.regexp_extract("path", PLACE, 2), F.lit(" "), F.regexp_extract("path", NAME, 1)), F.lit("yyyy-MM-dd HHmmss")).cast("timestamp_ntz")
+    return sorted(r["path"] for r in listed.select("path").where(at.between(F.lit(begin), F.lit(end))).collect())
+
+
 def tracks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows of all track files below ``path`` (not the behaviour files), with naive times; rows without a time are left out."""
     out = _csv(spark, path, TRACK, "T*_ID*.csv").where(~F.col("stem").endswith("behavior") & ~F.col("stem").startswith("part_"))

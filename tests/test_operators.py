@@ -547,3 +547,96 @@ def test_occupancy_votes_equal_two_passes(spark):
         able = [x for x in voted if x in (["z"] if present <= 1 else ["p", "q"])] or voted
         want[room, track] = min(set(able), key=lambda x: (-able.count(x), x)), present
     assert got == want and got["solo", "a"] == ("p", 1)
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB_ROWS", 5)
+    monkeypatch.setattr(graph, "HUB_SHARE", 4)
+    rnd = random.Random(2)
+    edges = [(500, i) for i in range(0, 60)] + [(i, i + 1) for i in range(100, 140)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(25)] + [(7, 7), (900, 901)]
+    parent: dict = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for e in edges for x in e}
+
+
+def test_labels_of_identities(spark):
+    rnd = random.Random(31)
+    rows = [(room, i, x, rnd.choice([0, 1, 2, 5])) for room in range(40) for i in range(rnd.choice([1, 2, 2, 3])) for x in ("b", "a", "other")] + [(99, 0, "a", 8), (99, 0, "b", 7), (99, 1, "a", 10)]
+    df = spark.createDataFrame(rows, "room int, id int, label string, n int")
+    for known in (["b", "a"], ["b", "a", "other"], ["a"]):
+        got = {(r["room"], r["id"]): (r["label"], round(r["score"], 9)) for r in assign.assign_labels(df, ["room"], "id", "label", "n", known).collect()}
+        for room in {r[0] for r in rows}:
+            ids = sorted({r[1] for r in rows if r[0] == room})
+            share = {}
+            for i in ids:
+                mine = {r[2]: r[3] for r in rows if r[:2] == (room, i)}
+                total = sum(mine.values())
+                share[i] = {x: mine.get(x, 0) / total if total else 0.0 for x in known}
+            if len(known) == len(ids) == 2:
+                best = max(itertools.permutations(known), key=lambda p: (round(share[ids[0]][p[0]] + share[ids[1]][p[1]], 9), [-ord(c) for c in p[0]]))
+                want = dict(zip(ids, best, strict=True))
+            else:
+                want = {i: max(known, key=lambda x: share[i][x]) for i in ids}
+            assert {i: got[room, i] for i in ids} == {i: (x, round(share[i][x], 9)) for i, x in want.items()}
+    assert got
+
+
+def test_constrained_groups_equal_sets_of_tracks(spark):
+    from ethospark.operators import grouping
+
+    rnd = random.Random(41)
+    for _ in range(6):
+        rows = [("n", f"t{i:02d}", rnd.choice("ab"), rnd.choice([None, 0, 1, 2, 3]), rnd.choice([None, 0, 1, 2]), a := rnd.randrange(100), a + rnd.randrange(1, 25)) for i in range(22)]
+        df = spark.createDataFrame(rows, "night string, track string, camera string, stitched_id int, cross_id int, start_us int, end_us int")
+        got = {r["track"]: r["group_id"] for r in grouping.constrained_groups(df, ["night"], "track").collect()}
+        by = {r[1]: r for r in rows}
+        sets = [{t} for t in sorted(by)]
+        home = lambda t, s: next(x for x in s if t in x)
+
+        def join(t, u, sets):
+            a, b = home(t, sets), home(u, sets)
+            if a is not b:
+                sets.remove(b)
+                a |= b
+
+        for camera, stitched in {(r[2], r[3]) for r in rows if r[3] is not None}:
+            own = sorted(t for t, r in by.items() if (r[2], r[3]) == (camera, stitched))
+            for t in own[1:]:
+                join(own[0], t, sets)
+        for cross in sorted({r[4] for r in rows if r[4] is not None}):
+            own = sorted(t for t, r in by.items() if r[4] == cross)
+            for t in own[1:]:
+                a, b = home(own[0], sets), home(t, sets)
+                if a is not b and not any(by[x][2] == by[y][2] and by[x][5] < by[y][6] and by[y][5] < by[x][6] for x in a for y in b):
+                    join(own[0], t, sets)
+        want = {t: n for n, s in enumerate(sorted(sets, key=min)) for t in s}
+        assert got == want
+
+
+def test_keyframes_equal_the_loop(spark):
+    from ethospark.operators import grouping
+
+    rnd = np.random.default_rng(17)
+    centres = rnd.normal(size=(12, 5))
+    rows = [("ab"[i % 2], i, (centres[rnd.integers(12)] + rnd.normal(size=5) * 0.4).tolist()) for i in range(160)]
+    got = {(r["track"], r["i"]) for r in grouping.keyframes(spark.createDataFrame(rows, "track string, i int, v array<double>"), ["track"], "i", "v", size=4, alike=0.85).collect()}
+    want = set()
+    for key in "ab":
+        held: list = []
+        for _, i, v in (r for r in rows if r[0] == key):
+            v = np.array(v) / np.linalg.norm(v)
+            near = max((float(u @ v) for _, u in held), default=-1)
+            if near > 0.85:
+                continue
+            if len(held) < 4:
+                held.append((i, v))
+                continue
+            alike = [max(float(u @ w) for m, (_, w) in enumerate(held) if m != n) for n, (_, u) in enumerate(held)]
+            if near < max(alike):
+                held[alike.index(max(alike))] = (i, v)
+        want |= {(key, i) for i, _ in held}
+    assert got == want

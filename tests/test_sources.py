@@ -190,3 +190,16 @@ def test_csv_of_many_columns_and_quoted_names(spark, tmp_path):
     got = {str(r["ts"])[-2:]: (r["track"], r["frame_id"], r["score"], r["identity_label"], r["corrupt"] is not None) for r in tracks.tracks(spark, str(tmp_path)).collect()}
     assert got == {"00": (1, None, 0.5, None, False), "01": (2, 7, None, 'An "A", x', False), "02": (2, 8, None, '" open', False), "04": (5, None, None, "y" * 100_000, False), "05": (5, None, None, None, True)}
     assert sorted((r["stem"][-1], r["line"][:4]) for r in tracks.corrupt_lines(spark, str(tmp_path)).collect()) == [("3", "2025"), ("5", "2025")]
+
+
+def test_files_of_a_time_range_are_listed_by_name(spark, tmp_path):
+    for day, clock in (("2025-01-30", "180000"), ("2025-01-30", "235959"), ("2025-01-31", "000000"), ("2025-02-03", "180000")):
+        folder = tmp_path / "cam1" / day
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"T{clock}_ID000001.csv").write_text(f"timestamp,score\n{day} 18:00:00,0.5\n")
+    (tmp_path / "cam1" / "2025-01-31" / "empty.csv").write_text("start_time\n")
+    got = tracks.paths_between(spark, str(tmp_path), "2025-01-30 20:00:00", "2025-02-01 00:00:00")
+    assert [p.rsplit("/", 2)[1:] for p in got] == [["2025-01-30", "T235959_ID000001.csv"], ["2025-01-31", "T000000_ID000001.csv"]]
+    every = tracks.between(tracks.tracks(spark, str(tmp_path)), "2025-01-30 20:00:00", "2025-02-01 00:00:00")
+    assert tracks.tracks(spark, got).count() == every.count() == 2
+    assert tracks.paths_between(spark, str(tmp_path), "2026-01-01 00:00:00", "2026-01-02 00:00:00") == []
