@@ -49,6 +49,8 @@ PRIOR = 1
 #: Words of prose with which a branch of an article survives a name of several meanings; words of a lead paragraph; share of the longest article's text below which another one is a teaser.
 PROSE_WORDS, LEAD_WORDS, TEASER = 40, 8, 0.3
 BROADCAST_BYTES = 32 << 20
+#: Levels of the tree: what is nested deeper counts as part of the node there, and its text is kept.
+DEPTH = 64
 #: Longer names of classes and ids are cut in labels and marked by their hash.
 NAME_CHARS = 40
 
@@ -87,7 +89,7 @@ COMMENT = re.compile(r"comment(?!ar|at)[a-z]*|disqus|respond|repl(?:y|ies)|guest
 
 
 class _Node:
-    __slots__ = ("article", "branch", "brief", "dropped", "inline", "label", "link", "main", "path", "tag", "words")
+    __slots__ = ("article", "branch", "brief", "depth", "dropped", "inline", "label", "link", "main", "path", "tag", "words")
 
     def __init__(self, tag: str, label: str, words: set[str], parent: _Node | None):
         self.tag, self.label, self.words = tag, label, words
@@ -95,7 +97,8 @@ class _Node:
             words -= AMBIGUOUS
         self.inline = tag in INLINE and not words & NOISE_WORDS
         up = parent.path if parent else ""
-        self.path = up if self.inline else f"{up}/{label}"
+        self.depth = (parent.depth if parent else 0) + (not self.inline)
+        self.path = up if self.inline or self.depth > DEPTH else f"{up}/{label}"
         main = parent.main if parent else False
         named = words & NOISE_WORDS if tag not in ROOTS else words & {"comment"}
         header = tag == "header" or "header" in words and tag not in ROOTS
