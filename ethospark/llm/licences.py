@@ -167,9 +167,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
 
     ``unit`` is text, block, blocks (a run of several) or line and ``position`` its number in the document, from 0 (of a run, its first
     block's). A unit that is the whole document is given as text, one that is a whole block as block. Null, empty and blank texts have no
-    units; rows with equal ids are scanned each by itself. ``known`` adds (licence id, text) of one's own; their forms must hold one of ``ANCHORS``.
+    units; rows with equal ids are scanned each by itself. ``known`` adds (licence id, text) of one's own; one that holds none of ``ANCHORS`` is refused.
     """
     spark: SparkSession = docs.sparkSession
+    if lacking := [k for k, t in known or [] if not re.search(ANCHORS, t.lower())]:
+        raise ValueError(f"without any of the anchors, and so never found: {', '.join(lacking)}")
     listed = digest_rows([*known_texts(), *(known or [])])
     if len(listed) > BROADCAST_ROWS:
         raise ValueError("too many known texts for one pass")
