@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
-from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from struct import pack
 
@@ -41,8 +40,8 @@ SURROGATES, AFTER = 0xD800, 0xE000
 # Fixed value: patterns that begin so match a space and letters as a whole.
 LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+|"
 BUCKETS = 65536
-#: Words of a row of words, at most. Spark evaluates the literal table once for each such row, so rows have many.
-WORDS_A_ROW = 1 << 17
+#: Words of a row of words, at most: they are in memory together, in Python and in the JVM.
+WORDS_A_ROW = 1 << 13
 MAX_WORDS = 400_000
 #: Space-separated parts whose words are remembered.
 MAX_PARTS = 200_000
@@ -71,7 +70,8 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[str, str]:
 def rank_table(ranks: dict[bytes, int]) -> Column:
     """The ranks as a literal array of small maps, chosen by the hash of the pair; its size is the vocabulary's.
 
-    Spark searches a map from end to end, so a single map with all ranks would be slow.
+    Spark searches a map from end to end, so a single map with all ranks would be slow. The JSON text is read by the optimizer, which makes one
+    literal of it; no task reads it.
     """
     buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
     for pair, char in pair_ranks(ranks).items():
@@ -331,18 +331,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows (id, n_tokens, ids_sha256, decoded_sha256) of what ``encode(..., decoded=True)`` returns: lowercase hex digests of the decimal ids, joined by commas, and of the bytes."""
-    id_type = encoded.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[bytes] = []
-        for batch in batches:
-            ids = batch.column(1)
-            values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
-            if len(values) and (top := int(values.max())) >= len(names):
-                names += [b"%d" % n for n in range(len(names), top + 1)]
-            found = [sha256(b",".join(map(names.__getitem__, values[a:b].tolist()))).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
-            decoded = [sha256(memoryview(x.as_buffer())).hexdigest() for x in batch.column(2)]
-            counts = [b - a for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_batches(encoded.select(id_col, "ids", "decoded"), run, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    # In the JVM: a third Python worker for each task would cost more memory than it saves time.
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
