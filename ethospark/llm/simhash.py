@@ -188,7 +188,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
         if same:
             break
-    return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")
+    # Stars have no row of their own centre.
+    return edges.union(edges.select(F.col("b").alias("a"), "b")).groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, bits: int = 64, blocks: int | None = None) -> DataFrame:

@@ -450,6 +450,18 @@ def test_rows_without_an_id_link_and_bridge(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_components_name_their_own_centre(spark, monkeypatch):
+    """The node that all others of a component hang on has a row too, and its least id counts like theirs."""
+    found = simhash.components(spark.createDataFrame([(1, 2), (2, 3), (5, 9)], "a long, b long"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (2, 1), (3, 1), (5, 5), (9, 5)]
+    rnd = random.Random(11)
+    rows = [(rnd.getrandbits(40), c ^ (1 << rnd.randrange(64))) for c in [rnd.getrandbits(64) for _ in range(30)] for _ in range(8)]
+    fps = spark.createDataFrame([(i, bytearray(f.to_bytes(8))) for i, f in rows], "doc_id long, fp binary")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a, **k: fps)
+    want = all_pairs(dict(rows), 3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(fps).collect()} == want
+
+
 def test_simhash_links_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 40)
     rnd = random.Random(9)
