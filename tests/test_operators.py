@@ -640,3 +640,18 @@ def test_keyframes_equal_the_loop(spark):
                 held[alike.index(max(alike))] = (i, v)
         want |= {(key, i) for i, _ in held}
     assert got == want
+
+
+def test_overlap_totals_make_no_pairs_of_intervals(spark, monkeypatch):
+    """Totals of pairs of tracks over many blocks are those of all pairs of intervals."""
+    monkeypatch.setattr(joins, "BLOCK_TRACKS", 4)
+    rnd = random.Random(5)
+    data = [(k % 2, k, s := rnd.randrange(3000), s + rnd.randrange(-2, 60)) for k in range(25) for _ in range(12)] + [(0, None, 1, 9), (None, 3, 1, 9), (1, 1, None, 5)]
+    got = {(r["room"], r["t"], r["other"]): r["overlap_us"] for r in joins.overlap_totals(spark.createDataFrame(data, "room int, t int, a long, b long"), ["room"], "t", "a", "b").collect()}
+    want: dict = {}
+    known = [r for r in data if None not in r and r[2] < r[3]]
+    for room, x, a, b in known:
+        for other, y, c, d in known:
+            if room == other and x < y and (over := min(b, d) - max(a, c)) > 0:
+                want[room, x, y] = want.get((room, x, y), 0) + over
+    assert got == want
