@@ -6,12 +6,13 @@ call for each night of a camera. Times are microseconds (long).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethospark.functions.time import SECOND, floor_to
-from ethospark.operators.joins import neighbour_bins
+from ethospark.operators.joins import blocks_of, neighbour_bins
 
 
 def allowed_counts(df: DataFrame, keys: list[str], label: str, allowed: list[str]) -> DataFrame:
@@ -53,15 +54,60 @@ def fallback_label(label: Column, voted: Column, known: list[str]) -> Column:
     return F.coalesce(found, rest)
 
 
+def _near_in_bins(i: np.ndarray, left_bin: np.ndarray, left: np.ndarray, j: np.ndarray, right_bin: np.ndarray, right: np.ndarray, limit: float, most: int = 2_000_000):
+    """Yields arrays (i, j, bins, median distance) of the tracks that are near each other, ``most`` pairs of positions or one track ``i`` at a time."""
+    order = np.argsort(right_bin, kind="stable")
+    j, right_bin, right = j[order], right_bin[order], right[order]
+    order = np.argsort(i, kind="stable")
+    i, left_bin, left = i[order], left_bin[order], left[order]
+    low = np.searchsorted(right_bin, left_bin, "left")
+    counts = np.searchsorted(right_bin, left_bin, "right") - low
+    ends = np.append(np.flatnonzero(i[1:] != i[:-1]) + 1, len(i))  # where a track ends
+    done = np.concatenate([[0], np.cumsum(counts)])
+    at = 0
+    while at < len(i):
+        fit = ends[(ends > at) & (done[ends] - done[at] <= most)]
+        stop = int(fit[-1] if len(fit) else ends[ends > at][0])
+        n = counts[at:stop]
+        rows = np.repeat(np.arange(at, stop), n)
+        others = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:stop], n)
+        far = np.hypot(left[rows, 0] - right[others, 0], left[rows, 1] - right[others, 1])
+        near = far <= limit
+        p, q, d = i[rows[near]].astype(np.int64), j[others[near]].astype(np.int64), far[near]
+        order = np.lexsort((d, q, p))
+        p, q, d = p[order], q[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])])) if len(p) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(p)))
+        yield p[first], q[first], size, (d[first + (size - 1) // 2] + d[first + size // 2]) / 2
+        at = stop
+
+
 def overlap_distances(binned: DataFrame, other: DataFrame, keys: list[str], bin_col: str, x: str, y: str, a: str, b: str, limit: float = 2.0, least: int = 8) -> DataFrame:
     """Rows (keys, a, b, bins, distance): in how many bins two tracks are within ``limit``, and their median distance there.
 
-    Below ``least`` bins the distance is null. ``other`` has its columns under the same names, its track as ``b``.
+    Below ``least`` bins the distance is null. ``other`` has its columns under the same names, its track as ``b``. Tracks are dealt into blocks and every pair of
+    blocks is a group: the shuffle has a row for each track, bin and block, and pairs of positions never leave their task.
     """
-    right = other.select(*keys, bin_col, b, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    far = F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y"))
-    near = binned.join(right, [*keys, bin_col]).withColumn("_d", far).where(F.col("_d") <= limit)
-    out = near.groupBy(*keys, a, b).agg(F.count("*").alias("bins"), F.median("_d").alias("distance"))
+    one = binned.where(F.col(bin_col).isNotNull()).select(*keys, F.col(a), F.col(bin_col).alias("_t"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    two = other.where(F.col(bin_col).isNotNull()).select(*keys, F.col(b), F.col(bin_col).alias("_t"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    sizes = blocks_of(one, keys, a, "_na").join(blocks_of(two, keys, b, "_nb"), keys)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = one.join(sizes, keys).withColumn("_a", own(a, "_na")).withColumn("_b", each("_nb")).drop("_na", "_nb")
+    right = two.join(sizes, keys).withColumn("_b", own(b, "_nb")).withColumn("_a", each("_na")).drop("_na", "_nb")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both may come from one table
+    kinds = {**dict(one.dtypes), **dict(two.dtypes)}
+
+    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        (i, mine), (j, theirs) = (pd.factorize(f[c], use_na_sentinel=False) for f, c in ((l, a), (r, b)))
+        found = _near_in_bins(i, l["_t"].to_numpy(), l[["_x", "_y"]].to_numpy(float), j, r["_t"].to_numpy(), r[["_x", "_y"]].to_numpy(float), limit)
+        none = (*[np.zeros(0, np.int64)] * 3, np.zeros(0))
+        p, q, n, d = (np.concatenate(c) for c in zip(none, *found, strict=True))
+        return pd.DataFrame({**{k: [l[k].iloc[0]] * len(p) if len(l) else [] for k in keys}, a: mine[p], b: theirs[q], "bins": n, "distance": d})
+
+    group = [*keys, "_a", "_b"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, a, b]) + ", bins long, distance double"
+    out = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(run, schema)
     return out.withColumn("distance", F.when(F.col("bins") >= least, F.col("distance")))
 
 

@@ -655,3 +655,19 @@ def test_overlap_totals_make_no_pairs_of_intervals(spark, monkeypatch):
             if room == other and x < y and (over := min(b, d) - max(a, c)) > 0:
                 want[room, x, y] = want.get((room, x, y), 0) + over
     assert got == want
+
+
+def test_overlap_distances_in_blocks(spark, monkeypatch):
+    """Tracks in many blocks have the bins and medians of all pairs of positions."""
+    monkeypatch.setattr(joins, "BLOCK_TRACKS", 3)
+    rnd = random.Random(6)
+    make = lambda n: [(k % 2, k, t, float(rnd.randrange(9)), float(rnd.randrange(9))) for k in range(n) for t in rnd.sample(range(8), 6)]
+    ones, twos = make(14) + [(0, 90, None, 1.0, 1.0), (0, 91, 2, None, 1.0), (5, 92, 1, 1.0, 1.0)], make(11)
+    frame = lambda data, name: spark.createDataFrame(data, f"room int, {name} int, bin int, x double, y double")
+    got = {(r["a"], r["b"]): (r["bins"], r["distance"]) for r in transfer.overlap_distances(frame(ones, "a"), frame(twos, "b"), ["room"], "bin", "x", "y", "a", "b", 5.0, 3).collect()}
+    far: dict = {}
+    for room, a, t, x, y in ones:
+        for other, b, u, v, w in twos:
+            if room == other and t == u and x is not None and math.hypot(x - v, y - w) <= 5:
+                far.setdefault((a, b), []).append(math.hypot(x - v, y - w))
+    assert got == {k: (len(d), pytest.approx(float(np.median(d))) if len(d) >= 3 else None) for k, d in far.items()}
