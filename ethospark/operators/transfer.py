@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethospark.functions.time import SECOND, floor_to
-from ethospark.operators.joins import blocks_of, neighbour_bins
+from ethospark.operators.joins import blocks_of
+
+#: Neighbouring bins that are searched in one group.
+BINS = 16
 
 
 def allowed_counts(df: DataFrame, keys: list[str], label: str, allowed: list[str]) -> DataFrame:
@@ -114,14 +117,49 @@ def overlap_distances(binned: DataFrame, other: DataFrame, keys: list[str], bin_
 def nearest_in_bins(frames: DataFrame, other: DataFrame, keys: list[str], us: str, x: str, y: str, identity: str, width: int, reach: int, limit: float) -> DataFrame:
     """``frames`` with the identity and distance of the nearest detection of the other camera, ``reach`` bins away at most.
 
-    Frames without one within ``limit`` have nulls; ties go by identity. ``frames`` has a column ``frame`` that names a row.
+    Frames without one within ``limit`` have nulls; ties go by identity. ``frames`` has a column ``frame`` that names a row. ``BINS`` bins of a key are a group: rows are
+    shuffled once for each group in reach, and distances never leave their task.
     """
-    left = frames.withColumn("_bin", F.floor(F.col(us) / width))
-    right = other.select(*keys, F.floor(F.col(us) / width).alias("_bin"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(identity).alias("matched_identity"))
-    met = neighbour_bins(left.select(*keys, "frame", "_bin", x, y), right, keys, "_bin", reach)
-    far = met.withColumn("match_distance", F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y"))).where(F.col("match_distance") <= limit)
-    best = far.groupBy(*keys, "frame").agg(F.min(F.struct("match_distance", "matched_identity")).alias("_m"))
-    return frames.join(best, [*keys, "frame"], "left").withColumn("matched_identity", F.col("_m.matched_identity")).withColumn("match_distance", F.col("_m.match_distance")).drop("_m")
+    at = [F.col(c).cast("double").alias(f"_{n}") for n, c in (("x", x), ("y", y))]
+    left = frames.select(*keys, "frame", F.floor(F.col(us) / width).alias("_bin"), *at).dropna()
+    right = other.select(*keys, F.floor(F.col(us) / width).alias("_bin"), *at, F.col(identity).alias("matched_identity")).dropna(subset=[*keys, "_bin", "_x", "_y"])
+    block = lambda c: F.floor(c / BINS)
+    left = left.withColumn("_block", block(F.col("_bin")))
+    right = right.withColumn("_block", F.explode(F.sequence(block(F.col("_bin") - reach), block(F.col("_bin") + reach))))
+    kinds = {**dict(left.dtypes), **dict(right.dtypes)}
+    names = [*keys, "frame", "match_distance", "matched_identity"]
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        """Bin by bin, a slice of frames at a time; what is in reach is put in order of identity, so that the first of equally near ones is the answer."""
+        if not len(one) or not len(two):
+            return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
+        one = one.sort_values("_bin", kind="stable")
+        two = two.sort_values("matched_identity", na_position="first", kind="stable").reset_index(drop=True)
+        two = two.sort_values("_bin", kind="stable")
+        bins, theirs, rank = one["_bin"].to_numpy(), two["_bin"].to_numpy(), two.index.to_numpy()
+        x1, y1, x2, y2 = (f[c].to_numpy() for f in (one, two) for c in ("_x", "_y"))
+        best, far = np.zeros(len(one), np.int64), np.full(len(one), np.inf)
+        cuts = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]])).tolist()
+        for start, stop in zip(cuts, [*cuts[1:], len(one)], strict=True):
+            low, high = np.searchsorted(theirs, [bins[start] - reach, bins[start] + reach + 1])
+            if low == high:
+                continue
+            near = low + np.argsort(rank[low:high])
+            step = max(1, 2_000_000 // len(near))
+            for k in range(start, stop, step):
+                e = min(k + step, stop)
+                d = np.hypot(x1[k:e, None] - x2[near], y1[k:e, None] - y2[near])
+                at = d.argmin(axis=1)
+                best[k:e], far[k:e] = near[at], d[np.arange(e - k), at]
+        named = pd.Series(two["matched_identity"].to_numpy(object)[best], index=one.index, dtype=object)
+        out = one[[*keys, "frame"]].assign(match_distance=far, matched_identity=named)
+        return out[far <= limit]
+
+    group = [*keys, "_block"]
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both may come from one table
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(run, ", ".join(f"`{n}` {kinds.get(n, 'double')}" for n in names))
+    best = found.groupBy(*keys, "frame").agg(F.min_by("matched_identity", F.struct("match_distance", "matched_identity")).alias("matched_identity"), F.min("match_distance").alias("match_distance"))
+    return frames.join(best, [*keys, "frame"], "left")
 
 
 def label_conflicts(frames: DataFrame, keys: list[str], us: str, label: str, subject: str, window: int = SECOND, invalid: str = "invalid") -> DataFrame:

@@ -671,3 +671,17 @@ def test_overlap_distances_in_blocks(spark, monkeypatch):
             if room == other and t == u and x is not None and math.hypot(x - v, y - w) <= 5:
                 far.setdefault((a, b), []).append(math.hypot(x - v, y - w))
     assert got == {k: (len(d), pytest.approx(float(np.median(d))) if len(d) >= 3 else None) for k, d in far.items()}
+
+
+def test_nearest_in_bins_makes_no_pairs(spark):
+    """The nearest detections are those of all pairs, ties by identity, and the plan joins no detections with each other."""
+    rnd = random.Random(8)
+    make = lambda n: [(k % 2, k, rnd.randrange(100), float(rnd.randrange(12)), float(rnd.randrange(12)), rnd.choice("abc")) for k in range(n)]
+    ones, twos = make(40) + [(0, 90, 5, None, 1.0, "a"), (0, 91, None, 1.0, 1.0, "a"), (7, 92, 5, 1.0, 1.0, "a")], make(60) + [(0, 93, 5, None, 1.0, "a")]
+    frame = lambda data: spark.createDataFrame(data, "room int, frame int, us long, x double, y double, name string")
+    out = transfer.nearest_in_bins(frame(ones).drop("name"), frame(twos), ["room"], "us", "x", "y", "name", 10, 1, 4.0)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    got = {r["frame"]: (r["match_distance"], r["matched_identity"]) for r in out.collect()}
+    for room, k, us, x, y, _ in ones:
+        far = [] if us is None or x is None else [(math.hypot(x - v, y - w), n) for r, _, t, v, w, n in twos if r == room and abs(t // 10 - us // 10) <= 1 and v is not None]
+        assert got[k] == min((p for p in far if p[0] <= 4), default=(None, None))
