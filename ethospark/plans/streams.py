@@ -34,7 +34,7 @@ def _in_parts(rows: DataFrame, path: str, again: Column | None = None) -> DataFr
     part = F.floor((F.col("us") - first) / width)
     for k in range(PARTS + (again is not None)):
         mine = part == k
-        rows.where(mine | ((part == k - 1) & again) if again is not None else mine).coalesce(1).write.mode("append").parquet(path)
+        rows.where(mine | ((part == k - 1) & again) if again is not None else mine).repartition(1).write.mode("append").parquet(path)
     return live.detections(rows.sparkSession, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), 1)
 
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+#: Rows that wait for the watermark lie together by so many microseconds.
+SPAN = 600_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -154,18 +156,23 @@ class _Votes(_Keyed):
         rows = sorted((r["us"], r["slot"], tuple(r["probs"])) for r in rows if r["us"] is not None and r["slot"] is not None and r["probs"] is not None)
         if not rows or any(k is None for k in key):
             return
+        held = {k[0]: list(v[0]) for k, v in self.slots.iterator()}  # read and written once a batch: each call is a round trip
+        changed: set[int] = set()
         tally, identity, last = self.said.get() if self.said.exists() else ([0.0] * len(self.names), None, rows[0][0])
         tally = list(tally)
         for us, slot, probs in rows:
-            if self.slots.containsKey((slot,)):
-                tally = [t - p for t, p in zip(tally, self.slots.getValue((slot,))[0], strict=True)]
+            if slot in held:
+                tally = [t - p for t, p in zip(tally, held[slot], strict=True)]
             tally = [t + p for t, p in zip(tally, probs, strict=True)]
-            self.slots.updateValue((slot,), (list(probs),))
+            held[slot] = list(probs)
+            changed.add(slot)
             last = max(last, us)
             chosen = decided(tally, self.names, self.least, self.ratio)
             if chosen != identity:
                 identity = chosen
                 yield self.row(key, us=us, identity=identity, votes=max(tally))
+        for slot in sorted(changed):
+            self.slots.updateValue((slot,), (held[slot],))
         self.said.update((tally, identity, last))
         self.wake(last + self.gap)
 
@@ -261,23 +268,34 @@ class _Changes(_Keyed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.waiting = handle.getMapState("waiting", "us long", "count long")
+        self.waiting = handle.getMapState("waiting", "span long", "us array<long>, count array<long>")
         self.run = handle.getValueState("run", "start long, count long, last long")
 
     def _released(self, key: tuple, now: int) -> Iterator[Row]:
         """Takes what the watermark has passed, in order, and closes a run that has lasted too long without a row."""
         run = tuple(self.run.get()) if self.run.exists() else None
-        ready = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] <= now)
-        for us, count in ready:
-            self.waiting.removeKey((us,))
-            if run is not None and us - run[2] > self.gap:
-                yield self._row(key, run, run[2])
-                run = None
-            if run is not None and count != run[1]:
-                yield self._row(key, run, us)
-                run = None
-            run = (us, count, us) if run is None else (run[0], run[1], us)
-        rest = min((k[0] for k in self.waiting.keys()), default=None)
+        rest = None
+        for span in sorted(k[0] for k in self.waiting.keys()):
+            if span * SPAN > now:
+                rest = min(self.waiting.getValue((span,))[0])
+                break
+            rows = sorted(zip(*self.waiting.getValue((span,)), strict=True))
+            left = [r for r in rows if r[0] > now]
+            if not left:
+                self.waiting.removeKey((span,))
+            elif len(left) < len(rows):
+                self._put(span, left)
+            for us, count in rows[: len(rows) - len(left)]:
+                if run is not None and us - run[2] > self.gap:
+                    yield self._row(key, run, run[2])
+                    run = None
+                if run is not None and count != run[1]:
+                    yield self._row(key, run, us)
+                    run = None
+                run = (us, count, us) if run is None else (run[0], run[1], us)
+            if left:
+                rest = left[0][0]
+                break
         if run is not None and rest is None and run[2] + self.gap < now:
             yield self._row(key, run, run[2])
             run = None
@@ -289,17 +307,28 @@ class _Changes(_Keyed):
         if ends:
             self.wake(max(min(ends), now + 1))
 
+    def _put(self, span: int, rows) -> None:
+        us, counts = zip(*rows, strict=True)
+        self.waiting.updateValue((span,), (list(us), list(counts)))
+
     def _row(self, key: tuple, run: tuple[int, int, int], end: int) -> Row:
         return self.row(key, start_us=run[0], duration_us=end - run[0], count=run[1])
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         if any(k is None for k in key):
             return
+        # Rows wait together in spans of time: a row of its own in the state would be a round trip each.
+        new: dict[int, dict[int, int]] = {}
         for r in rows:
-            if r["us"] is None or r["count"] is None:
-                continue
-            held = self.waiting.getValue((r["us"],))[0] if self.waiting.containsKey((r["us"],)) else r["count"]
-            self.waiting.updateValue((r["us"],), (max(held, r["count"]),))
+            us, count = r["us"], r["count"]
+            if us is not None and count is not None:
+                span = new.setdefault(us // SPAN, {})
+                span[us] = max(span.get(us, count), count)
+        for span, counts in new.items():
+            if self.waiting.containsKey((span,)):
+                for us, count in zip(*self.waiting.getValue((span,)), strict=True):
+                    counts[us] = max(counts.get(us, count), count)
+            self._put(span, counts.items())
         yield from self._released(key, _watermark(timerValues))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803

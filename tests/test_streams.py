@@ -247,3 +247,68 @@ def test_replay_refuses_frames_out_of_order(spark, tmp_path):
         spark.createDataFrame([("c", u) for u in us], "camera string, us long").coalesce(1).write.mode("append").partitionBy("camera").parquet(str(tmp_path / "in"))
     with pytest.raises(ValueError, match="in order"):
         replay.row_groups(str(tmp_path / "in"), "camera", "us")
+
+
+class _State:
+    """A map or value state in memory that counts its calls, each of which is a round trip in Spark."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        held = self.held
+        return {
+            "containsKey": lambda k: k in held,
+            "getValue": held.get,
+            "updateValue": held.__setitem__,
+            "removeKey": held.pop,
+            "keys": lambda: iter(list(held)),
+            "iterator": lambda: iter(list(held.items())),
+            "exists": lambda: bool(held),
+            "get": lambda: held.get(0),
+            "update": lambda v: held.__setitem__(0, v),
+            "clear": held.clear,
+        }[name]
+
+
+class _Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getMapState(self, name, *kinds):  # noqa: N802
+        return self.states.setdefault(name, _State())
+
+    def getValueState(self, name, *kinds):  # noqa: N802
+        return self.states.setdefault(name, _State())
+
+    def registerTimer(self, at):  # noqa: N802
+        pass
+
+    deleteTimer = registerTimer  # noqa: N815
+
+
+class _Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now // 1000
+
+
+def test_calls_of_state_do_not_grow_with_rows():
+    """Thousands of rows of one batch need a few round trips to the state, and give the same runs and votes."""
+    counts, handle = stateful._Changes(["k"], 60_000_000), _Handle()
+    counts.init(handle)
+    rows = [{"us": us, "count": us // 1_000_000 // 100 % 3} for us in range(0, 1_500_000_000, 500_000)]
+    out = list(counts.handleInputRows((1,), iter(rows[::-1]), _Clock(0)))
+    out += list(counts.handleExpiredTimer((1,), _Clock(10**15), None))
+    assert [(r["start_us"], r["duration_us"], r["count"]) for r in out] == [(k * 100_000_000, 100_000_000 if k < 14 else 99_500_000, k % 3) for k in range(15)]
+    assert sum(s.calls for s in handle.states.values()) < 60
+
+    voting, handle = stateful._Votes(["k"], ["x", "y"], 1, 0.5, 60_000_000), _Handle()
+    voting.init(handle)
+    said = list(voting.handleInputRows((1,), iter({"us": us, "slot": us % 5, "probs": [us < 1000, us >= 1000]} for us in range(2000)), _Clock(0)))
+    assert [r["identity"] for r in said if r["us"] in (0, 1002)] == ["x", "y"]
+    assert handle.states["said"].held[0][0] == [0, 5]
+    assert sum(s.calls for s in handle.states.values()) < 20
