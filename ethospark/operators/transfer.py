@@ -6,6 +6,9 @@ call for each night of a camera. Times are microseconds (long).
 
 from __future__ import annotations
 
+import bisect
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -196,35 +199,94 @@ def resolve_group(frame: pd.DataFrame, least_overlap: int = SECOND, passes: int
     start, end, label = frame["start_us"].tolist(), frame["end_us"].tolist(), frame["label"].tolist()
     original, quality, ranked = frame["original"].tolist(), frame["quality"].tolist(), [list(x) if x is not None else [] for x in frame["ranked"]]
     n = len(label)
-    overlap = lambda i, j: max(0, min(end[i], end[j]) - max(start[i], start[j])) >= least_overlap
-
+    order = sorted(range(n), key=lambda i: (start[i], i))
+    begins = [start[i] for i in order]
+    place = {i: k for k, i in enumerate(order)}
+    long = [end[i] - start[i] >= least_overlap for i in range(n)]
+    held: dict[str, _LatestEnds] = {}  # the tracks that bear a label, without those too short to overlap any
+
+    def hold(i: int) -> None:
+        if long[i]:
+            held.setdefault(label[i], _LatestEnds(n)).put(place[i], end[i])
+
+    def free(i: int, name: str) -> bool:
+        """Whether no other track of that label overlaps: one that begins early enough and ends late enough."""
+        if not long[i] or name not in held:
+            return True
+        before, ends, k = bisect.bisect_right(begins, end[i] - least_overlap), held[name], place[i]
+        return max(ends.latest(0, min(k, before)), ends.latest(k + 1, before)) < start[i] + least_overlap
+
+    for i in range(n):
+        hold(i)
     for _ in range(passes):
         changed, holders = False, {}
-        for i in sorted(range(n), key=lambda i: (start[i], i)):
+        for i in order:
             holders.setdefault(label[i], []).append(i)
         for name, mine in holders.items():
-            active: list[int] = []
-            groups: list[set[int]] = []
+            # A group is a run of tracks each of which overlaps an earlier one that lasts until then.
+            groups: list[list[int]] = []
+            reach = None
             for i in mine:
-                active = [a for a in active if overlap(a, i)]
-                if active:
-                    new = {*active, i}
-                    home = next((g for g in groups if g & new), None)
-                    groups.append(new) if home is None else home.update(new)
-                active.append(i)
+                if reach is not None and long[i] and reach - start[i] >= least_overlap:
+                    groups[-1].append(i)
+                    reach = max(reach, end[i])
+                else:
+                    groups.append([i])
+                    reach = end[i]
             for group in groups:
-                keeper, *others = sorted(group, key=lambda i: (-quality[i], start[i] - end[i], i))
-                label[keeper] = name
-                held = list(label)  # losers are held against the labels as they were when the group's turn came
-                free = lambda i, x, held=held: not any(j != i and held[j] == x and overlap(i, j) for j in range(n))
-                for i in others:
-                    label[i] = next((x for x in ranked[i] if x and x != name and free(i, x)), original[i] if free(i, original[i]) else "unknown")
-                    changed = True
+                if len(group) == 1:
+                    continue
+                _, *others = sorted(group, key=lambda i: (-quality[i], start[i] - end[i], i))
+                # Losers are held against the labels as they were when the group's turn came.
+                given = {i: next((x for x in ranked[i] if x and x != name and free(i, x)), original[i] if free(i, original[i]) else "unknown") for i in others}
+                for i, x in given.items():
+                    if long[i]:
+                        held[label[i]].drop(place[i])
+                    label[i] = x
+                    hold(i)
+                changed = True
         if not changed:
             break
     return label
 
 
+class _LatestEnds:
+    """The ends of a label's tracks by their place in order of start; the latest of a range of places in logarithmic time (a sparse tree of maxima)."""
+
+    def __init__(self, n: int) -> None:
+        self.size, self.tree = 1 << max(n - 1, 0).bit_length(), {}
+
+    def put(self, place: int, end: int) -> None:
+        k = place + self.size
+        while k and self.tree.get(k, -math.inf) < end:
+            self.tree[k] = end
+            k //= 2
+
+    def drop(self, place: int) -> None:
+        k = place + self.size
+        del self.tree[k]
+        while (k := k // 2) and k in self.tree:
+            both = max(self.tree.get(2 * k, -math.inf), self.tree.get(2 * k + 1, -math.inf))
+            if both == -math.inf:
+                del self.tree[k]
+            elif both == self.tree[k]:
+                break
+            else:
+                self.tree[k] = both
+
+    def latest(self, low: int, high: int) -> float:
+        """The latest end at the places from ``low`` to ``high``, that one left out."""
+        found, low, high = -math.inf, low + self.size, high + self.size
+        while low < high:
+            if low & 1:
+                found, low = max(found, self.tree.get(low, -math.inf)), low + 1
+            if high & 1:
+                high -= 1
+                found = max(found, self.tree.get(high, -math.inf))
+            low, high = low // 2, high // 2
+        return found
+
+
 def resolve(tracks: DataFrame, keys: list[str], track: str) -> DataFrame:
     """Rows (keys, track, label): the labels of ``resolve_group`` for each night of a camera (``keys``)."""
     kinds = {f.name: f.dataType.simpleString() for f in tracks.schema.fields}

@@ -685,3 +685,17 @@ def test_nearest_in_bins_makes_no_pairs(spark):
     for room, k, us, x, y, _ in ones:
         far = [] if us is None or x is None else [(math.hypot(x - v, y - w), n) for r, _, t, v, w, n in twos if r == room and abs(t // 10 - us // 10) <= 1 and v is not None]
         assert got[k] == min((p for p in far if p[0] <= 4), default=(None, None))
+
+
+def test_resolving_many_tracks_at_once():
+    """Thousands of tracks that all overlap, whose labels are held by one each: the whole list isn't searched for every loser."""
+    n = 4000
+    data = [(k, 10**9 + k, "ab"[k % 2], "ab"[k % 2], float(k), ["a", "b", "c"]) for k in range(n)]
+    frame = pd.DataFrame(data, columns=["start_us", "end_us", "label", "original", "quality", "ranked"])
+    ends = transfer._LatestEnds.latest
+    calls = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(transfer._LatestEnds, "latest", lambda self, low, high: calls.append(1) or ends(self, low, high))
+        got = transfer.resolve_group(frame, 1, 2)
+    assert sorted(set(got)) == ["a", "b", "c", "unknown"] and got.count("a") == got.count("b") == 1
+    assert len(calls) < 40 * n
