@@ -699,3 +699,18 @@ def test_resolving_many_tracks_at_once():
         got = transfer.resolve_group(frame, 1, 2)
     assert sorted(set(got)) == ["a", "b", "c", "unknown"] and got.count("a") == got.count("b") == 1
     assert len(calls) < 40 * n
+
+
+def test_all_ranks_come_in_bounded_blocks(spark, monkeypatch):
+    """With every rank asked for, a pair of blocks still gives a bounded number of rows, and all ranks are there."""
+    monkeypatch.setattr(vectors, "FOUND", 60)
+    rnd = np.random.default_rng(4)
+    data = [(i, rnd.normal(size=3).tolist()) for i in range(30)]
+    df = spark.createDataFrame(data, "gallery_id long, embedding array<double>")
+    out = vectors.top_k(df.withColumnRenamed("gallery_id", "query_id"), df, 2**31 - 1)
+    assert "sequence(0, 14" in out._jdf.queryExecution().analyzed().toString()  # 15 blocks of two queries
+    m = np.array([v for _, v in data])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    got = {(r["query_id"], r["rank"]): r["gallery_id"] for r in out.collect()}
+    near = m @ m.T
+    assert got == {(q, k + 1): g for q in range(30) for k, g in enumerate(sorted((x for x in range(30) if x != q), key=lambda x: -near[q, x]))}
