@@ -185,8 +185,29 @@ def lose_conflicts(tracks: DataFrame, conflicts: DataFrame, keys: list[str], lab
     votes = tracks.groupBy(*keys, label, subject).agg(F.count("*").alias("_n"))
     sides = [votes.select(*keys, label, F.col(subject).alias(s), F.col("_n").alias(f"_{s}")) for s in ("a", "b")]
     met = conflicts.join(sides[0], [*keys, label, "a"]).join(sides[1], [*keys, label, "b"])
-    lost = met.select(*keys, label, F.when(F.col("_a") >= F.col("_b"), F.col("b")).otherwise(F.col("a")).alias(subject)).distinct().withColumn("_lost", F.lit(True))
-    return tracks.join(lost, [*keys, label, subject], "left").withColumn(label, F.when(F.col("_lost"), F.lit(invalid)).otherwise(F.col(label))).drop("_lost")
+    lost = met.select(*keys, label, F.when(F.col("_a") >= F.col("_b"), F.col("b")).otherwise(F.col("a")).alias(subject)).distinct()
+    return _without_lost(tracks, lost, keys, label, subject, invalid)
+
+
+def lose_meetings(frames: DataFrame, keys: list[str], us: str, label: str, subject: str, window: int = SECOND, left_out: str = "invalid", invalid: str = "invalid") -> DataFrame:
+    """``lose_conflicts`` of ``frames`` by their own ``label_conflicts``, without the pairs; rows of the label ``left_out`` take no part.
+
+    Subjects of a label have an order: more rows first, of equally many the lesser. One loses if any row within ``window`` of one of its own is of a subject
+    before it, which a least over a range of times tells. The time is cut into parts that overlap by ``window``, so no task sees all rows of a label.
+    """
+    rows = frames.where(F.col(label) != left_out).dropna(subset=[*keys, us, label, subject]).select(*keys, us, label, subject)
+    votes = frames.groupBy(*keys, label, subject).agg(F.count("*").alias("_n"))
+    rows = rows.join(votes, [*keys, label, subject]).withColumn("_o", F.struct(-F.col("_n"), F.col(subject)))
+    part = lambda c: F.floor(c / (100 * window))
+    dealt = rows.withColumn("_part", F.explode(F.sequence(part(F.col(us) - window), part(F.col(us) + window))))
+    w = Window.partitionBy(*keys, label, "_part").orderBy(us).rangeBetween(-window, window)
+    lost = dealt.withColumn("_first", F.min("_o").over(w)).where(F.col("_first") < F.col("_o")).select(*keys, label, subject).distinct()
+    return _without_lost(frames, lost, keys, label, subject, invalid)
+
+
+def _without_lost(tracks: DataFrame, lost: DataFrame, keys: list[str], label: str, subject: str, invalid: str) -> DataFrame:
+    marked = tracks.join(lost.withColumn("_lost", F.lit(True)), [*keys, label, subject], "left")
+    return marked.withColumn(label, F.when(F.col("_lost"), F.lit(invalid)).otherwise(F.col(label))).drop("_lost")
 
 
 def resolve_group(frame: pd.DataFrame, least_overlap: int = SECOND, passes: int = 10) -> list[str]:

@@ -95,8 +95,7 @@ SELECT event_id, CASE WHEN l.subject IS NULL THEN obs.label ELSE 'invalid' END A
 def conflict_losers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels after those of the subjects with fewer votes are made invalid."""
     obs = observations(spark, sf_dir).withColumn("room", F.col("subject") % 5)
-    met = transfer.label_conflicts(obs, ["room"], "us", "label", "subject", 10 * MINUTE, "error")
-    return transfer.lose_conflicts(obs, met, ["room"], "label", "subject").select("event_id", "label")
+    return transfer.lose_meetings(obs, ["room"], "us", "label", "subject", 10 * MINUTE, "error").select("event_id", "label")
 
 
 @query()

@@ -714,3 +714,15 @@ def test_all_ranks_come_in_bounded_blocks(spark, monkeypatch):
     got = {(r["query_id"], r["rank"]): r["gallery_id"] for r in out.collect()}
     near = m @ m.T
     assert got == {(q, k + 1): g for q in range(30) for k, g in enumerate(sorted((x for x in range(30) if x != q), key=lambda x: -near[q, x]))}
+
+
+def test_losers_are_found_without_pairs(spark):
+    """The labels are those that the pairs of conflicting subjects give, and frames aren't joined with each other."""
+    rnd = random.Random(12)
+    data = [(k % 2, rnd.randrange(12), rnd.randrange(6000), rnd.choice(["x", "y", "error"])) for k in range(300)] + [(0, None, 5, "x"), (None, 3, 5, "x"), (1, 3, None, "x"), (1, 3, 9, None)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(data)], "id int, room int, s int, us long, label string")
+    met = transfer.label_conflicts(df, ["room"], "us", "label", "s", 7, "error")
+    want = rows(transfer.lose_conflicts(df, met, ["room"], "label", "s"), "id", "label")
+    out = transfer.lose_meetings(df, ["room"], "us", "label", "s", 7, "error")
+    assert rows(out, "id", "label") == want and len({x for _, x in want}) == 5
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
