@@ -726,3 +726,18 @@ def test_losers_are_found_without_pairs(spark):
     out = transfer.lose_meetings(df, ["room"], "us", "label", "s", 7, "error")
     assert rows(out, "id", "label") == want and len({x for _, x in want}) == 5
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
+def test_window_manifests_equal_the_join_of_pairs(spark):
+    rnd = random.Random(21)
+    hour = 3_600_000_000
+    videos = [(rnd.randrange(2), rnd.choice([f"v{k}", f"v{k % 7}", None] if k % 9 == 0 else [f"v{k}"]), s := rnd.randrange(-30, 90) * hour // 3, s + rnd.choice([0, 1, hour, 2 * hour, 40 * hour])) for k in range(300)]
+    windows = [(rnd.randrange(3), 10**6 + (k if k % 5 else k % 2), s := rnd.randrange(-30, 90) * hour // 3 + rnd.randrange(3), s + rnd.choice([0, 1, hour // 2, hour, 7 * hour, 2 * hour + 1])) for k in range(120)]
+    v = spark.createDataFrame(videos, "camera int, path string, start_us long, end_us long")
+    w = spark.createDataFrame(windows, "camera int, event long, from_us long, to_us long")
+    want = {r["event"]: (r["n_videos"], r["videos"]) for r in archive.manifest(archive.overlapping_videos(v.where("start_us < end_us"), w.where("from_us < to_us"), ["camera"]), ["event"], "path").collect()}
+    for at_once in (1, 50, 500_000):
+        archive.AT_ONCE = at_once
+        rows = archive.window_manifests(v, w, ["camera"], "event", "path").collect()
+        assert len(rows) == len(want) > 50 and {r["event"]: (r["n_videos"], r["videos"]) for r in rows} == want
+    assert archive.window_manifests(v.limit(0), w, ["camera"], "event", "path").count() == 0
