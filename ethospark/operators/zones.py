@@ -2,6 +2,7 @@
 
 A grid over the frame is the index: each cell that a polygon meets is either wholly inside it or has to be tested. Positions are joined by (camera, frame
 size, cell), an equi-join that adds no rows, as the index has one row a cell; only positions in cells on an edge need the polygon's edges.
+Frames get their zones by position, so lists are as many as there are pixels at most, and zones of a frame aren't tested again for the next.
 All coordinates are whole pixels, so the tests are exact; points on an edge are inside.
 """
 
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 
 #: Pixels of a cell's side.
 CELL = 64
-#: An index of so many cells is broadcast.
-SMALL = 100_000
 
 
 def rescaled(zones: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -51,7 +50,9 @@ def inside(poly: Column, x: Column, y: Column) -> Column:
 def grid_index(zones: DataFrame, cell: int = CELL) -> DataFrame:
     """Rows (camera, width, height, cx, cy, whole, test) of ``rescaled`` zones: for each cell whether a zone covers it wholly, and the edges of those that may cover a part."""
     span = lambda c: F.sequence(F.floor(F.array_min(c) / cell).cast("int"), F.floor(F.array_max(c) / cell).cast("int"))
-    rows = zones.withColumn("cx", F.explode(span("px"))).withColumn("cy", F.explode(span("py"))).withColumn("poly", edges(F.col("px"), F.col("py")))
+    # The table of zones is small and the work on its cells isn't, so it is dealt to many tasks.
+    many = zones.repartition(int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions")), "camera", "width", "height", "zone")
+    rows = many.withColumn("cx", F.explode(span("px"))).withColumn("cy", F.explode(span("py"))).withColumn("poly", edges(F.col("px"), F.col("py")))
     x0, y0 = F.col("cx").cast("long") * cell, F.col("cy").cast("long") * cell
     x1, y1 = x0 + (cell - 1), y0 + (cell - 1)
 
@@ -69,18 +70,17 @@ def grid_index(zones: DataFrame, cell: int = CELL) -> DataFrame:
 def in_zones(frames: DataFrame, zones: DataFrame, x: str, y: str, cell: int = CELL) -> DataFrame:
     """``frames`` (camera, width, height, x, y, ..) with ``zones``: the sorted zones of its camera that its position is in; empty where it is in none or isn't known.
 
-    ``zones`` as in ``rescaled``. The index has a bounded number of cells a zone and size; it is broadcast where it is small. Frames with a null
-    camera, size or position are kept.
+    ``zones`` as in ``rescaled``. Frames are on whole pixels, so many share a position: each position of a camera and size is tested once, and its list is joined
+    to its frames. Frames with a null camera, size or position are kept.
     """
-    index = grid_index(rescaled(zones, frames.select("camera", "width", "height")), cell)
-    index = index.select("camera", "width", "height", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "covers", "test")
-    if index.limit(SMALL + 1).count() <= SMALL:
-        index = F.broadcast(index)
+    index = grid_index(rescaled(zones, frames.select("camera", "width", "height")), cell).select("camera", "width", "height", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "covers", "test")
     at = lambda c: F.floor(F.col(c) / cell).cast("int")
     px, py = F.col(x).cast("long"), F.col(y).cast("long")
-    rows = frames.withColumn("_cx", at(x)).withColumn("_cy", at(y)).join(index, ["camera", "width", "height", "_cx", "_cy"], "left")
+    place = ["camera", "width", "height", x, y]
+    rows = frames.select(*place).distinct().withColumn("_cx", at(x)).withColumn("_cy", at(y)).join(index, ["camera", "width", "height", "_cx", "_cy"])
     tested = F.transform(F.filter("test", lambda t: inside(t["poly"], px, py)), lambda t: t["zone"])
-    return rows.withColumn("zones", F.when(F.col("covers").isNotNull(), F.array_sort(F.concat("covers", tested))).otherwise(F.array().cast(f"array<{zones.schema['zone'].dataType.simpleString()}>"))).drop("_cx", "_cy", "covers", "test")
+    found = rows.select(*place, F.array_sort(F.concat("covers", tested)).alias("zones")).where(F.size("zones") > 0)
+    return frames.join(found, place, "left").withColumn("zones", F.coalesce("zones", F.array().cast(f"array<{zones.schema['zone'].dataType.simpleString()}>")))
 
 
 def outside(frames: DataFrame, zones: DataFrame, x: str, y: str, cell: int = CELL) -> DataFrame:

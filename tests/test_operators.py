@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -741,3 +742,13 @@ def test_window_manifests_equal_the_join_of_pairs(spark):
         rows = archive.window_manifests(v, w, ["camera"], "event", "path").collect()
         assert len(rows) == len(want) > 50 and {r["event"]: (r["n_videos"], r["videos"]) for r in rows} == want
     assert archive.window_manifests(v.limit(0), w, ["camera"], "event", "path").count() == 0
+
+
+def test_a_position_in_zones_is_tested_once(spark):
+    from ethospark.operators import zones
+
+    table = spark.createDataFrame([(0, 7, [0, 100, 100, 0], [0, 0, 100, 100], 400, 300)], "camera int, zone int, px array<int>, py array<int>, of_width int, of_height int")
+    frames = spark.range(500).selectExpr("id", "0 camera", "400 width", "300 height", "int(id % 2 * 200) x", "5 y")
+    found = zones.in_zones(frames, table, "x", "y")
+    assert re.search(r"Distinct\s[^\n]*Project \[camera#\d+, width#\d+, height#\d+, x#\d+, y#\d+\]", found._jdf.queryExecution().analyzed().toString())
+    assert {(r["x"], tuple(r["zones"])) for r in found.collect()} == {(0, (7,)), (200, ())} and found.count() == 500
