@@ -82,6 +82,73 @@ def match_in_bins(pairs: DataFrame, keys: list[str], a: str, b: str, distance: s
     return near.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def line_pairs(x: np.ndarray, y: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """Of two sorted lists of numbers the most one-to-one pairs none farther apart than ``limit``, and of these the ones of least total distance.
+
+    Exchanging the ends of two pairs that cross makes neither the farther nor the total worse, so pairs in order suffice: a table over both lists, a row at a
+    time. Each place has the most pairs and their total; which step led there is two bits.
+    """
+    n, m = len(x), len(y)
+    big = limit * (min(n, m) + 1) + 1.0  # a pair more is worth any distance
+    best = np.zeros(m + 1)
+    steps = np.zeros((n, (m + 8) // 8), np.uint8), np.zeros((n, (m + 8) // 8), np.uint8)
+    for i in range(n):
+        d = np.abs(y - x[i])
+        paired = np.where(d <= limit, best[:-1] + d - big, np.inf)
+        up = best.copy()
+        took = paired < up[1:]
+        up[1:][took] = paired[took]
+        best = np.minimum.accumulate(up)
+        steps[0][i], steps[1][i] = np.packbits(np.r_[False, took]), np.packbits(up <= best)
+    pairs, i, j = [], n - 1, m
+    while i >= 0 and j > 0:
+        byte, bit = j >> 3, 128 >> (j & 7)
+        if not steps[1][i, byte] & bit:
+            j -= 1
+        elif steps[0][i, byte] & bit:
+            pairs.append((i, j - 1))
+            i, j = i - 1, j - 1
+        else:
+            i -= 1
+    return pairs[::-1]
+
+
+def match_on_line(positions: DataFrame, keys: list[str], side: str, track: str, x: str, a: str, b: str, distance: str, limit: float) -> DataFrame:
+    """What ``match_in_bins`` gives where the distance is that of two numbers ``x``: rows (keys, a, b, distance), side 0 matched to side 1, without a row for each pair.
+
+    Sums on a line tie often; of the pairs of least total distance those in order are taken, of equal numbers by name. Rows come sorted by bin, and a task holds a bin at a time.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in positions.schema.fields}
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"`{a}` {kinds[track]}, `{b}` {kinds[track]}, `{distance}` double"])
+    known = positions.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(*keys, F.col(side).cast("int").alias("_side"), track, F.col(x).cast("double").alias("_x"))
+
+    def of_bin(frame: pd.DataFrame) -> pd.DataFrame:
+        one, two = frame[frame["_side"] == 0], frame[frame["_side"] == 1]
+        u, v = one["_x"].to_numpy(), two["_x"].to_numpy()
+        found = np.array(line_pairs(u, v, limit), np.int64).reshape(-1, 2)
+        i, j = found[:, 0], found[:, 1]
+        out = one[keys].iloc[i].reset_index(drop=True)
+        return out.assign(**{a: one[track].to_numpy()[i], b: two[track].to_numpy()[j], distance: np.abs(u[i] - v[j])})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            both = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if not len(both):
+                continue
+            fresh = np.flatnonzero(np.r_[True, (both[keys].to_numpy()[1:] != both[keys].to_numpy()[:-1]).any(axis=1)])
+            done = [of_bin(both.iloc[lo:hi]) for lo, hi in zip(fresh[:-1], fresh[1:], strict=True)]
+            held = both.iloc[fresh[-1] :]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if held is not None:
+            yield of_bin(held)
+
+    sides = known.withColumn("_both", F.min("_side").over(Window.partitionBy(*keys)) != F.max("_side").over(Window.partitionBy(*keys))).where("_both").drop("_both")
+    many = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sides.repartition(many, *keys).sortWithinPartitions(*keys, "_side", "_x", track).mapInPandas(run, schema)
+
+
 def match_tracks(matched: DataFrame, keys: list[str], bins: str, a: str, b: str, distance: str, least_bins: int) -> DataFrame:
     """One-to-one track pairs of most votes, a vote being a bin in which both are matched.
 

@@ -752,3 +752,17 @@ def test_a_position_in_zones_is_tested_once(spark):
     found = zones.in_zones(frames, table, "x", "y")
     assert re.search(r"Distinct\s[^\n]*Project \[camera#\d+, width#\d+, height#\d+, x#\d+, y#\d+\]", found._jdf.queryExecution().analyzed().toString())
     assert {(r["x"], tuple(r["zones"])) for r in found.collect()} == {(0, (7,)), (200, ())} and found.count() == 500
+
+
+def test_matches_on_a_line_cost_as_little_as_any(spark):
+    rnd = random.Random(22)
+    rows = [(k, s, 100 * s + t, rnd.choice([rnd.random() * 60, float(rnd.randrange(40))])) for k in range(60) for s in (0, 1) for t in range(rnd.randrange(9))]
+    rows += [(70, 0, 1, None), (70, 1, 101, 3.0), (71, 0, 1, float("nan")), (71, 1, 101, 3.0), (72, 0, 5, 10.0), (72, 1, 105, 18.0), (73, 0, 5, 10.0), (73, 1, 105, 18.5)]
+    placed = spark.createDataFrame(rows, "bin int, side int, track int, x double")
+    pairs = placed.where("side = 0").selectExpr("bin", "track a", "x xa").join(placed.where("side = 1").selectExpr("bin", "track b", "x xb"), "bin").selectExpr("bin", "a", "b", "abs(xa - xb) d")
+    got = assign.match_on_line(placed, ["bin"], "side", "track", "x", "a", "b", "d", 8.0).collect()
+    total = lambda found: {k: (len(own := [r["d"] for r in found if r["bin"] == k]), round(sum(own), 6)) for k in range(80)}
+    assert total(got) == total(assign.match_in_bins(pairs.where("d is not null and not isnan(d)"), ["bin"], "a", "b", "d", 8.0).collect())
+    where = {(r[0], r[2]): r[3] for r in rows}
+    assert all(abs(where[r["bin"], r["a"]] - where[r["bin"], r["b"]]) == r["d"] <= 8 for r in got)
+    assert len({(r["bin"], r["a"]) for r in got}) == len({(r["bin"], r["b"]) for r in got}) == len(got) > 60
