@@ -91,7 +91,7 @@ def longest(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def overlapping_neighbours(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Intervals of a chain that begin before the previous one has ended."""
-    w = _ordered(keys, [start, end])
+def overlapping_neighbours(df: DataFrame, keys: list[str], start: str, end: str, name: str) -> DataFrame:
+    """Intervals of a chain that begin before the previous one has ended; of equal ones the lesser ``name`` is before the other, so each run gives the same rows."""
+    w = _ordered(keys, [start, end, name])
     return df.withColumn("previous_end", F.lag(end).over(w)).where(F.col(start) < F.col("previous_end"))

@@ -196,7 +196,7 @@ def chain_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of a chain that begin before the previous one has ended."""
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
     t = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", micros(F.col("o_orderdate")).alias("a"), micros(F.col("shipped")).alias("b"))
-    return islands.overlapping_neighbours(t, ["o_custkey"], "a", "b").select("o_orderkey", "o_custkey", "previous_end")
+    return islands.overlapping_neighbours(t, ["o_custkey"], "a", "b", "o_orderkey").select("o_orderkey", "o_custkey", "previous_end")
 
 
 @query(f"""WITH {BOUTS}, k AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY end_us - start_us DESC, start_us) AS n FROM bouts WHERE label = 'view') SELECT subject, run, start_us, end_us FROM k WHERE n = 1""")

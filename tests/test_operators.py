@@ -766,3 +766,10 @@ def test_matches_on_a_line_cost_as_little_as_any(spark):
     where = {(r[0], r[2]): r[3] for r in rows}
     assert all(abs(where[r["bin"], r["a"]] - where[r["bin"], r["b"]]) == r["d"] <= 8 for r in got)
     assert len({(r["bin"], r["a"]) for r in got}) == len({(r["bin"], r["b"]) for r in got}) == len(got) > 60
+
+
+def test_equal_neighbours_come_in_order_of_name(spark):
+    chain = [(1, k, 0, 10) for k in range(6)] + [(1, 9, 5, 20)]
+    want = [(k, 10) for k in (1, 2, 3, 4, 5, 9)]
+    for order in (chain, chain[::-1], chain[3:] + chain[:3]):
+        assert rows(islands.overlapping_neighbours(spark.createDataFrame(order, "k int, name int, a int, b int"), ["k"], "a", "b", "name"), "name", "previous_end") == want
