@@ -75,11 +75,20 @@ def fix_identity_switches(df: DataFrame, keys: list[str], us: str, identity: str
     """A row that is alone at its time takes the identity that dominates around it, if that is another one.
 
     Dominant: more rows than the row's own identity within ``half`` on either side; the least of equally frequent ones.
+    A row counts from ``half`` before it to ``half`` after it, so counts are running sums over the rows' begins and ends, whatever the number of rows in a window.
+    The time is cut into parts of many windows, and a row counts in each part that it reaches, so no task sees all rows of a key.
     """
-    w = around(keys, us, half, half)
-    df = df.withColumn("_alone", F.count("*").over(Window.partitionBy(*keys, us)))
-    for n, x in enumerate(identities):
-        df = df.withColumn(f"_c{n}", F.sum((F.col(identity) == x).cast("int")).over(w))
+    width = 32 * half
+    part = lambda c: F.floor(c / width)
+    marked = df.withColumn("_alone", F.count("*").over(Window.partitionBy(*keys, us)))
+    dealt = marked.withColumn("_part", F.explode(F.coalesce(F.sequence(part(F.col(us) - half), part(F.col(us) + half)), F.array(F.lit(None).cast("long")))))
+    mark = lambda at, kind: F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"))
+    marks = F.array(mark(F.greatest(F.when(F.col(us).isNotNull(), F.col("_part") * width), F.col(us) - half), 0), mark(F.col(us), 1), mark(F.col(us) + half, 2))
+    dealt = dealt.withColumn("_mark", F.explode(marks)).where((F.col("_mark.kind") != 1) | F.col("_part").eqNullSafe(part(F.col(us))))
+    w = Window.partitionBy(*keys, "_part").orderBy("_mark.at", "_mark.kind").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.lit(1) - F.col("_mark.kind")  # 1, 0, -1
+    df = dealt.select("*", *[F.sum(F.when(F.col(identity) == x, step).otherwise(0)).over(w).alias(f"_c{n}") for n, x in enumerate(identities)])
+    df = df.where("_mark.kind = 1").drop("_part", "_mark")
     counts = [F.col(f"_c{n}") for n in range(len(identities))]
     own = F.coalesce(*[F.when(F.col(identity) == x, c) for c, x in zip(counts, identities, strict=True)], F.lit(0))
     others = [F.when(F.col(identity) == x, F.lit(0)).otherwise(c) for c, x in zip(counts, identities, strict=True)]

@@ -784,3 +784,17 @@ def test_large_rooms_are_grouped_without_a_look_at_every_track_for_each(spark):
     began = time.time()
     got = grouping.constrained_groups(tracks, ["room"], "track").collect()
     assert len(got) == 20000 and len({r["group_id"] for r in got}) == 3 and time.time() - began < 20
+
+
+def test_identity_switches_are_counted_by_running_sums(spark):
+    rnd = random.Random(23)
+    data = [(k, rnd.choice([None, 0, 1]), rnd.choice([None, *[rnd.randrange(-900, 900) for _ in range(9)]]), rnd.choice([0, 1, 2, None])) for k in range(700)]
+    found = smooth.fix_identity_switches(spark.createDataFrame(data, "id int, c int, us long, i int"), ["c"], "us", "i", [0, 1, 2], 7)
+    assert "RangeFrame" not in found._jdf.queryExecution().analyzed().toString()
+    for r in found.collect():
+        beside = [d for d in data if d[1] == r["c"] and (d[2] == r["us"] if None in (d[2], r["us"]) else abs(d[2] - r["us"]) <= 7)]
+        n = [sum(d[3] == x for d in beside) for x in (0, 1, 2)]
+        own, others = (0 if r["i"] is None else n[r["i"]]), [0 if x == r["i"] else n[x] for x in (0, 1, 2)]
+        alone = sum(d[1] == r["c"] and d[2] == r["us"] for d in data) == 1
+        assert r["fixed"] == (others.index(max(others)) if alone and max(others) > own else r["i"])
+    assert found.count() == 700
