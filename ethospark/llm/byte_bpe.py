@@ -21,7 +21,9 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from operator import add
 from struct import pack
 
 import numpy as np
@@ -56,6 +58,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in local_file(path).splitlines() if line.strip())}
 
 
+@lru_cache(2)
+def _known(path: str) -> tuple[dict[bytes, int], dict[str, str], dict[str, str]]:
+    """The ranks of a file, their pairs, and the rank of any two bytes: read once a Python worker, not once a task."""
+    ranks = read_ranks(path)
+    pairs = pair_ranks(ranks)
+    marks = list(map(chr, range(256)))
+    return ranks, pairs, {a + b: pairs.get(a + b, NO_RANK) for a in marks for b in marks}
+
+
 def _char(rank: int) -> str:
     point = FIRST + rank
     return chr(point if point < SURROGATES else point + AFTER - SURROGATES)
@@ -86,19 +97,23 @@ def fold_merges(word: Column, table: Column) -> Column:
     with the next one, a character too. A merge puts the token's character in the place of two, looks up its ranks
     with both neighbours and puts them in the place of three. The marks merge with nothing, so every pair has two neighbours. With
     no rank left ``r`` is empty.
+
+    Higher-order functions are interpreted, so a step has few nodes: the place of the pair is searched again where it is needed, and the new pairs are cut out of the merged word.
     """
-    none = F.lit(NO_RANK)
+    none, one, two = F.lit(NO_RANK), F.lit(1), F.lit(2)
 
     def rank(pair: Column) -> Column:
         bucket = F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
         return F.coalesce(F.try_element_at(F.get(table, bucket), pair), none)
 
     def merge(w: Column, r: Column, lowest: Column) -> Column:
-        def at(i: Column) -> Column:  # i: the place of the pair, from 2
-            ranks = F.concat(rank(F.concat(F.substring(w, i - 1, F.lit(1)), lowest)), rank(F.concat(lowest, F.substring(w, i + 2, F.lit(1)))))
-            return F.struct(F.overlay(w, lowest, i, F.lit(2)).alias("w"), F.overlay(r, ranks, i - 1, F.lit(3)).alias("r"))
+        i = F.instr(r, lowest)  # the place of the pair, from 2
+
+        def put(merged: Column) -> Column:
+            before, after = rank(F.substring(merged, i - 1, two)), rank(F.substring(merged, i, two))
+            return F.struct(merged.alias("w"), F.overlay(F.overlay(r, after, i, two), before, i - 1, one).alias("r"))
 
-        return let(F.instr(r, lowest), at)
+        return let(F.overlay(w, lowest, i, two), put)
 
     def step(state: Column, _: Column) -> Column:
         w, r = state["w"], state["r"]
@@ -137,9 +152,10 @@ class _Words:
     A text falls apart at its spaces, as between two characters that aren't white space a space always begins a match.
     """
 
-    def __init__(self, pattern: str, ranks: dict[bytes, int], max_words: int):
-        self.find, self.ranks, self.max_words = regex.compile(pattern).findall, ranks, max_words
-        self.pairs = pair_ranks(ranks)
+    def __init__(self, pattern: str, ranks_path: str, max_words: int):
+        self.find, self.max_words = regex.compile(pattern).findall, max_words
+        self.ranks, self.pairs, self.bytes = _known(ranks_path)
+        ranks = self.ranks
         self.letters = pattern.startswith(LETTERS)
         self.first = max(ranks.values(), default=-1) + 1
         self.numbers: dict[str, int] = {}
@@ -147,31 +163,31 @@ class _Words:
         self.fresh: list[bytes] = []
         self.count = 0
 
-    def start(self, raw: bytes) -> dict[str, str]:
+    def start(self, raw: bytes) -> tuple[str, str]:
         """The state that the fold begins with; a long word comes merged."""
         w = raw.decode("latin-1")
         if len(w) > LONG:
-            return {"w": f"{EDGE}{merge_long(w, self.pairs)}{EDGE}", "r": ""}
-        ranks = [self.pairs.get(w[i : i + 2], NO_RANK) for i in range(len(w) - 1)]
-        return {"w": f"{EDGE}{w}{EDGE}", "r": f"{NO_RANK}{''.join(ranks)}{NO_RANK}"}
+            return f"{EDGE}{merge_long(w, self.pairs)}{EDGE}", ""
+        return f"{EDGE}{w}{EDGE}", f"{NO_RANK}{''.join(map(self.bytes.__getitem__, map(add, w, w[1:])))}{NO_RANK}"
+
+    def number(self, word: str) -> int:
+        n = self.numbers.get(word)
+        if n is None:
+            raw = word.encode()
+            n = self.ranks.get(raw)
+            if n is None:
+                n = self.first + self.count
+                self.count += 1
+                self.fresh.append(raw)
+            self.numbers[word] = n
+        return n
 
     def refs(self, part: str) -> bytes:
-        out, numbers = [], self.numbers
-        for word in [part] if self.letters and part[:1] == " " and part[1:].isalpha() else self.find(part):
-            n = numbers.get(word)
-            if n is None:
-                raw = word.encode()
-                n = self.ranks.get(raw)
-                if n is None:
-                    n = self.first + self.count
-                    self.count += 1
-                    self.fresh.append(raw)
-                numbers[word] = n
-            out.append(n)
+        out = list(map(self.number, [part] if self.letters and part[:1] == " " and part[1:].isalpha() else self.find(part)))
         return pack(f"<{len(out)}i", *out) if len(out) < 8 else np.array(out, np.int32).tobytes()
 
     def text(self, text: str) -> bytes:
-        parts, known = text.split(" "), self.parts
+        parts, known, number, letters = text.split(" "), self.parts, self.number, self.letters
         last = len(parts) - 1
         got = list(map(known.get, parts))
         got[0] = b"" if last and not parts[0] else None  # the first part has no space before it
@@ -179,6 +195,11 @@ class _Words:
             known.clear()
         for k in [k for k, x in enumerate(got) if x is None]:
             part = parts[k]
+            if k and letters and part.isalpha():
+                if (found := known.get(part)) is None:
+                    known[part] = found = number(" " + part).to_bytes(4, "little")
+                got[k] = found
+                continue
             if k and (not part or part[0].isspace()) or k < last and part[-1:].isspace():
                 return self.refs(text)
             if not k:
@@ -201,21 +222,25 @@ class _Words:
 
 
 def _split(id_col: str, text_col: str, pattern: str, ranks_path: str, max_words: int, chunk_bytes: int, schema: pa.Schema):
-    def rows(words: list | None, refs: list, ids: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, words, refs), schema.types, strict=True)], schema=schema)
+    def rows(words: pa.Array, refs: list, ids: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, schema.types[0]), words, pa.array(refs, schema.types[2])], schema=schema)
+
+    def row(states: list[tuple[str, str]]) -> pa.RecordBatch:
+        pair = pa.StructArray.from_arrays([pa.array([s[k] for s in states], pa.string()) for k in (0, 1)], fields=list(schema.types[1].value_type))
+        return rows(pa.ListArray.from_arrays(pa.array([0, len(states)], pa.int32()), pair), [None], [None])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(pattern, read_ranks(ranks_path), max_words)
+        words = _Words(pattern, ranks_path, max_words)
         docs: list[tuple[object, bytes]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             fresh = words.fresh
             for k in range(0, len(fresh), WORDS_A_ROW):
-                yield rows([[words.start(raw) for raw in fresh[k : k + WORDS_A_ROW]]], [None], [None])
+                yield row([words.start(raw) for raw in fresh[k : k + WORDS_A_ROW]])
             fresh.clear()
             if docs:
-                yield rows([None] * len(docs), [r for _, r in docs], [i for i, _ in docs])
+                yield rows(pa.nulls(len(docs), schema.types[1]), [r for _, r in docs], [i for i, _ in docs])
             docs.clear()
 
         for batch in batches:
@@ -228,7 +253,7 @@ def _split(id_col: str, text_col: str, pattern: str, ranks_path: str, max_words:
                     yield from flush()
                     size = 0
                     if words.full():
-                        yield rows([[]], [None], [None])  # the words so far are forgotten
+                        yield row([])  # the words so far are forgotten
         yield from flush()
 
     return run
@@ -243,7 +268,7 @@ def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray, refs: np.nd
 
 def _join(ranks_path: str, decoded: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_path)
+        ranks = _known(ranks_path)[0]
         size = max(ranks.values(), default=-1) + 1
         byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(FIRST)], np.int32)
         pieces = [b""] * size
@@ -255,12 +280,13 @@ def _join(ranks_path: str, decoded: bool, schema: pa.Schema):
         def forget() -> None:
             flat[:], lengths[:] = [np.arange(size, dtype=np.int32)], [np.ones(size, np.int64)]
 
-        def add(row: list[str]) -> None:
-            points = np.frombuffer("".join(row).encode("utf-16-le"), np.uint16).astype(np.int32)
-            points = points[points != ord(EDGE)]
+        def take(row: pa.Array) -> None:
+            points = np.frombuffer("".join(row.to_pylist()).encode("utf-16-le"), np.uint16).astype(np.int32)
+            edges = np.flatnonzero(points == ord(EDGE))  # each word stands between two of them
+            lengths.append(edges[1::2] - edges[::2] - 1)
+            points = np.delete(points, edges)
             points = np.where(points >= AFTER, points - (AFTER - SURROGATES), points)
             flat.append(np.where(points < FIRST, byte_ids[np.minimum(points, FIRST - 1)], points - FIRST).astype(np.int32))
-            lengths.append(np.array([len(w) - 2 for w in row], np.int64))
 
         def joined(keys: list, names: list[bytes]) -> Iterator[pa.RecordBatch]:
             for table in (flat, lengths):
@@ -285,8 +311,8 @@ def _join(ranks_path: str, decoded: bool, schema: pa.Schema):
                 if ref is not None:
                     keys.append(i)
                     names.append(ref)
-                elif row := chars[n].as_py():
-                    add(row)
+                elif len(row := chars[n].values):
+                    take(row)
                 else:  # the documents so far know the words so far
                     yield from joined(keys, names)
                     forget()

@@ -651,3 +651,16 @@ def test_rows_of_one_id_are_told_apart(spark):
     text = words_run(1, 60)
     docs = spark.createDataFrame([(1, text), (2, text + " more"), (2, words_run(2, 60)), (3, words_run(3, 60))], "doc_id long, text string")
     assert sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())) == [(1, text), (2, words_run(2, 60)), (3, words_run(3, 60))]
+
+
+def test_fold_of_merges_is_short_and_equals_the_heap(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    assert byte_bpe._known(path) is byte_bpe._known(path)  # once a Python worker, not once a task
+    words = byte_bpe._Words(public_tokenizers.PATTERN, path, 100)
+    made = [b"a", b"aa", b"aaaaaaaaa", b" onononon", b"\x00\xff\x00\xff", " héhéhé".encode(), b" thatndouthatndou", b"\xe2\x82\xac" * 9]
+    rows = spark.createDataFrame([(k, words.start(w)) for k, w in enumerate(made)], "k int, s struct<w:string,r:string>")
+    fold = byte_bpe.let(byte_bpe.rank_table(words.ranks), lambda t: byte_bpe.fold_merges(F.col("s"), t))
+    got = [r["c"] for r in rows.select("k", fold.alias("c")).orderBy("k").collect()]
+    assert got == [f"{byte_bpe.EDGE}{byte_bpe.merge_long(w.decode('latin-1'), words.pairs)}{byte_bpe.EDGE}" for w in made]
+    step = str(byte_bpe.fold_merges(F.col("s"), F.col("t")))
+    assert "concat(" not in step and step.count("transform(") <= 4
