@@ -36,6 +36,8 @@ WORD = re.compile(r"[^\W\d_]+")
 REJECT = 0.3
 #: Words whose features a task remembers.
 CACHE = 100_000
+#: Features of the fit that are worked on at once: the driver holds them as 32-bit integers, and wider copies of so many only.
+CHUNK = 1 << 19
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -94,29 +96,52 @@ def grades(features: list[np.ndarray], toxic: np.ndarray, n_grades: int = GRADES
     return np.where(toxic > 0, 1 + np.searchsorted(cuts, markers, side="left"), 0)
 
 
+def _parts(ends: np.ndarray, most: int | None = None):
+    """A function that yields (a, b, row, first, n): the features from a to b are those of the n rows from ``first`` on, ``row`` says whose; ``most`` or one row's at a time."""
+    most, cuts = most or CHUNK, [0]
+    while cuts[-1] < len(ends) - 1:
+        at = cuts[-1]
+        cuts.append(max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1))
+
+    def parts():
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield int(ends[i]), int(ends[j]), np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])), i, j - i
+
+    return parts
+
+
 def fit(features: list[np.ndarray], y: np.ndarray, rounds: int = 300, l1: float = 5e-4, min_rows: int = 3) -> Model:
     """Accelerated proximal gradient for the cumulative logit with an L1 penalty on the shared weights."""
     k = int(y.max(initial=0))
     if k == 0 or len(set(y.tolist())) < 2:
         return Model({}, ())
-    flat = np.concatenate(features)
-    names, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    seen = np.zeros(1 + max((int(x.max()) for x in features if len(x)), default=0), np.int32)
+    for x in features:
+        np.add.at(seen, x, 1)
     kept = np.flatnonzero(seen >= min_rows)
-    place = np.full(len(names), -1)
-    place[kept] = np.arange(len(kept))
-    row, column = np.repeat(np.arange(len(features), dtype=np.int32), [len(x) for x in features]), place[column].astype(np.int32)
-    row, column = row[column >= 0], column[column >= 0]
+    place = np.full(len(seen), -1, np.int32)
+    place[kept] = np.arange(len(kept), dtype=np.int32)
+    column = np.empty(int(seen[kept].sum(dtype=np.int64)), np.int32)
+    ends = np.zeros(len(features) + 1, np.int64)
+    for n, x in enumerate(features):
+        mine = place[x]
+        mine = mine[mine >= 0]
+        ends[n + 1] = ends[n] + len(mine)
+        column[ends[n] : ends[n + 1]] = mine
+    parts = _parts(ends)
     # A row's features weigh 1 / sqrt(mean size) at most, so that the step's bound is known.
     theta = np.quantile(y, 0.5) + np.linspace(1.0, 2.0, k)
     w, ahead, t = np.zeros(len(kept)), np.zeros(len(kept)), 1.0
     th, th_ahead = theta.copy(), theta.copy()
-    bound = float(np.bincount(row, minlength=len(y)).mean())
+    bound = float(np.diff(ends).mean())
     step = 16.0 / bound
     last = np.inf
     for _ in range(rounds):
-        z = np.bincount(row, weights=ahead[column], minlength=len(y))
+        z = np.concatenate([np.bincount(row, weights=ahead[column[a:b]], minlength=n) for a, b, row, _, n in parts()])
         loss, dz, dtheta = _likelihood(z, y, th_ahead)
-        grad = np.bincount(column, weights=dz[row], minlength=len(kept))
+        grad = np.zeros(len(kept))
+        for a, b, row, first, _ in parts():
+            np.add.at(grad, column[a:b], dz[first + row])
         new = ahead - step * grad
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new_th = np.sort(th_ahead - min(step * 4, 2.0) * dtheta)
@@ -128,7 +153,7 @@ def fit(features: list[np.ndarray], y: np.ndarray, rounds: int = 300, l1: float
         ahead, th_ahead = new + (t - 1) / t2 * (new - w), np.sort(new_th + (t - 1) / t2 * (new_th - th))
         w, th, t = new, new_th, t2
     used = np.flatnonzero(w)
-    return Model({int(names[kept[i]]): float(w[i]) for i in used}, tuple(float(x) for x in th))
+    return Model({int(kept[i]): float(w[i]) for i in used}, tuple(float(x) for x in th))
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:

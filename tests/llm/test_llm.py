@@ -664,3 +664,29 @@ def test_fold_of_merges_is_short_and_equals_the_heap(spark):
     assert got == [f"{byte_bpe.EDGE}{byte_bpe.merge_long(w.decode('latin-1'), words.pairs)}{byte_bpe.EDGE}" for w in made]
     step = str(byte_bpe.fold_merges(F.col("s"), F.col("t")))
     assert "concat(" not in step and step.count("transform(") <= 4
+
+
+def test_fit_of_toxicity_holds_no_wide_copies_of_all_features():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    features = [np.sort(rng.choice(40_000, 5000, replace=False)).astype(np.int32) for _ in range(400)]
+    y = (np.arange(400) % 3).astype(np.int64)
+    tracemalloc.start()
+    toxicity.fit(features, y, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * sum(x.nbytes for x in features)  # was 10 times
+
+
+def test_near_duplicates_shuffle_the_hashes_of_prefixes_once(spark, monkeypatch):
+    from ethospark.llm import shingles as exact
+
+    seen = {}
+    monkeypatch.setattr(exact, "written", lambda df, name: seen.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df, name))
+    text = " ".join(f"w{k}" for k in range(60))
+    # One id has a text twice and another one too; a row without an id has it as well.
+    docs = spark.createDataFrame([(1, text), (1, text), (1, "quite another text of a few words"), (2, text + " end"), (None, text), (3, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in exact.near_duplicates(docs).collect()}
+    assert got == {(1, 1), (2, 1), (None, 1), (3, 3)}
+    assert "first(hashes" not in seen["candidates"][0]
