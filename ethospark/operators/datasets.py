@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,10 +80,14 @@ def last_k(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFram
 
 
 def companions(df: DataFrame, keys: list[str], individual: str, fallback: Column | None = None) -> DataFrame:
-    """Rows (keys, individual, companions): who else is there, in order of name; without anyone, a fallback."""
-    there = df.groupBy(*keys).agg(F.array_sort(F.collect_set(individual)).alias("_all"))
-    rows = df.select(*keys, individual).distinct().join(there, keys)
-    others = F.array_except("_all", F.array(individual))
+    """Rows (keys, individual, companions): who else is there, in order of name; without anyone, or without a key or a name, a fallback.
+
+    Each individual comes out of its group's list, so only single rows are shuffled; lists never are.
+    """
+    there = df.groupBy(*keys).agg(F.array_sort(F.collect_set(individual)).alias("_all"), F.bool_or(F.col(individual).isNull()).alias("_unnamed"))
+    each = F.when(F.col("_unnamed"), F.array_append("_all", F.lit(None).cast(df.schema[individual].dataType))).otherwise(F.col("_all"))
+    rows = there.select(*keys, "_all", F.explode(each).alias(individual))
+    others = F.when(F.col(individual).isNotNull() & reduce(and_, [F.col(k).isNotNull() for k in keys], F.lit(True)), F.array_remove("_all", F.col(individual)))
     return rows.select(*keys, individual, F.when(F.size(others) > 0, F.array_join(others, ",")).otherwise(fallback if fallback is not None else F.lit("")).alias("companions"))
 
 

@@ -798,3 +798,13 @@ def test_identity_switches_are_counted_by_running_sums(spark):
         alone = sum(d[1] == r["c"] and d[2] == r["us"] for d in data) == 1
         assert r["fixed"] == (others.index(max(others)) if alone and max(others) > own else r["i"])
     assert found.count() == 700
+
+
+def test_companions_shuffle_no_lists(spark):
+    from ethospark.operators import datasets
+
+    df = spark.createDataFrame([(1, 1, "b"), (1, 1, "a"), (1, 1, "a"), (1, 1, None), (1, None, "c"), (1, None, "d"), (2, 1, "e")], "night int, room int, s string")
+    out = datasets.companions(df, ["night", "room"], "s", F.lit("alone"))
+    want = [(1, None, "c", "alone"), (1, None, "d", "alone"), (1, 1, None, "alone"), (1, 1, "a", "b"), (1, 1, "b", "a"), (2, 1, "e", "alone")]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
