@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from ethospark.operators.joins import blocks_of
 
 #: Neighbouring bins that are searched in one group.
 BINS = 16
+#: Subjects of a block whose meetings with those of another block are a group.
+SUBJECTS = 4096
 
 
 def allowed_counts(df: DataFrame, keys: list[str], label: str, allowed: list[str]) -> DataFrame:
@@ -168,13 +171,62 @@ def nearest_in_bins(frames: DataFrame, other: DataFrame, keys: list[str], us: st
 def label_conflicts(frames: DataFrame, keys: list[str], us: str, label: str, subject: str, window: int = SECOND, invalid: str = "invalid") -> DataFrame:
     """Rows (keys, label, a, b): pairs of subjects, a < b, that bear one label within ``window`` of each other.
 
-    Frames meet in buckets of ``window``, once for each pair of subject and bucket.
+    Subjects of a label are dealt into blocks of ``SUBJECTS`` and every pair of blocks is a group, which marks the pairs that meet in a table of its own: the shuffle has the times of a
+    subject once for each block, and pairs never leave their task but as its result, a slice at a time.
     """
-    rows = frames.where(F.col(label) != invalid).withColumn("_b", floor_to(F.col(us), window)).groupBy(*keys, label, subject, "_b").agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"), F.sort_array(F.collect_set(us)).alias("_at"))
-    other = rows.select(*keys, label, F.col(subject).alias("b"), F.col("_at").alias("_bt"), F.explode(F.array(F.col("_b") - window, F.col("_b"), F.col("_b") + window)).alias("_b"))
-    met = rows.select(*keys, label, F.col(subject).alias("a"), "_b", "_at").join(other, [*keys, label, "_b"]).where("a < b")
-    close = F.exists("_at", lambda s: F.exists("_bt", lambda t: F.abs(s - t) <= window))
-    return met.where(close).select(*keys, label, "a", "b").distinct()
+    rows = frames.where(F.col(label) != invalid).dropna(subset=[*keys, us, subject]).select(*keys, label, subject, F.col(us).alias("_us"))
+    times = rows.groupBy(*keys, label, subject, F.floor(F.col("_us") / (1000 * window)).alias("_part")).agg(F.collect_set("_us").alias("_at"))
+    sizes = rows.groupBy(*keys, label).agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct(subject) / SUBJECTS)).cast("int").alias("_n"))
+    own = F.pmod(F.xxhash64(subject), F.col("_n")).cast("int")
+    dealt = times.join(sizes, [*keys, label]).withColumn("_own", own).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = dealt.select(*keys, label, F.least("_own", "_k").alias("_p"), F.greatest("_own", "_k").alias("_q"), "_own", F.col(subject).alias("_s"), "_at")
+    names, kinds = [*keys, label], dict(rows.dtypes)
+    kind = lambda c: None if kinds[c] in ("int", "bigint") else object  # noqa: E731  # of pandas: texts stay objects
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = pd.concat(frames, ignore_index=True)
+        n = one["_at"].map(len).to_numpy()
+        codes, subjects = pd.factorize(one["_s"], sort=True)
+        at, who, left = np.concatenate(one["_at"].tolist()), np.repeat(codes, n), np.repeat((one["_own"] == one["_p"]).to_numpy(), n)
+        alone = one["_p"].iloc[0] == one["_q"].iloc[0]
+        sides = [(at, who)] * 2 if alone else [(at[side], who[side]) for side in (left, ~left)]
+        for a, b in _met(*sides, window):
+            k = a < b if alone else slice(None)
+            a, b = a[k], b[k]
+            same = {c: pd.Series(np.full(len(a), one[c].iloc[0]), dtype=kind(c)) for c in names}
+            yield pd.DataFrame({**same, "a": pd.Series(subjects[np.minimum(a, b)], dtype=kind(subject)), "b": pd.Series(subjects[np.maximum(a, b)], dtype=kind(subject))})
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", a {kinds[subject]}, b {kinds[subject]}"
+    return dealt.groupBy(*names, "_p", "_q").applyInPandas(run, schema)
+
+
+def _met(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], window: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yields arrays of the numbers (a, b) of two sides (times, numbers) that have times within ``window`` of each other, each pair once, about ``most`` at a time."""
+    (at, who), (other, whom) = left, right
+    if not len(at) or not len(other):
+        return
+    order = np.argsort(other, kind="stable")
+    other, whom = other[order], whom[order]
+    low = np.searchsorted(other, at - window, "left")
+    n = np.searchsorted(other, at + window, "right") - low
+    (mine, who), (theirs, whom) = (np.unique(x, return_inverse=True) for x in (who, whom))
+    met = np.zeros((len(mine), len(theirs)), bool)
+    many = n > most
+    for i in np.flatnonzero(many):
+        met[who[i], whom[low[i] : low[i] + n[i]]] = True
+    at_rows, low, n = np.flatnonzero(~many), low[~many], n[~many]
+    done = np.cumsum(n)
+    start = 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(done, (done[start - 1] if start else 0) + most, "right")))
+        m = n[start:stop]
+        places = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[start:stop], m)
+        met[np.repeat(who[at_rows[start:stop]], m), whom[places]] = True
+        start = stop
+    step = max(1, most // len(theirs))
+    for k in range(0, len(mine), step):
+        a, b = np.nonzero(met[k : k + step])
+        yield mine[a + k], theirs[b]
 
 
 def lose_conflicts(tracks: DataFrame, conflicts: DataFrame, keys: list[str], label: str, subject: str, invalid: str = "invalid") -> DataFrame:

@@ -729,6 +729,26 @@ def test_losers_are_found_without_pairs(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
 
 
+def test_meetings_of_labels_are_marked_in_blocks(spark, monkeypatch):
+    """The pairs are those of the rule for any size of blocks; no pair of frames is joined or shuffled to become distinct."""
+    rnd = random.Random(31)
+    for kind in ("int", "string"):
+        data = [(k % 2, s if kind == "int" else f"s{s:02d}", rnd.randrange(-1500, 1500), rnd.choice(["x", "y", "error"])) for k in range(400) for s in [rnd.randrange(25)]]
+        data += [(None, data[0][1], 5, "x"), (1, None, 5, "x"), (1, data[0][1], None, "x"), (1, data[0][1], 9, None)]
+        df = spark.createDataFrame(data, f"room int, s {kind}, us long, label string")
+        good = [r for r in data if None not in r and r[3] != "error"]
+        want = sorted({(r, n, a, b) for r, a, s, n in good for q, b, t, m in good if (r, n) == (q, m) and a < b and abs(s - t) <= 7})
+        for size in (4096, 6, 1):
+            monkeypatch.setattr(transfer, "SUBJECTS", size)
+            met = transfer.label_conflicts(df, ["room"], "us", "label", "s", 7, "error")
+            assert rows(met, "room", "label", "a", "b") == want and len(want) > 20
+            plan = met._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("Join") == 1 and plan.index("FlatMapGroupsInPandas") < plan.index("Aggregate")
+    at, who = np.array([0, 5, 9, 30]), np.array([3, 1, 3, 2])
+    for most in (1, 2, 100):
+        assert sorted((int(x), int(y)) for a, b in transfer._met((at, who), (at, who), 5, most) for x, y in zip(a, b, strict=True)) == [(1, 1), (1, 3), (2, 2), (3, 1), (3, 3)]
+
+
 def test_window_manifests_equal_the_join_of_pairs(spark):
     rnd = random.Random(21)
     hour = 3_600_000_000
