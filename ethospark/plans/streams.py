@@ -15,6 +15,8 @@ from ethospark.streaming import live, rollup, stateful
 
 #: Parts of the table, in order of time, that a stream gets one after the other.
 PARTS = 4
+#: Rows of a file of a part, about.
+FILE_ROWS = 1_000_000
 SLOTS = 7
 GAP = 6 * HOUR
 PAUSE = 120_000_000
@@ -27,15 +29,23 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def _in_parts(rows: DataFrame, path: str, again: Column | None = None) -> DataFrame:
-    """Writes rows (event_id, us, ..) part by part, in order of time, as a stream would bring them, and returns the stream; rows of a part where ``again`` holds come with the next one too."""
-    last = rows.agg(F.max("us")).first()[0] or 0
-    first = rows.agg(F.min("us")).first()[0] or 0
+    """Writes rows (event_id, us, ..) part by part, in order of time, as a stream would bring them, and returns the stream; rows of a part where ``again`` holds come with the next one too.
+
+    A trigger takes a part: all parts have the same number of files, which grows with the rows, so no part is written by one task.
+    """
+    first, last, n = (x or 0 for x in rows.agg(F.min("us"), F.max("us"), F.count("*")).first())
     width = (last - first) // PARTS + 1
     part = F.floor((F.col("us") - first) / width)
+    count = max(1, -(-n // (PARTS * FILE_ROWS)))
+    known = 0
     for k in range(PARTS + (again is not None)):
         mine = part == k
-        rows.where(mine | ((part == k - 1) & again) if again is not None else mine).repartition(1).write.mode("append").parquet(path)
-    return live.detections(rows.sparkSession, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), 1)
+        rows.where(mine | ((part == k - 1) & again) if again is not None else mine).repartition(count).write.mode("append").parquet(path)
+        found = len(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles())
+        for _ in range(known + count - found):  # a task without rows writes no file
+            rows.where("false").coalesce(1).write.mode("append").parquet(path)
+        known += count
+    return live.detections(rows.sparkSession, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), count)
 
 
 def _to_the_end(rows: DataFrame, name: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:

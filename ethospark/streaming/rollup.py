@@ -13,14 +13,21 @@ no batch touches are neither read nor listed.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ethospark.functions.time import DAY, floor_to
 
+#: Rows of a day in a batch for which it has another file.
+FILE_ROWS = 500_000
+#: Rows of a batch that a task compares with those that were counted, about.
+TASK_ROWS = 50_000
+
 
-def _days(spark: SparkSession, path: str, days: list[int], schema: str) -> DataFrame:
+def _days(spark: SparkSession, path: str, days: Iterable[int], schema: str) -> DataFrame:
     """The partitions of some days; empty where a day has none."""
     found = spark.createDataFrame([], f"{schema}, day long, batch long")
     for day in days:
@@ -38,30 +45,37 @@ def _kinds(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
+def _put(df: DataFrame, path: str, days: dict[int, int], spread: list[str], *by: str) -> None:
+    """Replaces the partitions of ``df``. A day is dealt to few tasks by ``spread``, one for ``FILE_ROWS`` of its rows in the batch (``days``), so it has few files."""
+    files = F.create_map(*[F.lit(x) for day, n in days.items() for x in (day, max(1, -(-n // FILE_ROWS)))])
+    dealt = df.repartition(F.col("day"), F.pmod(F.xxhash64(*spread), files[F.col("day")]))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def merge_batch(batch: DataFrame, number: int, path: str, ids: list[str], keys: list[str], us: str, label: str, labels: list[str], width: int) -> None:
     """Counts the rows of one batch in the bins of ``width`` microseconds of (keys, bin). The days of a batch come to the driver: a stream has few at a time.
 
     Rows whose ``ids`` were counted on the same day, in this batch or an earlier one, are left out, and so are rows without a time.
     """
     spark = batch.sparkSession
-    rows = batch.where(F.col(us).isNotNull()).select(*dict.fromkeys([*ids, *keys, us, label])).withColumn("day", F.floor(F.col(us) / DAY).cast("long")).dropDuplicates([*ids, "day"])
-    rows = rows.persist()
+    rows = batch.where(F.col(us).isNotNull()).select(*dict.fromkeys([*ids, *keys, us, label])).withColumn("day", F.floor(F.col(us) / DAY).cast("long"))
+    days = {r["day"]: r["count"] for r in rows.groupBy("day").count().sort("day").collect()}
+    if not days:
+        return
+    seen = _days(spark, f"{path}/seen", days, _kinds(rows, ids)).where(F.col("batch") != number).select(*ids, "day", F.lit(True).alias("_seen"))
+    # Rows and keys that were counted meet once, in as many tasks as there are rows for; a key counts if nothing of it was.
+    both = rows.withColumn("_seen", F.lit(False)).unionByName(seen, allowMissingColumns=True).repartition(-(-sum(days.values()) // TASK_ROWS), *ids, "day")
+    once = both.groupBy(*ids, "day").agg(F.max("_seen").alias("_seen"), *[F.first(c).alias(c) for c in rows.columns if c not in {*ids, "day"}])
+    fresh = once.where(~F.col("_seen")).drop("_seen").withColumn("batch", F.lit(number).cast("long")).persist()
     try:
-        days = sorted(r["day"] for r in rows.select("day").distinct().collect())
-        if not days:
-            return
-        put = lambda df, name, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{name}")
-        seen = _days(spark, f"{path}/seen", days, _kinds(rows, ids)).where(F.col("batch") != number)
-        same = [rows[c].eqNullSafe(seen[c]) for c in [*ids, "day"]]
-        fresh = rows.join(seen, same, "left_anti").withColumn("batch", F.lit(number).cast("long"))
         deltas = fresh.groupBy(*keys, floor_to(F.col(us), width).alias("bin_us"), "day", "batch").agg(*[F.count_if(F.col(label) == x).alias(x) for x in labels])
-        put(deltas, "deltas", "day", "batch")
-        put(fresh.select(*ids, "day", "batch"), "seen", "day", "batch")
+        _put(deltas, f"{path}/deltas", days, [*keys, "bin_us"], "day", "batch")
+        _put(fresh.select(*ids, "day", "batch"), f"{path}/seen", days, ids, "day", "batch")
         every = _days(spark, f"{path}/deltas", days, f"{_kinds(rows, keys)}, bin_us long, {', '.join(f'`{x}` long' for x in labels)}")
         summed = every.groupBy(*keys, "bin_us", "day").agg(*[F.sum(x).alias(x) for x in labels])
-        put(summed, "summary", "day")
+        _put(summed, f"{path}/summary", days, [*keys, "bin_us"], "day")
     finally:
-        rows.unpersist()
+        fresh.unpersist()
 
 
 def roll_up(stream: DataFrame, path: str, ids: list[str], keys: list[str], us: str, label: str, labels: list[str], width: int) -> None:

@@ -78,6 +78,25 @@ def test_state_is_given_up(spark, tmp_path):
     assert held and max(held) <= 2 * 50 * 4 and held[-1] <= 50 * 4
 
 
+def test_parts_of_a_stream_have_several_files(spark, tmp_path, monkeypatch):
+    """Each trigger takes one part whole, an empty part too, though many tasks write it."""
+    from pyspark.sql import functions as F
+
+    from ethospark.plans import streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 12)
+    data = [(i, us) for i, us in enumerate([*range(100), *range(100, 103), *range(300, 400)])]
+    df = spark.createDataFrame(data, "event_id long, us long")
+    for again in (None, F.col("event_id") % 3 == 0):
+        path, got = str(tmp_path / f"in{again is None}"), []
+        stream = streams._in_parts(df, path, again)
+        stream.writeStream.foreachBatch(lambda b, n: got.append(sorted(tuple(r) for r in b.collect()))).option("checkpointLocation", path + "_c").trigger(availableNow=True).start().awaitTermination()
+        parts = [[r for r in data if r[1] // 100 == k] for k in range(4)]
+        more = [[], *[[r for r in p if r[0] % 3 == 0] for p in parts]]
+        assert got == (parts if again is None else [sorted(p + m) for p, m in zip([*parts, []], more, strict=True)])
+    assert len(list((tmp_path / "inTrue").glob("*.parquet"))) == 4 * 5
+
+
 def test_votes_are_taken_back(spark, tmp_path):
     rnd = random.Random(2)
     names = ["x", "y", "z"]
@@ -160,6 +179,25 @@ def test_count_runs_end_at_a_gap(spark, tmp_path):
     assert sorted((r["start_us"] - T0, r["duration_us"], r["count"]) for r in got) == [(0, 5 * S, 1), (100 * S, S, 1), (101 * S, 0, 2)]
 
 
+def test_a_day_of_a_batch_has_few_files(spark, tmp_path, monkeypatch):
+    day = 86_400 * S
+    frame = spark.createDataFrame([(i, f"w{i % 50}", i % 3 * day + i * 7 * S, "uv"[i % 2]) for i in range(300)], "id long, who string, us long, label string").repartition(4)
+    for most, files in ((100, {1}), (25, {2, 3, 4})):
+        monkeypatch.setattr(rollup, "FILE_ROWS", most)
+        out = tmp_path / f"out{most}"
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            rollup.merge_batch(frame, 0, str(out), ["id"], ["who"], "us", "label", ["u", "v"], 3600 * S)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        folders = [d for name in ("seen/day=*/batch=0", "deltas/day=*/batch=0", "summary/day=*") for d in out.glob(name)]
+        assert len(folders) == 9 and {len(list(d.glob("*.parquet"))) for d in folders} <= files
+        assert rollup.summary(spark, str(out)).selectExpr("sum(u + v)").first()[0] == 300
+
+
 def test_roll_up_of_batches_sent_again(spark, tmp_path):
     rnd = random.Random(5)
     day = 86_400 * S
