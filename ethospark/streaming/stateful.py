@@ -75,8 +75,27 @@ class _Tracks(_Keyed):
         self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.open = handle.getMapState("open", "start long", "last long, n long")
+        self.handle = handle
+        # All of a key, its timer too, in one value: each call to the state is a round trip, whatever it carries.
+        self.state = handle.getValueState("tracks", "start array<long>, last array<long>, n array<long>, alarm long")
+
+    def _held(self) -> tuple[dict[int, tuple[int, int]], int | None]:
+        """What is open, by its start, and the time of the timer, if any."""
+        got = self.state.get()
+        return ({}, None) if got is None else ({s: (last, n) for s, last, n in zip(got[0], got[1], got[2], strict=True)}, got[3])
+
+    def _hold(self, held: dict[int, tuple[int, int]], alarm: int | None) -> None:
+        """Keeps what is open, with a timer for the end of the first to end in place of ``alarm``; nothing open, nothing kept."""
+        at = _millis(min(last for last, _ in held.values()) + self.gap) if held else None
+        if alarm != at:
+            if alarm is not None:
+                self.handle.deleteTimer(alarm)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if held:
+            self.state.update((list(held), [last for last, _ in held.values()], [n for _, n in held.values()], at))
+        else:
+            self.state.clear()
 
     def _row(self, key: tuple, event: str, start: int | None, last: int | None, n: int, end: int | None = None, identity: str | None = None) -> Row:
         return self.row(key, event=event, opened_us=start, last_us=last, n=n, end_us=end, identity=identity)
@@ -85,7 +104,7 @@ class _Tracks(_Keyed):
         rows = [r for r in rows if r["us"] is not None]
         if not rows or any(k is None for k in key):
             return
-        before = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        before, alarm = self._held()
         # What is open, single rows and close events, in order of time; at one time a row comes before the event.
         items = sorted([(s, 0, last, n, None) for s, (last, n) in before.items()] + [(r["us"], 1, r["us"], 1, None) if not r["closes"] else (r["us"], 2, r["us"], 0, r["identity"]) for r in rows], key=lambda x: x[:4])
         held: list[list[int]] = []
@@ -104,26 +123,20 @@ class _Tracks(_Keyed):
                 current = [at, last, n]
                 held.append(current)
         after = {s: (last, n) for s, last, n in held}
-        for s in before.keys() - after.keys():
-            self.open.removeKey((s,))
         for s, (last, n) in sorted(after.items()):
             if before.get(s) != (last, n):
-                self.open.updateValue((s,), (last, n))
                 yield self._row(key, "extend" if s in before else "open", s, last, n)
-        if after:
-            self.wake(min(last for last, _ in after.values()) + self.gap)
+        if after or before:
+            self._hold(after, alarm)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        self.alarm.clear()
-        now, left = _watermark(timerValues), []
-        for (s,), (last, n) in sorted((tuple(k), tuple(v)) for k, v in self.open.iterator()):
+        now, left = _watermark(timerValues), {}
+        for s, (last, n) in sorted(self._held()[0].items()):
             if last + self.gap <= now:
-                self.open.removeKey((s,))
                 yield self._row(key, "timeout", s, last, n, end=last)
             else:
-                left.append(last)
-        if left:
-            self.wake(min(left) + self.gap)
+                left[s] = (last, n)
+        self._hold(left, None)
 
 
 def tracks(stream: DataFrame, keys: list[str], gap: int) -> DataFrame:

@@ -78,6 +78,30 @@ def test_state_is_given_up(spark, tmp_path):
     assert held and max(held) <= 2 * 50 * 4 and held[-1] <= 50 * 4
 
 
+def test_a_batch_of_tracks_is_few_calls_to_the_state():
+    """What a key holds is read and written at once, however many tracks are open."""
+    calls = []
+
+    class Handle:
+        value = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "update":
+                    self.value = args[0]
+                return {"getValueState": self, "getMapState": self, "get": self.value, "exists": self.value is not None, "iterator": iter(())}.get(name)
+
+            return call
+
+    made = stateful._Tracks(["track"], 60 * S)
+    made.init(Handle())
+    batch = lambda hours: list(made.handleInputRows(("a",), iter([{"us": T0 + h * 3600 * S, "closes": False, "identity": None} for h in hours]), None))
+    assert len(batch(range(40))) == 40
+    calls.clear()
+    assert len(batch(range(40, 80))) == 40 and len(calls) <= 4
+
+
 def test_parts_of_a_stream_have_several_files(spark, tmp_path, monkeypatch):
     """Each trigger takes one part whole, an empty part too, though many tasks write it."""
     from pyspark.sql import functions as F
