@@ -92,6 +92,9 @@ def longest(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
 
 
 def overlapping_neighbours(df: DataFrame, keys: list[str], start: str, end: str, name: str) -> DataFrame:
-    """Intervals of a chain that begin before the previous one has ended; of equal ones the lesser ``name`` is before the other, so each run gives the same rows."""
-    w = _ordered(keys, [start, end, name])
+    """Intervals of a chain that begin before the previous one has ended; of equal ones the lesser ``name`` is before the other, so each run gives the same rows.
+
+    An interval without a start or an end comes after those that have one.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in (start, end, name)])
     return df.withColumn("previous_end", F.lag(end).over(w)).where(F.col(start) < F.col("previous_end"))

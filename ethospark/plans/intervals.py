@@ -193,9 +193,9 @@ def quality_default_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) AS a, epoch_us(max(l_shipdate)) AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
 c AS (SELECT *, lag(b) OVER (PARTITION BY o_custkey ORDER BY a, b) AS previous_end FROM t) SELECT o_orderkey, o_custkey, previous_end FROM c WHERE a < previous_end""")
 def chain_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of a chain that begin before the previous one has ended."""
+    """Intervals of a chain that begin before the previous one has ended; rows of one order, customer and date are one interval."""
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
-    t = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", micros(F.col("o_orderdate")).alias("a"), micros(F.col("shipped")).alias("b"))
+    t = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", "o_custkey", micros(F.col("o_orderdate")).alias("a")).agg(micros(F.max("shipped")).alias("b"))
     return islands.overlapping_neighbours(t, ["o_custkey"], "a", "b", "o_orderkey").select("o_orderkey", "o_custkey", "previous_end")
 
 

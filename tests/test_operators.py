@@ -828,3 +828,24 @@ def test_companions_shuffle_no_lists(spark):
     want = [(1, None, "c", "alone"), (1, None, "d", "alone"), (1, 1, None, "alone"), (1, 1, "a", "b"), (1, 1, "b", "a"), (2, 1, "e", "alone")]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chain_conflicts_equal_sql_on_repeated_orders_and_missing_dates(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    from ethospark.plans.registry import ORACLES, QUERIES
+
+    day = lambda n: None if n is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(n)
+    # An order twice, one without a date before others, two of one date of which one has no item that was shipped.
+    orders = [(1, 1, 0), (1, 1, 0), (2, 1, 5), (3, 1, None), (4, 1, 8), (5, 1, 8), (6, 2, None), (7, 2, 3), (8, None, 1), (9, None, 2)]
+    items = [(1, 6), (2, 9), (2, 20), (3, 30), (4, None), (5, 12), (6, 50), (7, 4), (8, 9), (9, 9)]
+    spark.createDataFrame([(k, c, day(d)) for k, c, d in orders], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k, day(d)) for k, d in items], "l_orderkey long, l_shipdate timestamp_ntz").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(ORACLES["chain_conflicts"]).fetchall(), key=str)
+    assert len(want) == 4
+    assert sorted(map(tuple, QUERIES["chain_conflicts"](spark, str(tmp_path)).collect()), key=str) == want
