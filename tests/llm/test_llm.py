@@ -690,3 +690,21 @@ def test_near_duplicates_shuffle_the_hashes_of_prefixes_once(spark, monkeypatch)
     got = {(r["doc_id"], r["component_id"]) for r in exact.near_duplicates(docs).collect()}
     assert got == {(1, 1), (2, 1), (None, 1), (3, 3)}
     assert "first(hashes" not in seen["candidates"][0]
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    import corpus_pipeline
+    from ethospark.llm import shingles as exact
+
+    words = words_run(3, 100).split()
+    near = [" ".join([*words[:k], *["z"] * (100 - k)]) for k in (100, 98, 96, 94, 92, 90, 88, 86, 84)]  # neighbours link, and the ends by them only
+    other = words_run(4, 60)
+    # One id has two texts of a group and one of them twice; a chain of rows without an id joins 1 and 9; a group has no id at all.
+    rows = [(1, near[0]), (1, near[0]), (1, near[1]), *[(None, t) for t in near[2:8]], (None, near[4]), (9, near[8]), (None, other), (None, other), (None, other + " end"), (5, "a b c d e f"), (5, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = exact.near_duplicates(docs)
+    assert {r["doc_id"]: r["component_id"] for r in found.where("doc_id is not null").collect()} == {1: 1, 9: 1, 5: 5}
+    assert sorted(r["component_id"] or 0 for r in found.where("doc_id is null").collect()) == [0, 0, 0, *[1] * 7]
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert [i for i, _ in left] == [0, 0, 1, 5]
+    assert left[2][1] in near[:2] and {t in (other, other + " end") for i, t in left if not i} == {True, False}
