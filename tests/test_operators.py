@@ -849,3 +849,32 @@ def test_chain_conflicts_equal_sql_on_repeated_orders_and_missing_dates(spark, t
     want = sorted(con.sql(ORACLES["chain_conflicts"]).fetchall(), key=str)
     assert len(want) == 4
     assert sorted(map(tuple, QUERIES["chain_conflicts"](spark, str(tmp_path)).collect()), key=str) == want
+
+
+def test_full_retrieval_equals_sql_without_a_row_for_each_pair(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from ethospark.plans import metrics
+    from ethospark.plans.registry import ORACLES
+
+    rng = np.random.default_rng(8)
+    made = [(k, rng.normal(size=4).round(3).tolist(), ["a", "b", "c", None][int(rng.integers(4))]) for k in range(420)]
+    for k in (0, 7, 55, 100, 300):  # no vector, one of zeros, no query's label among others
+        made[k] = (k, None, made[k][2] or "a")
+    for k in (50, 200, 201):
+        made[k] = (k, [0.0] * 4, "b")
+    made[150] = (150, made[150][1], "alone")
+    made += [(k + 420, made[k][1], ["a", "b", "c"][k % 3]) for k in range(0, 400, 3)]  # equal vectors of several labels
+    table = [(k, v, x) for k, v, x in made if k != 250]
+    spark.createDataFrame(table, "vec_id long, embedding array<float>, label string").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for sizes in ((1024, 16_000_000, 8192), (3, 900, 64)):
+        for name, size in zip(("QUERIES", "HELD", "BLOCK"), sizes, strict=True):
+            monkeypatch.setattr(vectors, name, size)
+        for module, name in ((metrics, "cmc_map"),):
+            found = getattr(module, name)(spark, str(tmp_path))
+            assert "CoGroup" not in found._jdf.queryExecution().optimizedPlan().toString()  # was a row for each pair of a query and a gallery row
+            want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({ORACLES[name]})").fetchall()
+            text_ = lambda r: tuple(None if v is None else v if isinstance(v, str) else round(float(v), 5) for v in r)
+            assert sorted(map(text_, map(tuple, found.collect())), key=str) == sorted(map(text_, want), key=str)
