@@ -854,7 +854,7 @@ def test_chain_conflicts_equal_sql_on_repeated_orders_and_missing_dates(spark, t
 def test_full_retrieval_equals_sql_without_a_row_for_each_pair(spark, tmp_path, monkeypatch):
     import duckdb
 
-    from ethospark.plans import metrics
+    from ethospark.plans import metrics, sequences
     from ethospark.plans.registry import ORACLES
 
     rng = np.random.default_rng(8)
@@ -872,7 +872,7 @@ def test_full_retrieval_equals_sql_without_a_row_for_each_pair(spark, tmp_path,
     for sizes in ((1024, 16_000_000, 8192), (3, 900, 64)):
         for name, size in zip(("QUERIES", "HELD", "BLOCK"), sizes, strict=True):
             monkeypatch.setattr(vectors, name, size)
-        for module, name in ((metrics, "cmc_map"),):
+        for module, name in ((metrics, "cmc_map"), (sequences, "per_class_retrieval")):
             found = getattr(module, name)(spark, str(tmp_path))
             assert "CoGroup" not in found._jdf.queryExecution().optimizedPlan().toString()  # was a row for each pair of a query and a gallery row
             want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({ORACLES[name]})").fetchall()
