@@ -878,3 +878,22 @@ def test_full_retrieval_equals_sql_without_a_row_for_each_pair(spark, tmp_path,
             want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({ORACLES[name]})").fetchall()
             text_ = lambda r: tuple(None if v is None else v if isinstance(v, str) else round(float(v), 5) for v in r)
             assert sorted(map(text_, map(tuple, found.collect())), key=str) == sorted(map(text_, want), key=str)
+
+
+def test_overlap_totals_shuffle_a_row_a_block_and_hold_parts_of_tracks(spark, monkeypatch):
+    """Totals are exact where a track's intervals lie over each other, begin and end at once and are long; 3,000 tracks of a room are one block."""
+    rnd = random.Random(9)
+    for far, parts in ((40, 2), (10**13, 3), (10**15, 1024)):
+        monkeypatch.setattr(joins, "TRACKS_AT_ONCE", parts)
+        sides = [[(i, s := rnd.randrange(far), s + rnd.randrange(1, far // 2)) for i in range(k, k + 7) for _ in range(rnd.randrange(1, 25))] for k in (0, 7)]
+        for right in (sides[1], None):
+            want: dict = {}
+            for i, a, b in sides[0]:
+                for j, c, d in right or sides[0]:
+                    if (right or i < j) and (over := min(b, d) - max(a, c)) > 0:
+                        want[i, j] = want.get((i, j), 0) + over
+            left, other = (tuple(np.array(c) for c in zip(*side, strict=True)) if side else None for side in (sides[0], right))
+            got = {(i, j): n for part in joins._overlapping(left, other) for i, j, n in zip(*(c.tolist() for c in part), strict=True)}
+            assert got == want
+    wide = spark.range(3000).select(F.lit(1).alias("room"), F.col("id").alias("t"))
+    assert joins.blocks_of(wide, ["room"], "t", "n").first()["n"] == 1  # was 3, and so many rows were shuffled for one
