@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethospark.functions.time import SECOND, floor_to
-from ethospark.operators.joins import blocks_of
+from ethospark.operators.joins import blocks_of, in_many_tasks
 
 #: Neighbouring bins that are searched in one group.
 BINS = 16
@@ -63,10 +63,53 @@ def fallback_label(label: Column, voted: Column, known: list[str]) -> Column:
     return F.coalesce(found, rest)
 
 
-def _near_in_bins(i: np.ndarray, left_bin: np.ndarray, left: np.ndarray, j: np.ndarray, right_bin: np.ndarray, right: np.ndarray, limit: float, most: int = 2_000_000):
-    """Yields arrays (i, j, bins, median distance) of the tracks that are near each other, ``most`` pairs of positions or one track ``i`` at a time."""
-    order = np.argsort(right_bin, kind="stable")
-    j, right_bin, right = j[order], right_bin[order], right[order]
+def _near_in_bins(i: np.ndarray, left_bin: np.ndarray, left: np.ndarray, j: np.ndarray, right_bin: np.ndarray, right: np.ndarray, limit: float, most: int = 2_000_000, tracks: int = 1024):
+    """Yields arrays (i, j, bins, median distance) of the tracks, numbered from 0, that are near each other, some at a time.
+
+    Where a track has one position a bin at most, the distances of a few tracks ``i`` to some ``tracks`` others are cells of a table with a place for each bin that two tracks can share,
+    ``most`` cells at once, if pairs of positions fill a tenth of it. All others are put in order as a list, ``most`` pairs of positions or one track ``i`` at a time.
+    """
+    sides = []
+    for who, at, xy in ((i, left_bin, left), (j, right_bin, right)):
+        order = np.lexsort((who, at))
+        sides.append((who[order], at[order], xy[order]))
+    (i, left_bin, left), (j, right_bin, right) = sides
+    once = all(not ((who[1:] == who[:-1]) & (at[1:] == at[:-1])).any() for who, at, _ in sides)
+    shared = min((int(np.bincount(who).max(initial=0)) for who, _, _ in sides), default=0) + 1
+    n, m = (int(who.max(initial=-1)) + 1 for who, _, _ in sides)
+    pairs = int((np.searchsorted(right_bin, left_bin, "right") - np.searchsorted(right_bin, left_bin, "left")).sum())
+    if not once or shared * tracks > most or shared * n * m > 10 * pairs:
+        yield from _near_in_lists(i, left_bin, left, j, right_bin, right, limit, most)
+        return
+    step = max(1, most // (shared * min(tracks, m)))
+    for k in range(0, m, tracks):
+        some = (j >= k) & (j < k + tracks)
+        other, other_bin, other_at, wide = j[some] - k, right_bin[some], right[some], min(tracks, m - k)
+        for lo in range(0, n, step):
+            mine = (i >= lo) & (i < lo + step)
+            who, at, xy, high = i[mine] - lo, left_bin[mine], left[mine], min(step, n - lo)
+            cells, found = np.full(high * wide * shared, np.inf), np.zeros(high * wide, np.int64)
+            cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+            first, last = np.searchsorted(other_bin, at[cuts], "left"), np.searchsorted(other_bin, at[cuts], "right")
+            for s, e, b, c in zip(cuts, [*cuts[1:], len(at)], first, last, strict=True):
+                pair = (who[s:e, None] * wide + other[b:c]).ravel()
+                far = np.sqrt((xy[s:e, :1] - other_at[b:c, 0]) ** 2 + (xy[s:e, 1:] - other_at[b:c, 1]) ** 2).ravel()
+                near = far <= limit
+                pair, far = pair[near], far[near]
+                had = found[pair]
+                cells[pair * shared + had] = far
+                found[pair] = had + 1
+            hit = np.flatnonzero(found)
+            if not len(hit):
+                continue
+            size = found[hit]
+            far = np.sort(cells.reshape(-1, shared)[hit, : size.max()], axis=1)
+            row = np.arange(len(hit))
+            yield hit // wide + lo, hit % wide + k, size, (far[row, (size - 1) // 2] + far[row, size // 2]) / 2
+
+
+def _near_in_lists(i: np.ndarray, left_bin: np.ndarray, left: np.ndarray, j: np.ndarray, right_bin: np.ndarray, right: np.ndarray, limit: float, most: int):
+    """What ``_near_in_bins`` yields, by sorting the distances of all near positions. The right side comes in order of its bins."""
     order = np.argsort(i, kind="stable")
     i, left_bin, left = i[order], left_bin[order], left[order]
     low = np.searchsorted(right_bin, left_bin, "left")
@@ -80,7 +123,7 @@ def _near_in_bins(i: np.ndarray, left_bin: np.ndarray, left: np.ndarray, j: np.n
         n = counts[at:stop]
         rows = np.repeat(np.arange(at, stop), n)
         others = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:stop], n)
-        far = np.hypot(left[rows, 0] - right[others, 0], left[rows, 1] - right[others, 1])
+        far = np.sqrt((left[rows, 0] - right[others, 0]) ** 2 + (left[rows, 1] - right[others, 1]) ** 2)
         near = far <= limit
         p, q, d = i[rows[near]].astype(np.int64), j[others[near]].astype(np.int64), far[near]
         order = np.lexsort((d, q, p))
@@ -95,29 +138,32 @@ def overlap_distances(binned: DataFrame, other: DataFrame, keys: list[str], bin_
     """Rows (keys, a, b, bins, distance): in how many bins two tracks are within ``limit``, and their median distance there.
 
     Below ``least`` bins the distance is null. ``other`` has its columns under the same names, its track as ``b``. Tracks are dealt into blocks and every pair of
-    blocks is a group: the shuffle has a row for each track, bin and block, and pairs of positions never leave their task.
+    blocks is a group: the shuffle has a row for each track, bin and block, and pairs of positions never leave their task; pairs of tracks leave it some at a time.
     """
-    one = binned.where(F.col(bin_col).isNotNull()).select(*keys, F.col(a), F.col(bin_col).alias("_t"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    two = other.where(F.col(bin_col).isNotNull()).select(*keys, F.col(b), F.col(bin_col).alias("_t"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    sizes = blocks_of(one, keys, a, "_na").join(blocks_of(two, keys, b, "_nb"), keys)
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    kinds = {c: df.schema[c].dataType.simpleString() for df, names in ((binned, [*keys, a]), (other, [b])) for c in names}
+    held = kinds[a] if kinds[a] == kinds[b] else "string"
+    rows = lambda df, track, side: df.where(F.col(bin_col).isNotNull()).select(*keys, F.lit(side).alias("_side"), F.col(track).cast(held).alias("_track"), F.col(bin_col).alias("_t"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    one, two = rows(binned, a, 0), rows(other, b, 1)
+    sizes = blocks_of(one, keys, "_track", "_na").join(blocks_of(two, keys, "_track", "_nb"), keys)
+    own = lambda n: F.pmod(F.xxhash64("_track"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = one.join(sizes, keys).withColumn("_a", own(a, "_na")).withColumn("_b", each("_nb")).drop("_na", "_nb")
-    right = two.join(sizes, keys).withColumn("_b", own(b, "_nb")).withColumn("_a", each("_na")).drop("_na", "_nb")
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both may come from one table
-    kinds = {**dict(one.dtypes), **dict(two.dtypes)}
-
-    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        (i, mine), (j, theirs) = (pd.factorize(f[c], use_na_sentinel=False) for f, c in ((l, a), (r, b)))
-        found = _near_in_bins(i, l["_t"].to_numpy(), l[["_x", "_y"]].to_numpy(float), j, r["_t"].to_numpy(), r[["_x", "_y"]].to_numpy(float), limit)
-        none = (*[np.zeros(0, np.int64)] * 3, np.zeros(0))
-        p, q, n, d = (np.concatenate(c) for c in zip(none, *found, strict=True))
-        return pd.DataFrame({**{k: [l[k].iloc[0]] * len(p) if len(l) else [] for k in keys}, a: mine[p], b: theirs[q], "bins": n, "distance": d})
-
-    group = [*keys, "_a", "_b"]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, a, b]) + ", bins long, distance double"
-    out = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(run, schema)
-    return out.withColumn("distance", F.when(F.col("bins") >= least, F.col("distance")))
+    left = one.join(sizes, keys).withColumn("_a", own("_na")).withColumn("_b", each("_nb")).drop("_na", "_nb")
+    right = two.join(sizes, keys).withColumn("_b", own("_nb")).withColumn("_a", each("_na")).drop("_na", "_nb")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = pd.concat(frames, ignore_index=True)
+        l, r = (every[every["_side"] == side] for side in (0, 1))
+        if not len(l) or not len(r):
+            return
+        (i, mine), (j, theirs) = (pd.factorize(f["_track"], use_na_sentinel=False) for f in (l, r))
+        same = {k: every[k].iloc[0] for k in keys}
+        for p, q, n, d in _near_in_bins(i, l["_t"].to_numpy(), l[["_x", "_y"]].to_numpy(float), j, r["_t"].to_numpy(), r[["_x", "_y"]].to_numpy(float), limit):
+            yield pd.DataFrame({a: mine[p], b: theirs[q], "bins": n, "distance": d}).assign(**same)[[*keys, a, b, "bins", "distance"]]
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{a}` {held}, `{b}` {held}, bins long, distance double"
+    out = in_many_tasks(left.unionByName(right), [*keys, "_a", "_b"]).groupBy(*keys, "_a", "_b").applyInPandas(run, schema)
+    out = out.withColumn("distance", F.when(F.col("bins") >= least, F.col("distance")))
+    return out if held == kinds[a] == kinds[b] else out.withColumn(a, F.col(a).cast(kinds[a])).withColumn(b, F.col(b).cast(kinds[b]))
 
 
 def nearest_in_bins(frames: DataFrame, other: DataFrame, keys: list[str], us: str, x: str, y: str, identity: str, width: int, reach: int, limit: float) -> DataFrame:

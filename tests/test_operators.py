@@ -897,3 +897,29 @@ def test_overlap_totals_shuffle_a_row_a_block_and_hold_parts_of_tracks(spark, mo
             assert got == want
     wide = spark.range(3000).select(F.lit(1).alias("room"), F.col("id").alias("t"))
     assert joins.blocks_of(wide, ["room"], "t", "n").first()["n"] == 1  # was 3, and so many rows were shuffled for one
+
+
+def test_near_in_bins_by_table_and_by_list(spark, monkeypatch):
+    """Both ways give the bins and medians of all pairs; the table is taken where tracks have one position a bin, and a block's pairs leave it in parts."""
+    rnd = random.Random(10)
+    lists = transfer._near_in_lists
+    taken = []
+    monkeypatch.setattr(transfer, "_near_in_lists", lambda *a: taken.append(1) or lists(*a))
+    for once in (True, False):
+        make = lambda n: [(k, t, float(rnd.randrange(9)), float(rnd.randrange(9))) for k in range(n) for t in (rnd.sample(range(9), 6) if once else rnd.choices(range(9), k=6))]  # noqa: B023, E731
+        ones, twos = make(23), make(17)
+        far: dict = {}
+        for i, t, x, y in ones:
+            for j, u, v, w in twos:
+                if t == u and math.hypot(x - v, y - w) <= 5:
+                    far.setdefault((i, j), []).append(math.hypot(x - v, y - w))
+        sides = [c for side in (ones, twos) for c in (np.array([r[0] for r in side]), np.array([r[1] for r in side]), np.array([r[2:] for r in side]))]
+        for most, tracks in ((2_000_000, 1024), (100, 5)):
+            parts = list(transfer._near_in_bins(*sides, 5.0, most, tracks))
+            got = {(p, q): (n, d) for part in parts for p, q, n, d in zip(*(c.tolist() for c in part), strict=True)}
+            assert got == {k: (len(d), pytest.approx(float(np.median(d)))) for k, d in far.items()} and sum(len(p[0]) for p in parts) == len(far)
+            assert len(parts) > 1 or most > 100
+        assert bool(taken) != once
+    at = spark.createDataFrame([("a", 1, 0.0, 0.0), ("b", 1, 3.0, 4.0)], "t string, bin int, x double, y double").withColumn("room", F.lit(1))
+    other = at.select("room", "bin", "x", "y", F.length("t").cast("long").alias("u"))  # a track of another kind, twice in a bin
+    assert rows(transfer.overlap_distances(at, other, ["room"], "bin", "x", "y", "t", "u", 4.0, 1), "t", "u", "bins", "distance") == [("a", 1, 1, 0.0), ("b", 1, 1, 0.0)]
