@@ -923,3 +923,25 @@ def test_near_in_bins_by_table_and_by_list(spark, monkeypatch):
     at = spark.createDataFrame([("a", 1, 0.0, 0.0), ("b", 1, 3.0, 4.0)], "t string, bin int, x double, y double").withColumn("room", F.lit(1))
     other = at.select("room", "bin", "x", "y", F.length("t").cast("long").alias("u"))  # a track of another kind, twice in a bin
     assert rows(transfer.overlap_distances(at, other, ["room"], "bin", "x", "y", "t", "u", 4.0, 1), "t", "u", "bins", "distance") == [("a", 1, 1, 0.0), ("b", 1, 1, 0.0)]
+
+
+def test_nearest_works_distances_out_once_and_exactly(spark, monkeypatch):
+    """Equal vectors, close ones and great lengths: the nearest and the farthest are those of all pairs, and the plan has the blocks' pairs once."""
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    rng = np.random.default_rng(11)
+    for scale in (1.0, 1e18):
+        v = rng.normal(size=(150, 6)) + 100  # far from zero, so that the rounded product is rough
+        v[50:75] = v[:25]
+        v[75:100] = v[:25] + 1e-7
+        v *= scale
+        ids = [int(k) for k in rng.permutation(150)]
+        df = spark.createDataFrame([(i, row.tolist()) for i, row in zip(ids, v, strict=True)], "i long, v array<double>")
+        out = vectors.nearest(df, df.withColumnRenamed("i", "j"), 4)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups") == 1  # was 2
+        got = {(r["i"], r["r"]): (r["j"], r["d2"]) for r in out.collect()}
+        assert len(got) == 150 * 5
+        far = ((v[:, None] - v[None]) ** 2).sum(axis=2)
+        for n, i in enumerate(ids):
+            for r, at in enumerate(np.lexsort((ids, far[n]))[:4]):
+                assert got[i, r] == (ids[at], pytest.approx(far[n][at], rel=1e-12))
+            assert got[i, None] == (None, pytest.approx(far[n].max(), rel=1e-12))
